@@ -6,19 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.components import connected_components
-from sievework.llm.session import broadcast_if_small, cut, documents, drop_paths
+from sievework.llm.near_join import shared_buckets, similar, similarity_classes
+from sievework.llm.session import broadcast_if_small, cut, documents
 from sievework.llm.wordscan import SPACED, mix, scan, shingles, text_slices
 
 #: Words of a shingle.
 WORDS = 5
 #: Multiset Jaccard similarity of near duplicates, in tenths.
 TENTHS = 8
-#: Signature registers: BANDS bands of ROWS. At similarity 0.8 a pair escapes all bands with probability 0.0002.
-BANDS, ROWS = 16, 4
+#: Signature registers: BANDS bands of ROWS. At similarity 0.8 a pair escapes all bands with probability 0.0007.
+BANDS, ROWS = 24, 6
+#: Registers in which a candidate pair agrees: at similarity 0.8 fewer agree with probability 0.0001.
+AGREE = 97
 
 _U = np.uint64
 _TO_UNIT = 2.0**-53
@@ -104,7 +106,7 @@ def _bags(data: np.ndarray, offsets: np.ndarray):
 def _list(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
     np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
 def _content(e: np.ndarray, w: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -121,16 +123,19 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, n, data, offsets in text_slices(batch.column("text")):
             e, w, doc, _ = _bags(data, offsets)
             size = np.bincount(doc, weights=w, minlength=n).astype(np.int64)
-            keys = band_keys(bag_minhash(e, w, doc, n, BANDS * ROWS), BANDS, ROWS)
+            sig = bag_minhash(e, w, doc, n, BANDS * ROWS)
+            keys = band_keys(sig, BANDS, ROWS)
             ids = batch.column("doc_id").slice(i, n)
             has = (size > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
+            sketch = mix(sig[has].view(_U)).reshape(-1).astype(np.uint16).view(np.int16)
             yield pa.RecordBatch.from_arrays(
                 [
                     ids,
                     pa.array(_content(e, w, doc, n), mask=~has),
-                    _list(keys[has].reshape(-1), np.where(has, BANDS, 0)),
+                    _list(keys[has].reshape(-1).view(np.int64), np.where(has, BANDS, 0)),
+                    _list(sketch, np.where(has, BANDS * ROWS, 0)),
                 ],
-                names=["doc_id", "node", "bands"],
+                names=["doc_id", "node", "bands", "sketch"],
             )
 
 
@@ -145,15 +150,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             e, doc = np.repeat(e, w), np.repeat(doc, w)
             with np.errstate(over="ignore"):
                 e = np.where(nth > 0, mix(e + nth.astype(_U) * _U(0xD6E8FEB86659FD93)), e)
-            yield pa.RecordBatch.from_arrays([pa.array(node), _list(e, np.bincount(doc, minlength=n))], names=["node", "elements"])
-
-
-def _verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
-    """``pairs`` (x, y and others) with ``common`` elements and elements of both, ``joint``."""
-    left = elements.select(F.col("node").alias("x"), F.col("elements").alias("ex"))
-    right = elements.select(F.col("node").alias("y"), F.col("elements").alias("ey"))
-    met = pairs.join(left, "x").join(right, "y").withColumn("common", F.size(F.array_intersect("ex", "ey")))
-    return met.withColumn("joint", F.size("ex") + F.size("ey") - F.col("common")).drop("ex", "ey")
+            yield pa.RecordBatch.from_arrays([pa.array(node), _list(e.view(np.int64), np.bincount(doc, minlength=n))], names=["node", "elements"])
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -161,55 +158,48 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
     Two texts are linked if the multiset Jaccard similarity of their five-word shingles (words
     between ASCII white space, A-Z in lower case) is 0.8 or more; classes are connected components.
-    Texts with equal multisets are one node from the start, so copies are never paired. Nodes that
-    share a band are compared with the band's least node, and, where a band holds several
-    components, with all nodes of other components that the triangle inequality of the Jaccard
-    distance does not rule out; no bucket is cut off.
+    Texts with equal multisets are one node from the start, so copies are never paired. Candidates share
+    a band of the signature and agree in two thirds of all registers; candidates are verified on the multisets themselves
+    (see near_join: no bucket is cut off).
 
     Nulls: a null text, a text without words and a null doc_id are alone in their class; class_id is
     the doc_id. A text under five words is one shingle. Repeated rows: rows of equal text are one class, whatever their ids; ``keep`` is
     true for the rows with the least doc_id, so rows that repeat that id too. Columns but doc_id and text
     are not read. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
-    signed = cut(texts.mapInArrow(_signatures, "doc_id long, node long, bands array<long>"), "signatures")
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.first("bands").alias("bands"))
-    entries = cut(nodes.select("node", F.explode("bands").alias("bucket")), "entries")
-    heads = entries.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").drop("last")
-    shared = cut(entries.join(heads, "bucket"), "shared")
-    pairs = shared.where("node > head").select(F.col("node").alias("x"), F.col("head").alias("y")).distinct()
-    wanted = shared.select("node").distinct()
-    # one row stands for a node; where an id has several texts, those that nobody asked for meet no pair
-    ids = signed.join(broadcast_if_small(wanted), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    found = texts.join(broadcast_if_small(cut(ids.select("doc_id").distinct(), "wanted")), "doc_id", "left_semi")
-    elements = cut(found.select("text").mapInArrow(_elements, "node long, elements array<long>").where(F.size("elements") > 0).dropDuplicates(["node"]), "elements")
-    checked = cut(_verified(pairs, elements), "checked")
-    near = F.col("common") * 10 >= F.col("joint") * TENTHS
-    links = checked.where(near).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    first = connected_components(links)
-
-    # bands that still hold several components: pairs across them, unless the distances to the head keep them apart
-    label = F.coalesce("label", "node")
-    placed = shared.join(first, "node", "left").select("bucket", "head", "node", label.alias("label"))
-    split = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    far = checked.select(F.col("x").alias("node"), F.col("y").alias("head"), (1 - F.col("common") / F.col("joint")).alias("d"))
-    open_ = cut(placed.join(split, "bucket", "left_semi").join(far, ["node", "head"]), "open")
-    heads_of = placed.where("node = head").select("bucket", F.col("label").alias("head_label"))
-    outside = open_.join(heads_of, "bucket").where("label != head_label").select("bucket", F.col("node").alias("o"), F.col("label").alias("ol"), F.col("d").alias("od"))
-    slack = 1 - TENTHS / 10 + 1e-9
-    rest = outside.join(open_, "bucket").where((F.col("ol") != F.col("label")) & (F.abs(F.col("od") - F.col("d")) <= slack))
-    rest = cut(rest.select(F.least("o", "node").alias("y"), F.greatest("o", "node").alias("x")).distinct(), "rest")
-    more = _verified(rest, elements).where(near).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    classes = connected_components(links.union(more)) if rest.limit(1).count() else first
-
-    named = nodes.select("node", "least", "rows").join(classes, "node", "left").withColumn("label", label)
+    signed = cut(texts.mapInArrow(_signatures, "doc_id long, node long, bands array<long>, sketch array<smallint>"), "signatures")
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    entries = signed.where("node IS NOT NULL").select("node", F.explode("bands").alias("bucket")).distinct()
+    shared = cut(entries.join(shared_buckets(entries), "bucket"), "entries")
+
+    def holders(of: DataFrame) -> DataFrame:
+        """(node, doc_id): the document that stands for each node."""
+        return signed.select("node", "doc_id").join(broadcast_if_small(of), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+
+    def sketches_of(of: DataFrame) -> DataFrame:
+        return signed.join(holders(of), ["node", "doc_id"], "left_semi").select("node", "sketch").dropDuplicates(["node"])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        wanted = cut(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct(), "wanted")
+        ids = cut(holders(wanted).select("doc_id").distinct(), "ids")
+        found = texts.join(broadcast_if_small(ids), "doc_id", "left_semi").select("text").mapInArrow(_elements, "node long, elements array<long>")
+        # where an id has several texts, those that nobody asked for meet no pair
+        elements = cut(found.where(F.size("elements") > 0).dropDuplicates(["node"]), "elements")
+        left = elements.select(F.col("node").alias("x"), F.col("elements").alias("ex"))
+        right = elements.select(F.col("node").alias("y"), F.col("elements").alias("ey"))
+        return pairs.join(left, "x").join(right, "y").where(similar("ex", "ey", TENTHS)).select("x", "y")
+
+    def admit(a: str, b: str) -> Column:
+        return F.size(F.filter(F.zip_with(a, b, lambda p, q: p == q), lambda same: same)) >= AGREE
+
+    classes = similarity_classes(shared, sketches_of, admit, verify)
+    named = nodes.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
     named = cut(named.join(sizes, "label").select("node", "class_id", "class_size"), "classes")
     out = signed.select("doc_id", "node").join(named, "node", "left")
     alone = F.col("node").isNull()
     out = out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
-    drop_paths(spark, entries, shared, elements, checked, open_, rest)
     return out.withColumn("keep", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 

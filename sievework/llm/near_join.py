@@ -4,59 +4,73 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.components import connected_components
 from sievework.llm.session import cut, drop_paths
 
 
-def band_heads(entries: DataFrame) -> DataFrame:
-    """(bucket, head) of the buckets that hold several nodes; head is the least node."""
-    return entries.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").drop("last")
+def shared_buckets(entries: DataFrame) -> DataFrame:
+    """The buckets of (bucket, node) that hold several nodes."""
+    return entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
 
 
-def _verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
-    """``pairs`` of x and y with ``common`` elements and ``joint``, those of either."""
-    left = elements.select(F.col("node").alias("x"), F.col("elements").alias("ex"))
-    right = elements.select(F.col("node").alias("y"), F.col("elements").alias("ey"))
-    met = pairs.join(left, "x").join(right, "y").withColumn("common", F.size(F.array_intersect("ex", "ey")))
-    return met.withColumn("joint", F.size("ex") + F.size("ey") - F.col("common")).drop("ex", "ey")
+def similar(a: str, b: str, tenths: int) -> Column:
+    """Whether two arrays of distinct elements have a Jaccard similarity of ``tenths`` tenths or more."""
+    common = F.size(F.array_intersect(a, b))
+    fits = (F.least(F.size(a), F.size(b)) * 10 >= F.greatest(F.size(a), F.size(b)) * tenths)
+    return fits & (common * 10 >= (F.size(a) + F.size(b) - common) * tenths)
 
 
-def similarity_classes(shared: DataFrame, elements_of: Callable[[DataFrame], DataFrame], tenths: int) -> DataFrame:
+def _met(pairs: DataFrame, of: DataFrame, value: str, admit: Callable[[str, str], Column]) -> DataFrame:
+    """The pairs (x, y) whose values are admitted."""
+    left = of.select(F.col("node").alias("x"), F.col(value).alias("vx"))
+    right = of.select(F.col("node").alias("y"), F.col(value).alias("vy"))
+    return pairs.join(left, "x").join(right, "y").where(admit("vx", "vy")).select("x", "y")
+
+
+def similarity_classes(
+    shared: DataFrame,
+    sketches_of: Callable[[DataFrame], DataFrame],
+    admit: Callable[[str, str], Column],
+    verify: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(node, label): components of the links between nodes that share a bucket.
 
-    ``shared`` has (bucket, head, node) for buckets of several nodes. ``elements_of`` gives (node,
-    elements) for a table of nodes. A link is a Jaccard similarity of ``tenths`` tenths or more.
+    ``shared`` has (bucket, node) for buckets of several nodes. ``sketches_of`` gives (node, sketch) for a
+    table of nodes; ``admit`` says whether two sketches may belong to a link, and ``verify`` keeps the true links of
+    a table of pairs (x, y); without it, admitted pairs are links.
 
-    Every node is compared with the head of its buckets, so a bucket of n nodes gives n pairs. Where
-    its nodes then belong to several components, those outside the head's component are compared with
-    all nodes of other components that the triangle inequality of the Jaccard distance (of both to
-    the head) does not rule out. No link between nodes that share a bucket is lost.
+    The head of a bucket is its node that shares buckets with most others, as the text does that others are
+    copies of. Every node is compared with the heads of its buckets, so a bucket of n nodes gives n pairs. Where
+    its nodes then belong to several components, those outside the head's component are compared with the
+    nodes of other components, and only admitted pairs leave that join. No link between nodes that share a
+    bucket is lost.
     """
-    shared = cut(shared, "shared")
-    pairs = shared.where("node > head").select(F.col("node").alias("x"), F.col("head").alias("y")).distinct()
-    elements = cut(elements_of(shared.select("node").distinct()), "elements")
-    checked = cut(_verified(pairs, elements), "checked")
-    near = F.col("common") * 10 >= F.col("joint") * tenths
-    links = checked.where(near).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    first = connected_components(links)
-
-    label = F.coalesce("label", "node")
-    placed = cut(shared.join(first, "node", "left").select("bucket", "head", "node", label.alias("label")), "placed")
+    verify = verify or (lambda pairs: pairs)
+    sizes = shared.groupBy("bucket").agg(F.count("*").alias("n"))
+    scores = shared.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("score"))
+    heads = shared.join(scores, "node").groupBy("bucket").agg(F.max_by("node", "score").alias("head"))
+    shared = cut(shared.join(heads, "bucket"), "shared")
+    sketches = cut(sketches_of(shared.select("node").distinct()), "sketches")
+    star = shared.where("node != head").select(F.least("node", "head").alias("x"), F.greatest("node", "head").alias("y")).distinct()
+    links = cut(verify(cut(_met(star, sketches, "sketch", admit), "star")), "links")
+    first = connected_components(links, "x", "y")
+
+    placed = cut(shared.join(first, "node", "left").select("bucket", "head", "node", F.coalesce("label", "node").alias("label")), "placed")
     split = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    far = checked.select(F.col("x").alias("node"), F.col("y").alias("head"), (1 - F.col("common") / F.col("joint")).alias("d"))
-    open_ = cut(placed.join(split, "bucket", "left_semi").join(far, ["node", "head"]).select("bucket", "node", "label", "d"), "open")
-    head_label = placed.where("node = head").select("bucket", F.col("label").alias("head_label"))
-    outside = open_.join(head_label, "bucket").where("label != head_label").select("bucket", F.col("node").alias("o"), F.col("label").alias("ol"), F.col("d").alias("od"))
-    slack = 1 - tenths / 10 + 1e-9
-    rest = outside.join(open_, "bucket").where((F.col("ol") != F.col("label")) & (F.abs(F.col("od") - F.col("d")) <= slack))
-    rest = cut(rest.select(F.least("o", "node").alias("y"), F.greatest("o", "node").alias("x")).distinct(), "rest")
+    head_label = placed.where("node = head").select("bucket", F.col("label").alias("head_label")).join(split, "bucket", "left_semi")
+    open_ = cut(placed.join(head_label, "bucket").join(sketches, "node").select("bucket", "node", "label", "head_label", "sketch"), "open")
+    outside = open_.where("label != head_label").select("bucket", F.col("node").alias("o"), F.col("label").alias("ol"), F.col("sketch").alias("os"))
+    # two nodes outside meet once, an outside one and one of the head's component once
+    apart = (F.col("ol") != F.col("label")) & ((F.col("label") == F.col("head_label")) | (F.col("o") < F.col("node")))
+    rest = outside.join(open_, "bucket").where(apart & admit("os", "sketch"))
+    rest = cut(rest.select(F.least("o", "node").alias("x"), F.greatest("o", "node").alias("y")).distinct(), "rest")
     out = first
     if rest.limit(1).count():
-        more = cut(_verified(rest, elements).where(near).select(F.col("x").alias("a"), F.col("y").alias("b")), "more")
+        more = cut(verify(rest), "more")
         if more.limit(1).count():
-            out = connected_components(links.union(more))
-    drop_paths(shared.sparkSession, shared, elements, checked, placed, open_, rest)
+            out = connected_components(links.union(more), "x", "y")
+    drop_paths(shared.sparkSession, shared, sketches, placed, open_, rest)
     return out

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.near_join import band_heads, similarity_classes
+from sievework.llm.near_join import shared_buckets, similar, similarity_classes
 from sievework.llm.session import broadcast_if_small, cut, documents
 from sievework.llm.wordscan import SPACED, Scan, mix, scan, shingles, text_slices
 
@@ -128,7 +128,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, data, offsets in text_slices(batch.column("text")):
             _, p, _ = paragraphs(data, offsets)
             h, of = _bags(p)
-            yield pa.RecordBatch.from_arrays([pa.array(_keys(h, of, p.n_docs)), _lists(h.view(np.int64), np.bincount(of, minlength=p.n_docs))], names=["node", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(_keys(h, of, p.n_docs)), _lists(h.view(np.int64), np.bincount(of, minlength=p.n_docs))], names=["node", "sketch"])
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,16 +194,15 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     copies = cut(units.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("node", "first"), "copies")
 
     entries = texts.select("text").mapInArrow(_buckets, "bucket long, node long")
-    heads = cut(band_heads(entries), "heads")
-    shared = entries.join(broadcast_if_small(heads), "bucket").distinct()
+    shared = cut(entries.join(broadcast_if_small(cut(shared_buckets(entries), "buckets")), "bucket").distinct(), "entries")
 
     def elements_of(nodes: DataFrame) -> DataFrame:
         nodes = broadcast_if_small(cut(nodes, "nodes"))
         ids = cut(units.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "ids")
-        found = texts.join(broadcast_if_small(ids), "doc_id", "left_semi").select("text").mapInArrow(_elements, "node long, elements array<long>")
+        found = texts.join(broadcast_if_small(ids), "doc_id", "left_semi").select("text").mapInArrow(_elements, "node long, sketch array<long>")
         return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    near = similarity_classes(shared, elements_of, TENTHS)
+    near = similarity_classes(shared, elements_of, lambda a, b: similar(a, b, TENTHS))
     # the first document of a class: of copies it is known, of others it is looked up
     firsts = units.join(broadcast_if_small(near), "node").groupBy("label").agg(F.min("doc_id").alias("first"))
     known = cut(near.join(firsts, "label").select("node", "first"), "known")
