@@ -4,8 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievework.llm.byte_bpe import round_trip_digests
+from sievework.llm.decontaminate import decontaminated
+from sievework.llm.language_id import identified
 from sievework.llm.near_dedup import keep_one_of_each
-from sievework.llm.session import cut, documents
+from sievework.llm.paragraph_dedup import without_repeated_passages
+from sievework.llm.session import cut, documents, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is accepted."""
+    return identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,11 +22,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one_of_each(docs)
 
 
+def paragraph_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of earlier documents."""
+    return without_repeated_passages(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without benchmark passages."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and hashes of the ids and of the decoded bytes of each document."""
+    return round_trip_digests(docs.select("doc_id", "text"))
+
+
 STAGES = [
+    ("language_id", language_id),
     ("near_dedup", near_dedup),
+    ("paragraph_dedup", paragraph_dedup),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_bpe),
 ]
 
-#: SQL has no form of these stages.
+#: SQL has no form of clustered centroids, component labels and merges by rank.
 ORACLE_SQL = None
 
 

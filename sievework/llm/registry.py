@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from sievework.llm.byte_bpe import op6_byte_bpe
+from sievework.llm.decontaminate import SQL_OP9, op9_decontaminate
+from sievework.llm.language_id import op1_language_id
 from sievework.llm.near_dedup import op4_near_dedup
+from sievework.llm.paragraph_dedup import op2_paragraph_dedup
+from sievework.llm.token_counts import op10_token_counts
+from sievework.llm.token_tables import op7_token_tables
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_paragraph_dedup": op2_paragraph_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_token_tables": op7_token_tables,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_token_counts": op10_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_decontaminate": SQL_OP9,
+}
