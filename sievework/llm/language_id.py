@@ -24,6 +24,8 @@ BUCKETS, NGRAMS = 8192, (1, 2, 3, 4)
 CENTROIDS, ROUNDS = 4, 8
 #: A text is rejected if it is farther from its centroid than REJECT times the distance of its language's farthest sample text.
 REJECT = 1.1
+#: No text is rejected at a distance below this: short texts of a language lie that far out.
+NEVER_BELOW = 0.85
 
 _U = np.uint64
 _LETTER = regex.compile(r"\p{L}")
@@ -153,7 +155,7 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
                         k = min(n, j + 500)
                         close = vectors(term_counts(data[offsets[j] : offsets[k]], offsets[j : k + 1] - offsets[j]), m.idf) @ m.rows.T
                         best[j:k], score[j:k] = close.argmax(axis=1), close.max(axis=1)
-                    far = 1 - score > REJECT * m.reach[best]
+                    far = 1 - score > np.maximum(REJECT * m.reach[best], NEVER_BELOW)
                 best[~letters], score[~letters], far[~letters] = -1, 0.0, True
                 rows = batch.slice(i, n)
                 yield pa.RecordBatch.from_arrays(

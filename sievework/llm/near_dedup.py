@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.near_join import shared_buckets, similar, similarity_classes
+from sievework.llm.near_join import shared_buckets, similarity_classes
 from sievework.llm.session import broadcast_if_small, cut, documents
 from sievework.llm.wordscan import SPACED, mix, scan, shingles, text_slices
 
@@ -177,23 +177,14 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         """(node, doc_id): the document that stands for each node."""
         return signed.select("node", "doc_id").join(broadcast_if_small(of), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
-    def sketches_of(of: DataFrame) -> DataFrame:
-        return signed.join(holders(of), ["node", "doc_id"], "left_semi").select("node", "sketch").dropDuplicates(["node"])
+    def details_of(of: DataFrame) -> DataFrame:
+        held = cut(holders(of), "holders")
+        found = texts.join(broadcast_if_small(held.select("doc_id").distinct()), "doc_id", "left_semi").select("text").mapInArrow(_elements, "node long, elements array<long>")
+        # where an id has several texts, some may be of nodes that nobody asked for
+        own = signed.join(broadcast_if_small(held), ["node", "doc_id"], "left_semi").select("node", "sketch", F.col("bands").alias("buckets")).dropDuplicates(["node"])
+        return found.where(F.size("elements") > 0).dropDuplicates(["node"]).join(own, "node")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = cut(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct(), "wanted")
-        ids = cut(holders(wanted).select("doc_id").distinct(), "ids")
-        found = texts.join(broadcast_if_small(ids), "doc_id", "left_semi").select("text").mapInArrow(_elements, "node long, elements array<long>")
-        # where an id has several texts, those that nobody asked for meet no pair
-        elements = cut(found.where(F.size("elements") > 0).dropDuplicates(["node"]), "elements")
-        left = elements.select(F.col("node").alias("x"), F.col("elements").alias("ex"))
-        right = elements.select(F.col("node").alias("y"), F.col("elements").alias("ey"))
-        return pairs.join(left, "x").join(right, "y").where(similar("ex", "ey", TENTHS)).select("x", "y")
-
-    def admit(a: str, b: str) -> Column:
-        return F.size(F.filter(F.zip_with(a, b, lambda p, q: p == q), lambda same: same)) >= AGREE
-
-    classes = similarity_classes(shared, sketches_of, admit, verify)
+    classes = similarity_classes(shared, details_of, TENTHS, AGREE)
     named = nodes.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
     named = cut(named.join(sizes, "label").select("node", "class_id", "class_size"), "classes")

@@ -16,61 +16,50 @@ def shared_buckets(entries: DataFrame) -> DataFrame:
     return entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
 
 
-def similar(a: str, b: str, tenths: int) -> Column:
-    """Whether two arrays of distinct elements have a Jaccard similarity of ``tenths`` tenths or more."""
-    common = F.size(F.array_intersect(a, b))
-    fits = (F.least(F.size(a), F.size(b)) * 10 >= F.greatest(F.size(a), F.size(b)) * tenths)
-    return fits & (common * 10 >= (F.size(a) + F.size(b) - common) * tenths)
+def _linked(a: str, b: str, tenths: int, agree: int | None) -> Column:
+    """Whether the details ``a`` and ``b`` (structs) belong to a link: cheap tests first, then their elements."""
+    x, y = F.col(f"{a}.elements"), F.col(f"{b}.elements")
+    test = F.least(F.size(x), F.size(y)) * 10 >= F.greatest(F.size(x), F.size(y)) * tenths
+    if agree is not None:
+        same = F.zip_with(F.col(f"{a}.sketch"), F.col(f"{b}.sketch"), lambda p, q: p == q)
+        test &= F.size(F.filter(same, lambda s: s)) >= agree
+    common = F.size(F.array_intersect(x, y))
+    return test & (common * 10 >= (F.size(x) + F.size(y) - common) * tenths)
 
 
-def _met(pairs: DataFrame, of: DataFrame, value: str, admit: Callable[[str, str], Column]) -> DataFrame:
-    """The pairs (x, y) whose values are admitted."""
-    left = of.select(F.col("node").alias("x"), F.col(value).alias("vx"))
-    right = of.select(F.col("node").alias("y"), F.col(value).alias("vy"))
-    return pairs.join(left, "x").join(right, "y").where(admit("vx", "vy")).select("x", "y")
-
-
-def similarity_classes(
-    shared: DataFrame,
-    sketches_of: Callable[[DataFrame], DataFrame],
-    admit: Callable[[str, str], Column],
-    verify: Callable[[DataFrame], DataFrame] | None = None,
-) -> DataFrame:
+def similarity_classes(shared: DataFrame, details_of: Callable[[DataFrame], DataFrame], tenths: int, agree: int | None = None) -> DataFrame:
     """(node, label): components of the links between nodes that share a bucket.
 
-    ``shared`` has (bucket, node) for buckets of several nodes. ``sketches_of`` gives (node, sketch) for a
-    table of nodes; ``admit`` says whether two sketches may belong to a link, and ``verify`` keeps the true links of
-    a table of pairs (x, y); without it, admitted pairs are links.
+    ``shared`` has (bucket, node) for buckets of several nodes. ``details_of`` gives, for a table of nodes, (node,
+    elements, buckets) and, with ``agree``, sketch. A link is a Jaccard similarity of elements of ``tenths`` tenths
+    or more between sketches that agree in ``agree`` places or more.
 
     The head of a bucket is its node that shares buckets with most others, as the text does that others are
     copies of. Every node is compared with the heads of its buckets, so a bucket of n nodes gives n pairs. Where
     its nodes then belong to several components, those outside the head's component are compared with the
-    nodes of other components, and only admitted pairs leave that join. No link between nodes that share a
-    bucket is lost.
+    nodes of other components, each pair in the first bucket of both; the comparison is the join's own
+    condition, so that links leave it and not pairs. No link between nodes that share a bucket is lost.
     """
-    verify = verify or (lambda pairs: pairs)
     sizes = shared.groupBy("bucket").agg(F.count("*").alias("n"))
     scores = shared.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("score"))
     heads = shared.join(scores, "node").groupBy("bucket").agg(F.max_by("node", "score").alias("head"))
     shared = cut(shared.join(heads, "bucket"), "shared")
-    sketches = cut(sketches_of(shared.select("node").distinct()), "sketches")
-    star = shared.where("node != head").select(F.least("node", "head").alias("x"), F.greatest("node", "head").alias("y")).distinct()
-    links = cut(verify(cut(_met(star, sketches, "sketch", admit), "star")), "links")
+    details = cut(details_of(shared.select("node").distinct()), "details")
+    packed = details.select("node", F.struct("elements", "buckets", *(["sketch"] if agree is not None else [])).alias("own"))
+    star = shared.where("node != head").select(F.col("node").alias("x"), F.col("head").alias("y")).distinct()
+    met = star.join(packed.select(F.col("node").alias("x"), F.col("own").alias("a")), "x").join(packed.select(F.col("node").alias("y"), F.col("own").alias("b")), "y")
+    links = cut(met.where(_linked("a", "b", tenths, agree)).select("x", "y"), "links")
     first = connected_components(links, "x", "y")
 
     placed = cut(shared.join(first, "node", "left").select("bucket", "head", "node", F.coalesce("label", "node").alias("label")), "placed")
     split = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
     head_label = placed.where("node = head").select("bucket", F.col("label").alias("head_label")).join(split, "bucket", "left_semi")
-    open_ = cut(placed.join(head_label, "bucket").join(sketches, "node").select("bucket", "node", "label", "head_label", "sketch"), "open")
-    outside = open_.where("label != head_label").select("bucket", F.col("node").alias("o"), F.col("label").alias("ol"), F.col("sketch").alias("os"))
+    open_ = placed.join(head_label, "bucket").join(packed, "node").select("bucket", "node", "label", "head_label", F.col("own").alias("b"))
+    outside = open_.where("label != head_label").select("bucket", F.col("node").alias("o"), F.col("label").alias("ol"), F.col("b").alias("a"))
     # two nodes outside meet once, an outside one and one of the head's component once
     apart = (F.col("ol") != F.col("label")) & ((F.col("label") == F.col("head_label")) | (F.col("o") < F.col("node")))
-    rest = outside.join(open_, "bucket").where(apart & admit("os", "sketch"))
-    rest = cut(rest.select(F.least("o", "node").alias("x"), F.greatest("o", "node").alias("y")).distinct(), "rest")
-    out = first
-    if rest.limit(1).count():
-        more = cut(verify(rest), "more")
-        if more.limit(1).count():
-            out = connected_components(links.union(more), "x", "y")
-    drop_paths(shared.sparkSession, shared, sketches, placed, open_, rest)
+    once = F.element_at(F.array_intersect("a.buckets", "b.buckets"), 1) == F.col("bucket")
+    more = cut(outside.join(open_, "bucket").where(apart & once & _linked("a", "b", tenths, agree)).select(F.col("o").alias("x"), F.col("node").alias("y")), "more")
+    out = connected_components(links.union(more), "x", "y") if more.limit(1).count() else first
+    drop_paths(shared.sparkSession, shared, details, placed)
     return out

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.near_join import shared_buckets, similar, similarity_classes
+from sievework.llm.near_join import shared_buckets, similarity_classes
 from sievework.llm.session import broadcast_if_small, cut, documents
 from sievework.llm.wordscan import SPACED, Scan, mix, scan, shingles, text_slices
 
@@ -93,6 +93,20 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), _lists(keys, np.bincount(doc, minlength=n))], names=["doc_id", "nodes"])
 
 
+def _band_keys(h: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """A row of band keys for each paragraph that occurs in ``of``, in ascending order."""
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    out = np.empty((len(starts), BANDS), dtype=_U)
+    for band in range(BANDS):
+        key = np.full(len(starts), band + 1, dtype=_U)
+        for row in range(ROWS):
+            salt = _U((band * ROWS + row + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            with np.errstate(over="ignore"):
+                key = mix(key * _U(0x2545F4914F6CDD1D) + np.minimum.reduceat(mix(h + salt), starts))
+        out[:, band] = key
+    return out.view(np.int64)
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, node) of each band of each paragraph that needs bands."""
     for batch in batches:
@@ -100,35 +114,23 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, p, _ = paragraphs(data, offsets)
             h, of = _bags(p)
             keys = _keys(h, of, p.n_docs)
-            size = np.bincount(of, minlength=p.n_docs)
-            wide = size >= BANDED
             # copies inside the slice give the same rows
-            _, one = np.unique(keys, return_index=True)
             pick = np.zeros(p.n_docs, dtype=bool)
-            pick[one] = True
-            pick &= wide
-            if not pick.any():
-                continue
-            h, of = h[pick[of]], of[pick[of]]
-            starts = np.flatnonzero(np.diff(of, prepend=-1))
-            out = []
-            for band in range(BANDS):
-                key = np.full(len(starts), band + 1, dtype=_U)
-                for row in range(ROWS):
-                    salt = _U((band * ROWS + row + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-                    with np.errstate(over="ignore"):
-                        key = mix(key * _U(0x2545F4914F6CDD1D) + np.minimum.reduceat(mix(h + salt), starts))
-                out.append(key.view(np.int64))
-            nodes = keys[np.flatnonzero(pick)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.tile(nodes, BANDS))], names=["bucket", "node"])
+            pick[np.unique(keys, return_index=True)[1]] = True
+            pick &= np.bincount(of, minlength=p.n_docs) >= BANDED
+            if pick.any():
+                found = _band_keys(h[pick[of]], of[pick[of]])
+                yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1)), pa.array(np.repeat(keys[pick], BANDS))], names=["bucket", "node"])
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, offsets in text_slices(batch.column("text")):
             _, p, _ = paragraphs(data, offsets)
-            h, of = _bags(p)
-            yield pa.RecordBatch.from_arrays([pa.array(_keys(h, of, p.n_docs)), _lists(h.view(np.int64), np.bincount(of, minlength=p.n_docs))], names=["node", "sketch"])
+            if p.n_docs:
+                h, of = _bags(p)
+                found = [pa.array(_keys(h, of, p.n_docs)), _lists(h.view(np.int64), np.bincount(of, minlength=p.n_docs)), _lists(_band_keys(h, of).reshape(-1), np.full(p.n_docs, BANDS))]
+                yield pa.RecordBatch.from_arrays(found, names=["node", "elements", "buckets"])
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,13 +198,13 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     entries = texts.select("text").mapInArrow(_buckets, "bucket long, node long")
     shared = cut(entries.join(broadcast_if_small(cut(shared_buckets(entries), "buckets")), "bucket").distinct(), "entries")
 
-    def elements_of(nodes: DataFrame) -> DataFrame:
+    def details_of(nodes: DataFrame) -> DataFrame:
         nodes = broadcast_if_small(cut(nodes, "nodes"))
         ids = cut(units.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "ids")
-        found = texts.join(broadcast_if_small(ids), "doc_id", "left_semi").select("text").mapInArrow(_elements, "node long, sketch array<long>")
+        found = texts.join(broadcast_if_small(ids), "doc_id", "left_semi").select("text").mapInArrow(_elements, "node long, elements array<long>, buckets array<long>")
         return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    near = similarity_classes(shared, elements_of, lambda a, b: similar(a, b, TENTHS))
+    near = similarity_classes(shared, details_of, TENTHS)
     # the first document of a class: of copies it is known, of others it is looked up
     firsts = units.join(broadcast_if_small(near), "node").groupBy("label").agg(F.min("doc_id").alias("first"))
     known = cut(near.join(firsts, "label").select("node", "first"), "known")
