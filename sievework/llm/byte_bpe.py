@@ -230,6 +230,7 @@ def round_trip_digests(docs: DataFrame, path: str | None = None, pattern: str |
     made = ["n_tokens", "ids_sha256", "decoded_sha256"]
     rest = docs.drop(*made)
     kept = rest.drop("text")
+    names = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(path, pattern)
@@ -240,8 +241,8 @@ def round_trip_digests(docs: DataFrame, path: str | None = None, pattern: str |
                 counts.append(len(ids))
                 ids_hash.append(hashlib.sha256(b" ".join(map(coder.decimal.__getitem__, ids))).hexdigest())
                 text_hash.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-            own = [batch.column(c) for c in kept.columns]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(np.array(counts, dtype=np.int64)), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=[*kept.columns, *made])
+            own = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.array(counts, dtype=np.int64)), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=[*names, *made])
 
     return rest.mapInArrow(run, _with(kept, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
