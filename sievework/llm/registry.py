@@ -6,6 +6,7 @@ from sievework.llm.byte_bpe import op6_byte_bpe
 from sievework.llm.decontaminate import SQL_OP9, op9_decontaminate
 from sievework.llm.language_id import op1_language_id
 from sievework.llm.license_scan import op5_license_scan, sql_op5
+from sievework.llm.lm_scoring import op8_lm_scoring
 from sievework.llm.near_dedup import op4_near_dedup
 from sievework.llm.paragraph_dedup import op2_paragraph_dedup
 from sievework.llm.quality_rules import SQL_OP3, op3_quality_rules
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_token_tables": op7_token_tables,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
 }
