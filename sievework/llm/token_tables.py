@@ -9,6 +9,7 @@ length that says where these begin. One lookup reads the footer, filter and inde
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from bisect import bisect_left
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm.files import opened, read_range, written
 from sievework.llm.session import cut, documents, fresh_path
+from sievework.llm.wordscan import SPACED, scan, text_slices
 
 BLOCK_BYTES = 64 * 1024
 #: Bytes of ids in a shard.
@@ -34,7 +36,16 @@ FOOTER = struct.Struct("<QQQQQQB8s")
 _ENTRY = struct.Struct("<BBI")
 _INDEX = struct.Struct("<BQI")
 
-_REMEMBERED = 250_000
+#: Words remembered by a worker before the older half is forgotten.
+_REMEMBERED = 350_000
+#: Bytes of text encoded at once.
+SLICE_BYTES = 6_000_000
+_CLOSING = frozenset(b".,;:!?")
+#: Words that the tokenizer's normaliser and pre-tokenizer leave as they are: lower-case letters of ASCII and Latin-1.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+#: The characters by which byte-level vocabularies write bytes: printable ones themselves, the others from U+0100 on.
+_BYTE_CHARS = {b: b if b in _SHOWN else 0x100 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
 
 
 def key_of(doc_id: int | None, copy: int = 0) -> bytes:
@@ -153,36 +164,81 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._new: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[bytes], end: int) -> list[np.ndarray]:
-        """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
-        tail = struct.pack("<I", end)
-        out = []
-        for i in range(0, len(split), 500):
-            part = split[i : i + 500]
-            known = self._known(set().union(*part))
-            out += [np.frombuffer(b"".join(map(known.__getitem__, words)) + tail, dtype="<u4") for words in part]
-        return out
-
-    def _known(self, words: set[bytes]) -> dict[bytes, bytes]:
+    def encode(self, texts: pa.Array, end: int) -> Iterator[list[np.ndarray]]:
+        """Lists of the texts' ids and the end id, as unsigned 32-bit integers; null is empty.
+
+        The words of a slice of texts are told apart by a 64-bit hash, so each is looked up once; the ids are then
+        laid out by index arithmetic.
+        """
+        for _, n, data, offsets in text_slices(texts, SLICE_BYTES):
+            s = scan(data, offsets, SPACED)
+            if not data.all():  # the scan takes byte 0 for byte 1; such texts go word by word
+                whole = data.tobytes()
+                split = [whole[i:j].lower().split() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+                known = self._known(set().union(*split))
+                yield [np.frombuffer(b"".join(map(known.__getitem__, words)) + struct.pack("<I", end), dtype="<u4") for words in split]
+                continue
+            _, first, which = np.unique(s.hashes(), return_index=True, return_inverse=True)
+            lower = s.data.tobytes()
+            words = [lower[i:j] for i, j in zip(s.start[first].tolist(), s.end[first].tolist(), strict=True)]
+            known = self._known(words)
+            pieces = [known[w] for w in words] + [struct.pack("<I", end)]
+            flat = np.frombuffer(b"".join(pieces), dtype="<u4")
+            size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
+            begin = np.cumsum(size) - size
+            # the words of each text and its end, as indexes of pieces
+            counts = s.counts()
+            ends = np.cumsum(counts + 1) - 1
+            order = np.full(len(which) + n, len(words), dtype=np.int64)
+            inner = np.ones(len(order), dtype=bool)
+            inner[ends] = False
+            order[inner] = which
+            length = size[order]
+            stop = np.cumsum(length)
+            ids = flat[np.repeat(begin[order] - (stop - length), length) + np.arange(stop[-1] if len(stop) else 0)]
+            yield np.split(ids, stop[ends][:-1])
+
+    def _known(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """The ids of the words, and of others, as bytes.
+
+        A word that ends with one mark after plain letters is that mark after the rest: the pre-tokenizer splits there.
+        """
         if len(self._new) > _REMEMBERED:
             self._old, self._new = self._new, {}
         new, old = self._new, self._old
-        missing = []
+        asked, marked = set(), []
         for w in words:
             if w not in new:
                 ids = old.get(w)
-                if ids is None:
-                    missing.append(w)
+                if ids is not None:
+                    new[w] = ids
+                elif w[-1] in _CLOSING and _PLAIN.fullmatch(w, 0, len(w) - 1):
+                    marked.append(w)
+                    asked.update((w[:-1], w[-1:]))
                 else:
+                    asked.add(w)
+        missing = []
+        for w in asked:
+            if w not in new:
+                ids = old.get(w)
+                if ids is not None:
                     new[w] = ids
+                elif _PLAIN.fullmatch(w):
+                    # straight to the merges: the steps before them would change nothing
+                    ids = [t.id for t in self.model.tokenize(w.decode("latin-1").translate(_BYTE_CHARS))]
+                    new[w] = struct.pack(f"<{len(ids)}I", *ids)
+                else:
+                    missing.append(w)
         for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), strict=True):
             ids = e.ids
             new[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for w in marked:
+            new[w] = new[w[:-1]] + new[w[-1:]]
         return new
 
     def whole(self, text: str, end: int) -> np.ndarray:
@@ -234,16 +290,16 @@ def write_token_tables(docs: DataFrame, folder: str, tokenizer: str | None = Non
 
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
-            texts = batch.column("text").cast(pa.binary())
-            for i in range(0, len(ids_of), 1000):
-                encoded = encoder.encode([t or b"" for t in texts.slice(i, 1000).to_pylist()], end)
-                for doc_id, ids in zip(ids_of[i : i + 1000], encoded, strict=True):
+            at = 0
+            for encoded in encoder.encode(batch.column("text"), end):
+                for doc_id, ids in zip(ids_of[at : at + len(encoded)], encoded, strict=True):
                     copy = copy + 1 if doc_id == last else 0
                     last = doc_id
                     rows.append((key_of(doc_id, copy), ids))
                     held += len(ids) * encoder.width
                     if held >= SHARD_BYTES:
                         flush()
+                at += len(encoded)
         flush()
         names, n_docs, n_ids = zip(*made, strict=True) if made else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n_docs, pa.int64()), pa.array(n_ids, pa.int64())], names=["shard", "n_docs", "n_ids"])
