@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Languages by ISO 639-2/B code, with names and codes that records use for them.
 LANGUAGES = {
@@ -26,7 +27,7 @@ NOT_SCREENABLE = ["editorial", "editorial board", "erratum", "corrigendum", "cor
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_text(s: pd.Series) -> pd.Series:
     """HTML entities resolved, control characters dropped, composed (NFC), white space collapsed; null is empty."""
 
@@ -40,7 +41,7 @@ def clean_text(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_text(s: pd.Series) -> pd.Series:
     """Compatibility-decomposed (NFKD) without combining marks, case-folded; null is empty."""
     return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x or "") if not unicodedata.combining(c)).casefold())

@@ -32,7 +32,7 @@ def records_as_nbib(records: DataFrame) -> DataFrame:
     """(study_uid, nbib): each record as a MEDLINE block."""
     tag = lambda t, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{t:<4}- "), F.regexp_replace(c, r"\s+", " ")))
     doi = F.when(F.coalesce("doi", F.lit("")) != "", F.concat(F.lit("LID - "), "doi", F.lit(" [doi]")))
-    lines = [F.concat(F.lit("PMID- "), F.coalesce("pmid", F.lit(""))), tag("TI", F.col("title")), tag("AB", F.col("abstract")), tag("DP", F.col("year").cast("string")), doi]
+    lines = [F.concat(F.lit("PMID- "), F.coalesce(F.nullif(F.col("pmid"), F.lit("")), F.lit("0"))), tag("TI", F.col("title")), tag("AB", F.col("abstract")), tag("DP", F.col("year").cast("string")), doi]
     return records.select("study_uid", F.concat_ws("\n", *lines).alias("nbib"))
 
 
