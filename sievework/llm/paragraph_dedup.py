@@ -24,6 +24,9 @@ BANDS, ROWS = 5, 2
 #: Paragraphs with fewer shingles are similar by 0.8 only if they are equal, so they need no bands.
 BANDED = TENTHS // (10 - TENTHS) + 1
 
+#: Bytes of text handled at once.
+SLICE = 1_000_000
+
 _U = np.uint64
 
 
@@ -87,7 +90,7 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The paragraph keys of each text."""
     for batch in batches:
-        for i, n, data, offsets in text_slices(batch.column("text")):
+        for i, n, data, offsets in text_slices(batch.column("text"), SLICE):
             _, p, doc = paragraphs(data, offsets)
             keys = _keys(*_bags(p), p.n_docs)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), _lists(keys, np.bincount(doc, minlength=n))], names=["doc_id", "nodes"])
@@ -110,7 +113,7 @@ def _band_keys(h: np.ndarray, of: np.ndarray) -> np.ndarray:
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, node) of each band of each paragraph that needs bands."""
     for batch in batches:
-        for _, _, data, offsets in text_slices(batch.column("text")):
+        for _, _, data, offsets in text_slices(batch.column("text"), SLICE):
             _, p, _ = paragraphs(data, offsets)
             h, of = _bags(p)
             keys = _keys(h, of, p.n_docs)
@@ -125,7 +128,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, data, offsets in text_slices(batch.column("text")):
+        for _, _, data, offsets in text_slices(batch.column("text"), SLICE):
             _, p, _ = paragraphs(data, offsets)
             if p.n_docs:
                 h, of = _bags(p)
@@ -138,7 +141,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
         gone = batch.column("repeated")
-        for i, n, data, offsets in text_slices(texts):
+        for i, n, data, offsets in text_slices(texts, SLICE):
             s, p, doc = paragraphs(data, offsets)
             keys = _keys(*_bags(p), p.n_docs)
             lists = gone.slice(i, n)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_500_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -152,7 +152,7 @@ def shingles(words: np.ndarray, s: Scan, k: int) -> tuple[np.ndarray, np.ndarray
     with np.errstate(over="ignore"):
         for j in range(k):
             part = np.zeros(n, dtype=_U)
-            part[: n - j or None] = words[j:]
+            part[: max(n - j, 0)] = words[j:]
             live = at + j < size
             h = np.where(live, mix(h * _U(0x2545F4914F6CDD1D) + part + _U(j + 1)), h)
     return h[whole], s.doc[whole]
