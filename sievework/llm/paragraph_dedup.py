@@ -18,7 +18,7 @@ WORDS, TENTHS = 5, 8
 #: A sentence of so many words ends a paragraph; shorter ones are joined to what follows.
 SENTENCE_WORDS = 8
 #: Repeated paragraphs that follow one another go if they have so many words together; less is a common phrase.
-RUN_WORDS = 25
+RUN_WORDS = 20
 #: BANDS bands of ROWS: at similarity 0.8 a pair escapes all with probability 0.006, at 0.9 with 0.0003.
 BANDS, ROWS = 5, 2
 #: Paragraphs with fewer shingles are similar by 0.8 only if they are equal, so they need no bands.
@@ -220,7 +220,7 @@ def remove_repeated_paragraphs(docs: DataFrame) -> DataFrame:
 
     Earlier is: of lesser doc_id. Paragraphs are lines cut after sentences of eight words or more; two are equal if
     the multiset Jaccard similarity of their five-word shingles is 0.8 or more, in one component of such links. A run
-    of repeated paragraphs is removed if it has 25 words or more; n_removed counts words.
+    of repeated paragraphs is removed if it has 20 words or more; n_removed counts words.
 
     Nulls: a null text has no paragraph and stays null; a document with a null doc_id stays as it is. Repeated rows of
     one doc_id are the same document, so they do not repeat each other; all keep their first passages. Texts

@@ -16,6 +16,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once.
 SLICE_BYTES = 1_500_000
+#: Bytes of words hashed at once.
+HASH_BYTES = 500_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -50,7 +52,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     held = _POWERS.get(base)
     if held is None or len(held) < n:
-        held = _POWERS[base] = powers(base, max(n, SLICE_BYTES))
+        held = _POWERS[base] = powers(base, max(n, HASH_BYTES))
     return held[:n]
 
 
@@ -66,12 +68,20 @@ class Scan:
     n_docs: int
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, dtype=_U)
-            np.cumsum((self.data.astype(_U) + _U(1)) * _powers(_BASE, n), out=sums[1:])
-            return mix((sums[self.end] - sums[self.start]) * _powers(_BASE_INV, n)[self.start])
+        """A 64-bit hash of each word's bytes, from runs of words of bounded length."""
+        out = np.empty(len(self.start), dtype=_U)
+        i = 0
+        while i < len(out):
+            base = int(self.start[i])
+            j = max(i + 1, int(np.searchsorted(self.end, base + HASH_BYTES, side="right")))
+            begin, end = self.start[i:j] - base, self.end[i:j] - base
+            n = int(end[-1])
+            with np.errstate(over="ignore"):
+                sums = np.zeros(n + 1, dtype=_U)
+                np.cumsum((self.data[base : base + n].astype(_U) + _U(1)) * _powers(_BASE, n), out=sums[1:])
+                out[i:j] = mix((sums[end] - sums[begin]) * _powers(_BASE_INV, n)[begin])
+            i = j
+        return out
 
     def counts(self) -> np.ndarray:
         """Words of each text."""
