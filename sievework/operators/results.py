@@ -92,7 +92,7 @@ def systematic_sample(table: DataFrame, order: str, at_most: int = 2000) -> Data
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
     d = dealt.join(F.broadcast(before), "_part")  # a row for each partition
     at = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    return d.where(at % stride == 0).drop("_part", "_before")
+    return d.withColumn("_at", at).where(F.col("_at") % stride == 0).drop("_part", "_before", "_at")
 
 
 def failures_in_a_row(results: DataFrame, threshold: int = 20) -> DataFrame:
@@ -123,3 +123,49 @@ def latency_summary(results: DataFrame) -> DataFrame:
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
     p95 = F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(0.95)))
     return d.groupBy("run_id").agg(((at(low) + at(high)) / 2).alias("median_s"), at(p95).alias("p95_s"), F.max("total").alias("n"))
+
+
+def open_items(planned: DataFrame, results: DataFrame, retry_errors: bool = True) -> DataFrame:
+    """The planned records that a resumed run still has to do: those without a result, or with ``retry_errors`` without a good one."""
+    done = last_results(results)
+    done = done.where("status = 'ok'") if retry_errors else done
+    return planned.join(done.select("study_uid"), "study_uid", "left_anti")
+
+
+def failed_results(results: DataFrame, at_most: int = 200) -> DataFrame:
+    """The first records, by line, whose last result is not good. This is a report of a fixed length."""
+    return last_results(results).where("status <> 'ok'").orderBy("line_no").limit(at_most).select("study_uid", "status", "line_no")
+
+
+def disputed_items(records: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Records on which runs that decided differ, with all opinions in order of the runs."""
+    d = decisions.groupBy("study_uid").agg(F.min("decision").alias("low"), F.max("decision").alias("high"), F.array_sort(F.collect_list(F.struct("run_id", "decision"))).alias("opinions"))
+    d = d.where("low <> high").select("study_uid", F.array_join(F.transform("opinions", lambda o: F.concat(o["run_id"], F.lit(": "), o["decision"])), "; ").alias("opinions"))
+    return records.select("study_uid", "title").join(d, "study_uid")
+
+
+def batches(planned: DataFrame, order: str, size: int = 1000) -> DataFrame:
+    """``planned`` with ``batch``: consecutive rows in an order, ``size`` at a time."""
+    dealt = planned.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    at = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return dealt.join(F.broadcast(before), "_part").withColumn("batch", F.floor(at / size)).drop("_part", "_before")
+
+
+def title_matches(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of two tables (title, value) whose titles are equal but for case and outer spaces."""
+    key = lambda d, v: d.select(F.lower(F.trim("title")).alias("key"), F.col("value").alias(v))
+    return key(left, "left_value").join(key(right, "right_value"), "key")
+
+
+def new_snapshots(events: DataFrame) -> DataFrame:
+    """Snapshot events that say something new: not the same as the last of their kind, unless an import or deduplication came between."""
+    kind = Window.partitionBy("event_type").orderBy("position")
+    # the last import or deduplication before each event, by kind, from a running maximum over the whole log
+    log = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    mark = F.max(F.when(F.col("event_type").isin("SOURCE_IMPORTED", "DEDUP_WITHIN_SOURCE", "DEDUP_GLOBAL"), F.col("position"))).over(log)
+    d = events.withColumn("_mark", mark).where(F.col("event_type").isin("PREFILTER", "VALIDITY"))
+    same = (F.lag("n").over(kind) == F.col("n")) & (F.lag("m").over(kind) == F.col("m"))
+    quiet = ~(F.col("_mark") > F.lag("position").over(kind))
+    return d.withColumn("_skip", F.coalesce(same, F.lit(False)) & F.coalesce(quiet, F.lit(True))).where("NOT _skip").select("position", "event_type", "n", "m")

@@ -173,3 +173,21 @@ def cost_stop(results: DataFrame, limit: float, concurrency: int = 1) -> DataFra
     cost = F.sum(F.coalesce("cost", F.lit(0.0))).over(w)
     d = results.select("run_id", "line_no", cost.alias("c"), F.row_number().over(w).alias("k"))
     return d.where(F.col("c") + F.col("c") / F.col("k") * concurrency >= limit).groupBy("run_id").agg(F.min("line_no").alias("stop_line"))
+
+
+def mark_by_probability(records: DataFrame, floor: float = 0.9) -> DataFrame:
+    """``records`` (with p_true and p_false: probabilities that a record is out of scope, or not) marked where the first is greater and at least ``floor``."""
+    free = (F.coalesce("exclusion_reason", F.lit("")) == "") & ((F.trim("title") != "") | (F.trim("abstract") != ""))
+    out = free & (F.col("p_true") > F.col("p_false")) & (F.col("p_true") >= floor)
+    return records.withColumn("exclusion_reason", F.when(out, "AI_PREFILTER_JEV").otherwise(F.coalesce("exclusion_reason", F.lit(""))))
+
+
+def unmatched(links: DataFrame) -> DataFrame:
+    """Full texts that belong to no record."""
+    return links.where("study_uid IS NULL").select("fulltext_id")
+
+
+def last_attachments(records: DataFrame) -> DataFrame:
+    """For each record with attachments that can be used, the last one."""
+    a = records.where("fulltext_of <> '' AND abstract <> ''")
+    return a.groupBy(F.col("fulltext_of").alias("study_uid")).agg(F.max_by("import_order", "import_order").alias("attachment"))

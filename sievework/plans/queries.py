@@ -392,3 +392,93 @@ def _(spark, d):
 @query("ris_export", f"WITH {R} SELECT study_uid, concat_ws(chr(10), 'TY  - JOUR', 'TI  - ' || title, CASE WHEN abstract <> '' THEN 'AB  - ' || regexp_replace(abstract, '\\s+', ' ', 'g') END, 'PY  - ' || CAST(year AS VARCHAR), CASE WHEN doi <> '' THEN 'DO  - ' || doi END, 'LA  - ' || language, CASE WHEN exclusion_reason <> '' THEN 'N1  - Excluded before screening: ' || exclusion_reason END, 'ER  - ') AS ris FROM records")
 def _(spark, d):
     return records_as_ris(A.records(spark, d))
+
+
+@query("open_items", f"WITH {R}, {S}, {_LAST} SELECT study_uid FROM records WHERE study_uid NOT IN (SELECT study_uid FROM last WHERE r.status = 'ok')")
+def _(spark, d):
+    return RS.open_items(A.records(spark, d).select("study_uid"), A.results(spark, d))
+
+
+@query("failed_results", f"WITH {S}, {_LAST} SELECT study_uid, r.status AS status, r.line_no AS line_no FROM last WHERE r.status <> 'ok' ORDER BY r.line_no LIMIT 200")
+def _(spark, d):
+    return RS.failed_results(A.results(spark, d))
+
+
+@query("disputed_items", f"WITH {R}, {D} SELECT study_uid, title, opinions FROM records JOIN (SELECT study_uid, string_agg(run_id || ': ' || decision, '; ' ORDER BY run_id) AS opinions FROM decisions GROUP BY study_uid HAVING count(DISTINCT decision) > 1) USING (study_uid)")
+def _(spark, d):
+    return RS.disputed_items(A.records(spark, d), A.decisions(spark, d))
+
+
+@query("batches", f"WITH {R} SELECT study_uid, CAST(floor((row_number() OVER (ORDER BY import_order) - 1) / 64) AS BIGINT) AS batch FROM records")
+def _(spark, d):
+    return RS.batches(A.records(spark, d).select("study_uid", "import_order"), "import_order", 64).select("study_uid", "batch")
+
+
+@query("systematic_sample", f"WITH {R}, n AS (SELECT *, row_number() OVER (ORDER BY import_order) - 1 AS pos, ceil(count(*) OVER () / 300.0) AS stride FROM records) SELECT study_uid FROM n WHERE pos % stride = 0")
+def _(spark, d):
+    return RS.systematic_sample(A.records(spark, d).select("study_uid", "import_order"), "import_order", 300).select("study_uid")
+
+
+@query("title_matches", f"WITH {R}, m AS (SELECT a.import_order AS left_value, b.import_order AS right_value FROM records a JOIN records b ON lower(trim(a.title)) = lower(trim(b.title)) WHERE a.import_order % 2 = 0 AND b.import_order % 2 = 1) SELECT * FROM m")
+def _(spark, d):
+    r = A.records(spark, d).select("title", F.col("import_order").alias("value"))
+    return RS.title_matches(r.where("value % 2 = 0"), r.where("value % 2 = 1")).drop("key")
+
+
+@query("new_snapshots", f"""WITH {E}, x AS (SELECT *, max(CASE WHEN event_type IN ('SOURCE_IMPORTED', 'DEDUP_WITHIN_SOURCE', 'DEDUP_GLOBAL') THEN position END) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM ev),
+  y AS (SELECT *, lag(n) OVER k AS ln, lag(m) OVER k AS lm, lag(position) OVER k AS lp FROM x WHERE event_type IN ('PREFILTER', 'VALIDITY') WINDOW k AS (PARTITION BY event_type ORDER BY position))
+  SELECT position, event_type, n, m FROM y WHERE NOT (coalesce(ln = n AND lm = m, false) AND coalesce(NOT mark > lp, true))""")
+def _(spark, d):
+    return RS.new_snapshots(A.prisma_events(spark, d))
+
+
+@query("ai_prefilter", f"WITH {R}, p AS (SELECT *, CAST(import_order * 37 % 100 AS DOUBLE) / 100 AS p FROM records) SELECT study_uid, CASE WHEN exclusion_reason = '' AND (trim(title) <> '' OR trim(abstract) <> '') AND p >= 0.9 THEN 'AI_PREFILTER_JEV' ELSE exclusion_reason END AS exclusion_reason FROM p")
+def _(spark, d):
+    p = (F.col("import_order") * 37 % 100).cast("double") / 100
+    r = A.records(spark, d).withColumns({"p_true": p, "p_false": 1 - p})
+    return SC.mark_by_probability(r).select("study_uid", "exclusion_reason")
+
+
+@query("unmatched_fulltexts", f"WITH {R}, k AS (SELECT *, CASE WHEN len(string_split({TITLE}, ' ')) >= 4 THEN {TITLE} ELSE '' END AS kt FROM records) SELECT import_order AS fulltext_id FROM k WHERE import_order % 5 = 0 AND (kt = '' OR kt NOT IN (SELECT kt FROM k WHERE import_order % 5 <> 0 AND fulltext_of = ''))")
+def _(spark, d):
+    r = A.records(spark, d)
+    full = r.where("import_order % 5 = 0").select(F.col("import_order").alias("fulltext_id"), "title", F.lit("").alias("doi"))
+    return SC.unmatched(SC.link_fulltexts(full, r.where("import_order % 5 <> 0")))
+
+
+@query("last_attachments", f"WITH {R} SELECT fulltext_of AS study_uid, max(import_order) AS attachment FROM records WHERE fulltext_of <> '' AND abstract <> '' GROUP BY fulltext_of")
+def _(spark, d):
+    return SC.last_attachments(A.records(spark, d))
+
+
+@query("decisions_by_run", f"WITH {D} SELECT run_id, decision, count(*) AS n FROM decisions GROUP BY ALL")
+def _(spark, d):
+    return A.decisions(spark, d).groupBy("run_id", "decision").agg(F.count("*").alias("n"))
+
+
+@query("first_author", f"WITH {R} SELECT study_uid, {A.SQL_TITLE.format('f')} AS family FROM (SELECT study_uid, CASE WHEN import_order % 2 = 0 THEN replace(split_part(title, ' ', 1), ',', '') ELSE 'Ann ' || replace(split_part(title, ' ', 1), ',', '') END AS f0, split_part(f0, ' ', -1) AS f FROM records)")
+def _(spark, d):
+    first = F.regexp_replace(F.element_at(F.split("title", " "), 1), ",", "")
+    authors = F.when(F.col("import_order") % 2 == 0, F.concat(first, F.lit(", Bo; Cy, D"))).otherwise(F.concat(F.lit("Ann "), first, F.lit("; Cy, D")))
+    return A.records(spark, d).select("study_uid", T.first_author(authors).alias("family"))
+
+
+@query("answers", f"""WITH {R} SELECT study_uid, CASE WHEN import_order % 6 IN (3, 4) THEN 'parse_error' ELSE 'ok' END AS status, CASE import_order % 6 WHEN 3 THEN '' WHEN 4 THEN '' WHEN 2 THEN 'UNCERTAIN' ELSE 'INCLUDE' END AS decision,
+  CASE import_order % 6 WHEN 0 THEN 'INCLUDE' WHEN 1 THEN 'EXCLUDE' WHEN 2 THEN 'UNCERTAIN' WHEN 5 THEN 'INCLUDE' ELSE '' END AS derived_decision, CASE import_order % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 5 THEN true END AS consistent FROM records""")
+def _(spark, d):
+    k = F.col("import_order") % 6
+    verdict = F.when(k == 2, "unclear").when(k == 3, "perhaps").otherwise("met")
+    out = F.when(k == 1, "triggered").otherwise("not_triggered")
+    body = F.format_string(
+        '{"inclusion":[{"criterion":"i","verdict":"%s","note":"","quote":""}],"exclusion":[{"criterion":"e","verdict":"%s","note":"","quote":""}],"reasoning":"r"%s,"decision":"%s"}',
+        verdict, out, F.when(k == 4, ',"extra":1').otherwise(""), F.when(k == 2, "UNCERTAIN").otherwise("INCLUDE"),
+    )
+    raw = A.records(spark, d).select("study_uid", F.when(k == 5, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body).alias("answer"))
+    return SC.parse_answers(raw).select("study_uid", "status", "decision", "derived_decision", "consistent")
+
+
+@query("sections")
+def _(spark, d):
+    docs = A.read(spark, d, "documents")
+    text = F.concat(F.lit("Intro\n1. Methods\n"), "text", F.lit("\nResults:\n"), "lang", F.lit("\nReferences\nx"))
+    return SC.section_texts(docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("study_uid"), text.alias("text")))
