@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sievework.storage import broadcast_if_small, cut, drop_paths, fresh_path, shared_dir
 
-__all__ = ["broadcast_if_small", "cut", "documents", "drop_paths", "fresh_path", "shared_dir", "table"]
+__all__ = ["broadcast_if_small", "cut", "documents", "drop_paths", "fresh_path", "shared_dir", "small_batches", "table"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,3 +18,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Smaller Arrow batches for what runs inside: long texts by the ten thousand take much memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.files import opened, read_range, written
-from sievework.llm.session import cut, documents, fresh_path
+from sievework.llm.session import cut, documents, fresh_path, small_batches
 from sievework.llm.wordscan import SPACED, scan, text_slices
 
 BLOCK_BYTES = 64 * 1024
@@ -37,9 +37,9 @@ _ENTRY = struct.Struct("<BBI")
 _INDEX = struct.Struct("<BQI")
 
 #: Words remembered by a worker before the older half is forgotten.
-_REMEMBERED = 350_000
+_REMEMBERED = 220_000
 #: Bytes of text encoded at once.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 3_000_000
 _CLOSING = frozenset(b".,;:!?")
 #: Words that the tokenizer's normaliser and pre-tokenizer leave as they are: lower-case letters of ASCII and Latin-1.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
@@ -304,7 +304,8 @@ def write_token_tables(docs: DataFrame, folder: str, tokenizer: str | None = Non
         names, n_docs, n_ids = zip(*made, strict=True) if made else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n_docs, pa.int64()), pa.array(n_ids, pa.int64())], names=["shard", "n_docs", "n_ids"])
 
-    return cut(dealt.mapInArrow(run, "shard string, n_docs long, n_ids long"), "shards")
+    with small_batches(docs.sparkSession):
+        return cut(dealt.mapInArrow(run, "shard string, n_docs long, n_ids long"), "shards")
 
 
 def read_token_tables(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
