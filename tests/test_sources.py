@@ -83,3 +83,21 @@ def test_stream_folds_like_batch(spark, tmp_path):
     q = windowed_counts(spark.readStream.schema(events.schema).parquet(str(src))).writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("hours").agg(F.sum("n")).first()[0] == 300
+
+
+def test_tables_of_runs(spark, tmp_path):
+    from sievework.operators.agreement import pairwise
+    from sievework.sources.tables import full_outer_runs, read_legacy_runs, read_result_table
+
+    for k, rows in (("01", "a;1\nb;0\nc;1\n"), ("02", "a;1\nb;1\nd;x\n")):
+        (tmp_path / f"p_run-{k}.csv").write_text("study_uid;label\n" + rows)
+    d = read_legacy_runs(spark, str(tmp_path))
+    assert sorted(map(tuple, full_outer_runs(d, ["run-01", "run-02"]).collect())) == [("a", "INCLUDE", "INCLUDE"), ("b", "EXCLUDE", "INCLUDE"), ("c", "INCLUDE", None)]
+    assert tuple(pairwise(d).first())[:4] == ("run-01", "run-02", 2, 0.5)
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/x.csv").write_text("study_uid,title,outcome,cost,consistent\nu,'=1,include,\"0,5\",ja\n")
+    r = read_result_table(spark, str(tmp_path / "t/x.csv")).first()
+    assert (r["title"], r["outcome"], r["cost"], r["consistent"]) == ("=1", "INCLUDE", 0.5, True)
+    (tmp_path / "t/x.csv").write_text("outcome\nwhat\n")
+    with pytest.raises(Exception, match="E203"):
+        read_result_table(spark, str(tmp_path / "t/x.csv")).collect()
