@@ -16,6 +16,8 @@ from sievework.llm.wordscan import mix, text_slices
 
 #: Texts of each language that the classifier is fitted on, about: a bounded sample, chosen by a hash of doc_id and text.
 SAMPLE_PER_LANGUAGE = 1500
+#: Texts of all languages together, about: with many languages each has fewer.
+SAMPLE_TOTAL = 8000
 #: Bytes of each sampled text that are used.
 SAMPLE_BYTES = 20_000
 #: Buckets of hashed n-grams, and the n-grams' lengths in bytes.
@@ -111,11 +113,12 @@ def fit(samples: dict[str, list[bytes]]) -> Centroids:
 
 
 def sample_texts(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, list[bytes]]:
-    """About ``per_language`` texts of each language, those of least hash; of (doc_id, text, lang) without nulls in text and lang."""
+    """About ``per_language`` texts of each language (SAMPLE_TOTAL of all), those of least hash; of (doc_id, text, lang) without nulls in text and lang."""
     hashed = labelled.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.abs(F.xxhash64("doc_id", "text") % 1_000_000_007))
     sizes = {r["lang"]: r["count"] for r in hashed.groupBy("lang").count().collect()}
     if not sizes:
         return {}
+    per_language = min(per_language, max(1, SAMPLE_TOTAL // len(sizes)))
     limit = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(1_000_000_007 * min(1.0, per_language / n)) + 1))])
     picked = hashed.where(F.col("h") < limit[F.col("lang")]).select("lang", "h", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
     out: dict[str, list[bytes]] = {}
