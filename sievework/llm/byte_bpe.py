@@ -17,7 +17,7 @@ from sievework.llm.session import documents
 #: Single bits. A word of the lower bitmap has 256 bits; the summary has as many as there are words.
 _BIT = [1 << i for i in range(4096)]
 #: Pieces of text remembered by a worker before the older half is forgotten.
-_REMEMBERED = 400_000
+_REMEMBERED = 280_000
 
 
 class ByteBPE:

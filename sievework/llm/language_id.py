@@ -15,13 +15,13 @@ from sievework.llm.session import documents
 from sievework.llm.wordscan import mix, text_slices
 
 #: Texts of each language that the classifier is fitted on, about: a bounded sample, chosen by a hash of doc_id and text.
-SAMPLE_PER_LANGUAGE = 1500
+SAMPLE_PER_LANGUAGE = 800
 #: Texts of all languages together, about: with many languages each has fewer.
-SAMPLE_TOTAL = 8000
+SAMPLE_TOTAL = 4000
 #: Bytes of each sampled text that are used.
 SAMPLE_BYTES = 20_000
 #: Buckets of hashed n-grams, and the n-grams' lengths in bytes.
-BUCKETS, NGRAMS = 8192, (1, 2, 3, 4)
+BUCKETS, NGRAMS = 4096, (1, 2, 3, 4)
 #: Centroids of each language, and rounds of spherical k-means.
 CENTROIDS, ROUNDS = 4, 8
 #: A text is rejected if it is farther from its centroid than REJECT times the distance of its language's farthest sample text.
@@ -148,7 +148,7 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
         names = np.array([*m.langs, "und"], dtype=object)
         for batch in batches:
             texts = batch.column("text")
-            for i, n, data, offsets in text_slices(texts, 1_000_000):
+            for i, n, data, offsets in text_slices(texts, 600_000):
                 part = texts.slice(i, n)
                 letters = np.array([t is not None and _LETTER.search(t) is not None for t in part.to_pylist()])
                 best, score = np.full(n, -1), np.zeros(n)
