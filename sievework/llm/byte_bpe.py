@@ -29,6 +29,7 @@ class ByteBPE:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.decimal = [b"%d" % i for i in range(len(self.bytes_of))]
+        self.marks = {c: (ranks[c.encode()],) for c in ".,;:!?"}
         self._new, self._old = {}, {}
 
     def encode_pretoken(self, piece: bytes) -> list[int]:
@@ -125,13 +126,26 @@ class ByteBPE:
     def _by_pattern(self, text: str) -> tuple[int, ...]:
         out: list[int] = []
         for piece in self.split.findall(text):
-            ids = self._new.get(piece)
-            if ids is None:
-                ids = self._old.get(piece)
-                ids = self._remember(piece, tuple(self.encode_pretoken(piece.encode())) if ids is None else ids)
-            out += ids
+            if piece[0] == " " and piece[1:].isalpha():
+                out += self._spaced(piece[1:])
+            else:
+                out += self.encode_pretoken(piece.encode())
         return tuple(out)
 
+    def _spaced(self, part: str) -> tuple[int, ...] | None:
+        """The ids of a space and ``part``; None if white space stands at either end of it."""
+        ids = self._new.get(part) or self._old.get(part)
+        if ids is None:
+            if part.isalpha():
+                ids = tuple(self.encode_pretoken(b" " + part.encode()))
+            elif part[-1:] in self.marks and part[:-1].isalpha():
+                return self._spaced(part[:-1]) + self.marks[part[-1]]  # the pattern parts the mark from the letters
+            elif not part or part[0].isspace() or part[-1].isspace():
+                return None
+            else:
+                ids = self._by_pattern(" " + part)
+        return self._remember(part, ids)
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text.
 
@@ -140,21 +154,17 @@ class ByteBPE:
         white space stands beside such a space goes through the pattern as a whole.
         """
         head, *rest = text.split(" ")
-        out: list[int] = list(self._by_pattern(head))
-        new, old = self._new, self._old
         if rest and (not head or head[-1].isspace()):
             return list(self._by_pattern(text))
+        out: list[int] = list(self._by_pattern(head))
+        new, spaced = self._new, self._spaced
         for part in rest:
-            key = " " + part
-            ids = new.get(key)
+            ids = new.get(part)
             if ids is None:
-                ids = old.get(key)
+                ids = spaced(part)
                 if ids is None:
-                    if not part or part[0].isspace() or part[-1].isspace():
-                        return list(self._by_pattern(text))
-                    ids = self._by_pattern(key)
-                self._remember(key, ids)
-                new, old = self._new, self._old
+                    return list(self._by_pattern(text))
+                new = self._new
             out += ids
         return out
 
