@@ -12,17 +12,40 @@ from pyspark.sql.types import StringType
 
 #: Languages by ISO 639-2/B code, with names and codes that records use for them.
 LANGUAGES = {
-    "eng": ["english", "en", "eng"], "ger": ["german", "deutsch", "de", "ger", "deu"], "fre": ["french", "francais", "français", "fr", "fre", "fra"],
-    "spa": ["spanish", "espanol", "español", "es", "spa"], "ita": ["italian", "it", "ita"], "por": ["portuguese", "pt", "por"],
-    "dut": ["dutch", "nl", "dut", "nld"], "chi": ["chinese", "zh", "chi", "zho"], "jpn": ["japanese", "ja", "jpn"], "kor": ["korean", "ko", "kor"],
-    "rus": ["russian", "ru", "rus"], "pol": ["polish", "pl", "pol"], "tur": ["turkish", "tr", "tur"], "swe": ["swedish", "sv", "swe"],
-}
+    "eng": ["en", "eng", "english"],
+    "ger": ["de", "ger", "deu", "german", "deutsch"],
+    "fre": ["fr", "fre", "fra", "french", "français", "francais"],
+    "spa": ["es", "spa", "spanish", "español", "espanol"],
+    "ita": ["it", "ita", "italian", "italiano"],
+    "dut": ["nl", "dut", "nld", "dutch", "nederlands"],
+    "por": ["pt", "por", "portuguese", "português", "portugues"],
+    "rus": ["ru", "rus", "russian"],
+    "chi": ["zh", "chi", "zho", "chinese"],
+    "jpn": ["ja", "jpn", "japanese"],
+    "kor": ["ko", "kor", "korean"],
+    "swe": ["sv", "swe", "swedish"],
+    "dan": ["da", "dan", "danish"],
+    "nor": ["no", "nor", "norwegian"],
+    "fin": ["fi", "fin", "finnish"],
+    "pol": ["pl", "pol", "polish"],
+    "cze": ["cs", "cze", "ces", "czech"],
+    "tur": ["tr", "tur", "turkish"],
+    "ara": ["ar", "ara", "arabic"],
+    "heb": ["he", "heb", "hebrew"],
+    "gre": ["el", "gre", "ell", "greek"],
+    "hun": ["hu", "hun", "hungarian"],
+    "rum": ["ro", "rum", "ron", "romanian"],
+    "lat": ["la", "lat", "latin"],
+}
 
 #: Words for an unknown language.
-UNKNOWN_LANGUAGES = ["und", "unknown", "mul", "zxx", "n/a", "none"]
+UNKNOWN_LANGUAGES = ["und", "undetermined", "mul", "multiple", "zxx", "unk", "unknown", "nan", "null", "none", "n/a"]
 
-#: Titles of contributions that are not studies, normalised.
-NOT_SCREENABLE = ["editorial", "editorial board", "erratum", "corrigendum", "correction", "table of contents", "contents", "index", "preface", "foreword", "front matter", "back matter", "author index"]
+#: Normalised titles of front and back matter.
+NOT_SCREENABLE = [
+    "front matter", "frontmatter", "back matter", "backmatter", "index", "author index", "subject index",
+    "table of contents", "contents", "cover", "cover page", "title page", "copyright page",
+]
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -120,7 +143,7 @@ def abstract_quality(value: Column, short_words: int = 40) -> Column:
     text = F.coalesce(value, F.lit(""))
     runs = F.transform(F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), 1), F.length)
     letters = F.aggregate(runs, F.lit(0), lambda a, b: a + b)
-    wide = F.length(F.regexp_replace(text, r"[^฀-๿぀-ヿ㐀-䶿一-鿿]", ""))
+    wide = F.length(F.regexp_replace(text, r"[^฀-๿぀-ヿ㐀-䶿一-鿿가-힯]", ""))
     words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
     return (
         F.when(F.trim(text) == "", "")

@@ -73,7 +73,7 @@ def test_reasons_and_idempotence(spark):
     p = MK.Prefilters(languages=["eng"], year_from=2000, year_missing_passes=False, exclude_words=["rat"])
     r = records(spark, [
         {"language": "de", "year": 1990, "abstract": "x"}, {"language": "en", "year": 2010, "abstract": "a demonstration"}, {"language": "en; de", "year": 2010, "abstract": "x"},
-        {"language": "xx yy", "year": None, "abstract": "x"}, {"title": "Editorial", "year": 2001, "is_retracted": True}, {"exclusion_reason": "AI_PREFILTER_JEV", "language": "de"}, {"year": 2001},
+        {"language": "xx yy", "year": None, "abstract": "x"}, {"title": "Index", "year": 2001, "is_retracted": True}, {"exclusion_reason": "AI_PREFILTER_JEV", "language": "de"}, {"year": 2001},
     ])
     once = MK.mark_validity(MK.mark_prefilters(r, p))
     got = [x["exclusion_reason"] for x in once.orderBy("import_order").collect()]
