@@ -24,6 +24,11 @@ BANDS, ROWS = 5, 2
 #: Paragraphs with fewer shingles are similar by 0.8 only if they are equal, so they need no bands.
 BANDED = TENTHS // (10 - TENTHS) + 1
 
+#: Words of a window that an earlier document must not have, however its sentences lie.
+WINDOW = 50
+#: Words of an anchor: of the anchors of a window the least hash is looked for in other documents.
+ANCHOR = 16
+
 #: Bytes of text handled at once.
 SLICE = 1_000_000
 
@@ -136,53 +141,121 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(found, names=["node", "elements", "buckets"])
 
 
+def _both(h: np.ndarray, step: int) -> np.ndarray:
+    """Hashes of runs of words from those of the run at each place and of the run ``step`` later."""
+    with np.errstate(over="ignore"):
+        return mix(h[: len(h) - step] * _U(0x2545F4914F6CDD1D) + h[step:] + _U(step))
+
+
+def windows(s: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window of WINDOW words of a text: its hash, the least hash of its anchors, and its first word.
+
+    Two equal windows have the same least anchor, so windows are to be compared only where that one is shared.
+    """
+    n = len(s.start) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    h, size = s.hashes(), 1
+    while 2 * size <= ANCHOR:
+        h, size = _both(h, size), 2 * size
+    h = h if size == ANCHOR else _both(h, ANCHOR - size)
+    least, many, run, size = h, 1, h, ANCHOR
+    while 2 * many <= WINDOW - ANCHOR + 1:
+        least, many = np.minimum(least[:-many], least[many:]), 2 * many
+    if many < (of := WINDOW - ANCHOR + 1):
+        least = np.minimum(least[: many - of], least[of - many :])
+    while 2 * size <= WINDOW:
+        run, size = _both(run, size), 2 * size
+    run = run if size == WINDOW else _both(run, WINDOW - size)
+    at = np.flatnonzero(s.doc[:n] == s.doc[WINDOW - 1 :])
+    return run[at].view(np.int64), least[at].view(np.int64), at
+
+
+def _by_doc(doc: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """A list for each of ``n`` texts of its values, without repeats that follow one another; ``doc`` ascends."""
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (values[1:] != values[:-1])
+    return _lists(values[new], np.bincount(doc[new], minlength=n))
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least anchors of the windows of each text."""
+    for batch in batches:
+        for i, n, data, offsets in text_slices(batch.column("text"), SLICE):
+            s = scan(data, offsets, SPACED)
+            _, least, at = windows(s)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), _by_doc(s.doc[at], least, n)], names=["doc_id", "anchors"])
+
+
+def _among(doc: np.ndarray, values: np.ndarray, lists: pa.ListArray) -> np.ndarray:
+    """Whether each value is in the list of its text."""
+    size = np.diff(lists.offsets.to_numpy())
+    flat = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)).astype(np.int64)
+    if not len(flat) or not len(values):
+        return np.zeros(len(values), dtype=bool)
+    with np.errstate(over="ignore"):
+        pair = lambda d, k: mix(k.view(_U) + mix(d.astype(_U) + _U(1)))
+        return np.isin(pair(doc, values), pair(np.repeat(np.arange(len(size)), size), flat))
+
+
+def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each text whose least anchor is in ``anchors``."""
+    for batch in batches:
+        for i, n, data, offsets in text_slices(batch.column("text"), SLICE):
+            s = scan(data, offsets, SPACED)
+            run, least, at = windows(s)
+            pick = _among(s.doc[at], least, batch.column("anchors").slice(i, n))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), _by_doc(s.doc[at[pick]], run[pick], n)], names=["doc_id", "windows"])
+
+
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the runs of repeated paragraphs that are long enough."""
+    """Texts without the words of repeated windows and without the runs of repeated words that are long enough."""
+    found = ("repeated", "windows")
     for batch in batches:
         texts = batch.column("text")
-        gone = batch.column("repeated")
         for i, n, data, offsets in text_slices(texts, SLICE):
             s, p, doc = paragraphs(data, offsets)
             keys = _keys(*_bags(p), p.n_docs)
-            lists = gone.slice(i, n)
-            size = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy()
-            # (text, key) of what repeats
-            with np.errstate(over="ignore"):
-                pair = lambda d, k: mix(k.view(_U) + mix(d.astype(_U) + _U(1)))
-                hit = np.isin(pair(doc, keys), pair(np.repeat(np.arange(n), size), np.ascontiguousarray(flat))) if len(flat) else np.zeros(p.n_docs, dtype=bool)
-            words = np.bincount(p.doc, minlength=p.n_docs)
-            n_hit = np.bincount(doc[hit], minlength=n)
+            unit = _among(doc, keys, batch.column("repeated").slice(i, n))
+            n_hit = np.bincount(doc[unit], minlength=n)
+            hit = unit[p.doc]
+            if len(batch.column("windows").slice(i, n).flatten()):
+                run, _, at = windows(s)
+                at = at[_among(s.doc[at], run, batch.column("windows").slice(i, n))]
+                depth = np.zeros(len(hit) + 1, dtype=np.int64)
+                np.add.at(depth, at, 1)
+                np.add.at(depth, at + WINDOW, -1)
+                hit |= np.cumsum(depth[:-1]) > 0
             if hit.any():
                 new = np.ones(len(hit), dtype=bool)
-                new[1:] = (hit[1:] != hit[:-1]) | (doc[1:] != doc[:-1])
+                new[1:] = (hit[1:] != hit[:-1]) | (s.doc[1:] != s.doc[:-1])
                 run = np.cumsum(new) - 1
-                hit &= np.bincount(run, weights=words)[run] >= RUN_WORDS
-            removed = np.bincount(doc[hit], weights=words[hit], minlength=n).astype(np.int64)
+                hit &= np.bincount(run)[run] >= RUN_WORDS
+            removed = np.bincount(s.doc[hit], minlength=n)
             out = texts.slice(i, n)
             if hit.any():
-                out = _without(data, offsets, s, p, hit, out, removed > 0)
+                out = _without(data, offsets, s, hit, out)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c).slice(i, n) for c in batch.schema.names if c not in ("text", "repeated")),
+                    *(batch.column(c).slice(i, n) for c in batch.schema.names if c not in ("text", *found)),
                     pa.array(np.bincount(doc, minlength=n)), pa.array(n_hit), pa.array(np.bincount(s.doc, minlength=n)), pa.array(removed), out,
                 ],
-                names=[*(c for c in batch.schema.names if c not in ("text", "repeated")), "n_paragraphs", "n_repeated", "n_words", "n_removed", "text"],
+                names=[*(c for c in batch.schema.names if c not in ("text", *found)), "n_paragraphs", "n_repeated", "n_words", "n_removed", "text"],
             )
 
 
-def _without(data: np.ndarray, offsets: np.ndarray, s: Scan, p: Scan, hit: np.ndarray, texts: pa.Array, touched: np.ndarray) -> pa.Array:
-    """``texts`` with the words of the paragraphs that are ``hit`` cut out, up to the next word that stays."""
-    first = np.flatnonzero(np.diff(p.doc, prepend=-1))
-    begin = s.start[first]
-    end = np.append(begin[1:], len(data))
-    limit = offsets[1:][s.doc[first]]
-    end = np.minimum(end, limit)
+def _without(data: np.ndarray, offsets: np.ndarray, s: Scan, hit: np.ndarray, texts: pa.Array) -> pa.Array:
+    """``texts`` with the words that are ``hit`` cut out, up to the next word that stays."""
+    new = hit.copy()
+    new[1:] &= ~hit[:-1] | (s.doc[1:] != s.doc[:-1])
+    last = hit.copy()
+    last[:-1] &= ~hit[1:] | (s.doc[1:] != s.doc[:-1])
+    docs, begin = s.doc[new], s.start[new]
+    end = np.minimum(np.append(s.start[1:], len(data))[last], offsets[1:][docs])
     out = texts.to_pylist()
-    docs = s.doc[first]
-    for d in np.flatnonzero(touched):
+    for d in np.unique(docs):
         at, parts = int(offsets[d]), []
-        for u in np.flatnonzero(hit[(lo := np.searchsorted(docs, d)) : np.searchsorted(docs, d, side="right")]) + lo:
+        for u in range(np.searchsorted(docs, d), np.searchsorted(docs, d, side="right")):
             parts.append(data[at : begin[u]].tobytes())
             at = int(end[u])
         parts.append(data[at : offsets[d + 1]].tobytes())
@@ -190,6 +263,19 @@ def _without(data: np.ndarray, offsets: np.ndarray, s: Scan, p: Scan, hit: np.nd
     return pa.array(out, pa.string())
 
 
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, windows): for each document the hashes of its windows of WINDOW words that a document of lesser id has too."""
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    anchors = cut(texts.mapInArrow(_anchors, "doc_id long, anchors array<long>"), "anchors").select("doc_id", F.explode("anchors").alias("anchor"))
+    several = lambda found, key: found.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    shared = cut(several(anchors, "anchor").select("anchor"), "shared_anchors")
+    lists = cut(anchors.join(broadcast_if_small(shared), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "anchor_lists")
+    met = cut(texts.join(lists, "doc_id").mapInArrow(_shared_windows, "doc_id long, windows array<long>"), "windows")
+    rows = met.select("doc_id", F.explode("windows").alias("window"))
+    firsts = cut(several(rows, "window").select("window", "first"), "first_windows")
+    return rows.join(broadcast_if_small(firsts), "window").where("first < doc_id").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
+
+
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, repeated): for each document the keys of its paragraphs that a document of lesser id has too."""
     spark = docs.sparkSession
@@ -219,19 +305,21 @@ def remove_repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` without passages that an earlier document has, and n_paragraphs, n_repeated, n_words, n_removed.
 
     Earlier is: of lesser doc_id. Paragraphs are lines cut after sentences of eight words or more; two are equal if
-    the multiset Jaccard similarity of their five-word shingles is 0.8 or more, in one component of such links. A run
-    of repeated paragraphs is removed if it has 20 words or more; n_removed counts words.
+    the multiset Jaccard similarity of their five-word shingles is 0.8 or more, in one component of such links. Beside
+    them, every window of 50 words that an earlier document has word by word is repeated, wherever it begins. A run
+    of repeated words, from paragraphs and windows together, is removed if it has 20 words or more; n_removed counts words.
 
     Nulls: a null text has no paragraph and stays null; a document with a null doc_id stays as it is. Repeated rows of
     one doc_id are the same document, so they do not repeat each other; all keep their first passages. Texts
-    without words are unchanged. Further columns are kept; those named like the counts, or ``repeated``, are replaced. An
+    without words are unchanged. Further columns are kept; those named like the counts, ``repeated`` or ``windows`` are replaced. An
     empty table gives an empty table.
     """
     made = ["n_paragraphs", "n_repeated", "n_words", "n_removed"]
-    docs = docs.drop("repeated", *made)
-    found = repeated_paragraphs(docs)
+    docs = docs.drop("repeated", "windows", *made)
+    found = repeated_paragraphs(docs).join(repeated_windows(docs), "doc_id", "full")
     rest = [c for c in docs.columns if c != "text"]
-    joined = docs.join(found, "doc_id", "left").select(*rest, "text", F.coalesce("repeated", F.array().cast("array<bigint>")).alias("repeated"))
+    none = F.array().cast("array<bigint>")
+    joined = docs.join(found, "doc_id", "left").select(*rest, "text", F.coalesce("repeated", none).alias("repeated"), F.coalesce("windows", none).alias("windows"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return joined.mapInArrow(_cleaned, f"{schema}, {', '.join(f'{c} long' for c in made)}, text string").select(*docs.columns, *made)
 

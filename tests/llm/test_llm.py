@@ -168,6 +168,39 @@ def test_passages_are_removed_from_later_documents(spark, rows):
             assert common in got[i]["text"]
 
 
+def test_repeated_windows_by_brute_force(spark):
+    rng = random.Random(11)
+    texts = {}
+    for i in range(60):
+        sentences, k = [], 0
+        while k < 220:
+            n = rng.randint(2, 6)
+            sentences.append(" ".join(f"w{i}x{k + j}" for j in range(n)) + rng.choice([".", ". ", ".\n", "!"]))
+            k += n
+        texts[i] = " ".join(sentences)
+    for i in range(20, 60):  # passages of 49 to 90 words that begin and end anywhere
+        own, other = texts[i].split(), texts[rng.randrange(i)].split()
+        n, at = rng.choice([49, 50, 51, 60, 90]), rng.randrange(100)
+        cut = rng.randrange(len(own))
+        texts[i] = " ".join([*own[:cut], *other[at : at + n], *own[cut:]])
+    seen, repeated = {}, {}
+    for i in range(60):
+        w = texts[i].lower().split()
+        runs = [tuple(w[j : j + 50]) for j in range(len(w) - 49)]
+        repeated[i] = {k for j, r in enumerate(runs) if r in seen for k in range(j, j + 50)}
+        for r in runs:
+            seen[r] = i
+    assert sum(map(bool, repeated.values())) >= 20
+    got = by_id(paragraph_dedup.remove_repeated_paragraphs(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    for i, t in texts.items():
+        w = t.split()
+        left = set(got[i]["text"].split())
+        assert not left & {w[k] for k in repeated[i]}
+        if i < 20:
+            assert got[i]["text"] == t
+        assert len({x for x in w if x.startswith(f"w{i}x")} - left) <= 8
+
+
 def test_paragraphs_of_odd_rows(odd, none):
     got = paragraph_dedup.remove_repeated_paragraphs(odd).collect()
     assert sorted(map(str, (r["text"] for r in got))) == sorted(map(str, (r["text"] for r in odd.collect())))
