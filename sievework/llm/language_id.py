@@ -21,13 +21,16 @@ SAMPLE_TOTAL = 4000
 #: Bytes of each sampled text that are used.
 SAMPLE_BYTES = 20_000
 #: Buckets of hashed n-grams, and the n-grams' lengths in bytes.
-BUCKETS, NGRAMS = 4096, (1, 2, 3, 4)
+BUCKETS, NGRAMS = 32_768, (1, 2, 3, 4)
 #: Centroids of each language, and rounds of spherical k-means.
 CENTROIDS, ROUNDS = 4, 8
-#: A text is rejected if it is farther from its centroid than REJECT times the distance of its language's farthest sample text.
-REJECT = 1.1
-#: No text is rejected at a distance below this: short texts of a language lie that far out.
-NEVER_BELOW = 0.85
+#: Length classes of texts by the power of two of their bytes, the least and the greatest.
+SHORTEST, LONGEST = 4, 14
+#: A text is rejected if it is farther from its centroid than this quantile of its language's sample texts, cut to the least
+#: length of its class, and than MARGIN of the way from there to distance 1. A class with fewer than ENOUGH sample texts has the reach of the shorter one.
+QUANTILE, MARGIN, ENOUGH = 0.995, 0.25, 50
+#: Texts whose n-grams are counted at once.
+TEXTS = 64
 
 _U = np.uint64
 _LETTER = regex.compile(r"\p{L}")
@@ -39,7 +42,7 @@ _FOLD[[b for b in range(128) if not (0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)]] =
 
 @dataclass
 class Centroids:
-    """Unit centroids by row, the language and greatest accepted distance of each, and inverse document frequencies."""
+    """Unit centroids by row, the language and greatest accepted distances by length class of each, and inverse document frequencies."""
 
     rows: np.ndarray
     langs: list[str]
@@ -47,15 +50,46 @@ class Centroids:
     idf: np.ndarray
 
 
-def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Hashed n-gram counts, a row for each text; n-grams of spaces only do not count."""
+@dataclass
+class Rows:
+    """Sparse rows: the bucket and value of each entry by row, and the row's first entry."""
+
+    first: np.ndarray
+    bucket: np.ndarray
+    value: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.first))
+
+    def times(self, dense: np.ndarray) -> np.ndarray:
+        """Products with the rows of ``dense``, a row for each of these rows."""
+        out = np.zeros((len(self), len(dense)), dtype=np.float32)
+        turned = np.ascontiguousarray(dense.T)
+        for i in range(0, len(self), TEXTS):
+            f = self.first[i : i + TEXTS + 1]
+            live = np.flatnonzero(np.diff(f))
+            if len(live):
+                products = turned[self.bucket[f[0] : f[-1]]] * self.value[f[0] : f[-1], None]
+                out[i + live] = np.add.reduceat(products, f[live] - f[0], axis=0)
+        return out
+
+
+def stacked(parts: list[Rows]) -> Rows:
+    sizes = [np.diff(p.first) for p in parts]
+    first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if parts else np.zeros(1, dtype=np.int64)
+    none = np.zeros(0, dtype=np.int32)
+    return Rows(first, np.concatenate([none, *(p.bucket for p in parts)]), np.concatenate([none.astype(np.float32), *(p.value for p in parts)]))
+
+
+def _counts(data: np.ndarray, offsets: np.ndarray) -> Rows:
     n = len(offsets) - 1
-    out = np.zeros(n * BUCKETS, dtype=np.float32)
-    if not len(data):
-        return out.reshape(n, BUCKETS)
     folded = _FOLD[data].astype(_U)
     doc = np.repeat(np.arange(n), np.diff(offsets))
     code = np.zeros(len(data), dtype=_U)
+    found = [np.zeros(0, dtype=np.int64)]
     for k in range(1, max(NGRAMS) + 1):
         m = len(data) - k + 1
         if m <= 0:
@@ -64,51 +98,84 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if k not in NGRAMS:
             continue
         inside = (doc[:m] == doc[k - 1 :]) & ((folded[:m] != 0x20) | (folded[k - 1 :] != 0x20))
-        at = (mix(code[inside] + _U(k << 40)) % _U(BUCKETS)).astype(np.int64) + doc[:m][inside] * BUCKETS
-        out += np.bincount(at, minlength=n * BUCKETS).astype(np.float32)
-    return out.reshape(n, BUCKETS)
+        found.append((mix(code[inside] + _U(k << 40)) % _U(BUCKETS)).astype(np.int64) + doc[:m][inside] * BUCKETS)
+    dense = np.bincount(np.concatenate(found), minlength=n * BUCKETS)
+    at = np.flatnonzero(dense)
+    return Rows(np.searchsorted(at, np.arange(n + 1) * BUCKETS), (at % BUCKETS).astype(np.int32), dense[at].astype(np.float32))
+
+
+def term_counts(data: np.ndarray, offsets: np.ndarray) -> Rows:
+    """Hashed n-gram counts, a row for each text; n-grams of spaces only do not count."""
+    n = len(offsets) - 1
+    return stacked([_counts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i in range(0, n, TEXTS) for j in [min(n, i + TEXTS)]])
+
+
+def vectors(counts: Rows, idf: np.ndarray) -> Rows:
+    """Unit vectors of (1 + log tf) * idf; no entry for a text without n-grams."""
+    v = (1 + np.log(counts.value)) * idf[counts.bucket]
+    of = counts.of()
+    norm = np.sqrt(np.bincount(of, weights=v.astype(np.float64) ** 2, minlength=len(counts)))
+    return Rows(counts.first, counts.bucket, (v / norm[of]).astype(np.float32))
+
+
+def length_class(sizes: np.ndarray) -> np.ndarray:
+    """The length class of texts of so many bytes, from 0."""
+    return np.clip(np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64), SHORTEST, LONGEST) - SHORTEST
 
 
-def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit vectors of (1 + log tf) * idf; zero for a text without n-grams."""
-    with np.errstate(divide="ignore"):
-        v = np.where(counts > 0, 1 + np.log(counts), 0).astype(np.float32) * idf
-    norm = np.linalg.norm(v, axis=1, keepdims=True)
-    return v / np.where(norm > 0, norm, 1)
+def _counted(texts: list[bytes]) -> Rows:
+    return stacked([term_counts(data, offsets) for _, _, data, offsets in text_slices(pa.array(texts, pa.binary()), 500_000)])
+
+
+def _reach(texts: list[bytes], centres: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The greatest accepted distance of each length class."""
+    out = np.ones(LONGEST - SHORTEST + 1)
+    for c in range(len(out)):
+        size = 1 << c + SHORTEST
+        of_class = [t[:size] for t in texts if len(t) >= size]
+        if len(of_class) >= ENOUGH or not c and of_class:
+            far = float(np.quantile(1 - vectors(_counted(of_class), idf).times(centres).max(axis=1), QUANTILE))
+            out[c] = far + MARGIN * (1 - far)
+        elif c:
+            out[c] = out[c - 1]
+    return out
 
 
 def fit(samples: dict[str, list[bytes]]) -> Centroids:
     """Centroids by spherical k-means within each language."""
     langs = sorted(samples)
-    counts = {}
-    for lang in langs:
-        rows = [np.zeros((0, BUCKETS), dtype=np.float32)]
-        for _, _, data, offsets in text_slices(pa.array([t[:SAMPLE_BYTES] for t in samples[lang]], pa.binary()), 500_000):
-            rows.append(term_counts(data, offsets))
-        counts[lang] = np.concatenate(rows)
-    seen, total = sum(((c > 0).sum(axis=0) for c in counts.values()), np.zeros(BUCKETS)), sum(map(len, counts.values()))
+    texts = {lang: [t[:SAMPLE_BYTES] for t in samples[lang]] for lang in langs}
+    counts = {lang: _counted(texts[lang]) for lang in langs}
+    seen, total = sum((np.bincount(c.bucket, minlength=BUCKETS) for c in counts.values()), np.zeros(BUCKETS)), sum(map(len, counts.values()))
     idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
     rows, names, reach = [], [], []
     for lang in langs:
         v = vectors(counts[lang], idf)
-        v = v[np.linalg.norm(v, axis=1) > 0]
-        if not len(v):
+        full = np.flatnonzero(np.diff(v.first))
+        if not len(full):
             continue
+        v = Rows(np.append(v.first[full], len(v.bucket)), v.bucket, v.value)
+        of = v.of()
+
+        def dense(i: int, v: Rows = v) -> np.ndarray:
+            out = np.zeros(BUCKETS, dtype=np.float32)
+            out[v.bucket[v.first[i] : v.first[i + 1]]] = v.value[v.first[i] : v.first[i + 1]]
+            return out
+
         k = min(CENTROIDS, len(v))
-        centres = v[[0]]
+        centres = dense(0)[None]
         while len(centres) < k:  # the farthest text from those chosen comes next
-            centres = np.concatenate([centres, v[[int(np.argmin((v @ centres.T).max(axis=1)))]]])
+            centres = np.concatenate([centres, dense(int(np.argmin(v.times(centres).max(axis=1))))[None]])
         for _ in range(ROUNDS):
-            near = (v @ centres.T).argmax(axis=1)
-            sums = np.stack([v[near == j].sum(axis=0) if (near == j).any() else centres[j] for j in range(k)])
-            centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-        close = v @ centres.T
-        near = close.argmax(axis=1)
-        for j in range(k):
-            if (near == j).any():
-                rows.append(centres[j])
-                names.append(lang)
-        reach += [1 - close.max(axis=1).min()] * (len(names) - len(reach))
+            near = v.times(centres).argmax(axis=1)
+            own = near[of]
+            sums = np.stack([np.bincount(v.bucket[own == j], weights=v.value[own == j], minlength=BUCKETS) if (near == j).any() else centres[j] for j in range(k)])
+            centres = (sums / np.linalg.norm(sums, axis=1, keepdims=True)).astype(np.float32)
+        near = v.times(centres).argmax(axis=1)
+        kept = [j for j in range(k) if (near == j).any()]
+        rows += [centres[j] for j in kept]
+        names += [lang] * len(kept)
+        reach += [_reach(texts[lang], centres[kept], idf)] * len(kept)
     return Centroids(np.array(rows, dtype=np.float32).reshape(len(rows), BUCKETS), names, np.array(reach), idf)
 
 
@@ -134,8 +201,8 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
     """``docs`` with lang_pred, score (cosine to the nearest centroid, 0 to 1) and rejected, from ``text`` alone.
 
     A null text, and one without a letter, has ``und``, score 0 and is rejected. Any other text has the language
-    of the nearest centroid; it is rejected if it is farther from it than any sample text of that language was from its own, by
-    some margin. A text of letters whose n-grams are all unknown has score 0. Whole texts are read, whatever their length;
+    of the nearest centroid; it is rejected if it is farther from it than nearly all sample texts of that language, cut to the
+    length of its class, are from their own, by some margin. A text of letters whose n-grams are all unknown has score 0. Whole texts are read, whatever their length;
     repeated rows are judged each. Columns of those names are replaced, others stay. An empty table gives an
     empty table; a model of no centroid rejects all as ``und``.
     """
@@ -154,11 +221,9 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
                 best, score = np.full(n, -1), np.zeros(n)
                 far = np.ones(n, dtype=bool)
                 if len(m.langs):
-                    for j in range(0, n, 500):
-                        k = min(n, j + 500)
-                        close = vectors(term_counts(data[offsets[j] : offsets[k]], offsets[j : k + 1] - offsets[j]), m.idf) @ m.rows.T
-                        best[j:k], score[j:k] = close.argmax(axis=1), close.max(axis=1)
-                    far = 1 - score > np.maximum(REJECT * m.reach[best], NEVER_BELOW)
+                    close = vectors(term_counts(data, offsets), m.idf).times(m.rows)
+                    best, score = close.argmax(axis=1), close.max(axis=1)
+                    far = 1 - score > m.reach[best, length_class(np.diff(offsets))]
                 best[~letters], score[~letters], far[~letters] = -1, 0.0, True
                 rows = batch.slice(i, n)
                 yield pa.RecordBatch.from_arrays(

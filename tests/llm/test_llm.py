@@ -89,6 +89,18 @@ def test_language_id_of_odd_rows(docs, odd, none):
     assert language_id.identified(docs).count() > 0.95 * docs.count()
 
 
+def test_language_id_rejects_unlearned_scripts_and_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit_on(docs)
+    rng = random.Random(5)
+    alphabets = ["абвгдежзийклмнопрстуфхцчшщыьэюя", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", [chr(c) for c in range(0x4E00, 0x5800)], "αβγδεζηθικλμνξοπρστυφχψω", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"]
+    junk = [" ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 9))) for _ in range(n)) for a in alphabets for n in (100, 2000)]
+    got = language_id.identify(spark.createDataFrame(list(enumerate(junk)), "doc_id long, text string"), model).collect()
+    assert [r["doc_id"] for r in got if not r["rejected"]] == []
+    held = language_id.identify(docs.where(language_id.held_out()), model)
+    assert held.where("NOT rejected").count() >= 0.98 * held.count()
+
+
 # -- 2 and 4 duplicates
 
 
