@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -12,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm.session import documents
+from sievework.llm.session import Batches, documents, in_batches, with_columns
 
 #: Single bits. A word of the lower bitmap has 256 bits; the summary has as many as there are words.
 _BIT = [1 << i for i in range(4096)]
@@ -203,13 +202,13 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     path, pattern = (path, pattern) if path else default_vocabulary()
     docs = docs.drop("ids")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         coder = loaded(path, pattern)
         for batch in batches:
             ids = [coder.encode(t) if t else [] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
 
-    return docs.mapInArrow(run, _with(docs, "ids array<int>"))
+    return in_batches(docs, run, with_columns(docs, "ids array<int>"))
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -217,17 +216,13 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path, pattern = (path, default_vocabulary()[1]) if path else default_vocabulary()
     encoded = encoded.drop("decoded")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         coder = loaded(path, pattern)
         for batch in batches:
             out = [None if ids is None else coder.decode(ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, _with(encoded, "decoded binary"))
-
-
-def _with(df: DataFrame, more: str) -> str:
-    return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema), more])
+    return in_batches(encoded, run, with_columns(encoded, "decoded binary"))
 
 
 def round_trip_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -242,7 +237,7 @@ def round_trip_digests(docs: DataFrame, path: str | None = None, pattern: str |
     kept = rest.drop("text")
     names = kept.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         coder = loaded(path, pattern)
         for batch in batches:
             counts, ids_hash, text_hash = [], [], []
@@ -254,7 +249,7 @@ def round_trip_digests(docs: DataFrame, path: str | None = None, pattern: str |
             own = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*own, pa.array(np.array(counts, dtype=np.int64)), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=[*names, *made])
 
-    return rest.mapInArrow(run, _with(kept, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return in_batches(rest, run, with_columns(kept, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

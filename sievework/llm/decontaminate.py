@@ -2,183 +2,235 @@
 
 from __future__ import annotations
 
-import re
+import pickle
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.session import documents, table
+from sievework.llm.files import read_whole, written
+from sievework.llm.session import Batches, cut, documents, fresh_path, in_batches, row_slices, table, with_columns
+from sievework.llm.wordscan import ALNUM, Scan, scan, text_slices
 
 #: Words of a window.
 WINDOW = 10
 #: Share of a document's words in hits from which the whole document goes.
 COVERAGE = 0.5
-#: Words of test items in one automaton; more items make more automata, held one at a time.
+#: Words of test items in one automaton, about. A benchmark of fewer is broadcast; one of more is dealt to several
+#: automata, each built once, by a task, and written to the shared folder.
 BLOCK_WORDS = 200_000
+#: Bytes of text matched at once, with one automaton and with several (each is loaded once for so much).
+SLICE, BLOCKS_SLICE = 500_000, 4_000_000
 
-#: A-Z to lower case; letters, digits and bytes above 0x7F stay, all else separates.
-_LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-_WORD = re.compile(rb"[^ ]+")
+Item = tuple[str | None, str | None]
+Spans = list[tuple[int, int]]
+
+
+@dataclass
+class Found:
+    """What was found in a text: disjoint ascending spans of words, items, and the longest match in words."""
+
+    spans: Spans
+    items: set
+    longest: int
+
+
+def words_of(text: str | None) -> list[bytes]:
+    data = np.frombuffer((text or "").encode(), dtype=np.uint8)
+    s = scan(data, np.array([0, len(data)]), ALNUM)
+    return [s.data[a:b].tobytes() for a, b in zip(s.start.tolist(), s.end.tolist(), strict=True)]
 
 
 class ItemAutomaton:
-    """Suffix automaton of several word sequences, with the items whose windows end in each state."""
-
-    def __init__(self, items: Iterable[tuple[str | None, str | None]], window: int = WINDOW) -> None:
-        self.window, self.ids = window, {}
-        self.next, self.link, self.length = [{}], [-1], [0]
-        self.shortest = window
-        for name, text in items:
-            words = (text or "").encode().translate(_LETTERS).split()
-            if not words:
-                continue
+    """Suffix automaton of several word sequences, with the items whose windows end in each state.
+
+    After it is built the transitions are one table from (state, word) to state.
+    """
+
+    def __init__(self, items: Iterable[Item], window: int = WINDOW) -> None:
+        self.window, ids = window, {}
+        self._next, self.link, self.length = [{}], [-1], [0]
+        listed = [(name, [ids.setdefault(w, len(ids)) for w in words_of(text)]) for name, text in items]
+        listed = [(name, words) for name, words in listed if words]
+        self.shortest = min([window, *(len(words) for _, words in listed)])
+        for _, words in listed:
             state = 0
-            self.shortest = min(self.shortest, len(words))
-            for w in words:
-                state = self._extend(state, self.ids.setdefault(w, len(self.ids)))
+            for c in words:
+                state = self._extend(state, c)
         # states may be cloned while items are added, so marks are set by a second walk
         marks: dict[int, set] = {}  # state of a window -> items
         short: dict[int, set] = {}  # state of a whole short item -> (words, item)
-        for name, text in items:
-            words = (text or "").encode().translate(_LETTERS).split()
+        for name, words in listed:
             state = 0
-            for i, w in enumerate(words):
-                state = self.next[state][self.ids[w]]
+            for i, c in enumerate(words):
+                state = self._next[state][c]
                 if i + 1 >= window:
                     marks.setdefault(self._at(state, window), set()).add(name)
-            if words and len(words) < window:
+            if len(words) < window:
                 short.setdefault(self._at(state, len(words)), set()).add((len(words), name))
-        self.window_items: list[frozenset] = [frozenset()] * len(self.next)
-        self.short_items: list[tuple] = [()] * len(self.next)
-        for v in sorted(range(len(self.next)), key=self.length.__getitem__):
-            up = self.link[v]
-            if self.length[v] >= window:
-                at = self._at(v, window)
-                self.window_items[v] = frozenset(marks.get(at, ()))
-            own = tuple(short.get(v, ()))
-            self.short_items[v] = (self.short_items[up] if up >= 0 else ()) + own
+        self.window_items: dict[int, tuple] = {}
+        self.short_items: dict[int, tuple] = {}
+        for v in sorted(range(len(self.link)), key=self.length.__getitem__):
+            if self.length[v] >= window and (of := marks.get(self._at(v, window))):
+                self.window_items[v] = tuple(of)
+            found = self.short_items.get(self.link[v], ()) + tuple(short.get(v, ()))
+            if found:
+                self.short_items[v] = found
+        self.size = max(1, len(ids))
+        self.next = {state * self.size + c: to for state, out in enumerate(self._next) for c, to in out.items()}
+        del self._next
+        joined = b" ".join(ids)
+        self.words = scan(np.frombuffer(joined, dtype=np.uint8), np.array([0, len(joined)]), ALNUM)
+        h = self.words.hashes()
+        self.order = np.argsort(h)
+        self.hashes = h[self.order]
 
     def _at(self, state: int, n: int) -> int:
         """The state of the last ``n`` words of what leads to ``state``."""
-        while self.length[self.link[state]] >= n if self.link[state] >= 0 else False:
+        while self.link[state] >= 0 and self.length[self.link[state]] >= n:
             state = self.link[state]
         return state
 
     def _clone(self, p: int, q: int, c: int) -> int:
-        k = len(self.next)
-        self.next.append(dict(self.next[q]))
+        k = len(self.link)
+        self._next.append(dict(self._next[q]))
         self.link.append(self.link[q])
         self.length.append(self.length[p] + 1)
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = k
+        while p >= 0 and self._next[p].get(c) == q:
+            self._next[p][c] = k
             p = self.link[p]
         self.link[q] = k
         return k
 
     def _extend(self, last: int, c: int) -> int:
-        q = self.next[last].get(c)
+        q = self._next[last].get(c)
         if q is not None:  # an earlier item has it
             return q if self.length[q] == self.length[last] + 1 else self._clone(last, q, c)
-        cur = len(self.next)
-        self.next.append({})
+        cur = len(self.link)
+        self._next.append({})
         self.link.append(0)
         self.length.append(self.length[last] + 1)
         p = last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = cur
+        while p >= 0 and c not in self._next[p]:
+            self._next[p][c] = cur
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][c]
+            q = self._next[p][c]
             self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, c)
         return cur
 
-    def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set, int]:
-        """Spans of words (start, end) in hits, disjoint and ascending; items found; the longest match in words."""
-        n = len(words)
-        if n < self.shortest or not self.ids:
-            return [], set(), 0
-        ids = np.fromiter(map(self.ids.get, words, repeat(-1)), dtype=np.int64, count=n)
-        known = np.zeros(n + 2, dtype=bool)
-        known[1:-1] = ids >= 0
-        turn = np.flatnonzero(known[1:] != known[:-1])
-        spans: list[tuple[int, int]] = []
-        found: set = set()
-        longest = 0
-        for a, b in zip(turn[::2], turn[1::2], strict=True):
-            if b - a < self.shortest:
+    def places(self, s: Scan, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word among the items' words, or -1; equal hashes are compared byte by byte."""
+        out = np.full(len(hashes), -1)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            met = np.flatnonzero(self.hashes[at] == hashes)
+            word = self.order[at[met]]
+            out[met] = np.where(s.same(met, self.words, word), word, -1)
+        return out
+
+    def match(self, s: Scan, hashes: np.ndarray) -> dict[int, Found]:
+        """What is found in each text of a scan; texts without a run of words as long as the shortest window are left out."""
+        ids = self.places(s, hashes)
+        known = ids >= 0
+        if not known.any():
+            return {}
+        fresh, last = np.ones(len(ids), dtype=bool), np.ones(len(ids), dtype=bool)
+        fresh[1:] = ~known[:-1] | (s.doc[1:] != s.doc[:-1])
+        last[:-1] = ~known[1:] | (s.doc[1:] != s.doc[:-1])
+        begins, ends = np.flatnonzero(known & fresh), np.flatnonzero(known & last) + 1
+        long_enough = ends - begins >= self.shortest
+        begins, ends = begins[long_enough], ends[long_enough]
+        first = s.firsts()
+        out: dict[int, Found] = {}
+        for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+            self._run(ids[a:b].tolist(), a - int(first[a]), out.setdefault(int(s.doc[a]), Found([], set(), 0)))
+        return out
+
+    def _run(self, ids: list[int], at: int, found: Found) -> None:
+        """Match a run of known words that begins at the word ``at`` of its text."""
+        step, link, length, size, window = self.next.get, self.link, self.length, self.size, self.window
+        whole, short, spans = self.window_items, self.short_items, found.spans
+        state = matched = longest = 0
+        for i, c in enumerate(ids, at + 1):
+            to = step(state * size + c)
+            while to is None and state:
+                state = link[state]
+                matched = length[state]
+                to = step(state * size + c)
+            if to is None:
                 continue
-            state = matched = 0
-            for i, c in enumerate(ids[a:b].tolist(), int(a)):
-                while state and c not in self.next[state]:
-                    state = self.link[state]
-                    matched = self.length[state]
-                if c in self.next[state]:
-                    state = self.next[state][c]
-                    matched += 1
-                reach = 0
-                if matched >= self.window:
-                    reach = matched
-                    found |= self.window_items[state]
-                for m, item in self.short_items[state]:
-                    if m <= matched:
-                        reach = max(reach, m)
-                        found.add(item)
-                longest = max(longest, matched)
-                if reach:
-                    start = i + 1 - reach
-                    while spans and spans[-1][1] >= start:
-                        start = min(start, spans.pop()[0])
-                    spans.append((start, i + 1))
-        return spans, found, longest
+            state = to
+            matched += 1
+            if matched > longest:
+                longest = matched
+            reach = 0
+            if matched >= window:
+                reach = matched
+                found.items.update(whole[state])
+            for m, item in short.get(state, ()):
+                if m <= matched:
+                    reach = max(reach, m)
+                    found.items.add(item)
+            if reach:
+                start = i - reach
+                while spans and spans[-1][1] >= start:
+                    start = min(start, spans.pop()[0])
+                spans.append((start, i))
+        found.longest = max(found.longest, longest)
 
 
 class Matcher:
-    """The automata of all blocks of items; a single one is kept, several are built in turn for each batch."""
+    """One automaton that is held, or the files of several that are loaded in turn."""
 
-    def __init__(self, blocks: list[list[tuple[str | None, str | None]]]) -> None:
-        self.blocks, self._only = blocks, None
+    def __init__(self, items: list[Item] | None, files: list[str]) -> None:
+        self.files = files
+        self._only = ItemAutomaton(items) if items is not None else None
 
-    def automata(self) -> Iterator[ItemAutomaton]:
-        if len(self.blocks) == 1:
-            self._only = self._only or ItemAutomaton(self.blocks[0])
+    def _automata(self) -> Iterator[ItemAutomaton]:
+        if self._only is not None:
             yield self._only
-        else:
-            for block in self.blocks:
-                yield ItemAutomaton(block)
-
-    def match(self, texts: list[bytes]) -> list[tuple[list[tuple[int, int]], set, int, int]]:
-        """For each text: spans, items, longest match, words."""
-        split = [t.translate(_LETTERS).split() for t in texts]
-        out: list = [([], set(), 0, len(w)) for w in split]
-        for automaton in self.automata():
-            for k, words in enumerate(split):
-                spans, found, longest = automaton.match(words)
-                if spans or longest:
-                    have = out[k]
-                    out[k] = (joined(have[0] + spans), have[1] | found, max(have[2], longest), have[3])
+        for uri in self.files:
+            yield pickle.loads(read_whole(uri))
+
+    def match(self, s: Scan) -> dict[int, Found]:
+        hashes, out = s.hashes(), {}
+        for automaton in self._automata():
+            for d, f in automaton.match(s, hashes).items():
+                have = out.get(d)
+                out[d] = f if have is None else Found(joined(have.spans + f.spans), have.items | f.items, max(have.longest, f.longest))
         return out
 
-    def clean(self, text: bytes, spans: list[tuple[int, int]]) -> bytes:
-        """The text without the spans, again and again while what is left makes new hits."""
-        while spans:
-            at = [m.span() for m in _WORD.finditer(text.translate(_LETTERS))]
-            parts, last = [], 0
-            for a, b in spans:
-                parts.append(text[last : at[a][0]])
-                last = at[b - 1][1]
-            parts.append(text[last:])
-            text = b" ".join(x for x in (p.strip(b" ") for p in parts) if x)
-            spans = self.match([text])[0][0]
-        return text
-
-
-def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def clean(self, s: Scan, data: np.ndarray, offsets: np.ndarray, found: dict[int, Found]) -> dict[int, bytes]:
+        """The texts in ``found`` that have hits, without them, again and again while what is left makes new ones."""
+        firsts = np.cumsum(np.append(0, s.counts()))
+        done: dict[int, bytes] = {}
+        left = {}
+        for d, f in found.items():
+            if f.spans:
+                text, k = data[offsets[d] : offsets[d + 1]].tobytes(), int(firsts[d])
+                parts, last = [], 0
+                for a, b in f.spans:
+                    parts.append(text[last : int(s.start[k + a] - offsets[d])])
+                    last = int(s.end[k + b - 1] - offsets[d])
+                parts.append(text[last:])
+                left[d] = b" ".join(x for x in (p.strip(b" ") for p in parts) if x)
+        if left:
+            order = list(left)
+            for i, n, more, at in text_slices(pa.array([left[d] for d in order], pa.binary()), BLOCKS_SLICE):
+                again = scan(more, at, ALNUM)
+                cleaned = self.clean(again, more, at, self.match(again))
+                done |= {d: cleaned.get(k, left[d]) for k, d in enumerate(order[i : i + n])}
+        return done
+
+
+def joined(spans: Spans) -> Spans:
     """Overlapping spans made one, in ascending order."""
-    out: list[tuple[int, int]] = []
+    out: Spans = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
@@ -187,22 +239,30 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[list[tuple[str | None, str | None]]]:
-    """The items in blocks of ``BLOCK_WORDS`` words, read one partition at a time."""
-    blocks: list[list] = [[]]
-    words = 0
-    for name, text in benchmark.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
-        n = len((text or "").encode().translate(_LETTERS).split())
-        if words and words + n > BLOCK_WORDS:
-            blocks.append([])
-            words = 0
-        blocks[-1].append((name, text))
-        words += n
-    return blocks
+def automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[list[Item] | None, list[str]]:
+    """The items if they have BLOCK_WORDS words and sixteen times the bytes at most, else the files of their automata.
 
-
-def _schema(df: DataFrame, more: str) -> str:
-    return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema), more])
+    Only a benchmark whose size was counted first reaches the driver. A larger one is dealt by a hash of the item to blocks of half
+    as many words on average; each block's automaton is built by one task and lies in the shared folder.
+    """
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    n_words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != ""))
+    size = items.agg(F.coalesce(F.sum(n_words), F.lit(0)).alias("words"), F.coalesce(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0))), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+    if size["words"] <= BLOCK_WORDS and size["bytes"] <= 16 * BLOCK_WORDS and size["n"] <= BLOCK_WORDS:
+        return [tuple(r) for r in items.collect()], []
+    many = max(1, -(-2 * size["words"] // BLOCK_WORDS), -(-2 * size["bytes"] // (16 * BLOCK_WORDS)))
+    folder = fresh_path(benchmark.sparkSession, "automata")
+
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        name = f"block-{key[0]:06d}"
+        with written(folder, name) as out:
+            pairs = zip((None if pd.isna(x) else x for x in rows["item"]), (None if pd.isna(x) else x for x in rows["text"]), strict=True)
+            out.write(pickle.dumps(ItemAutomaton(pairs), protocol=pickle.HIGHEST_PROTOCOL))
+        return pd.DataFrame({"name": [name]})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(many)))
+    names = cut(dealt.groupBy("block").applyInPandas(build, "name string"), "automata-names")
+    return None, [f"{folder}/{r['name']}" for r in names.orderBy("name").toLocalIterator()]  # a name for each 100,000 words
 
 
 _MADE = ["n_words", "n_hit", "longest", "items", "cleaned"]
@@ -213,7 +273,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, clean: bool = False) ->
 
     Words are runs of letters, digits and non-ASCII characters, A-Z in lower case. A window is ten
     consecutive words of an item, or a whole item of fewer. A word inside an occurrence of a window is hit.
-    ``cleaned`` is the text without its hits (null if it has none, or ``clean`` is false).
+    ``longest`` looks at runs of items' words as long as the shortest window. ``cleaned`` is the text without its hits (null if it has none, or ``clean`` is false).
 
     Nulls: a null or empty text has no words and no hits; an item without words is never found; an item with a
     null id hits words but is not listed. Repeated items count once by id; repeated documents are judged
@@ -221,29 +281,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, clean: bool = False) ->
     of ``docs`` named like the new ones are replaced, others stay.
     """
     docs = docs.drop(*_MADE)
-    blocks = docs.sparkSession.sparkContext.broadcast(item_blocks(benchmark))
+    shipped = docs.sparkSession.sparkContext.broadcast(automata(benchmark))
     held: list[Matcher] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = held[0] if held else Matcher(blocks.value)
+    def run(batches: Batches) -> Batches:
+        matcher = held[0] if held else Matcher(*shipped.value)
         held[:] = [matcher]
-        for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            found = matcher.match(texts)
-            cleaned = [matcher.clean(t, f[0]).decode() if clean and f[0] else None for t, f in zip(texts, found, strict=True)]
+        for rows, data, offsets in row_slices(batches, BLOCKS_SLICE if matcher.files else SLICE):
+            s = scan(data, offsets, ALNUM)
+            found = matcher.match(s)
+            cleaned = matcher.clean(s, data, offsets, found) if clean else {}
+            n = rows.num_rows
+            of = [found.get(d) for d in range(n)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns,
-                    pa.array([f[3] for f in found], pa.int64()),
-                    pa.array([sum(b - a for a, b in f[0]) for f in found], pa.int64()),
-                    pa.array([f[2] for f in found], pa.int64()),
-                    pa.array([sorted(x for x in f[1] if x is not None) for f in found], pa.list_(pa.string())),
-                    pa.array(cleaned, pa.string()),
+                    *rows.columns,
+                    pa.array(s.counts(), pa.int64()),
+                    pa.array([sum(b - a for a, b in f.spans) if f else 0 for f in of], pa.int64()),
+                    pa.array([f.longest if f else 0 for f in of], pa.int64()),
+                    pa.array([sorted(x for x in f.items if x is not None) if f else [] for f in of], pa.list_(pa.string())),
+                    pa.array([cleaned[d].decode() if d in cleaned else None for d in range(n)], pa.string()),
                 ],
-                names=[*batch.schema.names, *_MADE],
+                names=[*rows.schema.names, *_MADE],
             )
 
-    return docs.mapInArrow(run, _schema(docs, "n_words long, n_hit long, longest long, items array<string>, cleaned string"))
+    return in_batches(docs, run, with_columns(docs, "n_words long, n_hit long, longest long, items array<string>, cleaned string"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,9 +318,15 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without benchmark passages; documents with half of their words in hits go as a whole."""
-    found = contamination(docs, benchmark, clean=True).where(F.col("n_hit") < F.greatest(F.col("n_words") * COVERAGE, F.lit(1)))
-    return found.withColumn("text", F.coalesce("cleaned", "text")).select(*docs.columns)
+    """``docs`` without benchmark passages; documents with half of their words in hits go as a whole.
+
+    Nulls: a document with a null text, or without words, has no hits and stays as it is; a null doc_id is no matter. Repeated rows are
+    judged each; an empty table gives an empty one. Columns named like those of :func:`contamination` stay what they were.
+    """
+    own = {c: f"_own_{k}" for k, c in enumerate(_MADE) if c in docs.columns}
+    found = contamination(docs.withColumnsRenamed(own), benchmark, clean=True).where(F.col("n_hit") < F.greatest(F.col("n_words") * COVERAGE, F.lit(1)))
+    kept = [F.col(f"`{own.get(c, c)}`").alias(c) if c != "text" else F.coalesce("cleaned", "text").alias("text") for c in docs.columns]
+    return found.select(*kept)
 
 
 #: DuckDB SQL for the same rows.

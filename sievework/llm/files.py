@@ -40,3 +40,10 @@ def read_range(uri: str, offset: int, length: int) -> bytes:
     fs, path = opened(uri)
     with fs.open_input_file(path) as f:
         return f.read_at(length, offset)
+
+
+def read_whole(uri: str) -> bytes:
+    """A file's bytes."""
+    fs, path = opened(uri)
+    with fs.open_input_file(path) as f:
+        return f.read()

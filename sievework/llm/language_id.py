@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +10,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.session import documents
+from sievework.llm.session import Batches, documents, in_batches, row_slices, with_columns
 from sievework.llm.wordscan import mix, text_slices
 
 #: Texts of each language that the classifier is fitted on, about: a bounded sample, chosen by a hash of doc_id and text.
@@ -208,30 +207,26 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
     """
     docs = docs.drop(*_MADE)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double, rejected boolean"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         m = shipped.value
         names = np.array([*m.langs, "und"], dtype=object)
-        for batch in batches:
-            texts = batch.column("text")
-            for i, n, data, offsets in text_slices(texts, 600_000):
-                part = texts.slice(i, n)
-                letters = np.array([t is not None and _LETTER.search(t) is not None for t in part.to_pylist()])
-                best, score = np.full(n, -1), np.zeros(n)
-                far = np.ones(n, dtype=bool)
-                if len(m.langs):
-                    close = vectors(term_counts(data, offsets), m.idf).times(m.rows)
-                    best, score = close.argmax(axis=1), close.max(axis=1)
-                    far = 1 - score > m.reach[best, length_class(np.diff(offsets))]
-                best[~letters], score[~letters], far[~letters] = -1, 0.0, True
-                rows = batch.slice(i, n)
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1).astype(np.float64)), pa.array(far)],
-                    names=[*rows.schema.names, *_MADE],
-                )
-
-    return docs.mapInArrow(run, schema)
+        for rows, data, offsets in row_slices(batches, 600_000):
+            n = rows.num_rows
+            letters = np.array([t is not None and _LETTER.search(t) is not None for t in rows.column("text").to_pylist()])
+            best, score = np.full(n, -1), np.zeros(n)
+            far = np.ones(n, dtype=bool)
+            if len(m.langs):
+                close = vectors(term_counts(data, offsets), m.idf).times(m.rows)
+                best, score = close.argmax(axis=1), close.max(axis=1)
+                far = 1 - score > m.reach[best, length_class(np.diff(offsets))]
+            best[~letters], score[~letters], far[~letters] = -1, 0.0, True
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1).astype(np.float64)), pa.array(far)],
+                names=[*rows.schema.names, *_MADE],
+            )
+
+    return in_batches(docs, run, with_columns(docs, "lang_pred string, score double, rejected boolean"))
 
 
 def held_out() -> Column:

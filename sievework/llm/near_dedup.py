@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.near_join import shared_buckets, similarity_classes
-from sievework.llm.session import broadcast_if_small, cut, documents
+from sievework.llm.session import Batches, broadcast_if_small, cut, documents, in_batches
 from sievework.llm.wordscan import SPACED, mix, scan, shingles, text_slices
 
 #: Words of a shingle.
@@ -117,7 +115,7 @@ def _content(e: np.ndarray, w: np.ndarray, doc: np.ndarray, n: int) -> np.ndarra
     return mix(key).view(np.int64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Batches) -> Batches:
     """Content key and band keys of each text."""
     for batch in batches:
         for i, n, data, offsets in text_slices(batch.column("text")):
@@ -139,7 +137,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _elements(batches: Batches) -> Batches:
     """Each text's multiset as a set: its n-th copy of a shingle is an element of its own."""
     for batch in batches:
         for i, n, data, offsets in text_slices(batch.column("text")):
@@ -168,7 +166,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     are not read. An empty table gives an empty table.
     """
     texts = docs.select("doc_id", "text")
-    signed = cut(texts.mapInArrow(_signatures, "doc_id long, node long, bands array<long>, sketch array<smallint>"), "signatures")
+    signed = cut(in_batches(texts, _signatures, "doc_id long, node long, bands array<long>, sketch array<smallint>"), "signatures")
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     entries = signed.where("node IS NOT NULL").select("node", F.explode("bands").alias("bucket")).distinct()
     shared = cut(entries.join(shared_buckets(entries), "bucket"), "entries")
@@ -178,8 +176,9 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         return signed.select("node", "doc_id").join(broadcast_if_small(of), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def details_of(of: DataFrame) -> DataFrame:
-        held = cut(holders(of), "holders")
-        found = texts.join(broadcast_if_small(held.select("doc_id").distinct()), "doc_id", "left_semi").select("text").mapInArrow(_elements, "node long, elements array<long>")
+        held = cut(holders(cut(of, "nodes")), "holders")
+        ids = cut(held.select("doc_id").distinct(), "ids")
+        found = in_batches(texts.join(broadcast_if_small(ids), "doc_id", "left_semi").select("text"), _elements, "node long, elements array<long>")
         # where an id has several texts, some may be of nodes that nobody asked for
         own = signed.join(broadcast_if_small(held), ["node", "doc_id"], "left_semi").select("node", "sketch", F.col("bands").alias("buckets")).dropDuplicates(["node"])
         return found.where(F.size("elements") > 0).dropDuplicates(["node"]).join(own, "node")

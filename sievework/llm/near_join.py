@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from sievework.llm.session import cut, drop_paths
 from sievework.operators.components import connected_components
 
+#: Nodes of a bucket up to which those in different components are compared pair by pair, so a node meets fewer than this many in
+#: it; the nodes of larger buckets are compared where they share rare elements.
+PAIRED = 64
+
 
 def shared_buckets(entries: DataFrame) -> DataFrame:
     """The buckets of (bucket, node) that hold several nodes."""
@@ -27,6 +31,35 @@ def _linked(a: str, b: str, tenths: int, agree: int | None) -> Column:
     return test & (common * 10 >= (F.size(x) + F.size(y) - common) * tenths)
 
 
+def _star(groups: DataFrame, packed: DataFrame, score: str, tenths: int, agree: int | None) -> tuple[DataFrame, DataFrame]:
+    """Links (x, y) of the nodes of each group of (grp, node, ``score``) to its head, the node of greatest score, and the heads (grp, head)."""
+    heads = groups.groupBy("grp").agg(F.max_by("node", F.struct(score, "node")).alias("head"))
+    pairs = groups.join(heads, "grp").where("node != head").select(F.col("node").alias("x"), F.col("head").alias("y")).distinct()
+    met = pairs.join(packed.select(F.col("node").alias("x"), F.col("own").alias("a")), "x").join(packed.select(F.col("node").alias("y"), F.col("own").alias("b")), "y")
+    return met.where(_linked("a", "b", tenths, agree)).select("x", "y"), heads
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """(grp, n): the groups of (grp, node, label) with nodes of several components."""
+    return placed.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high").select("grp", "n")
+
+
+def rare_elements(nodes: DataFrame, details: DataFrame, tenths: int) -> DataFrame:
+    """(grp, node, size, first): those elements of ``nodes`` that a similar node must share, of the rarest ones.
+
+    Of two sets with a Jaccard similarity of t or more, and all elements in one order, the larger one has one of the smaller's first
+    s - ceil(2 t s / (1 + t)) + 1 elements (s: its size; ``first``) among its own first s - ceil(t s) + 1. In order of rarity these are elements
+    that few others have, so nodes that have no more than a common core in common do not meet. Elements of one node only are left out.
+    """
+    listed = details.join(nodes, "node", "left_semi").select("node", F.size("elements").alias("size"), F.explode("elements").alias("grp"))
+    many = listed.groupBy("grp").agg(F.count("*").alias("many"))
+    first = F.col("size") - F.ceil(F.col("size") * tenths / F.lit(10.0)).cast("int") + 1
+    own = listed.join(many, "grp").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("many", "grp"))).alias("o"))
+    ranked = own.select("node", "size", F.posexplode(F.slice("o", F.lit(1), first)).alias("place", "e"))
+    index = F.col("size") - F.ceil(F.col("size") * (2 * tenths) / F.lit(10.0 + tenths) - 1e-9).cast("int") + 1
+    return ranked.where("e.many > 1").select(F.col("e.grp").alias("grp"), "node", "size", (F.col("place") < index).alias("first"))
+
+
 def similarity_classes(shared: DataFrame, details_of: Callable[[DataFrame], DataFrame], tenths: int, agree: int | None = None) -> DataFrame:
     """(node, label): components of the links between nodes that share a bucket.
 
@@ -35,31 +68,54 @@ def similarity_classes(shared: DataFrame, details_of: Callable[[DataFrame], Data
     or more between sketches that agree in ``agree`` places or more.
 
     The head of a bucket is its node that shares buckets with most others, as the text does that others are
-    copies of. Every node is compared with the heads of its buckets, so a bucket of n nodes gives n pairs. Where
-    its nodes then belong to several components, those outside the head's component are compared with the
-    nodes of other components, each pair in the first bucket of both; the comparison is the join's own
-    condition, so that links leave it and not pairs. No link between nodes that share a bucket is lost.
+    copies of. Every node is compared with the heads of its buckets, so a bucket of n nodes gives n pairs. Where its
+    nodes then belong to several components, more is to be looked at: in a bucket of PAIRED nodes or fewer, those outside the
+    head's component are compared with the nodes of other components, each pair in the first bucket of both. In a larger one nodes
+    meet where they share a rare element (see rare_elements): where many share one first with a head, then, where several components are
+    left, with each other. A thousand texts that share a template but are not similar share none, so they make no pairs. No link between nodes that share a bucket is lost.
     """
-    sizes = shared.groupBy("bucket").agg(F.count("*").alias("n"))
-    scores = shared.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("score"))
-    heads = shared.join(scores, "node").groupBy("bucket").agg(F.max_by("node", "score").alias("head"))
-    shared = cut(shared.join(heads, "bucket"), "shared")
+    shared = shared.withColumnRenamed("bucket", "grp")
+    sizes = shared.groupBy("grp").agg(F.count("*").alias("n"))
+    scores = shared.join(sizes, "grp").groupBy("node").agg(F.sum("n").alias("score"))
+    shared = cut(shared.join(scores, "node"), "shared")
     details = cut(details_of(shared.select("node").distinct()), "details")
     packed = details.select("node", F.struct("elements", "buckets", *(["sketch"] if agree is not None else [])).alias("own"))
-    star = shared.where("node != head").select(F.col("node").alias("x"), F.col("head").alias("y")).distinct()
-    met = star.join(packed.select(F.col("node").alias("x"), F.col("own").alias("a")), "x").join(packed.select(F.col("node").alias("y"), F.col("own").alias("b")), "y")
-    links = cut(met.where(_linked("a", "b", tenths, agree)).select("x", "y"), "links")
-    first = connected_components(links, "x", "y")
-
-    placed = cut(shared.join(first, "node", "left").select("bucket", "head", "node", F.coalesce("label", "node").alias("label")), "placed")
-    split = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    head_label = placed.where("node = head").select("bucket", F.col("label").alias("head_label")).join(split, "bucket", "left_semi")
-    open_ = placed.join(head_label, "bucket").join(packed, "node").select("bucket", "node", "label", "head_label", F.col("own").alias("b"))
-    outside = open_.where("label != head_label").select("bucket", F.col("node").alias("o"), F.col("label").alias("ol"), F.col("b").alias("a"))
+    found, heads = _star(shared, packed, "score", tenths, agree)
+    links = cut(found, "links")
+    labels = connected_components(links, "x", "y")
+
+    place = lambda g, of: g.join(of, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = cut(place(shared.join(heads, "grp"), labels).select("grp", "head", "node", "label"), "placed")
+    mixed = cut(_mixed(placed), "mixed")
+    if mixed.limit(1).count() == 0:
+        drop_paths(shared.sparkSession, shared, details, placed, mixed)
+        return labels
+
+    few = placed.join(mixed.where(F.col("n") <= PAIRED), "grp")
+    head_label = few.where("node = head").select("grp", F.col("label").alias("head_label"))
+    open_ = few.join(head_label, "grp").join(packed, "node").select("grp", "node", "label", "head_label", F.col("own").alias("b"))
+    outside = open_.where("label != head_label").select("grp", F.col("node").alias("o"), F.col("label").alias("ol"), F.col("b").alias("a"))
     # two nodes outside meet once, an outside one and one of the head's component once
     apart = (F.col("ol") != F.col("label")) & ((F.col("label") == F.col("head_label")) | (F.col("o") < F.col("node")))
-    once = F.element_at(F.array_intersect("a.buckets", "b.buckets"), 1) == F.col("bucket")
-    more = cut(outside.join(open_, "bucket").where(apart & once & _linked("a", "b", tenths, agree)).select(F.col("o").alias("x"), F.col("node").alias("y")), "more")
-    out = connected_components(links.union(more), "x", "y") if more.limit(1).count() else first
-    drop_paths(shared.sparkSession, shared, details, placed)
+    once = F.element_at(F.array_intersect("a.buckets", "b.buckets"), 1) == F.col("grp")
+    more = outside.join(open_, "grp").where(apart & once & _linked("a", "b", tenths, agree)).select(F.col("o").alias("x"), F.col("node").alias("y"))
+    all_links = cut(links.union(more), "links")
+
+    many = cut(placed.join(mixed.where(F.col("n") > PAIRED), "grp", "left_semi").select("node").distinct(), "crowded")
+    if many.limit(1).count():
+        rare = cut(rare_elements(many, details, tenths), "rare")
+        crowds = rare.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED).select("grp")
+        found, _ = _star(rare.where("first").join(crowds, "grp", "left_semi"), packed, "size", tenths, agree)
+        all_links = cut(all_links.union(found), "links")
+        by_rare = place(rare, connected_components(all_links, "x", "y"))
+        left = cut(by_rare.join(_mixed(by_rare), "grp", "left_semi"), "left")
+        small = left.where("first").select("grp", F.col("node").alias("x"), F.col("label").alias("xl"), F.col("size").alias("xs"))
+        large = left.select("grp", F.col("node").alias("y"), F.col("label").alias("yl"), F.col("size").alias("ys"))
+        apart = (F.col("xl") != F.col("yl")) & ((F.col("xs") < F.col("ys")) | (F.col("xs") == F.col("ys")) & (F.col("x") != F.col("y"))) & (F.col("xs") * 10 >= F.col("ys") * tenths)
+        pairs = small.join(large, "grp").where(apart).select("x", "y").distinct()
+        met = pairs.join(packed.select(F.col("node").alias("x"), F.col("own").alias("a")), "x").join(packed.select(F.col("node").alias("y"), F.col("own").alias("b")), "y")
+        all_links = cut(all_links.union(met.where(_linked("a", "b", tenths, agree)).select("x", "y")), "links")
+        drop_paths(shared.sparkSession, rare, left)
+    out = connected_components(all_links, "x", "y")
+    drop_paths(shared.sparkSession, shared, details, placed, mixed, many)
     return out

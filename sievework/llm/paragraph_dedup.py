@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -10,19 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.near_join import shared_buckets, similarity_classes
-from sievework.llm.session import broadcast_if_small, cut, documents
+from sievework.llm.session import Batches, broadcast_if_small, cut, documents, in_batches, with_columns
 from sievework.llm.wordscan import SPACED, Scan, mix, scan, shingles, text_slices
 
 #: Words of a shingle, and the multiset Jaccard similarity of equal paragraphs in tenths.
 WORDS, TENTHS = 5, 8
 #: A sentence of so many words ends a paragraph; shorter ones are joined to what follows.
 SENTENCE_WORDS = 8
-#: Repeated paragraphs that follow one another go if they have so many words together; less is a common phrase.
+#: Repeated paragraphs that follow one another go if they have so many words together; less is a common phrase (an argument of the operator).
 RUN_WORDS = 20
-#: BANDS bands of ROWS: at similarity 0.8 a pair escapes all with probability 0.006, at 0.9 with 0.0003.
-BANDS, ROWS = 5, 2
-#: Paragraphs with fewer shingles are similar by 0.8 only if they are equal, so they need no bands.
-BANDED = TENTHS // (10 - TENTHS) + 1
+#: BANDS bands of ROWS: at similarity 0.8 a pair escapes all with probability 0.0008, at 0.9 with 0.00001.
+BANDS, ROWS = 7, 2
+#: Paragraphs with fewer shingles are similar by 0.8 only if they are equal, so they need no bands: n shingles are at most n / (n + 1) like others.
+BANDED = TENTHS // (10 - TENTHS)
 
 #: Words of a window that an earlier document must not have, however its sentences lie.
 WINDOW = 50
@@ -92,7 +92,7 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(batches: Batches) -> Batches:
     """The paragraph keys of each text."""
     for batch in batches:
         for i, n, data, offsets in text_slices(batch.column("text"), SLICE):
@@ -115,7 +115,7 @@ def _band_keys(h: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _buckets(batches: Batches) -> Batches:
     """(bucket, node) of each band of each paragraph that needs bands."""
     for batch in batches:
         for _, _, data, offsets in text_slices(batch.column("text"), SLICE):
@@ -131,7 +131,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1)), pa.array(np.repeat(keys[pick], BANDS))], names=["bucket", "node"])
 
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _elements(batches: Batches) -> Batches:
     for batch in batches:
         for _, _, data, offsets in text_slices(batch.column("text"), SLICE):
             _, p, _ = paragraphs(data, offsets)
@@ -178,7 +178,7 @@ def _by_doc(doc: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
     return _lists(values[new], np.bincount(doc[new], minlength=n))
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Batches) -> Batches:
     """The least anchors of the windows of each text."""
     for batch in batches:
         for i, n, data, offsets in text_slices(batch.column("text"), SLICE):
@@ -198,7 +198,7 @@ def _among(doc: np.ndarray, values: np.ndarray, lists: pa.ListArray) -> np.ndarr
         return np.isin(pair(doc, values), pair(np.repeat(np.arange(len(size)), size), flat))
 
 
-def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared_windows(batches: Batches) -> Batches:
     """The windows of each text whose least anchor is in ``anchors``."""
     for batch in batches:
         for i, n, data, offsets in text_slices(batch.column("text"), SLICE):
@@ -208,7 +208,7 @@ def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), _by_doc(s.doc[at[pick]], run[pick], n)], names=["doc_id", "windows"])
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cleaned(batches: Batches, run_words: int) -> Batches:
     """Texts without the words of repeated windows and without the runs of repeated words that are long enough."""
     found = ("repeated", "windows")
     for batch in batches:
@@ -230,7 +230,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 new = np.ones(len(hit), dtype=bool)
                 new[1:] = (hit[1:] != hit[:-1]) | (s.doc[1:] != s.doc[:-1])
                 run = np.cumsum(new) - 1
-                hit &= np.bincount(run)[run] >= RUN_WORDS
+                hit &= np.bincount(run)[run] >= run_words
             removed = np.bincount(s.doc[hit], minlength=n)
             out = texts.slice(i, n)
             if hit.any():
@@ -266,11 +266,11 @@ def _without(data: np.ndarray, offsets: np.ndarray, s: Scan, hit: np.ndarray, te
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, windows): for each document the hashes of its windows of WINDOW words that a document of lesser id has too."""
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    anchors = cut(texts.mapInArrow(_anchors, "doc_id long, anchors array<long>"), "anchors").select("doc_id", F.explode("anchors").alias("anchor"))
+    anchors = cut(in_batches(texts, _anchors, "doc_id long, anchors array<long>"), "anchors").select("doc_id", F.explode("anchors").alias("anchor"))
     several = lambda found, key: found.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     shared = cut(several(anchors, "anchor").select("anchor"), "shared_anchors")
     lists = cut(anchors.join(broadcast_if_small(shared), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "anchor_lists")
-    met = cut(texts.join(lists, "doc_id").mapInArrow(_shared_windows, "doc_id long, windows array<long>"), "windows")
+    met = cut(in_batches(texts.join(lists, "doc_id"), _shared_windows, "doc_id long, windows array<long>"), "windows")
     rows = met.select("doc_id", F.explode("windows").alias("window"))
     firsts = cut(several(rows, "window").select("window", "first"), "first_windows")
     return rows.join(broadcast_if_small(firsts), "window").where("first < doc_id").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
@@ -280,17 +280,17 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, repeated): for each document the keys of its paragraphs that a document of lesser id has too."""
     spark = docs.sparkSession
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    listed = cut(texts.mapInArrow(_units, "doc_id long, nodes array<long>"), "paragraphs")
+    listed = cut(in_batches(texts, _units, "doc_id long, nodes array<long>"), "paragraphs")
     units = listed.select("doc_id", F.explode("nodes").alias("node"))
     copies = cut(units.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("node", "first"), "copies")
 
-    entries = texts.select("text").mapInArrow(_buckets, "bucket long, node long")
+    entries = in_batches(texts.select("text"), _buckets, "bucket long, node long")
     shared = cut(entries.join(broadcast_if_small(cut(shared_buckets(entries), "buckets")), "bucket").distinct(), "entries")
 
     def details_of(nodes: DataFrame) -> DataFrame:
         nodes = broadcast_if_small(cut(nodes, "nodes"))
         ids = cut(units.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "ids")
-        found = texts.join(broadcast_if_small(ids), "doc_id", "left_semi").select("text").mapInArrow(_elements, "node long, elements array<long>, buckets array<long>")
+        found = in_batches(texts.join(broadcast_if_small(ids), "doc_id", "left_semi").select("text"), _elements, "node long, elements array<long>, buckets array<long>")
         return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     near = similarity_classes(shared, details_of, TENTHS)
@@ -301,13 +301,14 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     return units.join(broadcast_if_small(cut(every, "every")), "node").where("first < doc_id").groupBy("doc_id").agg(F.collect_set("node").alias("repeated"))
 
 
-def remove_repeated_paragraphs(docs: DataFrame) -> DataFrame:
+def remove_repeated_paragraphs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """``docs`` with ``text`` without passages that an earlier document has, and n_paragraphs, n_repeated, n_words, n_removed.
 
     Earlier is: of lesser doc_id. Paragraphs are lines cut after sentences of eight words or more; two are equal if
     the multiset Jaccard similarity of their five-word shingles is 0.8 or more, in one component of such links. Beside
     them, every window of 50 words that an earlier document has word by word is repeated, wherever it begins. A run
-    of repeated words, from paragraphs and windows together, is removed if it has 20 words or more; n_removed counts words.
+    of repeated words, from paragraphs and windows together, is removed if it has ``run_words`` words or more, so that common phrases
+    stay; n_removed counts words.
 
     Nulls: a null text has no paragraph and stays null; a document with a null doc_id stays as it is. Repeated rows of
     one doc_id are the same document, so they do not repeat each other; all keep their first passages. Texts
@@ -317,11 +318,11 @@ def remove_repeated_paragraphs(docs: DataFrame) -> DataFrame:
     made = ["n_paragraphs", "n_repeated", "n_words", "n_removed"]
     docs = docs.drop("repeated", "windows", *made)
     found = repeated_paragraphs(docs).join(repeated_windows(docs), "doc_id", "full")
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [f"`{c.replace('`', '``')}`" for c in docs.columns if c != "text"]
     none = F.array().cast("array<bigint>")
     joined = docs.join(found, "doc_id", "left").select(*rest, "text", F.coalesce("repeated", none).alias("repeated"), F.coalesce("windows", none).alias("windows"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return joined.mapInArrow(_cleaned, f"{schema}, {', '.join(f'{c} long' for c in made)}, text string").select(*docs.columns, *made)
+    schema = with_columns(docs.drop("text"), f"{', '.join(f'{c} long' for c in made)}, text string")
+    return in_batches(joined, partial(_cleaned, run_words=run_words), schema).select(*(f"`{c.replace('`', '``')}`" for c in docs.columns), *made)
 
 
 def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

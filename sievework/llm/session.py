@@ -1,15 +1,22 @@
-"""The subpackage's tables, and the storage helpers it shares with the library."""
+"""The subpackage's tables, Arrow passes over texts, and the storage helpers it shares with the library."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from sievework.llm.wordscan import text_slices
 from sievework.storage import broadcast_if_small, cut, drop_paths, fresh_path, shared_dir
 
-__all__ = ["broadcast_if_small", "cut", "documents", "drop_paths", "fresh_path", "shared_dir", "small_batches", "table"]
+__all__ = ["broadcast_if_small", "cut", "documents", "drop_paths", "fresh_path", "in_batches", "row_slices", "shared_dir", "table", "with_columns"]
+
+Batches = Iterator[pa.RecordBatch]
+
+#: Bytes of rows in an Arrow batch; a longer row is a batch by itself.
+BATCH_BYTES = 2 * 1024 * 1024
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,13 +27,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Smaller Arrow batches for what runs inside: long texts by the ten thousand take much memory on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def in_batches(df: DataFrame, run: Callable[[Batches], Batches], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded bytes, whatever the rows hold; the worker gives its Arrow memory back at the end.
+
+    The bound is a setting of the session that Spark reads when the result is computed, so it stays set.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, schema)
+
+
+def row_slices(batches: Batches, limit: int, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) of runs of rows whose texts have ``limit`` bytes at most, or of one row."""
+    for batch in batches:
+        for i, n, data, offsets in text_slices(batch.column(column), limit):
+            yield batch.slice(i, n), data, offsets
+
+
+def with_columns(df: DataFrame, more: str) -> str:
+    """The schema of ``df`` and of ``more``, as text."""
+    return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema), more])

@@ -9,8 +9,6 @@ over the blocks' totals.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -20,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm.byte_bpe import default_vocabulary, read_ranks
 from sievework.llm.files import opened, read_range, written
-from sievework.llm.session import cut, documents, fresh_path
+from sievework.llm.session import Batches, cut, documents, fresh_path, in_batches
 
 #: Ids in a block of a scan.
 BLOCK_IDS = 1 << 20
@@ -48,7 +46,7 @@ def write_flat_tokens(docs: DataFrame, folder: str, end: int = 50256, path: str
     """
     path, pattern = (path, pattern) if path else default_vocabulary()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         coder, part, number = _coder(path, pattern), TaskContext.get().partitionId(), 0
         tail = np.array([end], dtype="<u2").tobytes()
         todo = ((batch.column("doc_id").slice(i, 500), batch.column("text").slice(i, 500)) for batch in batches for i in range(0, batch.num_rows, 500))
@@ -71,7 +69,7 @@ def write_flat_tokens(docs: DataFrame, folder: str, end: int = 50256, path: str
                 n = len(ids_of)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(first, first + n)), ids_of], names=["file", "ordinal", "doc_id"])
 
-    return cut(docs.select("doc_id", "text").mapInArrow(run, "file string, ordinal long, doc_id long"), "placed")
+    return cut(in_batches(docs.select("doc_id", "text"), run, "file string, ordinal long, doc_id long"), "placed")
 
 
 def flat_blocks(spark: SparkSession, folder: str, block_ids: int = BLOCK_IDS, suffix: str = ".u16", width: int = 2) -> DataFrame:
@@ -95,7 +93,7 @@ def count_tokens(spark: SparkSession, folder: str, end: int = 50256, block_ids:
     many = max(1, min(blocks.count(), 100_000))
     dtype = "<u2" if width == 2 else "<u4"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             for b in batch.to_pylist():
                 ids = np.frombuffer(read_range(f"{folder}/{b['file']}", b["offset"], b["length"]), dtype=dtype)
@@ -107,7 +105,7 @@ def count_tokens(spark: SparkSession, folder: str, end: int = 50256, block_ids:
                     names=["file", "block", "ends", "left", "gaps"],
                 )
 
-    scanned = cut(blocks.repartition(many).mapInArrow(run, "file string, block long, ends long, left long, gaps array<long>"), "scanned")
+    scanned = cut(in_batches(blocks.repartition(many), run, "file string, block long, ends long, left long, gaps array<long>"), "scanned")
     # the prefix scan: documents ended before a block, and ids left open by the blocks since the last end id
     order = Window.partitionBy("file").orderBy("block")
     totals = scanned.select("file", "block", "ends", "left").withColumn("done", F.sum("ends").over(order))

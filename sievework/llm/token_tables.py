@@ -2,8 +2,10 @@
 
 A shard is a file. Documents stand in ascending order of key in blocks of about ``BLOCK_BYTES``; a key is
 stored as the length of what it shares with the key before and the rest. After the blocks come the
-index (last key, offset and length of each block), the Bloom filter of all keys, and a footer of fixed
+index (last key, offset and length of each block), the Bloom filter of all ids, and a footer of fixed
 length that says where these begin. One lookup reads the footer, filter and index, then one block.
+
+A key is the doc_id, a hash of the text and a number that no other row has, so rows that repeat a doc_id have keys of their own.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.files import opened, read_range, written
-from sievework.llm.session import cut, documents, fresh_path, small_batches
+from sievework.llm.session import Batches, cut, documents, fresh_path, in_batches
 from sievework.llm.wordscan import SPACED, scan, text_slices
 
 BLOCK_BYTES = 64 * 1024
 #: Bytes of ids in a shard.
-SHARD_BYTES = 8 * 1024 * 1024
+SHARD_BYTES = 256 * 1024 * 1024
 #: Bits of the Bloom filter for each key, and hashes: one lookup in a hundred of an absent key goes on to the index.
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"SSTOKEN1"
@@ -48,52 +50,65 @@ _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: b if b in _SHOWN else 0x100 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
 
 
-def key_of(doc_id: int | None, copy: int = 0) -> bytes:
-    """A key whose byte order is that of (doc_id, copy), null first."""
-    return b"\0" + struct.pack(">QI", 0, copy) if doc_id is None else b"\1" + struct.pack(">QI", doc_id + (1 << 63), copy)
+def id_part(doc_id: int | None) -> bytes:
+    """Bytes whose order is that of doc_ids, null first: the first part of a key."""
+    return b"\0" + bytes(8) if doc_id is None else b"\1" + struct.pack(">Q", doc_id + (1 << 63))
+
+
+def key_of(doc_id: int | None, content: int = 0, row: int = 0) -> bytes:
+    """A key whose byte order is that of (doc_id, content, row)."""
+    return id_part(doc_id) + struct.pack(">QQ", content + (1 << 63), row)
 
 
 def doc_of(key: bytes) -> int | None:
     return None if key[0] == 0 else struct.unpack(">Q", key[1:9])[0] - (1 << 63)
 
 
-def _bloom_places(key: bytes, bits: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.adler32(key[::-1]) * 2654435761 % (1 << 32) | 1
+def _bloom_places(part: bytes, bits: int) -> list[int]:
+    a, b = zlib.crc32(part), zlib.adler32(part[::-1]) * 2654435761 % (1 << 32) | 1
     return [(a + i * b) % bits for i in range(BLOOM_HASHES)]
 
 
-def write_shard(out, rows: Iterable[tuple[bytes, np.ndarray]], width: int) -> tuple[int, int]:
-    """Write (key, ids) in ascending order of key; (documents, ids) written."""
-    dtype = np.dtype("<u2") if width == 2 else np.dtype("<u4")
-    at, n_ids, keys, index, block, last = 0, 0, [], [], bytearray(), b""
-    def flush() -> None:
-        nonlocal at, last
-        if block:
-            out.write(bytes(block))
-            index.append(_INDEX.pack(len(last), at, len(block)) + last)
-            at += len(block)
-            block.clear()
-            last = b""
-    for key, ids in rows:
-        value = ids.astype(dtype).tobytes()
-        if len(block) + len(value) > BLOCK_BYTES:
-            flush()
-        shared = len(os.path.commonprefix([last, key]))
-        block += _ENTRY.pack(shared, len(key) - shared, len(value)) + key[shared:] + value
-        last = key
-        keys.append(key)
-        n_ids += len(ids)
-    flush()
-    bits = max(64, len(keys) * BLOOM_BITS)
-    bloom = bytearray((bits + 7) // 8)
-    for key in keys:
-        for p in _bloom_places(key, bits):
-            bloom[p >> 3] |= 1 << (p & 7)
-    packed = b"".join(index)
-    out.write(packed)
-    out.write(struct.pack("<Q", bits) + bytes(bloom))
-    out.write(FOOTER.pack(at, len(packed), at + len(packed), 8 + len(bloom), len(keys), n_ids, width, MAGIC))
-    return len(keys), n_ids
+class ShardWriter:
+    """Writes (key, ids) in ascending order of key to a stream, a block at a time."""
+
+    def __init__(self, out, width: int) -> None:
+        self.out, self.width, self.dtype = out, width, np.dtype("<u2") if width == 2 else np.dtype("<u4")
+        self.at = self.n_docs = self.n_ids = 0
+        self._index, self._block, self._last, self._parts = [], bytearray(), b"", []
+
+    def _flush(self) -> None:
+        if self._block:
+            self.out.write(bytes(self._block))
+            self._index.append(_INDEX.pack(len(self._last), self.at, len(self._block)) + self._last)
+            self.at += len(self._block)
+            self._block.clear()
+            self._last = b""
+
+    def add(self, key: bytes, ids: np.ndarray) -> None:
+        value = ids.astype(self.dtype).tobytes()
+        if len(self._block) + len(value) > BLOCK_BYTES:
+            self._flush()
+        shared = len(os.path.commonprefix([self._last, key]))
+        self._block += _ENTRY.pack(shared, len(key) - shared, len(value)) + key[shared:] + value
+        self._last = key
+        if not self._parts or self._parts[-1] != key[:9]:
+            self._parts.append(key[:9])
+        self.n_docs += 1
+        self.n_ids += len(ids)
+
+    def close(self) -> None:
+        """Write what is left, the index, the filter and the footer."""
+        self._flush()
+        bits = max(64, len(self._parts) * BLOOM_BITS)
+        bloom = bytearray((bits + 7) // 8)
+        for part in self._parts:
+            for p in _bloom_places(part, bits):
+                bloom[p >> 3] |= 1 << (p & 7)
+        packed = b"".join(self._index)
+        self.out.write(packed)
+        self.out.write(struct.pack("<Q", bits) + bytes(bloom))
+        self.out.write(FOOTER.pack(self.at, len(packed), self.at + len(packed), 8 + len(bloom), self.n_docs, self.n_ids, self.width, MAGIC))
 
 
 def _index(packed: bytes) -> list[tuple[bytes, int, int]]:
@@ -124,30 +139,35 @@ def _footer(tail: bytes) -> tuple:
     return found
 
 
-def read_shard(content: bytes) -> Iterator[tuple[bytes, np.ndarray]]:
-    """All (key, ids) of a shard's bytes."""
-    index_at, index_size, _, _, _, _, width, _ = _footer(content[-FOOTER.size :])
-    for _, at, size in _index(content[index_at : index_at + index_size]):
-        yield from _entries(content[at : at + size], width)
+def _opened_shard(uri: str) -> tuple:
+    fs, path = opened(uri)
+    return _footer(read_range(uri, fs.get_file_info(path).size - FOOTER.size, FOOTER.size))
+
+
+def read_shard(uri: str) -> Iterator[tuple[bytes, np.ndarray]]:
+    """All (key, ids) of a shard, read a block at a time."""
+    index_at, index_size, _, _, _, _, width, _ = _opened_shard(uri)
+    for _, at, size in _index(read_range(uri, index_at, index_size)):
+        yield from _entries(read_range(uri, at, size), width)
 
 
 def lookup(uri: str, doc_id: int | None, copy: int = 0) -> np.ndarray | None:
-    """The ids of one document of a shard, or None: filter, binary search of the index, one block."""
-    fs, path = opened(uri)
-    size = fs.get_file_info(path).size
-    index_at, index_size, bloom_at, bloom_size, _, _, width, _ = _footer(read_range(uri, size - FOOTER.size, FOOTER.size))
-    key = key_of(doc_id, copy)
+    """The ids of one document of a shard (of rows that repeat its id, the one numbered ``copy``), or None: filter, binary search of the index, one block."""
+    index_at, index_size, bloom_at, bloom_size, _, _, width, _ = _opened_shard(uri)
+    part = id_part(doc_id)
     bloom = read_range(uri, bloom_at, bloom_size)
     bits = struct.unpack_from("<Q", bloom)[0]
-    if not all(bloom[8 + (p >> 3)] >> (p & 7) & 1 for p in _bloom_places(key, bits)):
+    if not all(bloom[8 + (p >> 3)] >> (p & 7) & 1 for p in _bloom_places(part, bits)):
         return None
     index = _index(read_range(uri, index_at, index_size))
-    k = bisect_left(index, key, key=lambda e: e[0])
-    if k == len(index):
-        return None
-    for found, ids in _entries(read_range(uri, index[k][1], index[k][2]), width):
-        if found == key:
-            return ids
+    for _, at, size in index[bisect_left(index, part, key=lambda e: e[0]) :]:
+        for key, ids in _entries(read_range(uri, at, size), width):
+            if key[:9] == part:
+                if not copy:
+                    return ids
+                copy -= 1
+            elif key > part:
+                return None
     return None
 
 
@@ -172,18 +192,19 @@ class WordEncoder:
     def encode(self, texts: pa.Array, end: int) -> Iterator[list[np.ndarray]]:
         """Lists of the texts' ids and the end id, as unsigned 32-bit integers; null is empty.
 
-        The words of a slice of texts are told apart by a 64-bit hash, so each is looked up once; the ids are then
-        laid out by index arithmetic.
+        The words of a slice of texts are told apart by a 64-bit hash, which is then checked against their bytes, so each is looked up
+        once; the ids are then laid out by index arithmetic.
         """
         for _, n, data, offsets in text_slices(texts, SLICE_BYTES):
             s = scan(data, offsets, SPACED)
-            if not data.all():  # the scan takes byte 0 for byte 1; such texts go word by word
+            _, first, which = np.unique(s.hashes(), return_index=True, return_inverse=True)
+            # the scan takes byte 0 for byte 1, and words may share a hash: such texts go word by word
+            if not data.all() or not s.same(np.arange(len(which)), s, first[which]).all():
                 whole = data.tobytes()
                 split = [whole[i:j].lower().split() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
                 known = self._known(set().union(*split))
                 yield [np.frombuffer(b"".join(map(known.__getitem__, words)) + struct.pack("<I", end), dtype="<u4") for words in split]
                 continue
-            _, first, which = np.unique(s.hashes(), return_index=True, return_inverse=True)
             lower = s.data.tobytes()
             words = [lower[i:j] for i, j in zip(s.start[first].tolist(), s.end[first].tolist(), strict=True)]
             known = self._known(words)
@@ -266,74 +287,66 @@ def write_token_tables(docs: DataFrame, folder: str, tokenizer: str | None = Non
 
     Documents are dealt by ranges of doc_id, so shard names ascend with the ids. Each document's ids are followed by
     the id ``end``. Nulls: a null text is empty; a null doc_id comes first. Rows that repeat a doc_id are stored
-    each, in order of a hash of the text, as copies 0, 1, ... of the key. A long text is one entry. Other
+    each, in order of a hash of the text, and may be dealt to several shards. A long text is one entry. Other
     columns are not read. An empty table writes no shard.
     """
     tokenizer = tokenizer or default_tokenizer()
-    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
-        rows: list[tuple[bytes, np.ndarray]] = []
-        held = shard = copy = 0
-        last: object = rows
+    order = ["doc_id", "h", "m"]
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("m")).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(batches: Batches) -> Batches:
+        encoder, part, number = _encoder(tokenizer), TaskContext.get().partitionId(), 0
+        rows = (
+            (key_of(*key), ids)
+            for batch in batches
+            for key, ids in zip(
+                zip(*(batch.column(c).to_pylist() for c in order), strict=True), (ids for encoded in encoder.encode(batch.column("text"), end) for ids in encoded), strict=True
+            )
+        )
         made = []
-
-        def flush() -> None:
-            nonlocal held, shard
-            if rows:
-                name = f"part-{part:06d}-{shard:05d}.sst"
-                with written(folder, name) as out:
-                    made.append((name, *write_shard(out, rows, encoder.width)))
-                rows.clear()
-                held, shard = 0, shard + 1
-
-        for batch in batches:
-            ids_of = batch.column("doc_id").to_pylist()
-            at = 0
-            for encoded in encoder.encode(batch.column("text"), end):
-                for doc_id, ids in zip(ids_of[at : at + len(encoded)], encoded, strict=True):
-                    copy = copy + 1 if doc_id == last else 0
-                    last = doc_id
-                    rows.append((key_of(doc_id, copy), ids))
-                    held += len(ids) * encoder.width
-                    if held >= SHARD_BYTES:
-                        flush()
-                at += len(encoded)
-        flush()
+        row = next(rows, None)
+        while row is not None:
+            name = f"part-{part:06d}-{number:05d}.sst"
+            with written(folder, name) as out:
+                shard = ShardWriter(out, encoder.width)
+                while row is not None and shard.at < SHARD_BYTES:
+                    shard.add(*row)
+                    row = next(rows, None)
+                shard.close()
+            made.append((name, shard.n_docs, shard.n_ids))
+            number += 1
         names, n_docs, n_ids = zip(*made, strict=True) if made else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n_docs, pa.int64()), pa.array(n_ids, pa.int64())], names=["shard", "n_docs", "n_ids"])
 
-    with small_batches(docs.sparkSession):
-        return cut(dealt.mapInArrow(run, "shard string, n_docs long, n_ids long"), "shards")
+    return cut(in_batches(dealt, run, "shard string, n_docs long, n_ids long"), "shards")
 
 
-def read_token_tables(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
+def read_token_tables(folder: str, shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the shards of ``folder``, from the files.
 
     ``start`` is the number of ids in all documents before it, in the order of keys. ``shards`` (shard, n_ids) gives what each
-    shard adds.
+    shard adds; a shard is read by one task, a block at a time.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                ids_of, start, size, crc, at = [], [], [], [], 0
-                for key, ids in read_shard(content.as_py()):
-                    ids_of.append(doc_of(key))
-                    start.append(at)
-                    size.append(len(ids))
-                    crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+            for name, before in zip(batch.column("shard").to_pylist(), batch.column("before").to_pylist(), strict=True):
+                rows, at = [], before
+                for key, ids in read_shard(f"{folder}/{name}"):
+                    rows.append((doc_of(key), at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     at += len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path.rsplit("/", 1)[-1]] * len(size), pa.string()), *(pa.array(x, pa.int64()) for x in (ids_of, start, size, crc))],
-                    names=["shard", "doc_id", "own", "n_tokens", "ids_crc32"],
-                )
+                    if len(rows) == 10_000:
+                        yield _columns(rows)
+                        rows = []
+                if rows:
+                    yield _columns(rows)
 
-    before = shards.select("shard", (F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_ids")).alias("before"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).select("path", "content")
-    rows = files.mapInArrow(run, "shard string, doc_id long, own long, n_tokens long, ids_crc32 long")
-    return rows.join(before, "shard").select("doc_id", (F.col("own") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    _columns = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=names)
+    upto = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))  # a row for each SHARD_BYTES of ids
+    many = max(1, min(shards.count(), 100_000))
+    dealt = shards.select("shard", (upto - F.col("n_ids")).alias("before")).repartition(many)
+    return in_batches(dealt, run, ", ".join(f"{n} long" for n in names))
 
 
 def op7_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,4 +355,4 @@ def op7_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = write_token_tables(documents(spark, sf_dir), folder)
     if shards.limit(1).count() == 0:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read_token_tables(spark, folder, shards)
+    return read_token_tables(folder, shards)

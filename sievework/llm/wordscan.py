@@ -1,13 +1,13 @@
 """Vectorised word scanning of Arrow string batches with numpy.
 
 A batch of texts is one byte buffer. Words are found on the whole buffer at once, and each word
-gets a 64-bit hash from prefix sums of a polynomial over its bytes, so no Python loop runs over
-words. Texts are taken in slices of a bounded number of bytes, so temporaries stay bounded
+gets a 64-bit hash from its bytes, eight at a time, so no Python loop runs over words. Texts are taken in slices of a bounded number of bytes, so temporaries stay bounded
 whatever the batch holds; one text longer than the bound is a slice by itself.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,12 +16,12 @@ import pyarrow as pa
 
 #: Bytes of text handled at once.
 SLICE_BYTES = 1_500_000
-#: Bytes of words hashed at once.
-HASH_BYTES = 500_000
+#: Bytes from which a word is hashed, and compared, by itself.
+LONG_WORD = 1024
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+#: The low k bytes of a 64-bit integer, for k from 0 to 8.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=_U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,29 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
-    out = np.ones(max(n, 1), dtype=_U)
-    done, step = 1, base
-    with np.errstate(over="ignore"):
-        while done < n:
-            k = min(done, n - done)
-            out[done : done + k] = out[:k] * _U(step)
-            done += k
-            step = step * step & (1 << 64) - 1
-    return out
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    held = _POWERS.get(base)
-    if held is None or len(held) < n:
-        held = _POWERS[base] = powers(base, max(n, HASH_BYTES))
-    return held[:n]
-
-
 @dataclass
 class Scan:
     """Words of some texts: ``data`` their bytes, ``doc`` the text of each word (ascending), ``start``/``end`` its bytes, ``n_docs`` texts."""
@@ -67,22 +44,46 @@ class Scan:
     doc: np.ndarray
     n_docs: int
 
+    def _lanes(self) -> np.ndarray:
+        """The eight bytes from each place on, as an integer; past the end they are 0."""
+        padded = np.zeros(len(self.data) + 8, dtype=np.uint8)
+        padded[: len(self.data)] = self.data
+        return np.ndarray((len(self.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, from runs of words of bounded length."""
-        out = np.empty(len(self.start), dtype=_U)
-        i = 0
-        while i < len(out):
-            base = int(self.start[i])
-            j = max(i + 1, int(np.searchsorted(self.end, base + HASH_BYTES, side="right")))
-            begin, end = self.start[i:j] - base, self.end[i:j] - base
-            n = int(end[-1])
-            with np.errstate(over="ignore"):
-                sums = np.zeros(n + 1, dtype=_U)
-                np.cumsum((self.data[base : base + n].astype(_U) + _U(1)) * _powers(_BASE, n), out=sums[1:])
-                out[i:j] = mix((sums[end] - sums[begin]) * _powers(_BASE_INV, n)[begin])
-            i = j
+        """A 64-bit hash of each word's bytes. Of words of one length up to eight bytes no two have the same."""
+        size = self.end - self.start
+        lanes = self._lanes()
+        with np.errstate(over="ignore"):
+            out = mix(size.astype(_U) + _U(0x9E3779B97F4A7C15))
+            out = mix(out ^ (lanes[self.start] & _LOW[np.minimum(size, 8)]))
+            step, at = 8, np.flatnonzero((size > 8) & (size <= LONG_WORD))
+            while len(at):
+                left = np.minimum(size[at] - step, 8)
+                out[at] = mix(out[at] * _U(0x2545F4914F6CDD1D) ^ (lanes[self.start[at] + step] & _LOW[left]))
+                step += 8
+                at = at[size[at] > step]
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8).digest(), "little")
         return out
 
+    def same(self, mine: np.ndarray, other: Scan, theirs: np.ndarray) -> np.ndarray:
+        """Whether words of this scan (by index) have the bytes of words of another."""
+        size = self.end[mine] - self.start[mine]
+        same = size == other.end[theirs] - other.start[theirs]
+        a, b, step = self._lanes(), other._lanes(), 0
+        at = np.flatnonzero(same & (size <= LONG_WORD))
+        while len(at):
+            low = _LOW[np.minimum(size[at] - step, 8)]
+            equal = (a[self.start[mine[at]] + step] & low) == (b[other.start[theirs[at]] + step] & low)
+            same[at[~equal]] = False
+            step += 8
+            at = at[equal & (size[at] > step)]
+        for i in np.flatnonzero(same & (size > LONG_WORD)).tolist():
+            j, k = int(self.start[mine[i]]), int(other.start[theirs[i]])
+            same[i] = np.array_equal(self.data[j : j + size[i]], other.data[k : k + size[i]])
+        return same
+
     def counts(self) -> np.ndarray:
         """Words of each text."""
         return np.bincount(self.doc, minlength=self.n_docs)

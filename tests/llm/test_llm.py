@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.llm import byte_bpe, decontaminate, language_id, license_scan, lm_scoring, near_dedup, paragraph_dedup, quality_rules, registry, token_counts, token_tables, wordscan
+from sievework.llm import byte_bpe, decontaminate, language_id, license_scan, lm_scoring, near_dedup, near_join, paragraph_dedup, quality_rules, registry, token_counts, token_tables, wordscan
 from sievework.llm.session import fresh_path
 
 SF = "/root/testdata/sf0.001"
@@ -164,6 +164,83 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert near_dedup.keep_one_of_each(odd).count() == odd.count()
 
 
+def classes_by_brute_force(bags, tenths=8):
+    """The least key of each component of links between multisets."""
+    parent = {i: i for i in bags}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    size = {i: sum(b.values()) for i, b in bags.items()}
+    ids = sorted(bags)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            if min(size[a], size[b]) * 10 >= tenths * max(size[a], size[b]) and alike(bags[a], bags[b]):
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    return {i: find(i) for i in ids}
+
+
+def test_rare_elements_lose_no_link(spark, monkeypatch):
+    """Nodes of one bucket with a common core: the same components whether they meet by pairs or by rare elements."""
+    rng = random.Random(8)
+    for paired in (1, 64):
+        monkeypatch.setattr(near_join, "PAIRED", paired)
+        core = list(range(40))
+        sets = {}
+        for i in range(120):
+            if i % 3 and i > 3:  # a change of another node
+                own = set(sets[rng.randrange(i)])
+                for x in rng.sample(sorted(own), rng.randrange(1, 8)):
+                    own.remove(x)
+                own |= {1000 + rng.randrange(400) for _ in range(rng.randrange(6))}
+            else:
+                own = set(rng.sample(core, 36)) | {1000 + rng.randrange(400) for _ in range(rng.randrange(4, 20))}
+            sets[i] = sorted(own)
+        want = classes_by_brute_force({i: collections.Counter(s) for i, s in sets.items()})
+        details = spark.createDataFrame([(i, s, [5]) for i, s in sets.items()], "node long, elements array<long>, buckets array<long>")
+        shared = spark.createDataFrame([(5, i) for i in sets], "bucket long, node long")
+        got = {r["node"]: r["label"] for r in near_join.similarity_classes(shared, lambda n: details.join(n, "node", "left_semi"), 8).collect()}  # noqa: B023
+        assert {i: got.get(i, i) for i in sets} == want
+        assert 10 < len(set(want.values())) < 110
+
+
+def test_look_alikes_make_no_square(spark):
+    n = 50_000
+    shared = spark.range(n).selectExpr("1L AS bucket", "id AS node")
+    details = spark.range(n).selectExpr("id AS node", "concat(sequence(1L, 80L), transform(sequence(1L, 20L), i -> 1000 + id * 20 + i)) AS elements", "array(1L) AS buckets")
+    assert near_join.similarity_classes(shared, lambda _: details, 8).count() == 0
+
+
+def test_paragraph_classes_by_brute_force(spark):
+    """Paragraphs of 8 words or more against all pairs: which of a document's paragraphs an earlier document has, by components."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(300)}"
+    lines = [[word() for _ in range(rng.choice([4, 8, 9, 12, 20, 30]))] for _ in range(25)]
+    texts = {}
+    for i in range(60):
+        own = []
+        for _ in range(rng.randrange(1, 6)):
+            line = list(rng.choice(lines))
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                line.insert(rng.choice([0, len(line), rng.randrange(len(line))]), word())
+            own.append(" ".join(line))
+        texts[i] = "\n".join(own)
+    texts[60], texts[61] = "alpha beta gamma delta epsilon zeta eta theta", "prefix alpha beta gamma delta epsilon zeta eta theta"
+    bags = {line: bag(line) for t in texts.values() for line in t.split("\n")}
+    label = classes_by_brute_force(bags)
+    first = {}
+    for i, t in sorted(texts.items()):
+        for line in t.split("\n"):
+            first.setdefault(label[line], i)
+    want = {i: sum(first[label[line]] < i for line in t.split("\n")) for i, t in texts.items()}
+    got = by_id(paragraph_dedup.remove_repeated_paragraphs(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), run_words=8))
+    assert {i: r["n_repeated"] for i, r in got.items()} == want
+    assert want[61] == 1 and sum(map(bool, want.values())) > 20
+
+
 def test_passages_are_removed_from_later_documents(spark, rows):
     words = [w for t in rows.values() for w in t.split() if w.isalpha()]
     random.seed(4)
@@ -282,9 +359,11 @@ def test_automaton_by_brute_force():
         window = random.choice([2, 3, 4, 10])
         items = [(str(i), " ".join(random.choice(letters) for _ in range(random.randint(0, 14)))) for i in range(random.randint(0, 5))]
         text = " ".join(random.choice(letters + "Z") for _ in range(60))
-        spans, found, _ = decontaminate.ItemAutomaton(items, window).match(text.lower().encode().split())
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        s = wordscan.scan(data, np.array([0, len(data)]), wordscan.ALNUM)
+        got = decontaminate.ItemAutomaton(items, window).match(s, s.hashes()).get(0, decontaminate.Found([], set(), 0))
         n, hits, want = brute_hits(text, items, window)
-        assert (sum(b - a for a, b in spans), found) == (hits, want)
+        assert (sum(b - a for a, b in got.spans), got.items) == (hits, want)
 
 
 def test_decontamination(spark, docs, odd, none, monkeypatch):
@@ -294,9 +373,11 @@ def test_decontamination(spark, docs, odd, none, monkeypatch):
     assert clean.columns == docs.columns
     one = sorted(map(tuple, decontaminate.contamination(docs, bench).select("doc_id", "n_hit", "items").collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 300)
-    blocks = decontaminate.item_blocks(bench)
-    assert len(blocks) > 2
+    items, files = decontaminate.automata(bench)
+    assert items is None and len(files) > 5
     assert sorted(map(tuple, decontaminate.contamination(docs, bench).select("doc_id", "n_hit", "items").collect())) == one
+    key = lambda d: sorted(map(repr, d.collect()))
+    assert key(decontaminate.decontaminated(docs, bench)) == key(clean)
     got = decontaminate.contamination(odd, bench).collect()
     assert len(got) == odd.count() and all(r["n_hit"] == 0 for r in got)
     empty = spark.createDataFrame([], "item_id long, text string")
@@ -345,17 +426,18 @@ def test_token_tables(spark, docs, odd, none):
     for d in (docs, odd):
         folder = fresh_path(spark, "t")
         shards = token_tables.write_token_tables(d, folder)
-        got = sorted(token_tables.read_token_tables(spark, folder, shards).collect(), key=lambda r: r["start"])
+        got = sorted(token_tables.read_token_tables(folder, shards).collect(), key=lambda r: r["start"])
         source = d.select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy(F.asc_nulls_first("doc_id"), F.asc_nulls_first("h")).collect()
         at = 0
         for r, s in zip(got, source, strict=True):
             ids = encoder.whole(s["text"] or "", 1)
             assert tuple(r) == (s["doc_id"], at, len(ids), zlib.crc32(ids.tobytes()))
             at += len(ids)
-    first = spark.read.format("binaryFile").load(f"{folder}/*.sst").orderBy("path").first()["path"]
-    stored = next(s["doc_id"] for s in source)
-    assert token_tables.lookup(first, stored) is not None
-    assert token_tables.lookup(first, 999_999) is None
+    names = [r["shard"] for r in shards.orderBy("shard").collect()]
+    assert token_tables.lookup(f"{folder}/{names[0]}", source[0]["doc_id"]) is not None
+    assert token_tables.lookup(f"{folder}/{names[0]}", 999_999) is None
+    keys = [k for n in names for k, _ in token_tables.read_shard(f"{folder}/{n}")]
+    assert len(set(keys)) == len(keys) == odd.count() and keys == sorted(keys)
     assert token_tables.write_token_tables(none, fresh_path(spark, "t")).count() == 0
 
 
@@ -368,15 +450,39 @@ def test_words_apart_give_the_librarys_ids():
         assert next(encoder.encode(pa.array([t]), 1))[0].tolist() == encoder.whole(t, 1).tolist()
 
 
+def test_words_of_one_hash_give_the_librarys_ids(monkeypatch):
+    encoder = token_tables.WordEncoder(token_tables.default_tokenizer())
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    texts = [f"{a} {b} word {a[1:]} {b[1:]}", f"{b} {'q' * 3000} {a}", None]
+    same = lambda: [x.tolist() for e in encoder.encode(pa.array(texts), 1) for x in e] == [encoder.whole(t or "", 1).tolist() for t in texts]
+    assert same()
+    monkeypatch.setattr(wordscan.Scan, "hashes", lambda self: np.zeros(len(self.start), dtype=np.uint64))
+    assert same()
+
+
+def test_many_rows_of_one_id(spark):
+    d = spark.createDataFrame([(7, f"text {i % 90}") for i in range(400)], "doc_id long, text string").repartition(7)
+    folder = fresh_path(spark, "t")
+    shards = token_tables.write_token_tables(d, folder)
+    keys = [k for r in shards.orderBy("shard").collect() for k, _ in token_tables.read_shard(f"{folder}/{r['shard']}")]
+    assert len(set(keys)) == 400 and keys == sorted(keys)
+
+
 def test_shard_lookup(tmp_path):
-    rows = [(token_tables.key_of(i), np.arange(i % 50, dtype="<u4")) for i in range(-500, 5000, 3)]
+    rows = [(token_tables.key_of(i, c), np.arange((i + c) % 50, dtype="<u4")) for i in range(-500, 5000, 3) for c in range(-1, 1 + (i % 2))]
     with (tmp_path / "s.sst").open("wb") as f:
-        token_tables.write_shard(f, rows, 4)
+        w = token_tables.ShardWriter(f, 4)
+        for row in rows:
+            w.add(*row)
+        w.close()
     uri = f"file://{tmp_path}/s.sst"
     for i in (-500, -497, 1, 2500, 4996):
         ids = token_tables.lookup(uri, i)
-        assert (ids is None) == ((i + 500) % 3 != 0) and (ids is None or ids.tolist() == list(range(i % 50)))
-    assert [k for k, _ in token_tables.read_shard((tmp_path / "s.sst").read_bytes())] == [k for k, _ in rows]
+        assert (ids is None) == ((i + 500) % 3 != 0) and (ids is None or ids.tolist() == list(range((i - 1) % 50)))
+    assert token_tables.lookup(uri, -497, 1).tolist() == list(range(-497 % 50)) and token_tables.lookup(uri, -497, 2) is None
+    assert [k for k, _ in token_tables.read_shard(uri)] == [k for k, _ in rows]
 
 
 @pytest.mark.parametrize("block", [200, 5000, 1 << 20])
