@@ -1,7 +1,7 @@
 """Quality rules with thresholds from mergeable quantile sketches of each language and source.
 
 Everything here is DataFrame expressions: a text's figures are computed inside its row, sketches are rows of
-bucket counts, and merging sketches is adding counts.
+bucket counts, and merging sketches is adding counts. No cutoff is fixed but the base rule's: all fences are quantiles.
 """
 
 from __future__ import annotations
@@ -9,19 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.session import broadcast_if_small, cut, documents
+from sievework.llm.session import broadcast_if_small, cut, documents, unused_names
 
 #: Words of a window that is looked for again in its text.
 WINDOW = 8
-#: A sketch has LOG_STEPS buckets for each factor e of 1 + value, so a quantile is right within one part in fifty.
-LOG_STEPS = 50
-#: Documents of a group from which its own sketch is used; smaller ones use their language's, or that of all.
-ENOUGH = 100
-#: Sketch quantiles in hundredths, the fence as a multiple of their distance, and what is added to it in buckets (a factor e**0.7).
-LOW, HIGH, SPREAD, SLACK = 25, 75, 3, 35
-#: Value per metric up to which the fence never falls, as most texts have none of it: symbols and repeated lines per 1000 words, repeated words per 1000.
-TOLERATED = {"m_symbols": 150, "m_lines": 30, "m_repeat": 250}
-#: Metrics with an upper fence, and those with a lower one too.
+#: A sketch has LOG_STEPS buckets for each factor e of a value, so a quantile is right within one part in a hundred.
+LOG_STEPS = 100
+#: Hundredths of a sketch from which its fences are drawn: below the middle, the middle, above it.
+LOW, MID, HIGH = 10, 50, 90
+#: A fence lies beyond the outer quantile by so many times its distance from the middle, downward and upward.
+DOWN, UP = 4, 2
+#: A group's sketch is merged with so many documents' worth of its language's, and that with as much of all: the more documents a group
+#: has, the more its own count.
+PRIOR = 100
 METRICS = ["m_length", "m_symbols", "m_lines", "m_repeat"]
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -34,51 +34,53 @@ def _get(array: Column, i: Column) -> Column:
 def text_figures(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of ``text`` (columns of those names are replaced).
 
-    Windows are compared by a 64-bit hash within their text. A null or empty text has 0 in all.
+    Windows are compared by a 64-bit hash within their text. A null or empty text has 0 in all. Other columns stay, whatever their names.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    d = docs.drop(*made)
+    hashes, lines, ordered, places = unused_names(d, "hashes", "lines", "ordered", "places")
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = docs.drop(*made).withColumns(
+    d = d.withColumns(
         {
-            "_hashes": F.transform(F.filter(F.split(text, _SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)),
-            "_lines": lines,
+            hashes: F.transform(F.filter(F.split(text, _SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)),
+            lines: F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
             "word_chars": F.length(F.regexp_replace(text, _SPACE, "")).cast("long"),
             "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
         }
     )
-    d = d.withColumns({"n_words": F.size("_hashes").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")}).drop("_lines")
+    d = d.withColumns({"n_words": F.size(hashes).cast("long"), "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")}).drop(lines)
     # hashes of runs of 2, 4 and 8 words, each from two of half the length
     for half in (1, 2, 4):
-        n = F.size("_hashes") - half
-        longer = F.zip_with(F.slice("_hashes", 1, n), F.slice("_hashes", half + 1, n), lambda a, b: F.xxhash64(a, b))
-        d = d.withColumn("_hashes", F.when(n > 0, longer).otherwise(F.array().cast("array<bigint>")))
-    some = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
-    ordered = F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    d = d.withColumn("_ordered", F.when(some, ordered)).drop("_hashes")
+        n = F.size(hashes) - half
+        longer = F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, half + 1, n), lambda a, b: F.xxhash64(a, b))
+        d = d.withColumn(hashes, F.when(n > 0, longer).otherwise(F.array().cast("array<bigint>")))
+    some = F.size(F.array_distinct(hashes)) < F.size(hashes)
+    d = d.withColumn(ordered, F.when(some, F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop(hashes)
 
     def again(x: Column, i: Column) -> Column:
-        near = F.col("_ordered")
-        before, after = _get(near, i - 1)["h"], _get(near, i + 1)["h"]
+        near = F.col(ordered)
+        before, after = F.get(near, i - 1)["h"], F.get(near, i + 1)["h"]
         return F.coalesce(before == x["h"], F.lit(False)) | F.coalesce(after == x["h"], F.lit(False))
 
-    d = d.withColumn("_places", F.array_sort(F.transform(F.filter("_ordered", again), lambda x: x["i"]))).drop("_ordered")
+    d = d.withColumn(places, F.array_sort(F.transform(F.filter(ordered, again), lambda x: x["i"]))).drop(ordered)
     # windows at these places cover up to the next place, eight words at most
-    covered = F.transform("_places", lambda p, i: F.coalesce(F.least(F.lit(WINDOW), _get(F.col("_places"), i + 1) - p), F.lit(WINDOW)))
+    covered = F.transform(places, lambda p, i: F.coalesce(F.least(F.lit(WINDOW), F.get(F.col(places), i + 1) - p), F.lit(WINDOW)))
     total = F.aggregate(covered, F.lit(0), lambda a, b: a + b)
-    return d.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long")).drop("_places")
+    return d.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long")).drop(places)
 
 
 def _metrics(d: DataFrame) -> DataFrame:
-    """Whole-number metrics of each document, as sketch buckets."""
-    words = F.greatest("n_words", F.lit(1))
+    """Sketch buckets of each document's mean word length, and of its symbols a character, repeated lines a word and repeated words a word.
+
+    Half a case is added to what is counted, so a text without any has the rate that its length can tell, and quantiles of a group
+    where most texts have none still differ.
+    """
+    rate = lambda n, of: (F.col(n) + F.lit(0.5)) / (F.col(of) + F.lit(1))
     values = {
-        "m_length": F.floor(F.col("word_chars") * 100 / words),
-        "m_symbols": F.floor(F.col("n_symbols") * 1000 / words),
-        "m_lines": F.floor(F.col("n_dup_lines") * 1000 / words),
-        "m_repeat": F.floor(F.col("n_repeat_words") * 1000 / words),
-    }
-    return d.withColumns({k: F.floor(F.log(v.cast("double") + 1) * LOG_STEPS).cast("long") for k, v in values.items()})
+        "m_length": (F.col("word_chars") + F.lit(0.5)) / F.greatest("n_words", F.lit(1)),
+        "m_symbols": rate("n_symbols", "word_chars"), "m_lines": rate("n_dup_lines", "n_words"), "m_repeat": rate("n_repeat_words", "n_words"),
+    }
+    return d.withColumns({k: F.floor(F.log(v) * LOG_STEPS).cast("long") for k, v in values.items()})
 
 
 def sketches(d: DataFrame, *keys: str) -> DataFrame:
@@ -89,52 +91,63 @@ def sketches(d: DataFrame, *keys: str) -> DataFrame:
     return d.select(*keys, pairs.alias("p")).groupBy(*keys, "p.metric", "p.bucket").agg(F.count("*").alias("n"))
 
 
+def merged(own: DataFrame, wider: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
+    """The sketches ``own`` of groups ``keys``, each merged with PRIOR documents' worth of the sketch of its wider group ``on``.
+
+    The counts are whole numbers, held as doubles, in proportion to the merged shares.
+    """
+    over = Window.partitionBy(*keys, "metric")
+    own = own.withColumns({"n": F.col("n").cast("double"), "size": F.sum("n").over(over).cast("double")})
+    total = wider.groupBy(*on, "metric").agg(F.sum("n").cast("double").alias("wide_size"))
+    groups = own.groupBy(*keys, "metric").agg(F.max("size").alias("size")).join(total, [*on, "metric"])
+    spread = groups.join(wider.select(*on, "metric", "bucket", F.col("n").cast("double").alias("wide")), [*on, "metric"])
+    both = spread.join(own.select(*keys, "metric", "bucket", "n"), [*keys, "metric", "bucket"], "left")
+    return both.select(*keys, "metric", "bucket", (F.coalesce("n", F.lit(0.0)) * F.col("wide_size") + F.lit(float(PRIOR)) * F.col("wide")).alias("n"))
+
+
 def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """(keys, metric, size, low, high): the bucket in which each sketch reaches its LOW and HIGH hundredths."""
+    """(keys, metric, low, mid, high): the buckets in which each sketch reaches its LOW, MID and HIGH hundredths."""
     over = Window.partitionBy(*keys, "metric")
-    up_to = F.sum("n").over(over.orderBy("bucket"))
-    d = sketch.withColumns({"up_to": up_to, "size": F.sum("n").over(over)})
+    d = sketch.withColumns({"up_to": F.sum("n").over(over.orderBy("bucket")), "size": F.sum("n").over(over)})
     reach = lambda q: F.min(F.when(F.col("up_to") * 100 >= F.col("size") * q, F.col("bucket")))
-    return d.groupBy(*keys, "metric").agg(F.max("size").alias("size"), reach(LOW).alias("low"), reach(HIGH).alias("high"))
+    return d.groupBy(*keys, "metric").agg(reach(LOW).alias("low"), reach(MID).alias("mid"), reach(HIGH).alias("high"))
 
 
 def fences(d: DataFrame) -> DataFrame:
-    """(lang, source, metric, at_least, at_most) for every group of the documents, in buckets.
+    """(lang, source, metric, at_least, at_most) for every group of the documents, in buckets; lang and source have no nulls.
 
-    A group with fewer than ENOUGH documents uses the merged sketch of its language, and if that is as small, that of all.
+    Every figure comes from the group's sketch, merged with its language's and that of all by their sizes: at_most lies UP times the distance
+    from MID to HIGH beyond HIGH, at_least (of the mean word length only) DOWN times that from LOW to MID below LOW.
     """
     fine = cut(sketches(d, "lang", "source"), "sketches")
-    mid, all_ = sketches(fine, "lang"), sketches(fine)
-    own, wider, widest = quantiles(fine, "lang", "source"), quantiles(mid, "lang"), quantiles(all_)
-    q = own.alias("o").join(wider.alias("w"), F.col("o.lang").eqNullSafe(F.col("w.lang")) & (F.col("o.metric") == F.col("w.metric"))).join(widest.alias("x"), F.col("o.metric") == F.col("x.metric"))
-    pick = lambda c: F.when(F.col("o.size") >= ENOUGH, F.col(f"o.{c}")).when(F.col("w.size") >= ENOUGH, F.col(f"w.{c}")).otherwise(F.col(f"x.{c}"))
-    q = q.select("o.lang", "o.source", "o.metric", pick("low").alias("low"), pick("high").alias("high"))
-    spread = SPREAD * (F.col("high") - F.col("low")) + SLACK
-    floor = F.coalesce(*(F.when(F.col("metric") == m, F.floor(F.log(F.lit(v + 1.0)) * LOG_STEPS)) for m, v in TOLERATED.items()), F.lit(0)).cast("long")
-    least = F.when(F.col("metric") == "m_length", F.col("low") - spread).otherwise(F.lit(0)).cast("long")
-    return q.select("lang", "source", "metric", least.alias("at_least"), F.greatest(F.col("high") + spread, floor).alias("at_most"))
+    by_lang, all_ = sketches(fine, "lang"), sketches(fine)
+    middle = cut(merged(by_lang, all_, [], ["lang"]), "sketches")
+    q = quantiles(merged(fine, middle, ["lang"], ["lang", "source"]), "lang", "source")
+    least = F.when(F.col("metric") == "m_length", F.col("low") - DOWN * (F.col("mid") - F.col("low")))
+    return q.select("lang", "source", "metric", least.alias("at_least"), (F.col("high") + UP * (F.col("high") - F.col("mid"))).alias("at_most"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of each document.
 
     base_failed: under 20 words, or over 30 of 100 words in repeated windows. Else a document is kept if its mean word
-    length, symbols, repeated lines and repeated words lie within the fences of its language and source.
+    length, symbols, repeated lines and repeated words lie within the fences of its language and source, which the documents that
+    pass the base rule make.
 
     Nulls: a null text has no words, so it fails; null language or source is a group like others. Repeated rows are judged
     each and count each. An empty table gives an empty table. Other columns are not read.
     """
     d = text_figures(docs.select("doc_id", "text", "lang", "source")).drop("text")
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    d = cut(_metrics(d.withColumn("base_failed", failed)), "figures")
-    f = fences(d)
+    named = {c: F.coalesce(c, F.lit("\1")) for c in ("lang", "source")}
+    d = cut(_metrics(d.withColumns({"base_failed": failed, **named})), "figures")
+    f = fences(d.where("NOT base_failed"))
     wide = f.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}") for m in METRICS for c in ("at_least", "at_most")))
-    wide = broadcast_if_small(cut(wide, "fences"), 200_000).alias("f")
-    d = d.alias("d").join(wide, F.col("d.lang").eqNullSafe(F.col("f.lang")) & F.col("d.source").eqNullSafe(F.col("f.source")), "left")
-    inside = F.lit(True)
+    d = d.join(broadcast_if_small(cut(wide, "fences"), 200_000), ["lang", "source"], "left")
+    inside = F.col("m_length") >= F.col("m_length_at_least")
     for m in METRICS:
-        inside &= F.col(m).between(F.col(f"{m}_at_least"), F.col(f"{m}_at_most"))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"))
+        inside &= F.col(m) <= F.col(f"{m}_at_most")
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(~F.col("base_failed") & inside, F.lit(False)).alias("kept"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,22 +171,27 @@ fig AS (
   SELECT p.r, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM parts p LEFT JOIN rep ON rep.r = p.r),
-bad AS (SELECT *, n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_failed, greatest(n_words, 1) AS w FROM fig),
+bad AS (SELECT *, n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_failed, coalesce(lang, chr(1)) AS g, coalesce(source, chr(1)) AS h FROM fig),
 long AS (
-  SELECT r, lang, source, 'm_length' AS metric, floor(word_chars * 100 / CAST(w AS DOUBLE)) AS v FROM bad UNION ALL
-  SELECT r, lang, source, 'm_symbols', floor(n_symbols * 1000 / CAST(w AS DOUBLE)) FROM bad UNION ALL
-  SELECT r, lang, source, 'm_lines', floor(n_dup_lines * 1000 / CAST(w AS DOUBLE)) FROM bad UNION ALL
-  SELECT r, lang, source, 'm_repeat', floor(n_repeat_words * 1000 / CAST(w AS DOUBLE)) FROM bad),
-b AS (SELECT r, coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source, metric, CAST(floor(ln(v + 1) * 50) AS BIGINT) AS bucket FROM long),
-q AS (
-  SELECT *, count(*) OVER own AS no, quantile_disc(bucket, 0.25) OVER own AS lo, quantile_disc(bucket, 0.75) OVER own AS ho,
-    count(*) OVER mid AS nm, quantile_disc(bucket, 0.25) OVER mid AS lm, quantile_disc(bucket, 0.75) OVER mid AS hm,
-    quantile_disc(bucket, 0.25) OVER al AS la, quantile_disc(bucket, 0.75) OVER al AS ha
-  FROM b WINDOW own AS (PARTITION BY metric, lang, source), mid AS (PARTITION BY metric, lang), al AS (PARTITION BY metric)),
-p AS (
-  SELECT r, metric, bucket, CASE WHEN no >= 100 THEN lo WHEN nm >= 100 THEN lm ELSE la END AS low, CASE WHEN no >= 100 THEN ho WHEN nm >= 100 THEN hm ELSE ha END AS high FROM q),
+  SELECT r, g, h, base_failed, 'm_length' AS metric, (word_chars + 0.5::DOUBLE) / greatest(n_words, 1) AS v FROM bad UNION ALL
+  SELECT r, g, h, base_failed, 'm_symbols', (n_symbols + 0.5::DOUBLE) / (word_chars + 1) FROM bad UNION ALL
+  SELECT r, g, h, base_failed, 'm_lines', (n_dup_lines + 0.5::DOUBLE) / (n_words + 1) FROM bad UNION ALL
+  SELECT r, g, h, base_failed, 'm_repeat', (n_repeat_words + 0.5::DOUBLE) / (n_words + 1) FROM bad),
+b AS (SELECT r, g, h, metric, base_failed, CAST(floor(ln(v) * 100) AS BIGINT) AS bucket FROM long),
+own AS (SELECT g, h, metric, bucket, count(*)::DOUBLE AS n FROM b WHERE NOT base_failed GROUP BY ALL),
+mid AS (SELECT g, metric, bucket, sum(n) AS n FROM own GROUP BY ALL),
+al AS (SELECT metric, bucket, sum(n) AS n FROM own GROUP BY ALL),
+als AS (SELECT metric, sum(n) AS size FROM al GROUP BY ALL),
+mix AS (
+  SELECT k.g, a.metric, a.bucket, coalesce(m.n, 0) * s.size + 100 * a.n AS n FROM al a JOIN als s USING (metric) CROSS JOIN (SELECT DISTINCT g FROM own) k
+  LEFT JOIN mid m ON m.g = k.g AND m.metric = a.metric AND m.bucket = a.bucket),
+mixs AS (SELECT g, metric, sum(n) AS size FROM mix GROUP BY ALL),
+whole AS (
+  SELECT k.g, k.h, x.metric, x.bucket, coalesce(o.n, 0) * s.size + 100 * x.n AS n FROM mix x JOIN mixs s USING (g, metric) JOIN (SELECT DISTINCT g, h FROM own) k ON k.g = x.g
+  LEFT JOIN own o ON o.g = k.g AND o.h = k.h AND o.metric = x.metric AND o.bucket = x.bucket),
+upto AS (SELECT *, sum(n) OVER (PARTITION BY g, h, metric ORDER BY bucket) AS u, sum(n) OVER (PARTITION BY g, h, metric) AS t FROM whole),
+q AS (SELECT g, h, metric, min(bucket) FILTER (WHERE u * 100 >= t * 10) AS low, min(bucket) FILTER (WHERE u * 100 >= t * 50) AS mid, min(bucket) FILTER (WHERE u * 100 >= t * 90) AS high FROM upto GROUP BY ALL),
 ok AS (
-  SELECT r, bool_and(bucket <= greatest(high + 3 * (high - low) + 35, CASE metric WHEN 'm_symbols' THEN 250 WHEN 'm_lines' THEN 171 WHEN 'm_repeat' THEN 276 ELSE 0 END)
-    AND bucket >= CASE metric WHEN 'm_length' THEN low - 3 * (high - low) - 35 ELSE 0 END) AS inside FROM p GROUP BY r)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM bad JOIN ok USING (r)
+  SELECT r, bool_and(bucket <= high + 2 * (high - mid) AND (metric <> 'm_length' OR bucket >= low - 4 * (mid - low))) AS inside FROM b JOIN q USING (g, h, metric) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed AND inside, false) AS kept FROM bad LEFT JOIN ok USING (r)
 """

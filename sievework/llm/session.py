@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sievework.llm.wordscan import text_slices
 from sievework.storage import broadcast_if_small, cut, drop_paths, fresh_path, shared_dir
 
-__all__ = ["broadcast_if_small", "cut", "documents", "drop_paths", "fresh_path", "in_batches", "row_slices", "shared_dir", "table", "with_columns"]
+__all__ = ["broadcast_if_small", "cut", "documents", "drop_paths", "fresh_path", "in_batches", "row_slices", "shared_dir", "table", "unused_names", "with_columns"]
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -53,3 +53,9 @@ def row_slices(batches: Batches, limit: int, column: str = "text") -> Iterator[t
 def with_columns(df: DataFrame, more: str) -> str:
     """The schema of ``df`` and of ``more``, as text."""
     return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema), more])
+
+
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own that ``df`` has not, in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    return [next(n for k in range(1, len(have) + 2) if (n := "_" * k + name).lower() not in have) for name in names]
