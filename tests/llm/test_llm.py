@@ -323,6 +323,29 @@ def test_quality_of_odd_rows(odd, none):
     assert quality_rules.judged(none).count() == 0
 
 
+def test_fences_follow_the_groups_own_tails(spark):
+    """Two sources of one language with unlike shares of symbols: the same text is kept in one and goes in the other."""
+    text = lambda k, m: " ".join(f"w{k:04d}x{j:02d}" + ("#" if j < m else "") for j in range(60))
+    rows = [(k, text(k, 0 if k < 2000 else k % 12), "en", "plain" if k < 2000 else "code", 0) for k in range(4000)]
+    rows += [(9000, text(9000, 11), "en", "plain", 0), (9001, text(9001, 11), "en", "code", 0), (9002, text(9002, 60), "en", "plain", 0)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = by_id(quality_rules.judged(d))
+    assert not got[9000]["kept"] and got[9001]["kept"] and not got[9002]["kept"]
+    assert all(got[k]["kept"] for k in range(0, 4000, 37))
+    m = quality_rules._metrics(quality_rules.text_figures(d)).where("source IS NOT NULL")
+    f = {r["source"]: r["at_most"] for r in quality_rules.fences(m).where("metric = 'm_symbols'").collect()}
+    assert f["plain"] + 50 < f["code"]
+
+
+def test_figures_keep_columns_of_any_name(spark, docs):
+    names = ["_hashes", "_lines", "_ordered", "_places", "__hashes", "_Units", "_grams", "_hits", "n_words", "licenses"]
+    d = docs.limit(5)
+    for n in names:
+        d = d.withColumn(n, F.lit("own"))
+    for out in (quality_rules.text_figures(d), license_scan.scan_licenses(d)):
+        assert all(r[n] == "own" for r in out.collect() for n in names[:8])
+
+
 def test_sketches_merge(spark):
     d = spark.range(1000).selectExpr("IF(id % 3 = 0, 'a', 'b') AS source", *(f"id % {k} AS {m}" for k, m in zip((7, 50, 300, 2), quality_rules.METRICS, strict=True)))
     fine = quality_rules.sketches(d, "source")
@@ -338,6 +361,23 @@ def test_licenses_of_odd_rows(spark, odd, none):
     assert [x["best_license"] for x in r] == ["MIT", "all-rights-reserved", "Apache-2.0", None]
 
 
+def test_whole_licences_however_they_are_wrapped(spark):
+    import textwrap
+
+    of = {"MIT": license_scan.TEMPLATES["MIT"][2], "GPL-3.0": license_scan.TEMPLATES["GPL-3.0"][1], "BSD-2-Clause": license_scan.TEMPLATES["BSD-2-Clause"][1], "Apache-2.0": license_scan.TEMPLATES["Apache-2.0"][1]}
+    rows, want = [], []
+    for name, text in of.items():
+        for width, mark in ((70, ""), (60, "# "), (64, " * ")):
+            wrapped = "\n".join(mark + line for block in text.split("\n\n") for line in [*textwrap.wrap(block, width), ""])
+            rows += [(len(rows), f"Some prose before it.\n\n{wrapped}\n\nAnd some more prose behind it, of no interest."), (len(rows) + 1, f"prose first {wrapped.split(chr(10), 4)[0]}")]
+            want += [name, None]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(license_scan.scan_licenses(d))
+    assert all(name is None or name in got[i]["licenses"] for i, name in enumerate(want))
+    assert all(got[i]["n_matches"] >= 3 for i, name in enumerate(want) if name)
+    assert sorted(map(tuple, license_scan.scan_licenses(d, anchored=False).collect())) == sorted(map(tuple, got.values()))
+
+
 def brute_hits(text, items, window):
     low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     w, hit, found = low(text), set(), set()
