@@ -198,8 +198,7 @@ class WordEncoder:
         for _, n, data, offsets in text_slices(texts, SLICE_BYTES):
             s = scan(data, offsets, SPACED)
             _, first, which = np.unique(s.hashes(), return_index=True, return_inverse=True)
-            # the scan takes byte 0 for byte 1, and words may share a hash: such texts go word by word
-            if not data.all() or not s.same(np.arange(len(which)), s, first[which]).all():
+            if not s.same(np.arange(len(which)), s, first[which]).all():  # words that share a hash go one by one
                 whole = data.tobytes()
                 split = [whole[i:j].lower().split() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
                 known = self._known(set().union(*split))

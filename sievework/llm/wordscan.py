@@ -113,7 +113,8 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
 
 
 def scan(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Scan:
-    """Words of texts: runs of bytes that ``table`` maps to non-zero; the bytes of the result are mapped by ``table``."""
+    """Words of texts: runs of bytes that ``table`` maps to non-zero; the bytes of the result are mapped by ``table``, but for byte 0."""
+    zero = np.flatnonzero(data == 0) if table[0] and not data.all() else None
     data = table[data]
     inside = np.empty(len(data) + 2, dtype=bool)
     inside[0] = inside[-1] = False
@@ -129,6 +130,8 @@ def scan(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Scan:
         both = np.unique(both)
         starts, ends = np.sort(np.concatenate([starts, both])), np.sort(np.concatenate([ends, both]))
     doc = np.searchsorted(offsets[1:], starts, side="right")
+    if zero is not None:
+        data[zero] = 0
     return Scan(data, offsets, starts, ends, doc, len(offsets) - 1)
 
 
@@ -143,13 +146,25 @@ def _table(separators: str | bytes | None, keep: bytes | None = None) -> np.ndar
     return t
 
 
-#: Words ``[^\x20\x09-\x0D]+`` with A-Z in lower case; byte 0 is mapped to 1 so that it stays a word's byte.
+#: Words ``[^\x20\x09-\x0D]+`` with A-Z in lower case; byte 0 is a word's byte like others, so it is not mapped to 0 here.
 SPACED = _table(b" \t\n\x0b\x0c\r")
 SPACED[0] = 1
 #: Words of letters, digits and non-ASCII bytes, A-Z in lower case.
 ALNUM = _table(None, bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 
 
+def distinct(s: Scan, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words ``at`` (indexes): one of each distinct word, and which of these each is. Words are told apart by their bytes."""
+    if not len(at):
+        return at, at
+    _, first, which = np.unique(hashes[at], return_index=True, return_inverse=True)
+    if s.same(at, s, at[first][which]).all():
+        return at[first], which
+    whole, seen = s.data.tobytes(), {}
+    which = np.array([seen.setdefault(whole[a:b], len(seen)) for a, b in zip(s.start[at].tolist(), s.end[at].tolist(), strict=True)])
+    return at[np.unique(which, return_index=True)[1]], which
+
+
 def shingles(words: np.ndarray, s: Scan, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of runs of ``k`` words and the text of each; a text of fewer words, but not none, is one run."""
     n = len(words)

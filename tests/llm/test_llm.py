@@ -562,8 +562,70 @@ def test_lm_base_by_brute_force(spark, rows, odd, none):
     assert lm_scoring.score_texts(none).count() == 0
 
 
+def test_lm_scores_by_brute_force(spark, rows):
+    """Each token's probability from the model's parameters, one by one; all words' probabilities sum to one."""
+    docs = spark.createDataFrame(sorted(rows.items()), "doc_id long, text string")
+    training = docs.where(~lm_scoring.held_out_column()).select("text")
+    counts = lm_scoring.in_batches(training, lm_scoring._count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    c = {bytes(r["word"]): r["c"] for r in counts.collect()}
+    m = lm_scoring.fit_model(training, counts)
+    v = m.vocabulary
+    names = [v.words.data[v.words.start[k] : v.words.end[k]].tobytes() for k in v.order]
+    place = {w: i for i, w in enumerate(names)}
+    assert 100 < len(names) < len(c) and all(c[w] == n for w, n in zip(names, v.counts, strict=True))
+    shape = lambda w: int(lm_scoring.shape_class(np.array([len(w)]), np.array([w[-1]]))[0])
+    kind = lambda w: 0 if w == b"\n" else int(v.classes[place[w]]) if w in place else shape(w)
+    others = [w for w in c if w != b"\n" and w not in place]
+    mass = collections.Counter()
+    for w in others:
+        mass[shape(w)] += c[w] + 0.5
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+    def distribution(two, one):
+        s = m.scores[kind(two) * lm_scoring.CLASSES + kind(one)].astype(float)
+        return softmax(s + (m.context[place[one]].astype(float) @ m.q.T if one in place else 0))
+
+    def probability(w, two, one):
+        p = distribution(two, one)[kind(w)]
+        if w in place and kind(w) > lm_scoring.TOP:
+            of = np.flatnonzero(v.classes == kind(w))
+            p *= softmax(m.target[of, :-1].astype(float) @ m.r[kind(one)] + m.target[of, -1])[list(of).index(place[w])]
+        elif w not in place and w != b"\n":
+            p *= (c.get(w, 0) + 0.5) / (mass[shape(w)] + 0.5)  # half a count for all unknown words of the shape
+        return p
+
+    got = by_id(lm_scoring.score_texts(docs))
+    for i in sorted(rows)[:12]:
+        words = [b"\n", b"\n", *(rows[i] or "").encode().lower().split()[:4000], b"\n"]
+        if len(words) < 4000:
+            want = sum(math.log10(probability(w, two, one)) for two, one, w in zip(words, words[1:], words[2:], strict=False))
+            assert math.isclose(got[i]["score"], want, rel_tol=1e-4)
+    for two, one in ((b"\n", b"\n"), (names[0], names[5]), (others[0], others[1])):
+        bins = sum(probability(w, two, one) for w in names)
+        shapes = distribution(two, one)[1 + lm_scoring.TOP + lm_scoring.BINS :].sum()
+        known = [k for k in range(lm_scoring.CLASSES) if k == 0 or k > lm_scoring.TOP + lm_scoring.BINS or (v.classes == k).any()]
+        assert math.isclose(bins + shapes + distribution(two, one)[0], distribution(two, one)[known].sum(), rel_tol=1e-6)
+    held = [i for i in rows if zlib.crc32(str(i).encode()) % 5 == 1]
+    order = sorted(held, key=lambda i: got[i]["n_tokens"])[-5:]
+    shuffled = [(i, " ".join(random.Random(3).sample(rows[i].split(), len(rows[i].split())))) for i in order]
+    mixed = by_id(lm_scoring.score_texts(docs.where(~lm_scoring.held_out_column()).unionByName(spark.createDataFrame(shuffled, "doc_id long, text string"))))
+    assert sum(got[i]["score"] - mixed[i]["score"] for i in order) > 0  # the order of words matters
+
+
+def test_words_fit_by_contrast_reach_the_true_rates():
+    rng = np.random.default_rng(4)
+    features = np.column_stack([rng.normal(0, 1, (40, 3)), np.ones(40)])
+    true = rng.normal(0, 0.7, (5, 4)) - [0, 0, 0, 2.5]
+    totals = np.full(40, 100_000.0)
+    rates = np.exp(true @ features.T)
+    share = np.full((5, 1), 0.05)
+    got = lm_scoring.fit_words(rates * totals, lm_scoring.NOISE * totals * share, np.log(share) - np.log(lm_scoring.NOISE * share), features)
+    assert np.allclose(got + np.array([0, 0, 0, math.log(0.05)]), true, atol=0.05)
+
+
 def test_lm_is_normalised():
     rng = np.random.default_rng(0)
     t = rng.integers(0, 5, (8, 8, 8)).astype(float)
-    p = lm_scoring.train_log_bilinear(t)
-    assert np.allclose(np.exp(p).sum(axis=1), 1)
+    m = lm_scoring.train_log_bilinear(t)
+    s = m.scores()
+    assert s.shape == (64, 8) and np.allclose(np.exp(s - lm_scoring.log_sum(s)[:, None]).sum(axis=1), 1)
