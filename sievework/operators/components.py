@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.storage import cut, drop_paths
+from sievework.storage import cut, drop_paths, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -24,6 +24,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     labels = cut(e.select(F.col("x").alias("node"), F.col("x").alias("label")).limit(0), "labels")
     for turn in range(max_rounds):
         if e.limit(1).count() == 0:
+            release(spark)
             least = labels.groupBy("label").agg(F.min("node").alias("least"))
             return labels.join(least, "label").select("node", F.col("least").alias("label"))
         near = e.select(F.col("y").alias("node"), F.col("x").alias("near")).union(e.select("x", "y"))

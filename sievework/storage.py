@@ -7,6 +7,7 @@ columnar and compressed, and a stage that is run again reads it rather than its
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -15,12 +16,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of this machine only where the session names none (tests)."""
+    """The folder all executors share; a folder of this machine only where the session names none and all runs on this machine (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not (sc.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="sievework-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -51,6 +54,15 @@ def drop_paths(spark: SparkSession, *frames: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the broadcasts and shuffles of plans that nobody holds any more: Spark cleans them when the driver collects its garbage.
+
+    An iterative operator plans hundreds of small jobs, whose remains would fill the driver's heap before it does so by itself.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows of (long, long) up to which a side may be broadcast: about 32 MB in each executor.
 BROADCAST_ROWS = 1_000_000
 
