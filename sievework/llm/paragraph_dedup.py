@@ -19,8 +19,8 @@ WORDS, TENTHS = 5, 8
 SENTENCE_WORDS = 8
 #: Repeated paragraphs that follow one another go if they have so many words together; less is a common phrase (an argument of the operator).
 RUN_WORDS = 20
-#: BANDS bands of ROWS: at similarity 0.8 a pair escapes all with probability 0.0008, at 0.9 with 0.00001.
-BANDS, ROWS = 7, 2
+#: BANDS bands of ROWS: at similarity 0.8 a pair escapes all with probability 0.002, at 0.9 with 0.00005.
+BANDS, ROWS = 6, 2
 #: Paragraphs with fewer shingles are similar by 0.8 only if they are equal, so they need no bands: n shingles are at most n / (n + 1) like others.
 BANDED = TENTHS // (10 - TENTHS)
 
