@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -47,27 +49,58 @@ NOT_SCREENABLE = [
     "table of contents", "contents", "cover", "cover page", "title page", "copyright page",
 ]
 
+_ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,31});")
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
-@F.pandas_udf(StringType())
-def clean_text(s: pd.Series) -> pd.Series:
+#: Control characters that go; tabs and line ends are white space.
+_CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]+"
+#: White space by Unicode.
+_BLANK = r"[\t\n\r \x{85}\p{Z}]+"
+
+
+def _combining() -> str:
+    """A pattern of the characters with a canonical combining class."""
+    marks = [c for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))]
+    starts = [c for c in marks if not unicodedata.combining(chr(c - 1))]
+    ends = [c for c in marks if not unicodedata.combining(chr(c + 1))]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]+"
+
+
+_COMBINING = _combining()
+
+
+def clean_array(texts: pa.Array, single_line: bool = True) -> pa.Array:
+    """HTML entities resolved, control characters dropped, composed (NFC), white space collapsed or, for several lines, cut at the ends; null is empty."""
+    texts = texts.fill_null("")
+    if pc.any(pc.match_substring(texts, "&")).as_py():
+        texts = pa.array([html.unescape(x) if "&" in x and _ENTITY.search(x) else x for x in texts.to_pylist()], texts.type)
+    texts = pc.replace_substring_regex(texts, _CONTROL, "")
+    if not pc.all(pc.string_is_ascii(texts)).as_py():
+        texts = pa.array([unicodedata.normalize("NFC", x) for x in texts.to_pylist()], texts.type)
+    return pc.utf8_trim_whitespace(pc.replace_substring_regex(texts, _BLANK, " ") if single_line else texts)
+
+
+@F.arrow_udf(StringType())
+def clean_text(texts: pa.Array) -> pa.Array:
     """HTML entities resolved, control characters dropped, composed (NFC), white space collapsed; null is empty."""
+    return clean_array(texts)
 
-    def one(x: str | None) -> str:
-        x = x or ""
-        if "&" in x:
-            x = html.unescape(x)
-        x = "".join(c for c in x if c in "\t\n\r" or unicodedata.category(c) != "Cc" or c == "\x85")
-        return " ".join(unicodedata.normalize("NFC", x).split())
 
-    return s.map(one)
+@F.arrow_udf(StringType())
+def clean_lines(texts: pa.Array) -> pa.Array:
+    """As clean_text, but line ends stay and white space goes at the ends only."""
+    return clean_array(texts, single_line=False)
 
 
-@F.pandas_udf(StringType())
-def fold_text(s: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def fold_text(texts: pa.Array) -> pa.Array:
     """Compatibility-decomposed (NFKD) without combining marks, case-folded; null is empty."""
-    return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x or "") if not unicodedata.combining(c)).casefold())
+    texts = texts.fill_null("")
+    if pc.all(pc.string_is_ascii(texts)).as_py():
+        return pc.ascii_lower(texts)
+    texts = pc.replace_substring_regex(pc.utf8_normalize(texts, "NFKD"), _COMBINING, "")
+    return pa.array([x.casefold() for x in texts.to_pylist()], pa.string())
 
 
 def normalize_title(title: Column) -> Column:
@@ -181,8 +214,32 @@ def neutralise_formula(cell: Column) -> Column:
 
 
 def squash(text: Column) -> Column:
-    """Folded letters, digits and underscores only, to look for quotes."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", "")
+    """Case-folded letters, digits and underscores only, to look for quotes."""
+    folded = F.translate(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    return F.regexp_replace(folded, r"[^\p{L}\p{N}_]+", "")
+
+
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def format_duration(seconds: Column) -> Column:
+    """Seconds, rounded up, as ``45 s``, ``12 min`` or ``2 h 05 min``."""
+    total = F.greatest(F.lit(0), F.ceil(seconds)).cast("long")
+    minutes = F.ceil(total / 60).cast("long")
+    hours = F.concat(F.floor(minutes / 60).cast("string"), F.lit(" h "), F.lpad((minutes % 60).cast("string"), 2, "0"), F.lit(" min"))
+    return F.when(total < 60, F.concat(total.cast("string"), F.lit(" s"))).when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min"))).otherwise(hours)
+
+
+def cell(value: Column) -> Column:
+    """A value as text of an exported table: nothing for null, true and false for booleans."""
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """The share of ``part`` as ``75 %``; ``-`` of nothing."""
+    return F.when(whole == 0, "-").otherwise(F.concat(F.bround(part * 100.0 / whole).cast("long").cast("string"), F.lit(" %")))
 
 
 def outcome(reason: Column, status: Column, decision: Column) -> Column:

@@ -16,7 +16,8 @@ def _kappa(po: Column, pe: Column) -> Column:
 def pairwise(decisions: DataFrame) -> DataFrame:
     """Every pair of runs over the records both decided: n, share of agreement, Cohen's kappa and its label.
 
-    The records' decisions meet once per pair of runs; from there on only category counts are handled.
+    A pair without a common record has n 0, agreement 0 and no kappa. The records' decisions meet once per pair of runs; from there on only
+    category counts are handled.
     """
     a, b = (decisions.select("study_uid", F.col("run_id").alias(f"run_{s}"), F.col("decision").alias(f"d_{s}")) for s in "ab")
     cells = a.join(b, "study_uid").where("run_a < run_b").groupBy("run_a", "run_b", "d_a", "d_b").agg(F.count("*").alias("n"))
@@ -24,13 +25,25 @@ def pairwise(decisions: DataFrame) -> DataFrame:
     left = cells.groupBy("run_a", "run_b", F.col("d_a").alias("d")).agg(F.sum("n").alias("na"))
     right = cells.groupBy("run_a", "run_b", F.col("d_b").alias("d")).agg(F.sum("n").alias("nb"))
     chance = left.join(right, ["run_a", "run_b", "d"]).groupBy("run_a", "run_b").agg(F.sum(F.col("na").cast("double") * F.col("nb")).alias("chance"))
-    d = total.join(chance, ["run_a", "run_b"], "left")
+    runs = decisions.select("run_id").distinct()
+    pairs = runs.select(F.col("run_id").alias("run_a")).join(runs.select(F.col("run_id").alias("run_b")), F.col("run_a") < F.col("run_b"))  # a row for each pair of runs
+    d = pairs.join(total, ["run_a", "run_b"], "left").join(chance, ["run_a", "run_b"], "left")
     po = F.col("same") / F.col("total")
     pe = F.coalesce("chance", F.lit(0.0)) / (F.col("total").cast("double") * F.col("total"))
-    d = d.select("run_a", "run_b", F.col("total").alias("n"), F.round(po, 6).alias("agreement"), F.round(_kappa(po, pe), 6).alias("kappa"))
+    kappa = F.when(F.col("total") > 0, F.round(_kappa(po, pe), 6))
+    d = d.select("run_a", "run_b", F.coalesce("total", F.lit(0)).alias("n"), F.coalesce(F.round(po, 6), F.lit(0.0)).alias("agreement"), kappa.alias("kappa"))
     return d.withColumn("label", landis_koch(F.col("kappa")))
 
 
+def comparison(decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The comparison of all runs: one row (n_runs, n_common, fleiss_kappa, fleiss_label, n_unstable), the pairs, and the unstable records."""
+    fixed = unstable(decisions)
+    one = fleiss(decisions).select(F.col("n").alias("n_common"), F.col("kappa").alias("fleiss_kappa"), landis_koch(F.col("kappa")).alias("fleiss_label"))
+    runs = decisions.agg(F.count_distinct("run_id").alias("n_runs"))
+    row = runs.crossJoin(one).crossJoin(fixed.agg(F.count("*").alias("n_unstable")))  # one row each
+    return row.select("n_runs", "n_common", "fleiss_kappa", "fleiss_label", "n_unstable"), pairwise(decisions), fixed
+
+
 def common(decisions: DataFrame) -> DataFrame:
     """The decisions on records that every run decided."""
     runs = decisions.select("run_id").distinct().count()

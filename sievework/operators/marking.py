@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievework.functions.text import NOT_SCREENABLE, abstract_quality, language_codes, normalize_title, normalize_type, split_list
 
 #: Reasons set by each step. A step first clears its own.
-PREFILTER_REASONS = ["LANGUAGE", "YEAR", "PUBLICATION_TYPE", "KEYWORD"]
+PREFILTER_REASONS = ["PREFILTER_LANGUAGE", "PREFILTER_YEAR", "PREFILTER_TYPE", "PREFILTER_KEYWORD"]
 VALIDITY_REASONS = ["NOT_SCREENABLE", "RETRACTED", "NO_ABSTRACT"]
 #: Reasons that a duplicate mark replaces.
 REPLACED_BY_DUPLICATE = PREFILTER_REASONS + VALIDITY_REASONS
@@ -113,6 +113,58 @@ def mark_validity(records: DataFrame, title_only: bool = False, retracted: bool
     return records.withColumn("abstract_quality", quality).withColumn("has_abstract", F.col("abstract_quality") != "").withColumn("exclusion_reason", F.when(free, F.coalesce(why, F.lit(""))).otherwise(reason))
 
 
+def prefilter_counts(before: DataFrame, after: DataFrame, p: Prefilters) -> DataFrame:
+    """(kind, name, n): records the filters removed (``removed``), by reason (``by_reason``), let pass though a field is missing (``passed_on_missing``: language,
+    year), and left alone for another step's reason (``skipped``). ``before`` and ``after`` are records before and after :func:`mark_prefilters`.
+    """
+    reason = F.coalesce("exclusion_reason", F.lit(""))
+    hit = after.where(reason.isin(*PREFILTER_REASONS))
+    free = before.where((reason == "") | reason.isin(*PREFILTER_REASONS, *VALIDITY_REASONS))
+    none = F.lit(False)
+    missing = {
+        "language": (F.size(language_codes(F.col("language"))) == 0) if p.languages and p.language_missing_passes else none,
+        "year": F.col("year").isNull() if (p.year_from is not None or p.year_to is not None) and p.year_missing_passes else none,
+    }
+    row = lambda d, kind, name, n: d.agg(n.cast("long").alias("n")).select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    out = row(hit, "removed", "", F.count("*")).unionByName(hit.groupBy(F.lit("by_reason").alias("kind"), reason.alias("name")).agg(F.count("*").alias("n")))
+    for name, c in missing.items():
+        out = out.unionByName(row(free, "passed_on_missing", name, F.count_if(c)))
+    skipped = before.where((reason != "") & ~reason.isin(*PREFILTER_REASONS, *VALIDITY_REASONS))
+    return out.unionByName(row(skipped, "skipped", "", F.count("*")))
+
+
+def eligible_with_fulltext(records: DataFrame, fulltexts: DataFrame) -> DataFrame:
+    """Records without a reason whose full text, from (study_uid, text), can be used."""
+    usable = fulltexts.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("study_uid")
+    own = records.where((F.coalesce("exclusion_reason", F.lit("")) == "") & (F.coalesce("fulltext_of", F.lit("")) == ""))
+    return own.join(usable, "study_uid", "left_semi")
+
+
+def in_scope(records: DataFrame, scope: str) -> DataFrame:
+    """The records of an export: ``all``, ``screenable`` (without a reason) or ``excluded``."""
+    reason = F.coalesce("exclusion_reason", F.lit("")) != ""
+    scopes = {"all": F.lit(True), "screenable": ~reason, "excluded": reason}
+    if scope not in scopes:
+        raise ValueError(f"E203: unknown scope {scope!r}, not one of {', '.join(scopes)}")
+    return records.where(scopes[scope])
+
+
+def project_status(records: DataFrame) -> DataFrame:
+    """(source_label, n, n_abstract, n_empty, n_duplicate) of each source, and of all under a null label."""
+    d = records.rollup("source_label").agg(
+        F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("abstract", F.lit(""))) != "").alias("n_abstract"),
+        F.count_if(F.col("exclusion_reason") == "EMPTY_RECORD").alias("n_empty"), F.count_if(F.col("is_duplicate")).alias("n_duplicate"),
+    )
+    return d
+
+
+def preflight(records: DataFrame, by: str = "source_file", least_share: float = 0.6) -> DataFrame:
+    """(by, n, n_abstract, status, issue) of each file before it is imported: no abstract is an error, too few a warning."""
+    d = records.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.trim(F.coalesce("abstract", F.lit(""))) != "").alias("n_abstract"))
+    none, few = F.col("n_abstract") == 0, F.col("n_abstract") / F.col("n") < least_share
+    return d.withColumns({"status": F.when(none, "ERROR").when(few, "WARNING").otherwise("OK"), "issue": F.when(none, "NO_ABSTRACTS").when(few, "LOW_ABSTRACT_RATIO").otherwise("")})
+
+
 def eligible(records: DataFrame, title_only: bool = False) -> DataFrame:
     """Records that go to the model."""
     return records.where((F.coalesce("exclusion_reason", F.lit("")) == "") & (F.col("fulltext_of") == "") & ((F.trim("abstract") != "") | F.lit(title_only)))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.text import outcome
+from sievework.operators.running import running
 
-OUTCOMES = ["INCLUDE", "EXCLUDE", "UNCERTAIN", "ERROR", "NOT_SCREENED", "PRE_EXCLUDED"]
+DECISIONS = ["INCLUDE", "EXCLUDE", "UNCERTAIN"]
+OUTCOMES = [*DECISIONS, "ERROR", "NOT_SCREENED", "PRE_EXCLUDED"]
 
 
 def last_results(results: DataFrame) -> DataFrame:
@@ -65,9 +67,54 @@ def word_histogram(table: DataFrame) -> DataFrame:
     return d.groupBy((F.floor(F.col("words") / F.col("width")) * F.col("width")).alias("bin"), "outcome").agg(F.count("*").alias("n"))
 
 
-def latency_histogram(table: DataFrame, width: float = 0.5) -> DataFrame:
-    d = table.where("latency_s IS NOT NULL")
-    return d.groupBy((F.floor(F.col("latency_s") / width) * width).alias("bin")).agg(F.count("*").alias("n"))
+def latency_histogram(table: DataFrame) -> DataFrame:
+    """(bin_start, bin_end, outcome, n): results by seconds, in bins a twentieth of the longest wide, to a tenth of a second and half a second at least."""
+    d = table.where("latency_s IS NOT NULL").select("outcome", "latency_s")
+    width = d.agg(F.greatest(F.lit(0.5), F.bround(F.max("latency_s") / 20, 1)).alias("width"))
+    d = d.crossJoin(F.broadcast(width)).withColumn("k", F.floor(F.col("latency_s") / F.col("width")))  # one row
+    bins = d.groupBy("k", "width", "outcome").agg(F.count("*").alias("n"))
+    return bins.select(F.round(F.col("k") * F.col("width"), 2).alias("bin_start"), F.round((F.col("k") + 1) * F.col("width"), 2).alias("bin_end"), "outcome", "n")
+
+
+def status_counts(table: DataFrame) -> DataFrame:
+    """Records that were sent, by status."""
+    return table.where("status <> ''").groupBy("status").agg(F.count("*").alias("n"))
+
+
+def result_totals(table: DataFrame) -> DataFrame:
+    """One row: records, those decided, tokens in and out, and cost (null if no record has one)."""
+    return table.agg(
+        F.count("*").alias("total"), F.count_if(F.col("outcome").isin(*DECISIONS)).alias("screened"), F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"),
+        F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"), F.round(F.sum("cost"), 6).alias("cost"),
+    )
+
+
+def uncertain_records(table: DataFrame, at_most: int = 200) -> DataFrame:
+    """The first undecided records, by study_uid. This is a report of a fixed length."""
+    return table.where("outcome = 'UNCERTAIN'").orderBy("study_uid").limit(at_most).select("study_uid", "title", "year", "flags")
+
+
+def comparable(results: DataFrame) -> DataFrame:
+    """(run_id, study_uid, decision): the last results that can be compared, those that are good and decided."""
+    good = (F.col("status") == "ok") & F.col("decision").isin(*DECISIONS)
+    return last_results(results).where(good).select("run_id", "study_uid", "decision")
+
+
+def resolvable_runs(runs: DataFrame, results: DataFrame) -> DataFrame:
+    """The screening runs (kind full or sample) that have results."""
+    return runs.where(F.col("kind").isin("full", "sample")).join(results.select("run_id").distinct(), "run_id", "left_semi")
+
+
+def screening_totals(results: DataFrame) -> DataFrame:
+    """(run_id, included, excluded, uncertain) of the last good results of each run, as a flow event has them."""
+    d = last_results(results).where("status = 'ok'")
+    return d.groupBy("run_id").agg(*(F.count_if(F.col("decision") == k).alias(a) for k, a in (("INCLUDE", "included"), ("EXCLUDE", "excluded"), ("UNCERTAIN", "uncertain"))))
+
+
+def seeded_sample(table: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows chosen by a hash of the key and a seed, the same for the same seed whatever the partitions. This is a sampling operator."""
+    h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
+    return table.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
 
 
 def compare_runs(records: DataFrame, decisions: DataFrame, runs: list[str]) -> DataFrame:
@@ -96,10 +143,9 @@ def systematic_sample(table: DataFrame, order: str, at_most: int = 2000) -> Data
 
 
 def failures_in_a_row(results: DataFrame, threshold: int = 20) -> DataFrame:
-    """Per run: the longest run of failed calls in line order, and whether it reaches the threshold."""
+    """Per run: the longest run of failed calls in line order, and whether it reaches the threshold; runs without a failure are left out."""
     failed = F.col("status").isin("parse_error", "api_error", "truncated")
-    w = Window.partitionBy("run_id").orderBy("line_no")
-    d = results.select("run_id", "line_no", failed.alias("f")).withColumn("island", F.sum(F.when(F.col("f"), 0).otherwise(1)).over(w))
+    d = running(results.select("run_id", "line_no", failed.alias("f"), F.when(failed, 0).otherwise(1).alias("good")), "line_no", {"island": "good"})
     islands = d.where("f").groupBy("run_id", "island").agg(F.count("*").alias("n"))
     return islands.groupBy("run_id").agg(F.max("n").alias("longest")).withColumn("tripped", F.col("longest") >= threshold)
 
@@ -161,11 +207,12 @@ def title_matches(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def new_snapshots(events: DataFrame) -> DataFrame:
     """Snapshot events that say something new: not the same as the last of their kind, unless an import or deduplication came between."""
-    kind = Window.partitionBy("event_type").orderBy("position")
-    # the last import or deduplication before each event, by kind, from a running maximum over the whole log
-    log = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.max(F.when(F.col("event_type").isin("SOURCE_IMPORTED", "DEDUP_WITHIN_SOURCE", "DEDUP_GLOBAL"), F.col("position"))).over(log)
-    d = events.withColumn("_mark", mark).where(F.col("event_type").isin("PREFILTER", "VALIDITY"))
-    same = (F.lag("n").over(kind) == F.col("n")) & (F.lag("m").over(kind) == F.col("m"))
-    quiet = ~(F.col("_mark") > F.lag("position").over(kind))
-    return d.withColumn("_skip", F.coalesce(same, F.lit(False)) & F.coalesce(quiet, F.lit(True))).where("NOT _skip").select("position", "event_type", "n", "m")
+    mark = F.when(F.col("event_type").isin("SOURCE_IMPORTED", "DEDUP_WITHIN_SOURCE", "DEDUP_GLOBAL"), F.col("position"))
+    # of each event: the last import or deduplication before it, and for each kind the last snapshot's place, from running maxima over stretches of the log
+    kinds = ("PREFILTER", "VALIDITY")
+    d = running(events.withColumn("_log", F.lit(1)), "position", {}, "_log", {"_mark": mark} | {f"_at_{k}": F.when(F.col("event_type") == k, F.col("position")) for k in kinds})
+    d = d.where(F.col("event_type").isin(*kinds)).withColumn("_last", F.when(F.col("event_type") == kinds[0], F.col(f"_at_{kinds[0]}")).otherwise(F.col(f"_at_{kinds[1]}")))
+    before = events.where(F.col("event_type").isin(*kinds)).select(F.col("position").alias("_last"), F.col("n").alias("_n"), F.col("m").alias("_m"))
+    d = d.join(before, "_last", "left")
+    same, quiet = (F.col("_n") == F.col("n")) & (F.col("_m") == F.col("m")), ~(F.col("_mark") > F.col("_last"))
+    return d.where(~(F.coalesce(same, F.lit(False)) & F.coalesce(quiet, F.lit(True)))).select("position", "event_type", "n", "m")

@@ -1,49 +1,31 @@
-"""Around a model run: prices, cost and duration estimates, prompts, answers, quotes, full texts; no model is called."""
+"""Around a model run: criteria, prompts, full texts and their sections, limits; no model is called."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.text import cost_of, squash, title_key, normalize_title, doi_key, token_count
+from sievework.functions.text import doi_key, normalize_title, strip, title_key, token_count
+from sievework.operators.running import running
 
-#: The JSON schema of an answer.
-ANSWER = (
-    "struct<inclusion:array<struct<criterion:string,verdict:string,note:string,quote:string>>,"
-    "exclusion:array<struct<criterion:string,verdict:string,note:string,quote:string>>,reasoning:string,decision:string,ambiguities:array<string>>"
-)
-CUTS = {"note": 200, "quote": 300, "reasoning": 600}
+#: Tokens kept free for the rest of a prompt and the answer, the least left for a text, and the notice behind a text that was cut.
+RESERVED, LEAST_BUDGET = 2000, 500
+NOTICE = "\n\n[... text truncated to fit the model's context window ...]"
 
+#: Headings of articles, by the section they begin.
+HEADINGS = {
+    "abstract": ["abstract"], "introduction": ["introduction", "background"], "methods": ["methods", "materials and methods", "methodology"],
+    "results": ["results", "findings"], "discussion": ["discussion", "conclusion", "conclusions"], "references": ["references", "bibliography", "literatur"],
+}
+SCREENED = ["methods", "results", "discussion"]
 
-def current_prices(prices: DataFrame, today: str) -> DataFrame:
-    """The price in force of each provider and model on a day (ISO): the latest of those begun, then those without a date, then those to come.
-
-    Of equal ones the first line counts. Prices that are null, negative or not numbers are no prices.
-    """
-    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c)) & (F.col(c) >= 0)
-    d = prices.where(ok("price_in") & ok("price_out")).withColumns({"provider": F.lower(F.trim("provider")), "model": F.lower(F.trim("model"))})
-    begun = F.coalesce("valid_from", F.lit("")) <= today
-    d = d.withColumn("_key", F.struct(begun.cast("int"), F.coalesce("valid_from", F.lit("")), -F.col("line")))
-    best = d.groupBy("provider", "model").agg(F.max_by(F.struct("price_in", "price_out", "valid_from"), "_key").alias("p"))
-    return best.select("provider", "model", "p.*")
-
-
-def run_estimate(records: DataFrame, shared_text: str, price_in: float, price_out: float, out_per_record: int = 150) -> DataFrame:
-    """One row: records, tokens in and out, and cost of a run over title and abstract with a shared prompt."""
-    text = F.concat_ws("\n", "title", "abstract")
-    shared = token_count(F.lit(shared_text))
-    d = records.agg(F.count("*").alias("n"), F.coalesce(F.sum(token_count(text)), F.lit(0)).alias("t"))
-    d = d.select("n", (F.col("t") + F.col("n") * shared).alias("tokens_in"), (F.col("n") * out_per_record).alias("tokens_out"))
-    cost = cost_of(F.col("tokens_in"), F.col("tokens_out"), F.lit(price_in), F.lit(price_out))
-    return d.withColumn("cost", F.round(cost, 6))
-
-
-def duration_estimate(estimate: DataFrame, rpm: float, tpm: float, seconds_per_call: float, concurrency: int) -> DataFrame:
-    """The longest of what requests a minute, tokens a minute and latency allow, and which of them it is."""
-    by = {"rpm": F.col("n") / rpm * 60, "tpm": (F.col("tokens_in") + F.col("tokens_out")) / tpm * 60, "latency": F.col("n") * seconds_per_call / concurrency}
-    longest = F.greatest(*by.values())
-    limit = F.when(by["rpm"] == longest, "rpm").when(by["tpm"] == longest, "tpm").otherwise("latency")
-    return estimate.select("n", F.round(longest, 3).alias("seconds"), limit.alias("limit"))
+#: The fields of criteria frameworks.
+FRAMEWORKS = {
+    "PICOS": ["Population", "Intervention", "Comparison", "Outcome", "Study Design"],
+    "SPIDER": ["Sample", "Phenomenon of Interest", "Design", "Evaluation", "Research Type"],
+    "PECO": ["Population", "Exposure", "Comparison", "Outcome"],
+    "PIRD": ["Population", "Index Test", "Reference Standard", "Diagnosis"],
+}
 
 
 def guarded(text: Column) -> Column:
@@ -51,71 +33,33 @@ def guarded(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), "<>", "‹›")
 
 
-def build_prompts(records: DataFrame, prefix: str) -> DataFrame:
-    """(study_uid, prompt, prefix_hash) for each record."""
-    body = F.concat(F.lit(prefix), F.lit("\n<record>\nTitle: "), guarded(F.col("title")), F.lit("\nAbstract: "), guarded(F.col("abstract")), F.lit("\n</record>"))
-    return records.select("study_uid", body.alias("prompt"), F.concat(F.lit("sha256:"), F.sha2(F.lit(prefix), 256)).alias("prefix_hash"))
+def criteria_text(framework: str, inclusion: dict[str, str], exclusion: dict[str, str], custom_fields: list[str] | None = None) -> str:
+    """The criteria as text: the framework's fields in its order, those to include and those to exclude; a field that the framework lacks is an error (E203)."""
+    fields = custom_fields or [] if framework.upper() == "CUSTOM" else FRAMEWORKS.get(framework.upper())
+    if fields is None or (unknown := [f for f in [*inclusion, *exclusion] if f not in fields]):
+        raise ValueError(f"E203: framework {framework!r}" + ("" if fields is None else f" has no field {unknown[0]!r}"))
+    lines = [f"{verb} {f}: {own[f].strip()}" for verb, own in (("Include", inclusion), ("Exclude", exclusion)) for f in fields if own.get(f, "").strip()]
+    return "\n".join(lines)
 
 
-def derive_decision(inclusion: Column, exclusion: Column) -> Column:
-    """EXCLUDE if an exclusion criterion is triggered; INCLUDE if there are inclusion criteria and all are met; EXCLUDE if one is not met; else UNCERTAIN."""
-    return (
-        F.when(F.exists(exclusion, lambda v: v["verdict"] == "triggered"), "EXCLUDE")
-        .when((F.size(inclusion) > 0) & F.forall(inclusion, lambda v: v["verdict"] == "met"), "INCLUDE")
-        .when(F.exists(inclusion, lambda v: v["verdict"] == "not_met"), "EXCLUDE").otherwise("UNCERTAIN")
-    )
+def prompt_prefix(title: str, description: str = "", objectives: list[str] | None = None, criteria: str = "", instructions: str = "") -> str:
+    """What all prompts of a run begin with: project, numbered objectives, criteria, instructions; empty parts are left out."""
+    goals = [o.strip() for o in objectives or [] if o.strip()]
+    head = [f"Project: {title}", *([f"Description: {description.strip()}"] if description.strip() else []), *(["Objectives:"] if goals else []), *(f"{k}. {o}" for k, o in enumerate(goals, 1))]
+    return "\n\n".join(x for x in ["\n".join(head), criteria, instructions] if x)
 
 
-def parse_answers(raw: DataFrame) -> DataFrame:
-    """``raw`` (study_uid, answer) with status, decision, derived_decision, consistent, reasoning and quotes.
+def build_prompts(records: DataFrame, prefix: str, system: str = "", keywords: bool = False, fulltext: str | None = None, reminder: str = "") -> DataFrame:
+    """(study_uid, prompt, prefix_hash) for each record: prefix, and title with abstract or with the column ``fulltext``, perhaps with keywords, between record tags.
 
-    The answer is JSON, perhaps in a code fence or amid other text. Missing or unknown fields, and values outside
-    the lists, make it a parse_error; texts that are too long are cut. The model's decision is kept beside the derived one.
+    ``reminder`` repeats the criteria behind a full text. The hash is that of system prompt and prefix, so it does not depend on the records.
     """
-    body = F.regexp_replace(F.trim(F.coalesce("answer", F.lit(""))), r"(?s)^```[a-zA-Z]*\s*|\s*```$", "")
-    body = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    d = raw.withColumn("_body", body).withColumn("_a", F.from_json("_body", ANSWER)).withColumn("_keys", F.json_object_keys("_body"))
-    a = F.col("_a")
-    known = F.array(*map(F.lit, ["inclusion", "exclusion", "reasoning", "decision", "ambiguities"]))
-    needed = F.array(*map(F.lit, ["inclusion", "exclusion", "reasoning", "decision"]))
-    shape = (F.size(F.array_except("_keys", known)) == 0) & (F.size(F.array_except(needed, F.col("_keys"))) == 0)
-    values = (
-        a["decision"].isin("INCLUDE", "EXCLUDE", "UNCERTAIN") & a["reasoning"].isNotNull()
-        & F.forall(a["inclusion"], lambda v: F.coalesce(v["verdict"].isin("met", "not_met", "unclear"), F.lit(False)))
-        & F.forall(a["exclusion"], lambda v: F.coalesce(v["verdict"].isin("triggered", "not_triggered", "unclear"), F.lit(False)))
-    )
-    good = F.coalesce(shape & values, F.lit(False))
-    derived = derive_decision(a["inclusion"], a["exclusion"])
-    quotes = F.filter(F.transform(F.concat(a["inclusion"], a["exclusion"]), lambda v: F.substring(F.coalesce(v["quote"], F.lit("")), 1, CUTS["quote"])), lambda q: q != "")
-    d = d.withColumn("_good", good)
-    when = lambda c, other=None: F.when(F.col("_good"), c).otherwise(F.lit(other))
-    return d.select(
-        *raw.columns, F.when(F.col("_good"), "ok").otherwise("parse_error").alias("status"), when(a["decision"], "").alias("decision"), when(derived, "").alias("derived_decision"),
-        when(a["decision"] == derived).alias("consistent"), when(F.substring(a["reasoning"], 1, CUTS["reasoning"]), "").alias("reasoning"),
-        F.when(F.col("_good"), quotes).otherwise(F.array().cast("array<string>")).alias("quotes"),
-    )
-
-
-def parse_last_line(answer: Column) -> Column:
-    """The old answer form: the last line that is not empty is XXX (EXCLUDE) or YYY (INCLUDE); else null."""
-    lines = F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    last = F.regexp_replace(F.coalesce(F.get(lines, F.size(lines) - 1), F.lit("")), r"""["'*.`\s]""", "")
-    return F.when(last == "XXX", "EXCLUDE").when(last == "YYY", "INCLUDE")
-
-
-def quotes_found(quote: Column, text: Column) -> Column:
-    """Whether all parts of a quote, cut at dots of omission, stand in the text; case, spaces and punctuation aside."""
-    parts = F.filter(F.transform(F.split(quote, r"\.\.\.|…"), squash), lambda p: p != "")
-    return F.forall(parts, lambda p: F.contains(squash(text), p))
-
-
-def mock_answers(records: DataFrame) -> DataFrame:
-    """A stand-in for a model: markers in a text decide; otherwise a text's checksum does. (study_uid, status, decision)"""
-    text = F.concat_ws("\n", "title", "abstract")
-    bucket = F.crc32(text.cast("binary")) % 20
-    status = F.when(bucket == 0, "parse_error").when(bucket == 1, "api_error").when(bucket == 2, "truncated").otherwise("ok")
-    decision = F.when(F.contains(text, F.lit("EXCLUDE_ME")), "EXCLUDE").when(F.contains(text, F.lit("UNSURE_ME")), "UNCERTAIN").when(bucket % 3 == 0, "EXCLUDE").otherwise("INCLUDE")
-    return records.select("study_uid", status.alias("status"), F.when(status == "ok", decision).otherwise("").alias("decision"))
+    line = lambda label, c: F.concat(F.lit(label), strip(guarded(F.col(c))))
+    words = [F.when(strip(F.coalesce("keywords", F.lit(""))) != "", line("Keywords: ", "keywords"))] if keywords else []
+    lines = [line("Title: ", "title"), *words, line("Full text:\n", fulltext)] if fulltext else [line("Title: ", "title"), line("Abstract: ", "abstract"), *words]
+    tail = f"\n\nReminder of the criteria:\n{reminder}" if fulltext and reminder else ""
+    body = F.concat(F.lit(f"{prefix}\n\n<record>\n"), F.concat_ws("\n", *lines), F.lit(f"\n</record>{tail}"))
+    return records.select("study_uid", body.alias("prompt"), F.concat(F.lit("sha256:"), F.sha2(F.lit(f"{system}\n\n{prefix}"), 256)).alias("prefix_hash"))
 
 
 def chunks(texts: DataFrame, size: int, overlap: int = 200) -> DataFrame:
@@ -126,27 +70,52 @@ def chunks(texts: DataFrame, size: int, overlap: int = 200) -> DataFrame:
     return d.select("study_uid", "chunk", F.substring("text", F.col("chunk") * step + 1, F.lit(size)).alias("text"))
 
 
-def fit_to_context(text: Column, context_tokens: int, notice: str = "\n[truncated]") -> Column:
-    """The longest prefix whose token count fits, with a notice if something was cut off; for texts without wide characters."""
-    budget = max(context_tokens - 2000, 500)
-    fits = int(budget / 1.1) * 4
-    return F.when(token_count(text) <= budget, text).otherwise(F.concat(F.substring(text, 1, fits), F.lit(notice)))
-
-
-def section_texts(texts: DataFrame) -> DataFrame:
-    """(study_uid, section, text): what stands under headings of methods, results and discussion, same-named ones joined in order."""
-    heading = r"(?i)^\s*(?:[0-9]+(?:\.[0-9]+)*\.?\s+)?(methods?|materials and methods|results?|findings|discussion|conclusions?|introduction|background|references)\s*:?\s*$"
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"), F.lower(F.regexp_extract(x, heading, 1)).alias("h"))), lambda x: F.trim(x["x"]) != "")
-    name = lambda h: F.when(h.startswith("method") | (h == "materials and methods"), "methods").when(h.startswith("result") | (h == "findings"), "results").when((h == "discussion") | h.startswith("conclusion"), "discussion").otherwise("other")
-    folded = F.aggregate(
-        lines, F.struct(F.lit("other").alias("s"), F.array().cast("array<struct<s:string,x:string>>").alias("out")),
-        lambda acc, x: F.when(x["h"] != "", F.struct(name(x["h"]).alias("s"), acc["out"].alias("out"))).otherwise(F.struct(acc["s"].alias("s"), F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), x["x"].alias("x")))).alias("out"))),
-    )
-    d = texts.withColumn("_f", folded["out"]).select("study_uid", "_f", F.explode(F.array(*map(F.lit, ["methods", "results", "discussion"]))).alias("section"))
-    own = F.array_join(F.transform(F.filter("_f", lambda x: x["s"] == F.col("section")), lambda x: x["x"]), "\n")
+def budget_of(context_tokens: int) -> int:
+    """Tokens that a text may have in a context."""
+    return max(context_tokens - RESERVED, LEAST_BUDGET)
+
+
+def longest_fit(text: Column, budget: int) -> Column:
+    """Characters of the longest prefix of a text that has ``budget`` tokens at most, one at least; found by halving, as wide characters count more."""
+    step = lambda end, k: F.when((end + k <= F.length(text)) & (token_count(F.substring(text, F.lit(1), (end + k).cast("int"))) <= budget), end + k).otherwise(end)
+    powers = F.array(*(F.lit(1 << k).cast("long") for k in range(29, -1, -1)))
+    return F.greatest(F.aggregate(powers, F.lit(0).cast("long"), step), F.lit(1))
+
+
+def fit_to_context(text: Column, context_tokens: int, notice: str = NOTICE) -> Column:
+    """The text if it fits, else its longest prefix that does, without white space at its end, and a notice."""
+    budget = budget_of(context_tokens)
+    cut = F.regexp_replace(F.substring(text, F.lit(1), longest_fit(text, budget).cast("int")), r"(?U)\s+$", "")
+    return F.when(token_count(text) <= budget, text).otherwise(F.concat(cut, F.lit(notice)))
+
+
+def _sections(text: Column) -> Column:
+    """array of (section, body) in order: what stands under lines that are a known heading and nothing else; empty bodies are left out."""
+    names = "|".join(sorted((h for hs in HEADINGS.values() for h in hs), key=len, reverse=True))
+    section = F.create_map(*(F.lit(x) for s, hs in HEADINGS.items() for h in hs for x in (h, s)))
+    marked = F.regexp_replace(F.translate(text, "\x01\x02", "  "), rf"(?imd)^\s*({names})\s*$", "\x01$1\x02")
+    parts = F.transform(F.slice(F.split(marked, "\x01"), 2, 1 << 30), lambda p: F.struct(section[F.lower(F.substring_index(p, "\x02", 1))].alias("s"), strip(F.substring_index(p, "\x02", -1)).alias("b")))
+    return F.filter(parts, lambda p: p["b"] != "")
+
+
+def section_texts(texts: DataFrame, sections: list[str] | None = None) -> DataFrame:
+    """(study_uid, section, text): each section that a text (study_uid, text) has, same-named ones joined by an empty line in order."""
+    d = texts.select("study_uid", _sections(F.coalesce("text", F.lit(""))).alias("_p"))
+    d = d.select("study_uid", "_p", F.explode(F.array(*map(F.lit, sections or list(HEADINGS)))).alias("section"))
+    own = F.array_join(F.transform(F.filter("_p", lambda p: p["s"] == F.col("section")), lambda p: p["b"]), "\n\n")
     return d.select("study_uid", "section", own.alias("text")).where("text != ''")
 
 
+def screened_text(text: Column, context_tokens: int, sections: bool = False) -> Column:
+    """A full text fitted to the context; with ``sections`` its methods, results and discussion, or all of it if it has none of these headings."""
+    if sections:
+        parts = _sections(F.coalesce(text, F.lit("")))
+        own = lambda s: F.array_join(F.transform(F.filter(parts, lambda p: p["s"] == s), lambda p: p["b"]), "\n\n")
+        reduced = F.array_join(F.filter(F.array(*map(own, SCREENED)), lambda x: x != ""), "\n\n")
+        text = F.when(reduced != "", reduced).otherwise(text)
+    return fit_to_context(text, context_tokens)
+
+
 def link_fulltexts(fulltexts: DataFrame, records: DataFrame, min_words: int = 4) -> DataFrame:
     """(fulltext_id, study_uid, by) for each full text (fulltext_id, title, doi): its record by DOI, else by title; null if none.
 
@@ -161,17 +130,21 @@ def link_fulltexts(fulltexts: DataFrame, records: DataFrame, min_words: int = 4)
 
 
 def requests_in_window(results: DataFrame, seconds: int = 60) -> DataFrame:
-    """Per run: the most requests and tokens in any span of seconds, from (run_id, ts in seconds, tokens)."""
-    w = Window.partitionBy("run_id").orderBy("ts").rangeBetween(-seconds + 1, 0)
-    d = results.select("run_id", F.count("*").over(w).alias("r"), F.sum("tokens").over(w).alias("t"))
+    """Per run: the most requests and tokens in any span of seconds, from (run_id, ts in seconds, tokens).
+
+    Calls of one second are added first. Time is cut into stretches of ``seconds``; a window lies in two of them at most, so each stretch is one group, with
+    a copy of the one before it, and a run of any length is many groups.
+    """
+    per_second = results.groupBy("run_id", "ts").agg(F.count("*").alias("r"), F.sum("tokens").alias("t")).withColumn("own", F.floor(F.col("ts") / seconds))
+    both = per_second.select("run_id", "ts", "r", "t", "own", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("part"))
+    w = Window.partitionBy("run_id", "part").orderBy("ts").rangeBetween(-seconds + 1, 0)
+    d = both.select("run_id", "own", "part", F.sum("r").over(w).alias("r"), F.sum("t").over(w).alias("t")).where("own = part")
     return d.groupBy("run_id").agg(F.max("r").alias("max_requests"), F.max("t").alias("max_tokens"))
 
 
 def cost_stop(results: DataFrame, limit: float, concurrency: int = 1) -> DataFrame:
     """Per run: the line at which a run with this cost limit pauses (cost so far and the average of the calls in flight reach it)."""
-    w = Window.partitionBy("run_id").orderBy("line_no")
-    cost = F.sum(F.coalesce("cost", F.lit(0.0))).over(w)
-    d = results.select("run_id", "line_no", cost.alias("c"), F.row_number().over(w).alias("k"))
+    d = running(results.select("run_id", "line_no", F.coalesce("cost", F.lit(0.0)).alias("cost")), "line_no", {"c": "cost", "k": 1})
     return d.where(F.col("c") + F.col("c") / F.col("k") * concurrency >= limit).groupBy("run_id").agg(F.min("line_no").alias("stop_line"))
 
 

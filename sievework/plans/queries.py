@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as T
 from sievework.operators import agreement as AG
+from sievework.operators import answers as AN
+from sievework.operators import costs as CO
 from sievework.operators import dedup as DD
 from sievework.operators import flow as FL
 from sievework.operators import marking as MK
 from sievework.operators import results as RS
 from sievework.operators import screening as SC
 from sievework.plans import adapters as A
-from sievework.sinks import records_as_ris
+from sievework.sinks import records_as_bibtex, records_as_nbib, records_as_ris, write_records
+from sievework.sources.tables import read_records_table
+from sievework.storage import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,8 +104,8 @@ _FILTERED = f"""
  h AS (SELECT *, CASE WHEN c NOT IN ('eng', 'ger') AND NOT contains(language, ';') THEN 'language: ' || c END AS h1,
    CASE WHEN year < 1995 OR year > 2020 THEN 'year: ' || CAST(year AS VARCHAR) END AS h2,
    CASE publication_types WHEN 'editorial' THEN 'type: editorial' WHEN 'Letter;  Comment' THEN 'type: comment' END AS h3,
-   CASE WHEN contains(lower(title || chr(10) || abstract), 'license') THEN 'keyword: license' END AS h4 FROM l),
- marked AS (SELECT *, CASE WHEN exclusion_reason <> '' THEN exclusion_reason WHEN h1 IS NOT NULL THEN 'LANGUAGE' WHEN h2 IS NOT NULL THEN 'YEAR' WHEN h3 IS NOT NULL THEN 'PUBLICATION_TYPE' WHEN h4 IS NOT NULL THEN 'KEYWORD' ELSE '' END AS reason FROM h)"""
+   CASE WHEN contains(lower(title || chr(10) || abstract || chr(10) || keywords || chr(10) || keywords_mesh), 'license') THEN 'keyword: license' END AS h4 FROM l),
+ marked AS (SELECT *, CASE WHEN exclusion_reason <> '' THEN exclusion_reason WHEN h1 IS NOT NULL THEN 'PREFILTER_LANGUAGE' WHEN h2 IS NOT NULL THEN 'PREFILTER_YEAR' WHEN h3 IS NOT NULL THEN 'PREFILTER_TYPE' WHEN h4 IS NOT NULL THEN 'PREFILTER_KEYWORD' ELSE '' END AS reason FROM h)"""
 
 
 @query("prefilters", f"WITH {R}, {_FILTERED} SELECT study_uid, reason AS exclusion_reason, CASE WHEN exclusion_reason = '' THEN concat_ws('; ', h1, h2, h3, h4) ELSE '' END AS exclusion_details FROM marked")
@@ -109,7 +113,7 @@ def _(spark, d):
     return MK.mark_prefilters(A.records(spark, d), FILTERS).select("study_uid", "exclusion_reason", "exclusion_details")
 
 
-_VALID = """ v AS (SELECT *, CASE WHEN reason <> '' THEN reason WHEN fulltext_of <> '' THEN '' WHEN is_retracted THEN 'RETRACTED' WHEN trim(abstract) = '' THEN 'NO_ABSTRACT' ELSE '' END AS final FROM marked)"""
+_VALID = """ v AS (SELECT *, CASE WHEN reason <> '' THEN reason WHEN fulltext_of <> '' THEN '' WHEN lower(trim(title)) = 'table of contents' THEN 'NOT_SCREENABLE' WHEN is_retracted THEN 'RETRACTED' WHEN trim(abstract) = '' THEN 'NO_ABSTRACT' ELSE '' END AS final FROM marked)"""
 
 
 @query("validity", f"WITH {R}, {_FILTERED}, {_VALID} SELECT study_uid, final AS exclusion_reason, trim(abstract) <> '' AS has_abstract FROM v")
@@ -217,11 +221,47 @@ def _(spark, d):
     return RS.word_histogram(_table(spark, d))
 
 
-@query("latency_histogram", f"WITH {_TABLE} SELECT floor(latency_s / 0.5::DOUBLE) * 0.5::DOUBLE AS bin, count(*) AS n FROM t WHERE latency_s IS NOT NULL GROUP BY ALL")
+@query("latency_histogram", f"""WITH {_TABLE}, w AS (SELECT greatest(0.5::DOUBLE, round_even(max(latency_s) / 20, 1)) AS w FROM t), k AS (SELECT outcome, w, floor(latency_s / w) AS k FROM t, w WHERE latency_s IS NOT NULL)
+  SELECT round(k * w, 2) AS bin_start, round((k + 1) * w, 2) AS bin_end, outcome, count(*) AS n FROM k GROUP BY ALL""")
 def _(spark, d):
     return RS.latency_histogram(_table(spark, d))
 
 
+@query("status_counts", f"WITH {_TABLE} SELECT status, count(*) AS n FROM t WHERE status <> '' GROUP BY status")
+def _(spark, d):
+    return RS.status_counts(_table(spark, d))
+
+
+@query("result_totals", f"WITH {_TABLE} SELECT count(*) AS total, count(*) FILTER (WHERE outcome IN ('INCLUDE', 'EXCLUDE', 'UNCERTAIN')) AS screened, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, round(sum(cost), 6) AS cost FROM t")
+def _(spark, d):
+    return RS.result_totals(_table(spark, d))
+
+
+@query("uncertain_records", f"WITH {_TABLE} SELECT study_uid, title, year, flags FROM t WHERE outcome = 'UNCERTAIN' ORDER BY study_uid LIMIT 200")
+def _(spark, d):
+    return RS.uncertain_records(_table(spark, d))
+
+
+@query("comparable", f"WITH {S}, {_LAST} SELECT run_id, study_uid, r.decision AS decision FROM last WHERE r.status = 'ok' AND r.decision IN ('INCLUDE', 'EXCLUDE', 'UNCERTAIN')")
+def _(spark, d):
+    return RS.comparable(A.results(spark, d))
+
+
+@query("resolvable_runs", f"WITH {A.SQL_RUNS}, {D}, {S}, h AS (SELECT run_id FROM decisions UNION SELECT run_id FROM results) SELECT run_id, kind FROM runs WHERE kind IN ('full', 'sample') AND run_id IN (SELECT run_id FROM h)")
+def _(spark, d):
+    return RS.resolvable_runs(A.runs(spark, d), A.decisions(spark, d).select("run_id").union(A.results(spark, d).select("run_id")))
+
+
+@query("screening_totals", f"WITH {S}, {_LAST} SELECT run_id, count(*) FILTER (WHERE r.decision = 'INCLUDE') AS included, count(*) FILTER (WHERE r.decision = 'EXCLUDE') AS excluded, count(*) FILTER (WHERE r.decision = 'UNCERTAIN') AS uncertain FROM last WHERE r.status = 'ok' GROUP BY run_id")
+def _(spark, d):
+    return RS.screening_totals(A.results(spark, d))
+
+
+@query("seeded_sample")
+def _(spark, d):
+    return RS.seeded_sample(A.records(spark, d).select("study_uid"), "study_uid", 100, 7)
+
+
 @query("latency_summary", f"WITH {S} SELECT run_id, median(latency_s) AS median_s, list_sort(list(latency_s))[least(count(*) - 1, CAST(floor(count(*) * 0.95::DOUBLE) AS BIGINT)) + 1] AS p95_s, count(*) AS n FROM results GROUP BY run_id")
 def _(spark, d):
     return RS.latency_summary(A.results(spark, d))
@@ -289,15 +329,23 @@ def _(spark, d):
     return AG.discussion_consensus(o)
 
 
-_FLOW = f"""{E}, w AS (SELECT coalesce(sum(n), 0) AS within FROM (SELECT arg_max(n, position) AS n FROM ev WHERE event_type = 'DEDUP_WITHIN_SOURCE' GROUP BY source_label)),
- o AS (SELECT coalesce(sum(n) FILTER (WHERE event_type = 'SOURCE_IMPORTED'), 0) AS identified, {', '.join(f"coalesce(max(position) FILTER (WHERE event_type = '{k}'), -1) AS {a}" for k, a in (('SOURCE_IMPORTED', 'ai'), ('DEDUP_GLOBAL', 'ad'), ('PREFILTER', 'ap'), ('VALIDITY', 'av')))},
-   coalesce(arg_max(n, position) FILTER (WHERE event_type = 'DEDUP_GLOBAL'), 0) AS across, coalesce(arg_max(n, position) FILTER (WHERE event_type = 'PREFILTER'), 0) AS pre,
-   coalesce(arg_max(n, position) FILTER (WHERE event_type = 'VALIDITY'), 0) AS mis, coalesce(arg_max(m, position) FILTER (WHERE event_type = 'VALIDITY'), 0) AS ret, arg_max(run_id, position) FILTER (WHERE event_type = 'SCREEN_TA') AS ta FROM ev),
- s AS (SELECT coalesce(sum(n), 0) AS inc, coalesce(sum(m), 0) AS exc FROM ev, o WHERE event_type = 'SCREEN_TA' AND run_id = ta),
+_FLOW_FOLD = f"""w AS (SELECT coalesce(sum(n), 0) AS within FROM (SELECT arg_max(n, position) AS n FROM ev WHERE event_type = 'DEDUP_WITHIN_SOURCE' GROUP BY source_label)),
+ o AS (SELECT coalesce(sum(n) FILTER (WHERE event_type = 'SOURCE_IMPORTED'), 0) AS identified, {', '.join(f"coalesce(max(position) FILTER (WHERE event_type = '{k}'), -1) AS {a}" for k, a in (('SOURCE_IMPORTED', 'ai'), ('DEDUP_GLOBAL', 'ad'), ('PREFILTER', 'ap'), ('VALIDITY', 'av'), ('SCREEN_TA', 'ata'), ('SCREEN_FT', 'aft')))},
+   coalesce(arg_max(n, position) FILTER (WHERE event_type = 'DEDUP_GLOBAL'), 0) AS across, coalesce(arg_max(n, position) FILTER (WHERE event_type = 'PREFILTER'), 0) AS pre, coalesce(arg_max(n, position) FILTER (WHERE event_type = 'AI_PREFILTER'), 0) AS aip,
+   coalesce(arg_max(n, position) FILTER (WHERE event_type = 'VALIDITY'), 0) AS mis, coalesce(arg_max(m, position) FILTER (WHERE event_type = 'VALIDITY'), 0) AS ret, arg_max(n, position) FILTER (WHERE event_type = 'MERGE') AS mrg,
+   arg_max(before, position) FILTER (WHERE event_type = 'DEDUP_GLOBAL') AS db, arg_max(after, position) FILTER (WHERE event_type = 'DEDUP_GLOBAL') AS da FROM ev),
+ r AS (SELECT max(run_id) FILTER (WHERE event_type = 'SCREEN_TA' AND position = ata) AS ta, max(run_id) FILTER (WHERE event_type = 'SCREEN_FT' AND position = aft) AS ft FROM ev, o),
+ s AS (SELECT {', '.join(f"coalesce(sum({c}) FILTER (WHERE event_type = 'SCREEN_{p.upper()}' AND (run_id = {p} OR ({p} IS NULL AND position = a{p}))), 0) AS {p}_{k}" for p in ('ta', 'ft') for c, k in (('n', 'inc'), ('m', 'exc')))} FROM ev, o, r),
  x AS (SELECT *, ad >= 0 AND ai > ad AS sd, ad >= 0 AND ap >= 0 AND ap < ad AS sp, ad >= 0 AND av >= 0 AND av < ad AS sv, least(identified, within + across) AS dup FROM o, w, s),
  y AS (SELECT *, CASE WHEN sp THEN 0 ELSE pre END + CASE WHEN sv THEN 0 ELSE ret END AS pf FROM x),
- f AS (SELECT CAST(identified AS BIGINT) AS identified, CAST(dup AS BIGINT) AS duplicates_removed, CAST(pf AS BIGINT) AS removed_other, CAST(pf AS BIGINT) AS prefiltered, CAST(identified - dup AS BIGINT) AS after_dedup, CAST(greatest(0, identified - dup - pf) AS BIGINT) AS to_screen,
-   CAST(CASE WHEN sv THEN 0 ELSE mis END AS BIGINT) AS missing_abstracts, CAST(inc + exc AS BIGINT) AS screened, CAST(exc AS BIGINT) AS excluded_ta, CAST(0 AS BIGINT) AS assessed_ft, CAST(0 AS BIGINT) AS excluded_ft, CAST(inc AS BIGINT) AS included, CAST(inc AS BIGINT) AS ta_included, sd AS stale_dedup, sp AS stale_prefilter, sv AS stale_validity FROM y)"""
+ f AS (SELECT CAST(identified AS BIGINT) AS identified, CAST(dup AS BIGINT) AS duplicates_removed, CAST(pf + aip AS BIGINT) AS removed_other, CAST(pf AS BIGINT) AS prefiltered, CAST(aip AS BIGINT) AS ai_prefiltered, CAST(identified - dup AS BIGINT) AS after_dedup, CAST(greatest(0, identified - dup - pf - aip) AS BIGINT) AS to_screen,
+   CAST(CASE WHEN sv THEN 0 ELSE mis END AS BIGINT) AS missing_abstracts, CAST(ta_inc + ta_exc AS BIGINT) AS screened, CAST(ta_exc AS BIGINT) AS excluded_ta, CAST(ft_inc + ft_exc AS BIGINT) AS assessed_ft, CAST(ft_exc AS BIGINT) AS excluded_ft,
+   CAST(CASE WHEN ft_inc + ft_exc > 0 THEN ft_inc ELSE ta_inc END AS BIGINT) AS included, CAST(ta_inc AS BIGINT) AS ta_included, CAST(mrg AS BIGINT) AS merged, CAST(within AS BIGINT) AS within_removed, CAST(db AS BIGINT) AS dedup_before, CAST(da AS BIGINT) AS dedup_after, CASE WHEN ad >= 0 THEN CAST(across AS BIGINT) END AS dedup_removed,
+   sd AS stale_dedup, sp AS stale_prefilter, sv AS stale_validity FROM y)"""
+_FLOW = f"{E.replace(' FROM events)', ', NULL::BIGINT AS before, NULL::BIGINT AS after FROM events)')}, {_FLOW_FOLD}"
+_WARNINGS = """SELECT unnest(list_filter([CASE WHEN stale_dedup THEN 'STALE_DEDUP' END, CASE WHEN stale_prefilter THEN 'STALE_PREFILTER' END, CASE WHEN stale_validity THEN 'STALE_VALIDITY' END, CASE WHEN dedup_after > dedup_before THEN 'DEDUP_AFTER_EXCEEDS_BEFORE' END,
+  CASE WHEN dedup_after <> greatest(0, dedup_before - dedup_removed) THEN 'ARITHMETIC_MISMATCH' END, CASE WHEN NOT stale_dedup AND merged <> identified - within_removed THEN 'ARITHMETIC_MISMATCH' END, CASE WHEN merged > identified THEN 'MERGED_EXCEEDS_IDENTIFIED' END,
+  CASE WHEN screened > to_screen THEN 'SCREENED_EXCEEDS_AVAILABLE' END, CASE WHEN assessed_ft > ta_included THEN 'FULLTEXT_EXCEEDS_INCLUDED' END], lambda x: x IS NOT NULL)) AS code FROM f"""
 
 
 @query("prisma_flow", f"WITH {_FLOW} SELECT * FROM f")
@@ -305,42 +353,84 @@ def _(spark, d):
     return FL.fold_flow(A.prisma_events(spark, d))
 
 
-@query("flow_warnings", f"""WITH {_FLOW} SELECT unnest(list_filter([CASE WHEN stale_dedup THEN 'STALE_DEDUP' END, CASE WHEN stale_prefilter THEN 'STALE_PREFILTER' END, CASE WHEN stale_validity THEN 'STALE_VALIDITY' END,
-  CASE WHEN identified - duplicates_removed - removed_other <> to_screen THEN 'ARITHMETIC_MISMATCH' END, CASE WHEN screened > to_screen THEN 'SCREENED_EXCEEDS_AVAILABLE' END, CASE WHEN assessed_ft > ta_included THEN 'FULLTEXT_EXCEEDS_INCLUDED' END], lambda x: x IS NOT NULL)) AS code FROM f""")
+@query("flow_warnings", f"WITH {_FLOW} {_WARNINGS}")
 def _(spark, d):
     return FL.flow_warnings(FL.fold_flow(A.prisma_events(spark, d)))
 
 
-@query("run_estimate", f"""WITH {R}, t AS (SELECT count(*) AS n, sum(greatest(1, CAST(ceil(length(title || chr(10) || abstract) / 4.0::DOUBLE * 1.1::DOUBLE) AS BIGINT))) AS t FROM records)
-  SELECT n, CAST(t + n * 4 AS BIGINT) AS tokens_in, n * 150 AS tokens_out, round((t + n * 4) / 1000.0::DOUBLE * 0.15::DOUBLE + n * 150 / 1000.0::DOUBLE * 0.6::DOUBLE, 6) AS cost FROM t""")
+_COUNT = "greatest(1, CAST(ceil(length({0}) / 4.0::DOUBLE * 1.1::DOUBLE) AS BIGINT))"
+_ITEMS = f"t AS (SELECT count(*) AS n, CAST(sum({_COUNT.format("'Title: ' || title || chr(10) || 'Abstract: ' || abstract")}) AS BIGINT) AS t FROM records)"
+
+
+def _estimate(spark, d):
+    return CO.run_estimate(A.records(spark, d).select(CO.item_text().alias("text")), "Shared prompt", 0.15, 0.6, CO.RunLimits(max_cost=1.0))
+
+
+@query("run_estimate", f"""WITH {R}, {_ITEMS}, c AS (SELECT *, (t + n * 4) / 1000.0::DOUBLE * 0.15::DOUBLE + n * 150 / 1000.0::DOUBLE * 0.6::DOUBLE AS cost, (t + n * 4) / 1000.0::DOUBLE * 0.15::DOUBLE + n * 800 / 1000.0::DOUBLE * 0.6::DOUBLE AS worst FROM t)
+  SELECT n, CAST(4 AS BIGINT) AS shared_tokens, t AS item_tokens, CAST(t + n * 4 AS BIGINT) AS tokens_in, n * 150 AS tokens_out, round(cost, 6) AS cost, round(cost * 0.8::DOUBLE, 6) AS cost_low, round(cost * 1.2::DOUBLE, 6) AS cost_high, round(worst, 6) AS cost_max, worst > 1.0 AS over_limit FROM c""")
+def _(spark, d):
+    return _estimate(spark, d)
+
+
+@query("project_estimate", f"""WITH {R}, {_FILTERED}, {_VALID}, e AS (SELECT title, CASE WHEN trim(keywords) <> '' THEN abstract || chr(10) || 'Keywords: ' || keywords ELSE abstract END AS a FROM v WHERE final = '' AND fulltext_of = '' AND trim(abstract) <> ''),
+  t AS (SELECT count(*) AS n, CAST(coalesce(sum({_COUNT.format("'Title: ' || title || chr(10) || 'Abstract: ' || a")}), 0) AS BIGINT) AS t FROM e),
+  p AS (SELECT {_COUNT.format("'Be strict.' || chr(10) || chr(10) || 'Project: P' || chr(10) || 'Objectives:' || chr(10) || '1. First' || chr(10) || '2. Second' || chr(10) || chr(10) || 'Include Population: adults' || chr(10) || 'Exclude Outcome: none'")} AS s)
+  SELECT n, s AS shared_tokens, t AS item_tokens, CAST(t + n * s AS BIGINT) AS tokens_in, n * 150 AS tokens_out, round((t + n * s) / 1000.0::DOUBLE * 0.15::DOUBLE + n * 150 / 1000.0::DOUBLE * 0.6::DOUBLE, 6) AS cost FROM t, p""")
+def _(spark, d):
+    eligible = MK.eligible(MK.mark_validity(MK.mark_prefilters(A.records(spark, d), FILTERS)))
+    text = F.when(F.trim("keywords") != "", F.concat("abstract", F.lit("\nKeywords: "), "keywords")).otherwise(F.col("abstract"))
+    criteria = SC.criteria_text("PICOS", {"Population": "adults"}, {"Outcome": "none"})
+    shared = "Be strict.\n\n" + SC.prompt_prefix("P", "", ["First", " Second "], criteria)
+    return CO.run_estimate(eligible.select(CO.item_text(text=text).alias("text")), shared, 0.15, 0.6).select("n", "shared_tokens", "item_tokens", "tokens_in", "tokens_out", "cost")
+
+
+@query("prefilter_estimate", f"""WITH {R}, e AS (SELECT title || chr(10) || abstract AS x FROM records WHERE exclusion_reason = '' AND (trim(title) <> '' OR trim(abstract) <> ''))
+  SELECT count(*) AS n, CAST(sum({_COUNT.format('x')} + 4) AS BIGINT) AS tokens_in, round(CAST(sum({_COUNT.format('x')} + 4) AS BIGINT) / 1000.0::DOUBLE * 0.01::DOUBLE, 6) AS cost FROM e""")
 def _(spark, d):
-    return SC.run_estimate(A.records(spark, d), "Shared prompt", 0.15, 0.6)
+    return CO.prefilter_estimate(A.records(spark, d), "Include rats.", 0.01)
 
 
-@query("duration_estimate", f"""WITH {R}, t AS (SELECT count(*) AS n, sum(greatest(1, CAST(ceil(length(title || chr(10) || abstract) / 4.0::DOUBLE * 1.1::DOUBLE) AS BIGINT))) AS t FROM records),
+@query("duration_estimate", f"""WITH {R}, {_ITEMS},
   b AS (SELECT n, n / 500.0::DOUBLE * 60 AS a, (t + n * 4 + n * 150) / 200000.0::DOUBLE * 60 AS b, n * 1.5::DOUBLE / 5 AS c FROM t)
   SELECT n, round(greatest(a, b, c), 3) AS seconds, CASE WHEN a >= b AND a >= c THEN 'rpm' WHEN b >= c THEN 'tpm' ELSE 'latency' END AS limit FROM b""".replace("AS limit", 'AS "limit"'))
 def _(spark, d):
-    return SC.duration_estimate(SC.run_estimate(A.records(spark, d), "Shared prompt", 0.15, 0.6), 500.0, 200000.0, 1.5, 5)
+    return CO.duration_estimate(_estimate(spark, d), 500.0, 200000.0, 1.5, 5)
 
 
-@query("prompts", f"WITH {R} SELECT study_uid, 'Screen.' || chr(10) || '<record>' || chr(10) || 'Title: ' || translate(title, '<>', '‹›') || chr(10) || 'Abstract: ' || translate(abstract, '<>', '‹›') || chr(10) || '</record>' AS prompt, 'sha256:' || sha256('Screen.') AS prefix_hash FROM records")
+@query("display_formats", """SELECT event_id, CASE WHEN s < 60 THEN s || ' s' WHEN ceil(s / 60.0) < 60 THEN CAST(ceil(s / 60.0) AS BIGINT) || ' min' ELSE CAST(ceil(s / 60.0) AS BIGINT) // 60 || ' h ' || lpad(CAST(CAST(ceil(s / 60.0) AS BIGINT) % 60 AS VARCHAR), 2, '0') || ' min' END AS duration,
+  CASE WHEN event_id % 5 = 0 THEN '-' ELSE CAST(round_even(100.0::DOUBLE * (event_id % 7) / (event_id % 5), 0) AS BIGINT) || ' %' END AS share, CASE WHEN event_id % 3 = 0 THEN '' ELSE CAST(event_id % 2 = 0 AS VARCHAR) END AS cell
+  FROM (SELECT *, CAST(ceil(event_id * 7.3::DOUBLE) AS BIGINT) AS s FROM events)""")
 def _(spark, d):
-    return SC.build_prompts(A.records(spark, d), "Screen.")
+    i = F.col("event_id")
+    e = A.read(spark, d, "events")
+    return e.select("event_id", T.format_duration(i * 7.3).alias("duration"), T.percent(i % 7, i % 5).alias("share"), T.cell(F.when(i % 3 != 0, i % 2 == 0)).alias("cell"))
 
 
-@query("mock_answers")
+@query("prompts", f"""WITH {R}, p AS (SELECT 'Project: P' || chr(10) || 'Description: D' || chr(10) || 'Objectives:' || chr(10) || '1. One' || chr(10) || chr(10) || 'Include Sample: all' || chr(10) || chr(10) || 'Screen.' AS p)
+  SELECT study_uid, p || chr(10) || chr(10) || '<record>' || chr(10) || 'Title: ' || regexp_replace(translate(title, '<>', '‹›'), '^\\s+|\\s+$', '', 'g') || chr(10) || 'Abstract: ' || regexp_replace(translate(abstract, '<>', '‹›'), '^\\s+|\\s+$', '', 'g')
+    || CASE WHEN keywords <> '' THEN chr(10) || 'Keywords: ' || keywords ELSE '' END || chr(10) || '</record>' AS prompt, 'sha256:' || sha256('Sys' || chr(10) || chr(10) || p) AS prefix_hash FROM records, p""")
 def _(spark, d):
-    return SC.mock_answers(A.records(spark, d))
+    prefix = SC.prompt_prefix("P", " D ", ["One", ""], SC.criteria_text("spider", {"Sample": "all"}, {}), "Screen.")
+    return SC.build_prompts(A.records(spark, d), prefix, "Sys", keywords=True)
+
 
+_SQUASH = r"regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', '', 'g')"
 
-@query("quote_check", """WITH b AS (SELECT item_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '', 'g') AS q FROM benchmark), t AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '', 'g') AS s FROM documents)
-  SELECT b.item_id, count(*) AS n FROM b JOIN t ON contains(t.s, b.q) GROUP BY b.item_id""")
+
+@query("quote_check", f"""WITH {R}, q AS (SELECT study_uid, {_SQUASH.format("title || chr(10) || abstract")} AS x, unnest([{{'c': 'in', 't': upper(substr(title, 3, 30)) || ' ... ' || substr(abstract, 5, 40)}},
+    {{'c': 'made up', 't': 'Words that ' || study_uid || ' has not'}}, {{'c': 'blank', 't': ' ... '}}, {{'c': 'other', 't': substr(title, 1, 12) || '…' || study_uid}}]) AS q FROM records),
+  m AS (SELECT study_uid, q.c AS c, list_filter(list_transform(string_split(replace(q.t, '…', '...'), '...'), lambda p: {_SQUASH.format('p')}), lambda p: p <> '') AS ps, x FROM q)
+  SELECT study_uid, coalesce(string_agg(c, ';' ORDER BY c) FILTER (WHERE len(list_filter(ps, lambda p: NOT contains(x, p))) > 0), '') AS unverified FROM m GROUP BY study_uid""")
 def _(spark, d):
-    items = A.read(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    docs = A.read(spark, d, "documents").select("text")
-    # the quotes are a stated query set; every text is searched for each
-    return docs.join(F.broadcast(items), SC.quotes_found(F.col("quote"), F.col("text"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    r = A.records(spark, d)
+    verdict = lambda c, quote: F.struct(F.lit(c).alias("criterion"), F.lit("met").alias("verdict"), F.lit("").alias("note"), quote.alias("quote"))
+    quotes = [
+        verdict("in", F.concat(F.upper(F.substring("title", 3, 30)), F.lit(" ... "), F.substring("abstract", 5, 40))), verdict("made up", F.concat(F.lit("Words that "), "study_uid", F.lit(" has not"))),
+        verdict("blank", F.lit(" ... ")), verdict("other", F.concat(F.substring("title", 1, 12), F.lit("…"), "study_uid")),
+    ]
+    answers = r.select("study_uid", F.array(*quotes[:2]).alias("inclusion"), F.array(*quotes[2:]).alias("exclusion"))
+    found = AN.check_quotes(answers, r.select("study_uid", F.concat_ws("\n", "title", "abstract").alias("text")))
+    return found.select("study_uid", F.array_join(F.array_sort("quote_unverified"), ";").alias("unverified"))
 
 
 @query("chunks", """WITH t AS (SELECT doc_id, text, unnest(range(0, CAST(greatest(0, ceil((length(text) - 1000) / 800.0::DOUBLE)) AS BIGINT) + 1)) AS k FROM documents)
@@ -349,9 +439,15 @@ def _(spark, d):
     return SC.chunks(A.read(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("study_uid"), "text"), 1000)
 
 
-@query("fit_to_context", "SELECT doc_id, CASE WHEN ceil(length(text) / 4.0::DOUBLE * 1.1::DOUBLE) <= 500 THEN text ELSE substr(text, 1, 1816) || chr(10) || '[truncated]' END AS text FROM documents")
+_NOTICE = "chr(10) || chr(10) || '[... text truncated to fit the model''s context window ...]'"
+_RTRIM = "regexp_replace(substr({0}, 1, {1}), '\\s+$', '')"
+
+
+@query("fit_to_context", f"""SELECT doc_id, CASE WHEN ceil(length(text) / 4.0::DOUBLE * 1.1::DOUBLE) <= 500 THEN text ELSE {_RTRIM.format('text', 1818)} || {_NOTICE} END AS text,
+  CASE WHEN length(text) > 500 THEN repeat('中', 454) || {_NOTICE} ELSE repeat('中', 454) || {_NOTICE} END AS wide FROM documents""")
 def _(spark, d):
-    return A.read(spark, d, "documents").select("doc_id", SC.fit_to_context(F.col("text"), 2400).alias("text"))
+    wide = F.concat(F.repeat(F.lit("中"), F.lit(600)), "text")
+    return A.read(spark, d, "documents").select("doc_id", SC.fit_to_context(F.col("text"), 2400).alias("text"), SC.fit_to_context(wide, 2400).alias("wide"))
 
 
 @query("link_fulltexts", f"""WITH {R}, k AS (SELECT *, CASE WHEN len(string_split({TITLE}, ' ')) >= 4 THEN {TITLE} ELSE '' END AS kt FROM records),
@@ -374,7 +470,18 @@ def _(spark, d):
         F.concat(F.lit("P"), F.col("n_regionkey").cast("string")).alias("provider"), F.concat(F.lit("m"), (k % 3).cast("string")).alias("model"), (k / F.lit(10.0)).alias("price_in"),
         F.when(k % 7 == 0, -1.0).otherwise(k / F.lit(5.0)).alias("price_out"), F.when(k % 4 == 0, "2024-01-01").when(k % 4 == 1, "2024-06-01").when(k % 4 == 2, "2030-01-01").alias("valid_from"), k.alias("line"),
     )
-    return SC.current_prices(p, "2025-01-01")
+    return CO.current_prices(p, "2025-01-01")
+
+
+@query("price_lookup", """WITH p AS (SELECT 'p' || r_regionkey AS p, 'm' AS m, r_regionkey / 10.0::DOUBLE AS price_in, 1.0::DOUBLE AS price_out FROM region),
+  q AS (SELECT n_nationkey, ' P' || n_regionkey AS provider, CASE WHEN n_nationkey % 2 = 0 THEN 'M ' ELSE 'other' END AS model FROM nation)
+  SELECT n_nationkey, provider, model, price_in, price_out FROM q LEFT JOIN p ON p.p = lower(trim(q.provider)) AND p.m = lower(trim(q.model))""")
+def _(spark, d):
+    key = F.col("r_regionkey")
+    prices = A.read(spark, d, "region").select(F.concat(F.lit("p"), key.cast("string")).alias("provider"), F.lit("m").alias("model"), (key / F.lit(10.0)).alias("price_in"), F.lit(1.0).alias("price_out"))
+    n = A.read(spark, d, "nation")
+    asked = n.select("n_nationkey", F.concat(F.lit(" P"), F.col("n_regionkey").cast("string")).alias("provider"), F.when(F.col("n_nationkey") % 2 == 0, "M ").otherwise("other").alias("model"))
+    return CO.price_of(asked, prices)
 
 
 @query("requests_in_window", """WITH r AS (SELECT CAST(user_id % 10 AS VARCHAR) AS run_id, CAST(epoch(ts) AS BIGINT) AS ts, event_id % 100 AS tokens FROM events),
@@ -389,9 +496,92 @@ def _(spark, d):
     return SC.cost_stop(A.results(spark, d), 1.0, 5)
 
 
-@query("ris_export", f"WITH {R} SELECT study_uid, concat_ws(chr(10), 'TY  - JOUR', 'TI  - ' || title, CASE WHEN abstract <> '' THEN 'AB  - ' || regexp_replace(abstract, '\\s+', ' ', 'g') END, 'PY  - ' || CAST(year AS VARCHAR), CASE WHEN doi <> '' THEN 'DO  - ' || doi END, 'LA  - ' || language, CASE WHEN exclusion_reason <> '' THEN 'N1  - Excluded before screening: ' || exclusion_reason END, 'ER  - ') AS ris FROM records")
+_RIS_NAME = "CASE record_type WHEN 'journal_article' THEN 'JOUR' WHEN 'book_chapter' THEN 'CHAP' WHEN 'thesis' THEN 'THES' WHEN 'trial_registry' THEN 'DATA' ELSE 'GEN' END"
+_FLAT = "regexp_replace(regexp_replace({0}, '\\s+', ' ', 'g'), '^ | $', '', 'g')"
+_NOTES = "list_filter([CASE WHEN exclusion_reason <> '' THEN 'Excluded before screening: ' || exclusion_reason END, CASE WHEN is_duplicate AND duplicate_of <> '' THEN 'Duplicate of: ' || duplicate_of END, CASE WHEN is_retracted THEN 'Retracted publication' END], lambda x: x IS NOT NULL)"
+_SPLIT = "list_filter(list_transform(string_split({0}, ';'), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _tag(prefix: str, values: str) -> str:
+    return f"list_transform(list_filter({values}, lambda x: trim(coalesce(x, '')) <> ''), lambda x: '{prefix}' || {_FLAT.format('x')})"
+
+
+_RIS = [
+    f"['TY  - ' || {_RIS_NAME}]", _tag("ID  - ", "[study_uid]"), _tag("TI  - ", "[title]"), _tag("AU  - ", _SPLIT.format("authors")), _tag("A2  - ", _SPLIT.format("editors")), _tag("PY  - ", "[CAST(year AS VARCHAR)]"), _tag("JO  - ", "[journal]"),
+    _tag("VL  - ", "[volume]"), _tag("IS  - ", "[issue]"), _tag("SP  - ", "[split_part(pages, '-', 1)]"), _tag("EP  - ", "[split_part(pages, '-', 2)]"), _tag("DO  - ", "[doi]"), _tag("UR  - ", "[url]"),
+    _tag("AN  - ", "[CASE WHEN pmid <> '' THEN pmid ELSE accession_number END]"), _tag("SN  - ", "[issn_isbn]"), _tag("LA  - ", _SPLIT.format("language")), _tag("KW  - ", f"list_concat({_SPLIT.format('keywords')}, {_SPLIT.format('keywords_mesh')})"),
+    _tag("AB  - ", "[abstract]"), _tag("N1  - ", _NOTES), "['ER  - ']",
+]
+_NBIB = [
+    _tag("PMID- ", "[pmid]"), _tag("UID - ", "[study_uid]"), _tag("TI  - ", "[title]"), _tag("FAU - ", _SPLIT.format("authors")), _tag("JT  - ", "[journal]"), _tag("TA  - ", "[journal]"), _tag("DP  - ", "[CAST(year AS VARCHAR)]"), _tag("VI  - ", "[volume]"),
+    _tag("IP  - ", "[issue]"), _tag("PG  - ", "[pages]"), _tag("AID - ", "[CASE WHEN doi <> '' THEN doi || ' [doi]' END]"), _tag("PMC - ", "[pmcid]"), _tag("LA  - ", _SPLIT.format("language")), _tag("MH  - ", _SPLIT.format("keywords_mesh")),
+    _tag("OT  - ", _SPLIT.format("keywords")), _tag("AB  - ", "[abstract]"),
+]
+_BIB_FIELD = "CASE WHEN {1} <> '' THEN '  {0} = {{' || regexp_replace(" + _FLAT.format("{1}") + ", '([\\\\{{}}])', '\\\\\\1', 'g') || '}}' END"
+_BIB = [
+    ("title", "title"), ("author", f"list_aggregate({_SPLIT.format('authors')}, 'string_agg', ' and ')"), ("year", "CAST(year AS VARCHAR)"), ("journal", "journal"), ("volume", "volume"), ("number", "issue"), ("pages", "pages"), ("doi", "doi"), ("url", "url"), ("issn", "issn_isbn"),
+    ("langid", f"list_aggregate({_SPLIT.format('language')}, 'string_agg', '; ')"), ("keywords", f"list_aggregate(list_concat({_SPLIT.format('keywords')}, {_SPLIT.format('keywords_mesh')}), 'string_agg', '; ')"), ("abstract", "abstract"), ("note", f"list_aggregate({_NOTES}, 'string_agg', '; ')"),
+]
+
+
+@query("ris_export", f"WITH {R}, {A.SQL_WHOLE} SELECT study_uid, array_to_string(flatten([{', '.join(_RIS)}]), chr(10)) AS ris FROM whole")
+def _(spark, d):
+    return records_as_ris(A.whole_records(spark, d))
+
+
+@query("nbib_export", f"WITH {R}, {A.SQL_WHOLE} SELECT study_uid, array_to_string(flatten([{', '.join(_NBIB)}]), chr(10)) AS nbib FROM whole")
+def _(spark, d):
+    return records_as_nbib(A.whole_records(spark, d))
+
+
+@query("bibtex_export", f"""WITH {R}, {A.SQL_WHOLE} SELECT study_uid, '@' || CASE record_type WHEN 'journal_article' THEN 'article' WHEN 'book_chapter' THEN 'incollection' WHEN 'thesis' THEN 'phdthesis' ELSE 'misc' END || '{{' || study_uid || ',' || chr(10) ||
+  array_to_string(list_filter([{', '.join(_BIB_FIELD.format(n, v) for n, v in _BIB)}], lambda x: x IS NOT NULL), ',' || chr(10)) || chr(10) || '}}' AS bibtex FROM whole""")
 def _(spark, d):
-    return records_as_ris(A.records(spark, d))
+    return records_as_bibtex(A.whole_records(spark, d))
+
+
+@query("records_round_trip", f"WITH {R}, {A.SQL_WHOLE} SELECT study_uid, source_row, year, is_retracted, title, abstract, authors, doi, has_abstract, extra_json FROM whole")
+def _(spark, d):
+    path = fresh_path(spark, "records")
+    write_records(A.whole_records(spark, d), path)
+    return read_records_table(spark, path).select("study_uid", "source_row", "year", "is_retracted", "title", "abstract", "authors", "doi", "has_abstract", "extra_json")
+
+
+@query("export_scope", f"WITH {R} SELECT study_uid, exclusion_reason = '' AS screenable FROM records")
+def _(spark, d):
+    r = A.records(spark, d)
+    return MK.in_scope(r, "screenable").select("study_uid", F.lit(True).alias("screenable")).union(MK.in_scope(r, "excluded").select("study_uid", F.lit(False)))
+
+
+@query("project_status", f"WITH {R}, {A.SQL_WHOLE} SELECT source_label, count(*) AS n, count(*) FILTER (WHERE trim(abstract) <> '') AS n_abstract, count(*) FILTER (WHERE exclusion_reason = 'EMPTY_RECORD') AS n_empty, count(*) FILTER (WHERE is_duplicate) AS n_duplicate FROM whole GROUP BY ROLLUP (source_label)")
+def _(spark, d):
+    return MK.project_status(A.whole_records(spark, d))
+
+
+@query("preflight", f"WITH {R}, {A.SQL_WHOLE}, p AS (SELECT source_file, count(*) AS n, count(*) FILTER (WHERE trim(abstract) <> '') AS n_abstract FROM whole GROUP BY source_file) SELECT *, CASE WHEN n_abstract = 0 THEN 'ERROR' WHEN n_abstract < 0.6 * n THEN 'WARNING' ELSE 'OK' END AS status, CASE WHEN n_abstract = 0 THEN 'NO_ABSTRACTS' WHEN n_abstract < 0.6 * n THEN 'LOW_ABSTRACT_RATIO' ELSE '' END AS issue FROM p")
+def _(spark, d):
+    return MK.preflight(A.whole_records(spark, d))
+
+
+@query("prefilter_counts", f"""WITH {R}, {_FILTERED} SELECT 'removed' AS kind, '' AS name, count(*) AS n FROM marked WHERE reason LIKE 'PREFILTER%' UNION ALL SELECT 'by_reason', reason, count(*) FROM marked WHERE reason LIKE 'PREFILTER%' GROUP BY reason
+  UNION ALL SELECT 'passed_on_missing', 'language', 0 UNION ALL SELECT 'passed_on_missing', 'year', count(*) FROM records WHERE exclusion_reason = '' AND year IS NULL UNION ALL SELECT 'skipped', '', count(*) FROM records WHERE exclusion_reason <> ''""")
+def _(spark, d):
+    r = A.records(spark, d)
+    return MK.prefilter_counts(r, MK.mark_prefilters(r, FILTERS), FILTERS)
+
+
+@query("eligible_fulltexts", f"WITH {R}, f AS (SELECT 'd' || doc_id AS study_uid FROM documents WHERE doc_id % 4 = 1 AND trim(text) <> '') SELECT study_uid FROM records WHERE exclusion_reason = '' AND fulltext_of = '' AND study_uid IN (SELECT study_uid FROM f)")
+def _(spark, d):
+    full = A.read(spark, d, "documents").where("doc_id % 4 < 2").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("study_uid"), F.when(F.col("doc_id") % 4 == 0, "  ").otherwise(F.col("text")).alias("text"))
+    return MK.eligible_with_fulltext(A.records(spark, d), full).select("study_uid")
+
+
+@query("comparison_summary", f"""WITH {D}, i AS (SELECT study_uid, count(*) FILTER (WHERE decision = 'INCLUDE') AS x, count(*) AS r FROM decisions GROUP BY study_uid HAVING count(*) = 3),
+  p AS (SELECT count(*) AS n, count(*) FILTER (WHERE x > 0 AND x < 3) AS u, avg((x * x + (r - x) * (r - x) - r) / 6.0::DOUBLE) AS po, sum(x) / (count(*) * 3.0::DOUBLE) AS q FROM i),
+  k AS (SELECT *, round((po - (q * q + (1 - q) * (1 - q))) / (1 - (q * q + (1 - q) * (1 - q))), 6) AS kappa FROM p)
+  SELECT CAST(3 AS BIGINT) AS n_runs, n AS n_common, kappa AS fleiss_kappa, CASE WHEN kappa < 0 THEN 'poor' WHEN kappa <= 0.2 THEN 'slight' WHEN kappa <= 0.4 THEN 'fair' WHEN kappa <= 0.6 THEN 'moderate' WHEN kappa <= 0.8 THEN 'substantial' ELSE 'almost perfect' END AS fleiss_label, u AS n_unstable FROM k""")
+def _(spark, d):
+    return AG.comparison(A.decisions(spark, d))[0]
 
 
 @query("open_items", f"WITH {R}, {S}, {_LAST} SELECT study_uid FROM records WHERE study_uid NOT IN (SELECT study_uid FROM last WHERE r.status = 'ok')")
@@ -463,22 +653,136 @@ def _(spark, d):
     return A.records(spark, d).select("study_uid", T.first_author(authors).alias("family"))
 
 
-@query("answers", f"""WITH {R} SELECT study_uid, CASE WHEN import_order % 6 IN (3, 4) THEN 'parse_error' ELSE 'ok' END AS status, CASE import_order % 6 WHEN 3 THEN '' WHEN 4 THEN '' WHEN 2 THEN 'UNCERTAIN' ELSE 'INCLUDE' END AS decision,
-  CASE import_order % 6 WHEN 0 THEN 'INCLUDE' WHEN 1 THEN 'EXCLUDE' WHEN 2 THEN 'UNCERTAIN' WHEN 5 THEN 'INCLUDE' ELSE '' END AS derived_decision, CASE import_order % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 5 THEN true END AS consistent FROM records""")
+@query("answers", f"""WITH {R} SELECT study_uid, CASE WHEN k IN (3, 4, 6, 7, 8) THEN 'parse_error' ELSE 'ok' END AS status, CASE WHEN k IN (3, 4, 6, 7, 8) THEN '' WHEN k = 2 THEN 'UNCERTAIN' ELSE 'INCLUDE' END AS decision,
+  CASE k WHEN 0 THEN 'INCLUDE' WHEN 1 THEN 'EXCLUDE' WHEN 2 THEN 'UNCERTAIN' WHEN 5 THEN 'INCLUDE' ELSE '' END AS derived_decision, CASE k WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 5 THEN true END AS consistent,
+  CASE WHEN k IN (0, 1, 2, 5) THEN 'i:' || repeat('n', 200) ELSE '' END AS first FROM (SELECT *, import_order % 9 AS k FROM records)""")
 def _(spark, d):
-    k = F.col("import_order") % 6
+    """By the number of the record: good ones, one fenced, one amid text, and a wrong verdict, an unknown field, a number for text, a blank criterion and an object for a list."""
+    k = F.col("import_order") % 9
     verdict = F.when(k == 2, "unclear").when(k == 3, "perhaps").otherwise("met")
     out = F.when(k == 1, "triggered").otherwise("not_triggered")
-    body = F.format_string(
-        '{"inclusion":[{"criterion":"i","verdict":"%s","note":"","quote":""}],"exclusion":[{"criterion":"e","verdict":"%s","note":"","quote":""}],"reasoning":"r"%s,"decision":"%s"}',
-        verdict, out, F.when(k == 4, ',"extra":1').otherwise(""), F.when(k == 2, "UNCERTAIN").otherwise("INCLUDE"),
+    body = F.concat(
+        F.lit('{"inclusion":'), F.when(k == 8, "{}").otherwise(F.concat(F.lit('[{"criterion":"'), F.when(k == 7, "  ").otherwise(" i "), F.lit('","verdict":"'), verdict, F.lit('","note":"'), F.repeat(F.lit("n"), F.lit(230)), F.lit('"}]'))),
+        F.lit(',"exclusion":[{"criterion":"e","verdict":"'), out, F.lit('","note":"","quote":""}],"reasoning":'), F.when(k == 6, "5").otherwise('"r"'), F.when(k == 4, ',"extra":1').otherwise(""),
+        F.lit(',"decision":"'), F.when(k == 2, "UNCERTAIN").otherwise("INCLUDE"), F.lit('"}'),
+    )
+    raw = A.records(spark, d).select("study_uid", F.when(k == 5, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 0, F.concat(F.lit("Sure: "), body, F.lit(" Done."))).otherwise(body).alias("answer"))
+    first = F.get("inclusion", F.lit(0))
+    return AN.parse_answers(raw).select("study_uid", "status", "decision", "derived_decision", "consistent", F.coalesce(F.concat_ws(":", first["criterion"], first["note"]), F.lit("")).alias("first"))
+
+
+@query("result_rows", """WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS k, max(turn) OVER (PARTITION BY conv_id) AS last, conv_id * 1000 + turn AS position FROM conversations),
+  s AS (SELECT *, CASE k WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'parse_error' WHEN 3 THEN 'truncated' WHEN 4 THEN 'too_long' ELSE 'api_error' END AS status, CASE WHEN k < 4 THEN CASE WHEN conv_id % 10 = 7 THEN 'm2' ELSE 'm1' END ELSE '' END AS model FROM c),
+  f AS (SELECT model, min(position) AS position FROM s WHERE model <> '' GROUP BY model), g AS (SELECT position FROM f WHERE position > (SELECT min(position) FROM f)),
+  e AS (SELECT s.*, list_filter([CASE WHEN s.position IN (SELECT position FROM g) THEN 'model_changed' END, CASE WHEN turn < last AND status = 'truncated' THEN 'length_retry' WHEN turn < last AND status = 'parse_error' THEN 'parse_retry' END], lambda x: x IS NOT NULL) AS fl FROM s),
+  r AS (SELECT conv_id, arg_max(status, turn) AS status, arg_max(k, turn) AS k, count(*) AS attempts, CAST(sum(turn + 1) AS BIGINT) AS tokens, flatten(list(fl ORDER BY turn)) AS fl FROM e GROUP BY conv_id)
+  SELECT 'c' || conv_id AS study_uid, status, CASE status WHEN 'too_long' THEN 'E303' WHEN 'api_error' THEN 'E301' WHEN 'ok' THEN '' ELSE 'E304' END AS error_code, CASE WHEN status = 'ok' THEN 'INCLUDE' ELSE '' END AS decision, attempts,
+    CASE WHEN status IN ('too_long', 'api_error') THEN 0 ELSE tokens END AS tokens_in, CASE WHEN status IN ('too_long', 'api_error') THEN '' ELSE array_to_string(list_concat(fl, CASE WHEN status = 'ok' THEN CASE WHEN k = 1 THEN ['quote_unverified', 'inconsistent'] ELSE [] END ELSE [] END), ';') END AS flags FROM r""")
+def _(spark, d):
+    """Turns of conversations as calls for one record each."""
+    k = (F.col("conv_id") + F.col("turn")) % 6
+    good = F.concat(F.lit('{"inclusion":[{"criterion":"i","verdict":"'), F.when(k == 1, "not_met").otherwise("met"), F.lit('","note":"","quote":"'), F.when(k == 1, "not there").otherwise(""), F.lit('"}],"exclusion":[],"reasoning":"r","decision":"INCLUDE"}'))
+    c = A.read(spark, d, "conversations").select(
+        F.lit("run").alias("run_id"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("study_uid"), (F.col("conv_id") * 1000 + F.col("turn")).alias("position"), F.when(k < 4, "answer").when(k == 4, "too_long").otherwise("error").alias("outcome"),
+        F.when(k == 3, "length").otherwise("stop").alias("finish_reason"), F.when(k < 2, good).otherwise("no json").alias("answer"), F.when(k < 4, F.when(F.col("conv_id") % 10 == 7, "m2").otherwise("m1")).otherwise("").alias("model_returned"),
+        (F.col("turn") + 1).cast("long").alias("tokens_in"), F.lit(1).cast("long").alias("tokens_out"), F.lit(0.5).alias("latency_s"),
     )
-    raw = A.records(spark, d).select("study_uid", F.when(k == 5, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body).alias("answer"))
-    return SC.parse_answers(raw).select("study_uid", "status", "decision", "derived_decision", "consistent")
+    texts = c.select("study_uid").distinct().select("study_uid", F.lit("some text").alias("text"))
+    return AN.results_of_calls(c, texts).select("study_uid", "status", "error_code", "decision", "attempts", "tokens_in", F.array_join("flags", ";").alias("flags"))
+
+
+@query("last_lines", f"WITH {R} SELECT study_uid, CASE import_order % 3 WHEN 0 THEN 'EXCLUDE' WHEN 1 THEN 'INCLUDE' END AS decision FROM records")
+def _(spark, d):
+    k = F.col("import_order") % 3
+    answer = F.concat("title", F.lit("\n"), F.when(k == 0, "**XXX**").when(k == 1, "'yyy.'\n \n").otherwise("maybe XXX"))
+    return A.records(spark, d).select("study_uid", AN.parse_last_line(answer).alias("decision"))
 
 
-@query("sections")
+@query("adjudicated", f"""WITH {D}, u AS (SELECT study_uid, string_agg(run_id || '=' || decision, ';' ORDER BY run_id) AS source_decisions FROM decisions GROUP BY study_uid HAVING count(*) = 3 AND count(DISTINCT decision) > 1)
+  SELECT study_uid, CASE CAST(substr(study_uid, 2) AS BIGINT) % 4 WHEN 0 THEN 'api_error' WHEN 1 THEN 'parse_error' ELSE 'ok' END AS status, CASE WHEN CAST(substr(study_uid, 2) AS BIGINT) % 4 >= 2 THEN 'EXCLUDE' ELSE '' END AS decision, source_decisions FROM u""")
+def _(spark, d):
+    k = F.substring("study_uid", 2, 20).cast("long") % 4
+    disputed = AG.unstable(A.decisions(spark, d)).select("study_uid", F.str_to_map("decisions", F.lit(";"), F.lit("=")).alias("decisions"))
+    answers = disputed.where(k > 0).select("study_uid", F.when(k == 1, "parse_error").otherwise("ok").alias("status"), F.lit("EXCLUDE").alias("decision"))
+    found = AN.adjudicated(disputed, answers, "master")
+    return found.select("study_uid", "status", "decision", F.array_join(F.transform(F.array_sort(F.map_entries("source_decisions")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("source_decisions"))
+
+
+_SECTIONED = "'Abstract' || chr(10) || 'a' || chr(10) || '  METHODS ' || chr(10) || text || chr(10) || chr(10) || 'Results:' || chr(10) || 'Findings' || chr(10) || lang || chr(10) || 'conclusions' || chr(10) || chr(10) || 'Bibliography' || chr(10) || 'x' || chr(10) || 'methodology' || chr(10) || 'more'"
+
+
+@query("sections", f"""WITH t AS (SELECT 'd' || doc_id AS study_uid, {_SECTIONED} AS t FROM documents WHERE text IS NOT NULL),
+  m AS (SELECT study_uid, unnest(list_slice(string_split(regexp_replace(t, '(?im)^\\s*(abstract|introduction|background|methods|materials and methods|methodology|results|findings|discussion|conclusions?|references|bibliography|literatur)\\s*$', chr(1) || '\\1' || chr(2), 'g'), chr(1)), 2, 1000)) AS p, generate_subscripts(list_slice(string_split(regexp_replace(t, '(?im)^\\s*(abstract|introduction|background|methods|materials and methods|methodology|results|findings|discussion|conclusions?|references|bibliography|literatur)\\s*$', chr(1) || '\\1' || chr(2), 'g'), chr(1)), 2, 1000), 1) AS i FROM t),
+  n AS (SELECT study_uid, i, lower(split_part(p, chr(2), 1)) AS h, regexp_replace(split_part(p, chr(2), 2), '^\\s+|\\s+$', '', 'g') AS b FROM m),
+  k AS (SELECT *, CASE WHEN h = 'abstract' THEN 'abstract' WHEN h IN ('introduction', 'background') THEN 'introduction' WHEN h LIKE '%method%' THEN 'methods' WHEN h IN ('results', 'findings') THEN 'results' WHEN h IN ('discussion', 'conclusion', 'conclusions') THEN 'discussion' ELSE 'references' END AS section FROM n WHERE b <> '')
+  SELECT study_uid, section, string_agg(b, chr(10) || chr(10) ORDER BY i) AS text FROM k GROUP BY ALL""")
 def _(spark, d):
     docs = A.read(spark, d, "documents")
-    text = F.concat(F.lit("Intro\n1. Methods\n"), "text", F.lit("\nResults:\n"), "lang", F.lit("\nReferences\nx"))
-    return SC.section_texts(docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("study_uid"), text.alias("text")))
+    text = F.concat(F.lit("Abstract\na\n  METHODS \n"), "text", F.lit("\n\nResults:\nFindings\n"), "lang", F.lit("\nconclusions\n\nBibliography\nx\nmethodology\nmore"))
+    return SC.section_texts(docs.where("text IS NOT NULL").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("study_uid"), text.alias("text")))
+
+
+_LOGGED = f"""{A.SQL_LOG}, j AS (SELECT *, try_cast(payload AS JSON) AS p FROM log),
+ k AS (SELECT position, run_id, p, CASE WHEN event_type = 'INFO' AND p->>'kind' = 'validity' THEN 'VALIDITY' WHEN event_type = 'INFO' AND p->>'kind' = 'prefilter' THEN 'PREFILTER' WHEN event_type = 'INFO' AND p->>'kind' = 'ai_prefilter_jev' THEN 'AI_PREFILTER' WHEN event_type = 'MERGE_ALL_SOURCES' THEN 'MERGE' ELSE event_type END AS event_type,
+   coalesce(p->>'source_label', source_label, '') AS source_label FROM j),
+ num AS (SELECT *, CAST(CASE event_type WHEN 'SOURCE_IMPORTED' THEN CAST(p->>'records_identified' AS BIGINT) WHEN 'DEDUP_WITHIN_SOURCE' THEN CAST(p->>'removed' AS BIGINT) WHEN 'DEDUP_GLOBAL' THEN CAST(p->>'removed' AS BIGINT) WHEN 'MERGE' THEN CAST(floor(CAST(p->>'merged_records_before_global_dedup' AS DOUBLE)) AS BIGINT)
+   WHEN 'PREFILTER' THEN CAST(p->'by_reason'->>'PREFILTER_YEAR' AS BIGINT) WHEN 'AI_PREFILTER' THEN CAST(p->'by_reason'->>'AI_PREFILTER_JEV' AS BIGINT) WHEN 'SCREEN_TA' THEN CAST(p->>'included' AS BIGINT) WHEN 'SCREEN_FT' THEN CAST(p->>'included' AS BIGINT) ELSE 0 END AS BIGINT) AS n,
+   CAST(CASE event_type WHEN 'VALIDITY' THEN CAST(p->'by_reason'->>'RETRACTED' AS BIGINT) WHEN 'SCREEN_TA' THEN 1 WHEN 'SCREEN_FT' THEN 1 ELSE 0 END AS BIGINT) AS m,
+   CASE WHEN event_type = 'DEDUP_GLOBAL' THEN CAST(p->>'before' AS BIGINT) END AS before, CASE WHEN event_type = 'DEDUP_GLOBAL' THEN CAST(p->>'after' AS BIGINT) END AS after FROM k)"""
+
+
+@query("event_numbers", f"WITH {_LOGGED} SELECT position, event_type, source_label, run_id, coalesce(n, 0) AS n, coalesce(m, 0) AS m, before, after FROM num")
+def _(spark, d):
+    return FL.event_numbers(A.event_log(spark, d)).drop("reasons")
+
+
+@query("flow_of_log", f"""WITH {_LOGGED}, ev AS (SELECT * FROM num), {_FLOW_FOLD} SELECT identified, duplicates_removed, removed_other, prefiltered, ai_prefiltered, after_dedup, to_screen, screened, excluded_ta, assessed_ft, excluded_ft, included, merged, within_removed, dedup_before, dedup_after, dedup_removed, stale_dedup, stale_prefilter, stale_validity FROM f""")
+def _(spark, d):
+    return FL.fold_flow(FL.event_numbers(A.event_log(spark, d))).drop("missing_abstracts", "ta_included")
+
+
+@query("flow_by_name", f"""WITH {_LOGGED}, l AS (SELECT arg_max(run_id, position) AS run FROM num WHERE event_type = 'SCREEN_FT' AND run_id IS NOT NULL), z AS (SELECT arg_max(position, position) AS at, max(position) AS mx FROM num WHERE event_type = 'SCREEN_FT'),
+  y AS (SELECT run_id AS run, position AS at FROM num, z WHERE num.position = z.mx)
+  SELECT 'identified' AS part, source_label AS name, CAST(sum(n) AS BIGINT) AS n FROM num WHERE event_type = 'SOURCE_IMPORTED' GROUP BY source_label
+  UNION ALL SELECT 'prefilter', unnest(['PREFILTER_TYPE', 'PREFILTER_YEAR']), unnest([0, arg_max(n, position)]) FROM num WHERE event_type = 'PREFILTER'
+  UNION ALL SELECT 'ai_prefilter', 'AI_PREFILTER_JEV', arg_max(n, position) FROM num WHERE event_type = 'AI_PREFILTER' HAVING count(*) > 0
+  UNION ALL SELECT 'excluded_ft', 'wrong population', count(*) FROM num, y WHERE event_type = 'SCREEN_FT' AND (num.run_id = y.run OR (y.run IS NULL AND num.position = y.at)) HAVING count(*) > 0""")
+def _(spark, d):
+    return FL.flow_by_name(FL.event_numbers(A.event_log(spark, d)))
+
+
+@query("log_warnings", f"WITH {_LOGGED}, ev AS (SELECT * FROM num), {_FLOW_FOLD} {_WARNINGS}")
+def _(spark, d):
+    return FL.flow_warnings(FL.fold_flow(FL.event_numbers(A.event_log(spark, d))))
+
+
+@query("flow_json")
+def _(spark, d):
+    return FL.flow_json(FL.event_numbers(A.event_log(spark, d)))
+
+
+def _dedup_sql(edges: str, rank: str, method: str) -> str:
+    return f"""WITH RECURSIVE {R}, k AS (SELECT import_order AS n, fulltext_of = '' AS own, CASE WHEN fulltext_of = '' THEN doi ELSE '' END AS kd, CASE WHEN fulltext_of = '' THEN pmid ELSE '' END AS kp,
+   CASE WHEN fulltext_of = '' AND len(string_split({TITLE}, ' ')) >= 4 THEN {TITLE} ELSE '' END AS kt, {A.SQL_TITLE.format('authors')} AS ka, (trim(abstract) <> '')::INT * 4 + (doi <> '')::INT * 2 + (pmid <> '')::INT AS best FROM records),
+ e AS ({edges}), walk AS (SELECT a AS n, a AS r FROM e UNION SELECT e.b, w.r FROM walk w JOIN e ON e.a = w.n), lab AS (SELECT n, min(r) AS label FROM walk GROUP BY n),
+ keeper AS (SELECT label, arg_min(k.n, {rank}) AS keeper FROM lab JOIN k ON k.n = lab.n GROUP BY label),
+ dup AS (SELECT lab.n, keeper.keeper, {method} AS method FROM lab JOIN keeper USING (label) JOIN k x ON x.n = lab.n JOIN k y ON y.n = keeper.keeper WHERE lab.n <> keeper.keeper)
+ SELECT r.study_uid, CASE WHEN d.n IS NULL THEN '' ELSE 'd' || d.keeper END AS duplicate_of, coalesce(d.method, '') AS dedup_method FROM records r LEFT JOIN dup d ON d.n = r.import_order"""
+
+
+_SAME = "SELECT a.n AS a, b.n AS b FROM k a JOIN k b ON a.{0} = b.{0} AND a.{0} <> '' AND a.n <> b.n"
+
+
+@query("dedup_ids_first", _dedup_sql(_SAME.format("kd") + " UNION " + _SAME.format("kp") + " WHERE a.kp IN (SELECT kp FROM k GROUP BY kp HAVING count(DISTINCT nullif(kd, '')) <= 1)", "k.n", "CASE WHEN x.kd <> '' AND x.kd = y.kd THEN 'doi' WHEN x.kp <> '' AND x.kp = y.kp THEN 'pmid' WHEN x.kt <> '' AND x.kt = y.kt THEN 'title_norm' ELSE 'doi' END"))
+def _(spark, d):
+    return DD.mark_duplicates(A.records(spark, d), strategy="strict_ids", keep="first").select("study_uid", "duplicate_of", "dedup_method")
+
+
+@query("dedup_title_last", _dedup_sql(_SAME.format("kt"), "-k.n", "CASE WHEN x.kd <> '' AND x.kd = y.kd THEN 'doi' WHEN x.kp <> '' AND x.kp = y.kp THEN 'pmid' ELSE 'title_norm' END"))
+def _(spark, d):
+    return DD.mark_duplicates(A.records(spark, d), strategy="title", keep="last").select("study_uid", "duplicate_of", "dedup_method")
+
+
+@query("dedup_title_authors", _dedup_sql(_SAME.format("kt") + " AND a.ka = b.ka", "(-best)::BIGINT * 1000000000 + k.n", "CASE WHEN x.kd <> '' AND x.kd = y.kd THEN 'doi' ELSE 'title_authors' END"))
+def _(spark, d):
+    return DD.mark_duplicates(A.records(spark, d), strategy="title_authors").select("study_uid", "duplicate_of", "dedup_method")

@@ -5,35 +5,87 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.text import neutralise_formula
+from sievework.functions.text import neutralise_formula, split_list, strip
+from sievework.schemas import BIBTEX_TYPES, BOOLEANS, RECORD_COLUMNS, RIS_TYPES
 
 
-def _line(tag: str, value: Column) -> Column:
-    return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"{tag}  - "), F.regexp_replace(value, r"\s+", " ")))
+def _items(*columns: str) -> Column:
+    """The items of semicolon lists, in order."""
+    return F.flatten(F.array(*(split_list(F.col(c)) for c in columns)))
+
+
+def _one_line(value: Column) -> Column:
+    return strip(F.regexp_replace(value, r"(?U)\s+", " "))
+
+
+def _lines(prefix: str, value: Column) -> Column:
+    """A line for each item of an array that is not blank."""
+    return F.transform(F.filter(value, lambda v: strip(F.coalesce(v, F.lit(""))) != ""), lambda v: F.concat(F.lit(prefix), _one_line(v)))
+
+
+def _one(column: str) -> Column:
+    return F.array(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def _notes() -> Column:
+    """What an export says of a record that is not screened."""
+    return F.array_compact(
+        F.array(
+            F.when(F.coalesce("exclusion_reason", F.lit("")) != "", F.concat(F.lit("Excluded before screening: "), "exclusion_reason")),
+            F.when(F.col("is_duplicate") & (F.col("duplicate_of") != ""), F.concat(F.lit("Duplicate of: "), "duplicate_of")), F.when(F.col("is_retracted"), F.lit("Retracted publication")),
+        )
+    )
+
+
+def _named(table: dict[str, str], other: str) -> Column:
+    """The written name of record_type: the first name of a type."""
+    first: dict[str, str] = {}
+    for name, kind in table.items():
+        first.setdefault(kind, name)
+    first["other"] = other
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in first.items() for x in pair)), F.col("record_type")), F.lit(other))
 
 
 def records_as_ris(records: DataFrame) -> DataFrame:
-    """(study_uid, ris): each record as a RIS block; empty fields have no line."""
-    lines = [
-        F.lit("TY  - JOUR"), F.concat(F.lit("TI  - "), "title"), _line("AB", F.col("abstract")), _line("PY", F.col("year").cast("string")), _line("DO", F.col("doi")),
-        _line("LA", F.col("language")), F.when(F.coalesce("exclusion_reason", F.lit("")) != "", F.concat(F.lit("N1  - Excluded before screening: "), "exclusion_reason")), F.lit("ER  - "),
+    """(study_uid, ris): each record of a whole records table as a RIS block; empty fields have no line."""
+    start, end = F.substring_index("pages", "-", 1), F.when(F.contains(F.col("pages"), F.lit("-")), F.regexp_replace("pages", "^[^-]*-", "")).otherwise("")
+    number = F.when(F.coalesce("pmid", F.lit("")) != "", F.col("pmid")).otherwise(F.col("accession_number"))
+    parts = [
+        F.array(F.concat(F.lit("TY  - "), _named(RIS_TYPES, "GEN"))), _lines("ID  - ", _one("study_uid")), _lines("TI  - ", _one("title")), _lines("AU  - ", _items("authors")), _lines("A2  - ", _items("editors")),
+        _lines("PY  - ", _one("year")), _lines("JO  - ", _one("journal")), _lines("VL  - ", _one("volume")), _lines("IS  - ", _one("issue")), _lines("SP  - ", F.array(start)), _lines("EP  - ", F.array(end)),
+        _lines("DO  - ", _one("doi")), _lines("UR  - ", _one("url")), _lines("AN  - ", F.array(number)), _lines("SN  - ", _one("issn_isbn")), _lines("LA  - ", _items("language")), _lines("KW  - ", _items("keywords", "keywords_mesh")),
+        _lines("AB  - ", _one("abstract")), _lines("N1  - ", _notes()), F.array(F.lit("ER  - ")),
     ]
-    return records.select("study_uid", F.concat_ws("\n", *lines).alias("ris"))
+    return records.select("study_uid", F.array_join(F.concat(*parts), "\n").alias("ris"))
 
 
 def records_as_bibtex(records: DataFrame) -> DataFrame:
-    """(study_uid, bibtex): each record as an article entry."""
-    field = lambda n, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"  {n} = {{"), F.translate(c, "{}", "()"), F.lit("},")))
-    lines = [F.concat(F.lit("@article{"), "study_uid", F.lit(",")), field("title", F.col("title")), field("abstract", F.col("abstract")), field("year", F.col("year").cast("string")), field("doi", F.col("doi")), F.lit("}")]
-    return records.select("study_uid", F.concat_ws("\n", *lines).alias("bibtex"))
+    """(study_uid, bibtex): each record of a whole records table as an entry."""
+    braced = lambda v: F.regexp_replace(_one_line(v), r"([\\{}])", r"\\$1")
+    field = lambda name, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"  {name} = {{"), braced(v), F.lit("}")))
+    plain = {"year": "year", "journal": "journal", "volume": "volume", "number": "issue", "pages": "pages", "doi": "doi", "url": "url", "issn": "issn_isbn"}
+    fields = [
+        field("title", F.col("title")), field("author", F.array_join(_items("authors"), " and ")), *(field(n, F.col(c).cast("string")) for n, c in plain.items()), field("langid", F.array_join(_items("language"), "; ")),
+        field("keywords", F.array_join(_items("keywords", "keywords_mesh"), "; ")), field("abstract", F.col("abstract")), field("note", F.array_join(_notes(), "; ")),
+    ]
+    head = F.concat(F.lit("@"), _named(BIBTEX_TYPES, "misc"), F.lit("{"), "study_uid", F.lit(",\n"))
+    return records.select("study_uid", F.concat(head, F.array_join(F.array_compact(F.array(*fields)), ",\n"), F.lit("\n}")).alias("bibtex"))
 
 
 def records_as_nbib(records: DataFrame) -> DataFrame:
-    """(study_uid, nbib): each record as a MEDLINE block."""
-    tag = lambda t, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{t:<4}- "), F.regexp_replace(c, r"\s+", " ")))
-    doi = F.when(F.coalesce("doi", F.lit("")) != "", F.concat(F.lit("LID - "), "doi", F.lit(" [doi]")))
-    lines = [F.concat(F.lit("PMID- "), F.coalesce(F.nullif(F.col("pmid"), F.lit("")), F.lit("0"))), tag("TI", F.col("title")), tag("AB", F.col("abstract")), tag("DP", F.col("year").cast("string")), doi]
-    return records.select("study_uid", F.concat_ws("\n", *lines).alias("nbib"))
+    """(study_uid, nbib): each record of a whole records table as a MEDLINE block."""
+    doi = F.array(F.when(F.coalesce("doi", F.lit("")) != "", F.concat("doi", F.lit(" [doi]"))).otherwise(""))
+    values = [
+        ("PMID", _one("pmid")), ("UID", _one("study_uid")), ("TI", _one("title")), ("FAU", _items("authors")), ("JT", _one("journal")), ("TA", _one("journal")), ("DP", _one("year")), ("VI", _one("volume")), ("IP", _one("issue")),
+        ("PG", _one("pages")), ("AID", doi), ("PMC", _one("pmcid")), ("LA", _items("language")), ("MH", _items("keywords_mesh")), ("OT", _items("keywords")), ("AB", _one("abstract")),
+    ]
+    return records.select("study_uid", F.array_join(F.concat(*(_lines(f"{t:<4}- ", v) for t, v in values)), "\n").alias("nbib"))
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """A records table as CSV files: its columns in order, quotes doubled, true and false, nothing for null."""
+    cells = {c: F.coalesce(F.col(c).cast("string"), F.lit("false") if c in BOOLEANS else F.lit("")) for c in RECORD_COLUMNS}
+    records.select(*(v.alias(c) for c, v in cells.items())).write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
 
 
 def guarded_cells(table: DataFrame) -> DataFrame:
@@ -42,7 +94,7 @@ def guarded_cells(table: DataFrame) -> DataFrame:
 
 
 def write_csv(table: DataFrame, path: str) -> None:
-    """CSV files with header, quotes doubled, CRLF line ends and guarded cells."""
+    """CSV files with header, quotes doubled, CRLF line ends and guarded cells; UTF-8 without a mark, as Spark writes parts of one table."""
     guarded_cells(table).write.mode("overwrite").option("header", True).option("escape", '"').option("lineSep", "\r\n").csv(path)
 
 

@@ -6,16 +6,39 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENT_SCHEMA = "event_id string, timestamp string, step string, event_type string, level string, message string, source_label string, run_id string, payload string"
-RESULT_SCHEMA = "study_uid string, run_id string, status string, decision string, consistent boolean, flags array<string>, tokens_in long, tokens_out long, cost double, latency_s double, batch int"
+RESULT_SCHEMA = (
+    "study_uid string, run_id string, status string, error_code string, decision string, derived_decision string, consistent boolean, reasoning string, "
+    "inclusion array<struct<criterion:string,verdict:string,note:string,quote:string>>, exclusion array<struct<criterion:string,verdict:string,note:string,quote:string>>, "
+    "flags array<string>, attempts int, tokens_in long, tokens_out long, cost double, latency_s double, batch int"
+)
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of JSON-lines files with ``source_file`` and ``line_no``; a torn last line is left out, a bad line elsewhere is an error (E404)."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    d = lines.where(F.trim("line") != "").withColumn("row", F.from_json("line", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    bad = F.col("row").isNull() | F.col("row._bad").isNotNull()
-    last = F.max("line_no").over(Window.partitionBy("source_file"))
-    d = d.withColumns({"_bad": bad, "_last": F.col("line_no") == last})
-    checked = F.when(F.col("_bad") & ~F.col("_last"), F.raise_error(F.concat(F.lit("E404: bad line "), F.col("line_no").cast("string")))).otherwise(F.col("_bad"))
-    names = [x.split()[0] for x in schema.split(", ")]
-    return d.where(~F.coalesce(checked.cast("boolean"), F.lit(False))).select("source_file", "line_no", *(f"row.{n}" for n in names))
+    """Rows of JSON-lines files with ``source_file`` and ``line_no``; a torn last line is left out, a bad line elsewhere is an error (E404).
+
+    Files are read by lines, in as many tasks as they have blocks, so a file may be of any size. ``line_no`` ascends with the lines of a file, with gaps:
+    it is where a line's block begins and its place in the block.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    place = F.row_number().over(Window.partitionBy("source_file", "_start").orderBy("_row")) - 1
+    lines = lines.withColumn("line_no", F.col("_start") + place).where(F.trim("line") != "")
+    d = lines.withColumn("row", F.from_json("line", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    d = d.withColumn("_bad", F.col("row").isNull() | F.col("row._bad").isNotNull())
+    ends = d.groupBy("source_file").agg(F.max("line_no").alias("_last"), F.min(F.when(F.col("_bad"), F.col("line_no"))).alias("_wrong"))
+    wrong = ends.where("_wrong < _last").agg(F.min("_wrong").alias("_wrong"))
+    message = F.concat(F.lit("E404: bad line at "), F.col("_wrong").cast("string"))
+    checked = F.when(F.col("_wrong").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    names = [f.name for f in d.schema["row"].dataType.fields if f.name != "_bad"]
+    good = d.crossJoin(F.broadcast(wrong)).where(checked).where("NOT _bad")  # one row
+    return good.select("source_file", "line_no", *(f"row.{n}" for n in names))
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """(position, event_type, source_label, run_id, payload) of an event log, for :func:`sievework.operators.flow.event_numbers`."""
+    d = read_log(spark, path, EVENT_SCHEMA)
+    return d.select(F.col("line_no").alias("position"), "event_type", "source_label", "run_id", "payload")
+
+
+def append_results(results: DataFrame, path: str) -> None:
+    """Append results as JSON lines, one for each record; a file that was torn stays as it is and is read up to its last whole line."""
+    results.write.mode("append").option("ignoreNullFields", False).json(path)

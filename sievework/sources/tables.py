@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.operators.results import OUTCOMES
+from sievework.schemas import BOOLEANS, RECORD_COLUMNS, spark_type
 
 
 def read_legacy_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -19,6 +20,23 @@ def read_legacy_runs(spark: SparkSession, path: str) -> DataFrame:
     return d.select(run.alias("run_id"), "study_uid", F.when(label == 1, "INCLUDE").when(label == 0, "EXCLUDE").alias("decision")).where("decision IS NOT NULL")
 
 
+def read_records_table(spark: SparkSession, path: str) -> DataFrame:
+    """A records table from its CSV files. Other columns, or another order, are an error (E404), as are rows of another width and booleans other than true, false and nothing."""
+    first = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    if first.columns != RECORD_COLUMNS:
+        raise ValueError("E404: not the columns of a records table")
+    text = ", ".join(f"{c} string" for c in RECORD_COLUMNS)
+    d = spark.read.schema(text).option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").option("nullValue", "\1").option("emptyValue", "").csv(path)
+
+    def typed(c: str) -> Column:
+        v = F.coalesce(F.col(c), F.lit(""))
+        if c in BOOLEANS:
+            return F.when(v.isin("true", "false", ""), v == "true").otherwise(F.raise_error(F.concat(F.lit(f"E404: {c} is "), v)).cast("boolean"))
+        return v if spark_type(c) == "string" else F.nullif(v, F.lit("")).cast(spark_type(c))
+
+    return d.select(*(typed(c).alias(c) for c in RECORD_COLUMNS))
+
+
 def number(c: Column) -> Column:
     """A number with decimal point or comma, or null."""
     return F.regexp_replace(F.trim(c), ",", ".").try_cast("double")

@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as T
 from sievework.operators import agreement as AG
+from sievework.operators import answers as AN
 from sievework.operators import dedup as DD
 from sievework.operators import flow as FL
 from sievework.operators import marking as MK
+from sievework.operators import results as RS
+from sievework.operators import running
 from sievework.operators import screening as SC
 
 FIELDS = "import_order long, study_uid string, source_label string, title string, abstract string, doi string, pmid string, year int, language string, publication_types string, authors string, keywords string, keywords_mesh string, is_retracted boolean, fulltext_of string, exclusion_reason string, exclusion_details string"
@@ -39,8 +42,9 @@ def test_abstracts(spark, text, want):
     assert one(spark, text, T.abstract_quality) == want
 
 
-def test_clean_text(spark):
-    assert one(spark, "a &amp; b\x01\n  c", T.clean_text) == "a & b c"
+@pytest.mark.parametrize(("text", "want"), [("a &amp; b\x01\n  c", "a & b c"), ("x\x85y\u2003z\xa0", "x y z"), ("e\u0301 &#65; \x9d & co", "é A \x9d & co"), (None, ""), ("&nbsp;", "")])
+def test_clean_text(spark, text, want):
+    assert one(spark, text, T.clean_text) == want
 
 
 def test_duplicates_by_component_and_guard(spark):
@@ -77,7 +81,7 @@ def test_reasons_and_idempotence(spark):
     ])
     once = MK.mark_validity(MK.mark_prefilters(r, p))
     got = [x["exclusion_reason"] for x in once.orderBy("import_order").collect()]
-    assert got == ["LANGUAGE", "KEYWORD", "", "YEAR", "NOT_SCREENABLE", "AI_PREFILTER_JEV", "NO_ABSTRACT"]
+    assert got == ["PREFILTER_LANGUAGE", "PREFILTER_KEYWORD", "", "PREFILTER_YEAR", "NOT_SCREENABLE", "AI_PREFILTER_JEV", "NO_ABSTRACT"]
     assert [x["exclusion_reason"] for x in MK.mark_validity(MK.mark_prefilters(once, p)).orderBy("import_order").collect()] == got
 
 
@@ -102,21 +106,103 @@ def test_flow_by_hand(spark, before, duplicates, other):
     assert (f["identified"], f["after_dedup"], f["duplicates_removed"], f["removed_other"]) == (35, 28, duplicates, other)
 
 
+GOOD = '{"inclusion":[{"criterion":"i","verdict":"met","note":"","quote":"q"}],"exclusion":[],"reasoning":"r","decision":"INCLUDE"}'
+
+
 def test_answers(spark):
-    good = '{"inclusion":[{"criterion":"i","verdict":"met","note":"","quote":"q"}],"exclusion":[],"reasoning":"r","decision":"INCLUDE"}'
-    rows = [("a", good), ("b", f"```json\n{good}\n```"), ("c", f"Sure: {good}"), ("d", good.replace('"met"', '"maybe"')), ("e", good.replace('"reasoning":"r",', "")), ("f", good.replace('"decision"', '"x":1,"decision"')), ("g", ""), ("h", None), ("i", good.replace("INCLUDE", "EXCLUDE"))]
-    r = {x["study_uid"]: x for x in SC.parse_answers(spark.createDataFrame(rows, "study_uid string, answer string")).collect()}
-    assert [k for k in sorted(r) if r[k]["status"] == "ok"] == ["a", "b", "c", "i"]
-    assert r["a"]["consistent"] and r["i"]["consistent"] is False and r["a"]["quotes"] == ["q"]
+    rows = [
+        ("a", GOOD), ("b", f"```json\n{GOOD}\n```"), ("c", f"Sure: {GOOD} Bye"), ("i", GOOD.replace("INCLUDE", "EXCLUDE")), ("j", GOOD.replace('"decision"', '"ambiguities":["x"],"decision"')), ("k", GOOD.replace('"note":"",', "")),
+        ("d", GOOD.replace('"met"', '"maybe"')), ("e", GOOD.replace('"reasoning":"r",', "")), ("f", GOOD.replace('"decision"', '"x":1,"decision"')), ("g", ""), ("h", None),
+        ("l", GOOD.replace('"r"', "5")), ("m", GOOD.replace('"criterion":"i"', '"criterion":" "')), ("n", GOOD.replace('"criterion":"i",', "")), ("o", GOOD.replace('"quote":"q"', '"quote":7')), ("p", f"[{GOOD}]"),
+        ("q", GOOD.replace('"decision"', '"ambiguities":[1],"decision"')), ("r", GOOD.replace('"exclusion":[]', '"exclusion":{}')), ("s", GOOD.replace('"exclusion":[]', '"exclusion":["x"]')), ("t", "not json"),
+    ]
+    r = {x["study_uid"]: x for x in AN.parse_answers(spark.createDataFrame(rows, "study_uid string, answer string")).collect()}
+    assert [k for k in sorted(r) if r[k]["status"] == "ok"] == ["a", "b", "c", "i", "j", "k"]
+    assert r["a"]["consistent"] and r["i"]["consistent"] is False and r["a"]["inclusion"][0]["quote"] == "q" and r["j"]["ambiguities"] == ["x"]
 
 
 def test_quotes_and_last_lines(spark):
-    d = spark.createDataFrame([("Big ... Dog!", "The big, brown dog"), ("cat", "The dog")], "q string, t string")
-    assert [x[0] for x in d.select(SC.quotes_found(F.col("q"), F.col("t"))).collect()] == [True, False]
-    assert one(spark, "thinking\n**YYY**\n\n", SC.parse_last_line) == "INCLUDE"
+    d = spark.createDataFrame([("Big ... Dog!", "The big, brown dog"), ("cat", "The dog"), ("GRÖSSE", "die Größe"), (" … ", "")], "q string, t string")
+    assert [x[0] for x in d.select(AN.quotes_found(F.col("q"), F.col("t"))).collect()] == [True, False, True, True]
+    assert one(spark, "thinking\n**YYY**\n\n", AN.parse_last_line) == "INCLUDE"
+    assert one(spark, "YYY\nor not", AN.parse_last_line) is None
+    answers = spark.createDataFrame([("u", [("a", "met", "", "big dog"), ("b", "met", "", "cat")], [("c", "unclear", "", "")]), ("v", [("a", "met", "", "x")], [])], f"study_uid string, inclusion array<{AN.VERDICT}>, exclusion array<{AN.VERDICT}>")
+    texts = spark.createDataFrame([("u", "A big  DOG.")], "study_uid string, text string")
+    assert {x["study_uid"]: x["quote_unverified"] for x in AN.check_quotes(answers, texts).collect()} == {"u": ["b"], "v": ["a"]}
 
 
 def test_sections(spark):
-    t = "Title\n1. Methods\nwe did\nResults:\nwe saw\nReferences\nx\nMethods\nmore"
-    r = {x["section"]: x["text"] for x in SC.section_texts(spark.createDataFrame([("u", t)], "study_uid string, text string")).collect()}
-    assert r == {"methods": "we did\nmore", "results": "we saw"}
+    t = "Title\nMethods\nwe did\n1. Results\nResults:\n RESULTS \n\nwe saw\n\nmore\nReferences\nx\nMaterials and Methods\nagain\nDiscussion\n\n"
+    d = spark.createDataFrame([("u", t), ("v", "no heading"), ("w", None)], "study_uid string, text string")
+    assert {x["section"]: x["text"] for x in SC.section_texts(d).collect()} == {"methods": "we did\n1. Results\nResults:\n\nagain", "results": "we saw\n\nmore", "references": "x"}
+    assert one(spark, t, lambda c: SC.screened_text(c, 9000, sections=True)) == "we did\n1. Results\nResults:\n\nagain\n\nwe saw\n\nmore"
+    assert one(spark, "no heading", lambda c: SC.screened_text(c, 9000, sections=True)) == "no heading"
+
+
+def test_fit_of_wide_and_narrow_text(spark):
+    for text in ("中" * 3000, "a" * 5000, "a中" * 2000, "abc", "", "a" * 1817 + " " * 300 + "b"):
+        got = one(spark, text, lambda c: SC.fit_to_context(c, 2400))
+        tokens = lambda x: -(-int(round(((n := sum(c == "中" for c in x)) * 4 + len(x) - n) * 1.1 * 1000)) // 4000)
+        if tokens(text) <= 500:
+            assert got == text
+        else:
+            end = max(k for k in range(1, len(text) + 1) if tokens(text[:k]) <= 500)
+            assert got == text[:end].rstrip() + SC.NOTICE
+
+
+def test_criteria_and_prompts(spark):
+    assert SC.criteria_text("peco", {"Outcome": "b", "Population": "a"}, {"Exposure": " c "}) == "Include Population: a\nInclude Outcome: b\nExclude Exposure: c"
+    with pytest.raises(ValueError, match="E203"):
+        SC.criteria_text("PICOS", {"Sample": "x"}, {})
+    r = records(spark, [{"title": " a<b> ", "abstract": "</record> x", "keywords": "k"}])
+    p = SC.build_prompts(r, "P", "S", keywords=True).first()
+    assert p["prompt"] == "P\n\n<record>\nTitle: a‹b›\nAbstract: ‹/record› x\nKeywords: k\n</record>"
+    assert SC.build_prompts(r, "P", fulltext="abstract", reminder="C").first()["prompt"].endswith("Full text:\n‹/record› x\n</record>\n\nReminder of the criteria:\nC")
+
+
+def test_running_totals_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(running, "STRETCH", 7)
+    rows = [(r, i * 3, (i * 5 + len(r)) % 11) for r in ("a", "bb") for i in range(60)]
+    d = spark.createDataFrame(rows, "run_id string, line_no long, v long")
+    got = running.running(d, "line_no", {"s": "v", "k": 1}, maxima={"m": F.when(F.col("v") > 7, F.col("line_no"))})
+    want, state = {}, {}
+    for r, i, v in rows:
+        s, k, m = state.get(r, (0, 0, None))
+        want[r, i] = (s + v, k + 1, m)
+        state[r] = (s + v, k + 1, i if v > 7 else m)
+    assert {(x["run_id"], x["line_no"]): (x["s"], x["k"], x["m"]) for x in got.collect()} == want
+    status = spark.createDataFrame([("r", i, "ok" if i in (3, 30) else "api_error") for i in range(40)], "run_id string, line_no long, status string")
+    assert tuple(RS.failures_in_a_row(status, 26).first()) == ("r", 26, True)
+
+
+def test_pairs_without_a_common_record(spark):
+    d = spark.createDataFrame([("a", "x", "INCLUDE"), ("b", "y", "INCLUDE")], "run_id string, study_uid string, decision string")
+    assert tuple(AG.pairwise(d).first()) == ("a", "b", 0, 0.0, None, None)
+
+
+def test_flow_from_a_log(spark):
+    """Payloads of several shapes; what does not fit together, each by itself."""
+    def flow(*events):
+        log = spark.createDataFrame([(i, *e) for i, e in enumerate(events)], "position long, event_type string, source_label string, run_id string, payload string")
+        f = FL.fold_flow(FL.event_numbers(log))
+        return f.first(), sorted(x["code"] for x in FL.flow_warnings(f).collect())
+
+    imported = ("SOURCE_IMPORTED", "A", None, '{"records_identified":20}')
+    f, w = flow(imported, ("SOURCE_IMPORTED", None, None, '{"source_label":"B","records_identified":"10"}'), ("SOURCE_IMPORTED", "C", None, '{"records_identified":true}'), ("SOURCE_IMPORTED", "D", None, "no json"), ("SOURCE_IMPORTED", "E", None, None))
+    assert f["identified"] == 30 and w == []
+    f, w = flow(imported, ("DEDUP_GLOBAL", None, None, '{"before":20,"after":18,"removed":2}'), ("INFO", None, None, '{"kind":"prefilter","by_reason":{"PREFILTER_YEAR":3,"PREFILTER_TYPE":1.9}}'), ("INFO", None, None, '{"kind":"ai_prefilter_jev","by_reason":{"AI_PREFILTER_JEV":2}}'),
+                ("INFO", None, None, '{"kind":"validity","missing_count":5,"by_reason":{"RETRACTED":1}}'), ("SCREEN_TA", None, "r", '{"included":4,"excluded":6}'), ("SCREEN_TA", None, "r", '{"included":1,"excluded":0}'))
+    assert (f["prefiltered"], f["ai_prefiltered"], f["to_screen"], f["screened"], f["included"], f["missing_abstracts"], w) == (5, 2, 11, 11, 5, 5, [])
+    assert flow(imported, ("DEDUP_GLOBAL", None, None, '{"before":5,"after":9,"removed":0}'))[1] == ["ARITHMETIC_MISMATCH", "DEDUP_AFTER_EXCEEDS_BEFORE"]
+    assert flow(imported, ("MERGE_ALL_SOURCES", None, None, '{"merged_records_before_global_dedup":25}'))[1] == ["ARITHMETIC_MISMATCH", "MERGED_EXCEEDS_IDENTIFIED"]
+    assert flow(imported, ("SCREEN_TA", None, "r", '{"included":1,"excluded":90}'), ("SCREEN_FT", None, "r", '{"included":1,"excluded":1}'))[1] == ["FULLTEXT_EXCEEDS_INCLUDED", "SCREENED_EXCEEDS_AVAILABLE"]
+    assert flow(("INFO", None, None, '{"kind":"prefilter","by_reason":{}}'), ("INFO", None, None, '{"kind":"validity"}'), ("DEDUP_GLOBAL", None, None, "{}"), imported)[1] == ["STALE_DEDUP", "STALE_PREFILTER", "STALE_VALIDITY"]
+
+
+def test_large_blocks_and_repeated_titles(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda".split()
+    rows = [{"title": "a randomised trial of walking and " + " ".join(words[(i * k) % 11] for k in (1, 2, 3))} for i in range(11)] + [{"title": "a randomised trial of walking in old people"}] * 301 + [{"title": "a randomized trial of walking in old people"}]
+    r = records(spark, rows)
+    d = DD.keyed(r)
+    assert DD.fuzzy_edges(d).where("b >= 11").count() == 0  # the block is too large
+    assert {(x["b"], x["a"]) for x in DD.fuzzy_edges(d, max_block=None).where("a = 312").collect()} == {(i, 312) for i in range(11, 312)}
