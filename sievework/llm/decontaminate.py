@@ -325,7 +325,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     own = {c: f"_own_{k}" for k, c in enumerate(_MADE) if c in docs.columns}
     found = contamination(docs.withColumnsRenamed(own), benchmark, clean=True).where(F.col("n_hit") < F.greatest(F.col("n_words") * COVERAGE, F.lit(1)))
-    kept = [F.col(f"`{own.get(c, c)}`").alias(c) if c != "text" else F.coalesce("cleaned", "text").alias("text") for c in docs.columns]
+    kept = [F.col(f"`{own.get(c, c).replace('`', '``')}`").alias(c) if c != "text" else F.coalesce("cleaned", "text").alias("text") for c in docs.columns]
     return found.select(*kept)
 
 

@@ -10,14 +10,14 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.session import Batches, documents, in_batches, row_slices, with_columns
+from sievework.llm.session import Batches, broadcast_if_small, cut, documents, in_batches, row_slices, with_columns
 from sievework.llm.wordscan import mix, text_slices
 
-#: Texts of each language that the classifier is fitted on, about: a bounded sample, chosen by a hash of doc_id and text.
+#: Texts of each language that the classifier is fitted on, about: a bounded sample of whole texts, chosen by a hash of doc_id and text.
 SAMPLE_PER_LANGUAGE = 800
-#: Texts of all languages together, about: with many languages each has fewer.
+#: Texts of all languages together, about: with many languages each has fewer, so the sample does not grow with their number.
 SAMPLE_TOTAL = 4000
-#: Bytes of each sampled text that are used.
+#: A text of more bytes is chosen the more rarely the longer it is, so a sampled text has so many on average at most.
 SAMPLE_BYTES = 20_000
 #: Buckets of hashed n-grams, and the n-grams' lengths in bytes.
 BUCKETS, NGRAMS = 32_768, (1, 2, 3, 4)
@@ -131,7 +131,7 @@ def _reach(texts: list[bytes], centres: np.ndarray, idf: np.ndarray) -> np.ndarr
     out = np.ones(LONGEST - SHORTEST + 1)
     for c in range(len(out)):
         size = 1 << c + SHORTEST
-        of_class = [t[:size] for t in texts if len(t) >= size]
+        of_class = [t[:size].decode("utf-8", "ignore").encode() for t in texts if len(t) >= size]
         if len(of_class) >= ENOUGH or not c and of_class:
             far = float(np.quantile(1 - vectors(_counted(of_class), idf).times(centres).max(axis=1), QUANTILE))
             out[c] = far + MARGIN * (1 - far)
@@ -143,8 +143,7 @@ def _reach(texts: list[bytes], centres: np.ndarray, idf: np.ndarray) -> np.ndarr
 def fit(samples: dict[str, list[bytes]]) -> Centroids:
     """Centroids by spherical k-means within each language."""
     langs = sorted(samples)
-    texts = {lang: [t[:SAMPLE_BYTES] for t in samples[lang]] for lang in langs}
-    counts = {lang: _counted(texts[lang]) for lang in langs}
+    counts = {lang: _counted(samples[lang]) for lang in langs}
     seen, total = sum((np.bincount(c.bucket, minlength=BUCKETS) for c in counts.values()), np.zeros(BUCKETS)), sum(map(len, counts.values()))
     idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
     rows, names, reach = [], [], []
@@ -174,19 +173,21 @@ def fit(samples: dict[str, list[bytes]]) -> Centroids:
         kept = [j for j in range(k) if (near == j).any()]
         rows += [centres[j] for j in kept]
         names += [lang] * len(kept)
-        reach += [_reach(texts[lang], centres[kept], idf)] * len(kept)
+        reach += [_reach(samples[lang], centres[kept], idf)] * len(kept)
     return Centroids(np.array(rows, dtype=np.float32).reshape(len(rows), BUCKETS), names, np.array(reach), idf)
 
 
 def sample_texts(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, list[bytes]]:
     """About ``per_language`` texts of each language (SAMPLE_TOTAL of all), those of least hash; of (doc_id, text, lang) without nulls in text and lang."""
-    hashed = labelled.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.abs(F.xxhash64("doc_id", "text") % 1_000_000_007))
-    sizes = {r["lang"]: r["count"] for r in hashed.groupBy("lang").count().collect()}
-    if not sizes:
+    top = 1_000_000_007
+    hashed = labelled.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.abs(F.xxhash64("doc_id", "text") % top))
+    sizes = cut(hashed.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    many = sizes.count()
+    if not many:
         return {}
-    per_language = min(per_language, max(1, SAMPLE_TOTAL // len(sizes)))
-    limit = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(1_000_000_007 * min(1.0, per_language / n)) + 1))])
-    picked = hashed.where(F.col("h") < limit[F.col("lang")]).select("lang", "h", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
+    each = min(float(per_language), SAMPLE_TOTAL / many)
+    share = F.lit(each) / F.col("n") * F.least(F.lit(1.0), F.lit(float(SAMPLE_BYTES)) / F.greatest(F.octet_length("text"), F.lit(1)))
+    picked = hashed.join(broadcast_if_small(sizes), "lang").where(F.col("h") < share * top).select("lang", "h", "text")
     out: dict[str, list[bytes]] = {}
     for r in picked.orderBy("lang", "h", "text").collect():
         out.setdefault(r["lang"], []).append(r["text"].encode())
@@ -248,5 +249,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose language is rejected."""
-    return identify(docs, fit_on(docs)).where(~F.col("rejected")).select(*docs.columns)
+    """``docs`` without the documents whose language is rejected, by a classifier fitted on those not held out.
+
+    A null text, and one without a letter, is rejected; so are all texts where no row has a text and a lang. A null doc_id is not held out; repeated rows are judged
+    each. Columns stay, those named like the ones of :func:`identify` too. An empty table gives an empty table.
+    """
+    own = {c: f"_own_{k}" for k, c in enumerate(_MADE) if c in docs.columns}
+    found = identify(docs.withColumnsRenamed(own), fit_on(docs)).where(~F.col("rejected"))
+    return found.select(*(F.col(f"`{own.get(c, c).replace('`', '``')}`").alias(c) for c in docs.columns))

@@ -60,6 +60,23 @@ def rare_elements(nodes: DataFrame, details: DataFrame, tenths: int) -> DataFram
     return ranked.where("e.many > 1").select(F.col("e.grp").alias("grp"), "node", "size", (F.col("place") < index).alias("first"))
 
 
+def _some(df: DataFrame) -> bool:
+    return df.limit(1).count() > 0
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (node, label) of components after further links (x, y), which are drawn between components, so that only they are looked at."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}l"))
+    drawn = links.join(of("x"), "x", "left").join(of("y"), "y", "left").select(F.coalesce("xl", "x").alias("x"), F.coalesce("yl", "y").alias("y")).where("x != y")
+    drawn = cut(drawn.distinct(), "drawn")
+    if not _some(drawn):
+        return labels
+    moved = connected_components(drawn, "x", "y").select(F.col("node").alias("label"), F.col("label").alias("to"))
+    known = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    alone = moved.join(labels.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), F.col("to").alias("label"))
+    return cut(known.union(alone), "labels")
+
+
 def similarity_classes(shared: DataFrame, details_of: Callable[[DataFrame], DataFrame], tenths: int, agree: int | None = None) -> DataFrame:
     """(node, label): components of the links between nodes that share a bucket.
 
@@ -75,47 +92,46 @@ def similarity_classes(shared: DataFrame, details_of: Callable[[DataFrame], Data
     left, with each other. A thousand texts that share a template but are not similar share none, so they make no pairs. No link between nodes that share a bucket is lost.
     """
     shared = shared.withColumnRenamed("bucket", "grp")
+    spark = shared.sparkSession
     sizes = shared.groupBy("grp").agg(F.count("*").alias("n"))
     scores = shared.join(sizes, "grp").groupBy("node").agg(F.sum("n").alias("score"))
     shared = cut(shared.join(scores, "node"), "shared")
     details = cut(details_of(shared.select("node").distinct()), "details")
     packed = details.select("node", F.struct("elements", "buckets", *(["sketch"] if agree is not None else [])).alias("own"))
     found, heads = _star(shared, packed, "score", tenths, agree)
-    links = cut(found, "links")
-    labels = connected_components(links, "x", "y")
+    labels = connected_components(cut(found, "links"), "x", "y")
 
-    place = lambda g, of: g.join(of, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = cut(place(shared.join(heads, "grp"), labels).select("grp", "head", "node", "label"), "placed")
+    place = lambda g: g.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = cut(place(shared.join(heads, "grp")).select("grp", "head", "node", "label"), "placed")
     mixed = cut(_mixed(placed), "mixed")
-    if mixed.limit(1).count() == 0:
-        drop_paths(shared.sparkSession, shared, details, placed, mixed)
-        return labels
-
-    few = placed.join(mixed.where(F.col("n") <= PAIRED), "grp")
-    head_label = few.where("node = head").select("grp", F.col("label").alias("head_label"))
-    open_ = few.join(head_label, "grp").join(packed, "node").select("grp", "node", "label", "head_label", F.col("own").alias("b"))
-    outside = open_.where("label != head_label").select("grp", F.col("node").alias("o"), F.col("label").alias("ol"), F.col("b").alias("a"))
-    # two nodes outside meet once, an outside one and one of the head's component once
-    apart = (F.col("ol") != F.col("label")) & ((F.col("label") == F.col("head_label")) | (F.col("o") < F.col("node")))
-    once = F.element_at(F.array_intersect("a.buckets", "b.buckets"), 1) == F.col("grp")
-    more = outside.join(open_, "grp").where(apart & once & _linked("a", "b", tenths, agree)).select(F.col("o").alias("x"), F.col("node").alias("y"))
-    all_links = cut(links.union(more), "links")
-
-    many = cut(placed.join(mixed.where(F.col("n") > PAIRED), "grp", "left_semi").select("node").distinct(), "crowded")
-    if many.limit(1).count():
-        rare = cut(rare_elements(many, details, tenths), "rare")
-        crowds = rare.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED).select("grp")
-        found, _ = _star(rare.where("first").join(crowds, "grp", "left_semi"), packed, "size", tenths, agree)
-        all_links = cut(all_links.union(found), "links")
-        by_rare = place(rare, connected_components(all_links, "x", "y"))
+    crowded = cut(placed.join(mixed.where(F.col("n") > PAIRED), "grp", "left_semi").select("node").distinct(), "crowded")
+
+    few = mixed.where(F.col("n") <= PAIRED)
+    if _some(few):
+        own = placed.join(few, "grp")
+        head_label = own.where("node = head").select("grp", F.col("label").alias("head_label"))
+        open_ = own.join(head_label, "grp").join(packed, "node").select("grp", "node", "label", "head_label", F.col("own").alias("b"))
+        outside = open_.where("label != head_label").select("grp", F.col("node").alias("o"), F.col("label").alias("ol"), F.col("b").alias("a"))
+        # two nodes outside meet once, an outside one and one of the head's component once
+        apart = (F.col("ol") != F.col("label")) & ((F.col("label") == F.col("head_label")) | (F.col("o") < F.col("node")))
+        once = F.element_at(F.array_intersect("a.buckets", "b.buckets"), 1) == F.col("grp")
+        labels = _merged(labels, cut(outside.join(open_, "grp").where(apart & once & _linked("a", "b", tenths, agree)).select(F.col("o").alias("x"), F.col("node").alias("y")), "links"))
+
+    if _some(crowded):
+        rare = cut(rare_elements(crowded, details, tenths), "rare")
+        crowds = cut(rare.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > PAIRED).select("grp"), "crowds")
+        if _some(crowds):
+            found, _ = _star(rare.where("first").join(crowds, "grp", "left_semi"), packed, "size", tenths, agree)
+            labels = _merged(labels, cut(found, "links"))
+        by_rare = place(rare)
         left = cut(by_rare.join(_mixed(by_rare), "grp", "left_semi"), "left")
         small = left.where("first").select("grp", F.col("node").alias("x"), F.col("label").alias("xl"), F.col("size").alias("xs"))
         large = left.select("grp", F.col("node").alias("y"), F.col("label").alias("yl"), F.col("size").alias("ys"))
         apart = (F.col("xl") != F.col("yl")) & ((F.col("xs") < F.col("ys")) | (F.col("xs") == F.col("ys")) & (F.col("x") != F.col("y"))) & (F.col("xs") * 10 >= F.col("ys") * tenths)
-        pairs = small.join(large, "grp").where(apart).select("x", "y").distinct()
-        met = pairs.join(packed.select(F.col("node").alias("x"), F.col("own").alias("a")), "x").join(packed.select(F.col("node").alias("y"), F.col("own").alias("b")), "y")
-        all_links = cut(all_links.union(met.where(_linked("a", "b", tenths, agree)).select("x", "y")), "links")
-        drop_paths(shared.sparkSession, rare, left)
-    out = connected_components(all_links, "x", "y")
-    drop_paths(shared.sparkSession, shared, details, placed, mixed, many)
-    return out
+        pairs = cut(small.join(large, "grp").where(apart).select("x", "y").distinct(), "pairs")
+        if _some(pairs):
+            met = pairs.join(packed.select(F.col("node").alias("x"), F.col("own").alias("a")), "x").join(packed.select(F.col("node").alias("y"), F.col("own").alias("b")), "y")
+            labels = _merged(labels, cut(met.where(_linked("a", "b", tenths, agree)).select("x", "y"), "links"))
+        drop_paths(spark, rare, left, pairs)
+    drop_paths(spark, shared, details, placed, mixed, crowded)
+    return labels

@@ -332,6 +332,11 @@ def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_passages(docs: DataFrame) -> DataFrame:
-    """``docs`` with cleaned texts, without documents of which nothing is left."""
-    out = remove_repeated_paragraphs(docs)
-    return out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).select(*docs.columns)
+    """``docs`` with cleaned texts, without documents of which nothing is left.
+
+    A null text, a text without words and a document with a null doc_id stay as they are; rows that repeat a doc_id are one document. Columns stay, whatever their
+    names. An empty table gives an empty table.
+    """
+    own = {c: f"_own_{k}" for k, c in enumerate(["n_paragraphs", "n_repeated", "n_words", "n_removed", "repeated", "windows"]) if c in docs.columns}
+    out = remove_repeated_paragraphs(docs.withColumnsRenamed(own)).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    return out.select(*(F.col(f"`{own.get(c, c).replace('`', '``')}`").alias(c) for c in docs.columns))

@@ -79,10 +79,11 @@ def test_language_id_on_held_out_documents(spark, docs):
 
 def test_language_id_of_odd_rows(docs, odd, none):
     model = language_id.fit_on(docs)
-    got = by_id(language_id.identify(odd.where("doc_id <> 4"), model))
+    got = by_id(language_id.identify(odd, model))
     for i in (1, 2, 3, 8):
         assert (got[i]["lang_pred"], got[i]["score"], got[i]["rejected"]) == ("und", 0.0, True)
     assert got[6]["lang_pred"] in model.langs and got[7]["rejected"]
+    assert language_id.identify(odd, model).count() == odd.count() and got[None]["lang_pred"] in model.langs
     assert language_id.identify(none, model).count() == 0
     empty = language_id.fit_on(none)
     assert {r["lang_pred"] for r in language_id.identify(docs, empty).collect()} == {"und"}
@@ -101,6 +102,56 @@ def test_language_id_rejects_unlearned_scripts_and_junk(spark):
     assert held.where("NOT rejected").count() >= 0.98 * held.count()
 
 
+def test_language_id_by_brute_force(spark, docs, rows):
+    """Vectors, cosines and the nearest centroid of each text, n-gram by n-gram."""
+    model = language_id.fit_on(docs)
+    full = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    def vector(text):
+        data = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in text.encode()]
+        tf = collections.Counter()
+        for k in language_id.NGRAMS:
+            for i in range(len(data) - k + 1):
+                gram = data[i : i + k]
+                if gram[0] != 32 or gram[-1] != 32:
+                    code = 0
+                    for b in gram:
+                        code = (code * 257 + b) & full
+                    tf[mixed(code + (k << 40) & full) % language_id.BUCKETS] += 1
+        v = {b: (1 + math.log(n)) * float(model.idf[b]) for b, n in tf.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {b: x / norm for b, x in v.items()}
+
+    assert all(math.isclose(float(np.linalg.norm(r)), 1, rel_tol=1e-4) for r in model.rows) and max(map(model.langs.count, model.langs)) > 1
+    got = by_id(language_id.identify(docs, model))
+    for i in sorted(rows)[:40]:
+        if rows[i] and re.search(r"[^\W\d_]", rows[i]):
+            v = vector(rows[i])
+            close = [sum(x * float(r[b]) for b, x in v.items()) for r in model.rows]
+            best = max(range(len(close)), key=close.__getitem__)
+            assert got[i]["lang_pred"] == model.langs[best] and math.isclose(got[i]["score"], close[best], rel_tol=1e-3)
+            size = min(max(len(rows[i].encode()).bit_length() - 1, language_id.SHORTEST), language_id.LONGEST) - language_id.SHORTEST
+            if abs(1 - close[best] - model.reach[best][size]) > 1e-3:
+                assert got[i]["rejected"] == (1 - close[best] > model.reach[best][size])
+
+
+def test_language_id_ties_and_many_languages(spark):
+    row = np.zeros(language_id.BUCKETS, dtype=np.float32)
+    row[:] = 1 / math.sqrt(language_id.BUCKETS)
+    tied = language_id.Centroids(np.stack([row, row]), ["aa", "bb"], np.ones((2, language_id.LONGEST - language_id.SHORTEST + 1)), np.ones(language_id.BUCKETS, dtype=np.float32))
+    d = spark.createDataFrame([(1, "some text", "x")], "doc_id long, text string, score string")
+    got = language_id.identify(d, tied).first()
+    assert got["lang_pred"] == "aa" and 0 < got["score"] < 1 and len(got) == 5  # of equal ones the first; a column of the same name is replaced
+    many = spark.range(30_000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id % 15000) AS lang")
+    sample = language_id.sample_texts(many)
+    assert 0.7 * language_id.SAMPLE_TOTAL < sum(map(len, sample.values())) < 1.3 * language_id.SAMPLE_TOTAL
+
+
 # -- 2 and 4 duplicates
 
 

@@ -1,5 +1,7 @@
 """The corpus pipeline: its stages' columns, what they keep, and the whole against the stages' own rules."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sievework.llm import byte_bpe, decontaminate, near_dedup
 from sievework.llm.session import cut, documents, table
@@ -24,3 +26,27 @@ def test_stages(spark):
     want = byte_bpe.round_trip_digests(docs.select("doc_id", "text")).collect()
     assert sorted(map(tuple, last)) == sorted(map(tuple, want))
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, last))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    """Nulls in every column, texts without words, a very long one, repeated rows and ids, and columns named like the stages' own."""
+    long = " ".join(f"word{i % 9000}" for i in range(40_000))
+    rows = [(1, None, None, None, None), (2, "", "en", None, 0), (3, " \n\t ", None, "s", 3), (None, "some words in a row here", "en", "s", 1), (4, "same text of six words here", "en", "s", 1), (4, "same text of six words here", "en", "s", 1), (4, "another text of the same id", "de", "s", 1), (5, long, "en", "s", 1), (6, "x", "en", "t", 1)]
+    odd = spark.createDataFrame(rows, SCHEMA)
+    for n in ("n_words", "n_removed", "score", "items", "repeated", "_own_0", "a`b"):
+        odd = odd.withColumn(n, F.lit("own"))
+    for table in (odd, odd.limit(0)):
+        docs, before = table, table.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = cut(stage(spark, docs, SF), name)
+            assert docs.columns == table.columns
+            left = docs.collect()
+            assert len(left) <= before and all(r["n_words"] == r["a`b"] == "own" for r in left)
+            before = len(left)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == before
+        # each stage by itself takes what the first one would have dropped
+        for _, stage in corpus_pipeline.STAGES[1:]:
+            assert stage(spark, table, SF).count() >= min(1, table.count())
