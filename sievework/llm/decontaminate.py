@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.files import read_whole, written
-from sievework.llm.session import Batches, cut, documents, fresh_path, in_batches, row_slices, table, with_columns
+from sievework.llm.session import Batches, cut, documents, fresh_path, in_batches, row_slices, set_aside, table, with_columns
 from sievework.llm.wordscan import ALNUM, Scan, scan, text_slices
 
 #: Words of a window.
@@ -323,7 +323,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Nulls: a document with a null text, or without words, has no hits and stays as it is; a null doc_id is no matter. Repeated rows are
     judged each; an empty table gives an empty one. Columns named like those of :func:`contamination` stay what they were.
     """
-    own = {c: f"_own_{k}" for k, c in enumerate(_MADE) if c in docs.columns}
+    own = set_aside(docs, _MADE)
     found = contamination(docs.withColumnsRenamed(own), benchmark, clean=True).where(F.col("n_hit") < F.greatest(F.col("n_words") * COVERAGE, F.lit(1)))
     kept = [F.col(f"`{own.get(c, c).replace('`', '``')}`").alias(c) if c != "text" else F.coalesce("cleaned", "text").alias("text") for c in docs.columns]
     return found.select(*kept)

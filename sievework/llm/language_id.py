@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.session import Batches, broadcast_if_small, cut, documents, in_batches, row_slices, with_columns
+from sievework.llm.session import Batches, broadcast_if_small, cut, documents, in_batches, row_slices, set_aside, with_columns
 from sievework.llm.wordscan import mix, text_slices
 
 #: Texts of each language that the classifier is fitted on, about: a bounded sample of whole texts, chosen by a hash of doc_id and text.
@@ -254,6 +254,6 @@ def identified(docs: DataFrame) -> DataFrame:
     A null text, and one without a letter, is rejected; so are all texts where no row has a text and a lang. A null doc_id is not held out; repeated rows are judged
     each. Columns stay, those named like the ones of :func:`identify` too. An empty table gives an empty table.
     """
-    own = {c: f"_own_{k}" for k, c in enumerate(_MADE) if c in docs.columns}
+    own = set_aside(docs, _MADE)
     found = identify(docs.withColumnsRenamed(own), fit_on(docs)).where(~F.col("rejected"))
     return found.select(*(F.col(f"`{own.get(c, c).replace('`', '``')}`").alias(c) for c in docs.columns))

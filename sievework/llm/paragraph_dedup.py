@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.near_join import shared_buckets, similarity_classes
-from sievework.llm.session import Batches, broadcast_if_small, cut, documents, in_batches, with_columns
+from sievework.llm.session import Batches, broadcast_if_small, cut, documents, in_batches, set_aside, with_columns
 from sievework.llm.wordscan import SPACED, Scan, mix, scan, shingles, text_slices
 
 #: Words of a shingle, and the multiset Jaccard similarity of equal paragraphs in tenths.
@@ -337,6 +337,6 @@ def without_repeated_passages(docs: DataFrame) -> DataFrame:
     A null text, a text without words and a document with a null doc_id stay as they are; rows that repeat a doc_id are one document. Columns stay, whatever their
     names. An empty table gives an empty table.
     """
-    own = {c: f"_own_{k}" for k, c in enumerate(["n_paragraphs", "n_repeated", "n_words", "n_removed", "repeated", "windows"]) if c in docs.columns}
+    own = set_aside(docs, ["n_paragraphs", "n_repeated", "n_words", "n_removed", "repeated", "windows"])
     out = remove_repeated_paragraphs(docs.withColumnsRenamed(own)).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     return out.select(*(F.col(f"`{own.get(c, c).replace('`', '``')}`").alias(c) for c in docs.columns))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sievework.llm.wordscan import text_slices
 from sievework.storage import broadcast_if_small, cut, drop_paths, fresh_path, shared_dir
 
-__all__ = ["broadcast_if_small", "cut", "documents", "drop_paths", "fresh_path", "in_batches", "row_slices", "shared_dir", "table", "unused_names", "with_columns"]
+__all__ = ["broadcast_if_small", "cut", "documents", "drop_paths", "fresh_path", "in_batches", "row_slices", "set_aside", "shared_dir", "table", "unused_names", "with_columns"]
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -30,8 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def in_batches(df: DataFrame, run: Callable[[Batches], Batches], schema: str) -> DataFrame:
     """``df.mapInArrow`` with batches of bounded bytes, whatever the rows hold; the worker gives its Arrow memory back at the end.
 
-    The bound is a setting of the session that Spark reads when the result is computed, so it stays set.
+    The bound is a setting of the session that Spark reads when the result is computed, so it stays set. Columns whose names have dots or backticks, which
+    mapInArrow does not take, bear others meanwhile.
     """
+    odd = [c for c in df.columns if "`" in c or "." in c]
+    plain = dict(zip(odd, unused_names(df, *(f"odd{k}" for k in range(len(odd)))), strict=True))
+    if odd:
+        for c, p in plain.items():
+            schema = schema.replace(f"`{c.replace('`', '``')}` ", f"`{p}` ")
+        return in_batches(df.withColumnsRenamed(plain), run, schema).withColumnsRenamed({p: c for c, p in plain.items()})
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def task(batches: Batches) -> Batches:
@@ -55,6 +62,12 @@ def with_columns(df: DataFrame, more: str) -> str:
     return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema), more])
 
 
+def set_aside(df: DataFrame, made: list[str]) -> dict[str, str]:
+    """Other names for those columns of ``df`` that an operator would replace."""
+    have = [c for c in made if c in df.columns]
+    return dict(zip(have, unused_names(df, *(f"own{k}" for k in range(len(have)))), strict=True))
+
+
 def unused_names(df: DataFrame, *names: str) -> list[str]:
     """Names for columns of an operator's own that ``df`` has not, in any case of letters."""
     have = {c.lower() for c in df.columns}

@@ -36,7 +36,7 @@ def test_stages_on_odd_and_empty_tables(spark):
     long = " ".join(f"word{i % 9000}" for i in range(40_000))
     rows = [(1, None, None, None, None), (2, "", "en", None, 0), (3, " \n\t ", None, "s", 3), (None, "some words in a row here", "en", "s", 1), (4, "same text of six words here", "en", "s", 1), (4, "same text of six words here", "en", "s", 1), (4, "another text of the same id", "de", "s", 1), (5, long, "en", "s", 1), (6, "x", "en", "t", 1)]
     odd = spark.createDataFrame(rows, SCHEMA)
-    for n in ("n_words", "n_removed", "score", "items", "repeated", "_own_0", "a`b"):
+    for n in ("n_words", "n_removed", "score", "items", "repeated", "_own_0", "a`b", "c.d"):
         odd = odd.withColumn(n, F.lit("own"))
     for table in (odd, odd.limit(0)):
         docs, before = table, table.count()
