@@ -24,9 +24,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     labels = cut(e.select(F.col("x").alias("node"), F.col("x").alias("label")).limit(0), "labels")
     for turn in range(max_rounds):
         if e.limit(1).count() == 0:
-            release(spark)
             least = labels.groupBy("label").agg(F.min("node").alias("least"))
-            return labels.join(least, "label").select("node", F.col("least").alias("label"))
+            named = cut(labels.join(least, "label").select("node", F.col("least").alias("label")), "labels")
+            drop_paths(spark, e, labels)
+            release(spark)
+            return named
         near = e.select(F.col("y").alias("node"), F.col("x").alias("near")).union(e.select("x", "y"))
         rank = lambda c: F.xxhash64(F.col(c), F.lit(turn))  # noqa: B023, E731
         first = near.withColumn("h", rank("near")).groupBy("node").agg(F.min("h").alias("h"), F.min_by("near", "h").alias("near"))
