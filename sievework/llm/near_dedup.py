@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.near_join import shared_buckets, similarity_classes
-from sievework.llm.session import Batches, broadcast_if_small, cut, documents, in_batches
+from sievework.llm.session import Batches, broadcast_if_small, cut, documents, drop_paths, in_batches
 from sievework.llm.wordscan import SPACED, mix, scan, shingles, text_slices
 
 #: Words of a shingle.
@@ -184,6 +184,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         return found.where(F.size("elements") > 0).dropDuplicates(["node"]).join(own, "node")
 
     classes = similarity_classes(shared, details_of, TENTHS, AGREE)
+    drop_paths(docs.sparkSession, shared)
     named = nodes.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
     named = cut(named.join(sizes, "label").select("node", "class_id", "class_size"), "classes")

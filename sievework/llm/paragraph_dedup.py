@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.near_join import shared_buckets, similarity_classes
-from sievework.llm.session import Batches, broadcast_if_small, cut, documents, in_batches, set_aside, with_columns
+from sievework.llm.session import Batches, broadcast_if_small, cut, documents, drop_paths, in_batches, set_aside, with_columns
 from sievework.llm.wordscan import SPACED, Scan, mix, scan, shingles, text_slices
 
 #: Words of a shingle, and the multiset Jaccard similarity of equal paragraphs in tenths.
@@ -266,11 +266,13 @@ def _without(data: np.ndarray, offsets: np.ndarray, s: Scan, hit: np.ndarray, te
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, windows): for each document the hashes of its windows of WINDOW words that a document of lesser id has too."""
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    anchors = cut(in_batches(texts, _anchors, "doc_id long, anchors array<long>"), "anchors").select("doc_id", F.explode("anchors").alias("anchor"))
+    listed = cut(in_batches(texts, _anchors, "doc_id long, anchors array<long>"), "anchors")
+    anchors = listed.select("doc_id", F.explode("anchors").alias("anchor"))
     several = lambda found, key: found.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     shared = cut(several(anchors, "anchor").select("anchor"), "shared_anchors")
     lists = cut(anchors.join(broadcast_if_small(shared), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "anchor_lists")
     met = cut(in_batches(texts.join(lists, "doc_id"), _shared_windows, "doc_id long, windows array<long>"), "windows")
+    drop_paths(docs.sparkSession, listed, shared, lists)
     rows = met.select("doc_id", F.explode("windows").alias("window"))
     firsts = cut(several(rows, "window").select("window", "first"), "first_windows")
     return rows.join(broadcast_if_small(firsts), "window").where("first < doc_id").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
@@ -285,7 +287,8 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     copies = cut(units.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("node", "first"), "copies")
 
     entries = in_batches(texts.select("text"), _buckets, "bucket long, node long")
-    shared = cut(entries.join(broadcast_if_small(cut(shared_buckets(entries), "buckets")), "bucket").distinct(), "entries")
+    buckets = cut(shared_buckets(entries), "buckets")
+    shared = cut(entries.join(broadcast_if_small(buckets), "bucket").distinct(), "entries")
 
     def details_of(nodes: DataFrame) -> DataFrame:
         nodes = broadcast_if_small(cut(nodes, "nodes"))
@@ -297,8 +300,9 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     # the first document of a class: of copies it is known, of others it is looked up
     firsts = units.join(broadcast_if_small(near), "node").groupBy("label").agg(F.min("doc_id").alias("first"))
     known = cut(near.join(firsts, "label").select("node", "first"), "known")
-    every = copies.join(known, "node", "left_anti").union(known)
-    return units.join(broadcast_if_small(cut(every, "every")), "node").where("first < doc_id").groupBy("doc_id").agg(F.collect_set("node").alias("repeated"))
+    every = cut(copies.join(known, "node", "left_anti").union(known), "every")
+    drop_paths(spark, copies, buckets, shared, near, known)
+    return units.join(broadcast_if_small(every), "node").where("first < doc_id").groupBy("doc_id").agg(F.collect_set("node").alias("repeated"))
 
 
 def remove_repeated_paragraphs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
