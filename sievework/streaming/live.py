@@ -15,15 +15,22 @@ def windowed_counts(events: DataFrame, time: str = "ts", late: str = "1 day", wi
     return d.groupBy(F.window("_t", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
-def fold_batches(events: DataFrame, fold: Callable[[DataFrame], DataFrame], log_path: str, out_path: str, checkpoint: str) -> StreamingQuery:
+def fold_batches(
+    events: DataFrame, fold: Callable[[DataFrame], DataFrame], log_path: str, out_path: str, checkpoint: str, combine: Callable[[DataFrame], DataFrame] | None = None
+) -> StreamingQuery:
     """Append each micro-batch to the log and write the fold of the whole log; a batch that is run again changes nothing.
 
-    A batch's rows lie in a folder named after it, so writing it again replaces it.
+    A batch's rows lie in a folder named after it, so writing it again replaces it. With ``combine`` each batch is folded by itself, its fold is kept beside the log, and only the
+    folds are combined, so a batch costs its own rows and a small row for each earlier one; without it the whole log is folded each time.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        whole = batch.sparkSession.read.parquet(log_path).drop("batch")
-        fold(whole).write.mode("overwrite").parquet(out_path)
+        spark = batch.sparkSession
+        if combine is None:
+            fold(spark.read.parquet(log_path).drop("batch")).write.mode("overwrite").parquet(out_path)
+            return
+        fold(batch).write.mode("overwrite").parquet(f"{log_path}-folds/batch={number}")
+        combine(spark.read.parquet(f"{log_path}-folds").drop("batch")).write.mode("overwrite").parquet(out_path)
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

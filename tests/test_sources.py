@@ -179,6 +179,15 @@ def test_stream_folds_like_batch(spark, tmp_path):
     q = fold_batches(stream, fold, str(tmp_path / "log"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(fold(spark.read.parquet(str(src))).collect())
+    src2 = tmp_path / "src2"
+    for k in range(3):
+        events.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(str(src2))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(src2))
+    total = lambda d: d.groupBy("event_type").agg(F.sum("n").alias("n"))
+    q = fold_batches(stream, fold, str(tmp_path / "log2"), str(tmp_path / "out2"), str(tmp_path / "cp2"), total)
+    q.awaitTermination(60)
+    assert len(list((tmp_path / "log2-folds").glob("batch=*"))) == 3
+    assert sorted(spark.read.parquet(str(tmp_path / "out2")).collect()) == sorted(fold(events).collect())
     q = windowed_counts(spark.readStream.schema(events.schema).parquet(str(src))).writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("hours").agg(F.sum("n")).first()[0] == 300
