@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from sievework.llm.session import cut, drop_paths
 from sievework.operators.components import connected_components
 
-#: Nodes of a bucket up to which those in different components are compared pair by pair, so a node meets fewer than this many in
-#: it; the nodes of larger buckets are compared where they share rare elements.
+#: Nodes of a bucket outside its head's component up to which they are compared with all others there, pair by pair, so a node meets so many in
+#: a bucket at most; the nodes of buckets with more of them are compared where they share rare elements.
 PAIRED = 64
 
 
@@ -86,8 +86,8 @@ def similarity_classes(shared: DataFrame, details_of: Callable[[DataFrame], Data
 
     The head of a bucket is its node that shares buckets with most others, as the text does that others are
     copies of. Every node is compared with the heads of its buckets, so a bucket of n nodes gives n pairs. Where its
-    nodes then belong to several components, more is to be looked at: in a bucket of PAIRED nodes or fewer, those outside the
-    head's component are compared with the nodes of other components, each pair in the first bucket of both. In a larger one nodes
+    nodes then belong to several components, more is to be looked at: in a bucket with PAIRED nodes or fewer outside the
+    head's component, these are compared with the nodes of other components, each pair in the first bucket of both. In others nodes
     meet where they share a rare element (see rare_elements): where many share one first with a head, then, where several components are
     left, with each other. A thousand texts that share a template but are not similar share none, so they make no pairs. No link between nodes that share a bucket is lost.
     """
@@ -103,14 +103,13 @@ def similarity_classes(shared: DataFrame, details_of: Callable[[DataFrame], Data
 
     place = lambda g: g.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = cut(place(shared.join(heads, "grp")).select("grp", "head", "node", "label"), "placed")
-    mixed = cut(_mixed(placed), "mixed")
+    head_label = placed.where("node = head").select("grp", F.col("label").alias("head_label"))
+    mixed = cut(placed.join(head_label, "grp").where("label != head_label").groupBy("grp", "head_label").agg(F.count("*").alias("n")), "mixed")
     crowded = cut(placed.join(mixed.where(F.col("n") > PAIRED), "grp", "left_semi").select("node").distinct(), "crowded")
 
     few = mixed.where(F.col("n") <= PAIRED)
     if _some(few):
-        own = placed.join(few, "grp")
-        head_label = own.where("node = head").select("grp", F.col("label").alias("head_label"))
-        open_ = own.join(head_label, "grp").join(packed, "node").select("grp", "node", "label", "head_label", F.col("own").alias("b"))
+        open_ = placed.join(few, "grp").join(packed, "node").select("grp", "node", "label", "head_label", F.col("own").alias("b"))
         outside = open_.where("label != head_label").select("grp", F.col("node").alias("o"), F.col("label").alias("ol"), F.col("b").alias("a"))
         # two nodes outside meet once, an outside one and one of the head's component once
         apart = (F.col("ol") != F.col("label")) & ((F.col("label") == F.col("head_label")) | (F.col("o") < F.col("node")))
