@@ -12,7 +12,7 @@ from sievework.operators.components import connected_components
 
 #: Nodes of a bucket outside its head's component up to which they are compared with all others there, pair by pair, so a node meets so many in
 #: a bucket at most; the nodes of buckets with more of them are compared where they share rare elements.
-PAIRED = 64
+PAIRED = 1000
 
 
 def shared_buckets(entries: DataFrame) -> DataFrame:
