@@ -170,7 +170,7 @@ def scan_licenses(docs: DataFrame, anchored: bool = True) -> DataFrame:
     """
     made = ["n_matches", "licenses", "best_license", "best_dice"]
     d = docs.drop(*made)
-    units, grams, hits = unused_names(d, "units", "grams", "hits")
+    low, units, grams, hits = unused_names(d, "low", "units", "grams", "hits")
     text = F.coalesce("text", F.lit(""))
     num, den = DICE
 
@@ -183,7 +183,8 @@ def scan_licenses(docs: DataFrame, anchored: bool = True) -> DataFrame:
     split = lambda t: F.split(F.regexp_replace(t, "([.!?;])[ \t]+", "$1\n"), "\n")
     blocks = F.transform(F.split(text, _BLOCK_END), lambda b: F.translate(b, "\n", " "))
     all_ = F.concat(F.array(text), F.split(text, "\n"), split(text), blocks, F.flatten(F.transform(blocks, split)))
-    d = d.withColumn(units, F.when(has_anchor(F.lower(text)), F.array_distinct(F.filter(all_, lambda u: has_anchor(F.lower(u))))))
+    d = d.withColumn(low, F.lower(text))  # a column of its own, so that it is made once and not for each word
+    d = d.withColumn(units, F.when(has_anchor(F.col(low)), F.array_distinct(F.filter(all_, lambda u: has_anchor(F.lower(u))))))
     d = d.withColumn(grams, F.filter(F.transform(units, _bigrams), lambda g: F.size(g) > 0))
     templates = F.array(*(F.struct(F.lit(name).alias("l"), F.array(*map(F.lit, b)).alias("g")) for name, b in template_bigrams()))
 
@@ -203,7 +204,7 @@ def scan_licenses(docs: DataFrame, anchored: bool = True) -> DataFrame:
             "best_license": first["l"],
             "best_dice": F.round(F.coalesce(-first["d"], F.lit(0.0)), 6),
         }
-    ).drop(units, grams, hits)
+    ).drop(low, units, grams, hits)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
