@@ -135,7 +135,7 @@ def scan(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Scan:
     return Scan(data, offsets, starts, ends, doc, len(offsets) - 1)
 
 
-def _table(separators: str | bytes | None, keep: bytes | None = None) -> np.ndarray:
+def byte_table(separators: str | bytes | None, keep: bytes | None = None) -> np.ndarray:
     t = np.arange(256, dtype=np.uint8)
     t[ord("A") : ord("Z") + 1] += 32
     if keep is not None:
@@ -147,10 +147,10 @@ def _table(separators: str | bytes | None, keep: bytes | None = None) -> np.ndar
 
 
 #: Words ``[^\x20\x09-\x0D]+`` with A-Z in lower case; byte 0 is a word's byte like others, so it is not mapped to 0 here.
-SPACED = _table(b" \t\n\x0b\x0c\r")
+SPACED = byte_table(b" \t\n\x0b\x0c\r")
 SPACED[0] = 1
 #: Words of letters, digits and non-ASCII bytes, A-Z in lower case.
-ALNUM = _table(None, bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
+ALNUM = byte_table(None, bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 
 
 def distinct(s: Scan, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
