@@ -14,6 +14,7 @@ from sievework.llm.quality_rules import SQL_OP3, op3_quality_rules
 from sievework.llm.source_divergence import SQL_OP11, op11_source_divergence
 from sievework.llm.token_counts import op10_token_counts
 from sievework.llm.token_tables import op7_token_tables
+from sievework.llm.toxicity import op12_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
     "op11_source_divergence": op11_source_divergence,
+    "op12_toxicity": op12_toxicity,
     "op13_collocations": op13_collocations,
 }
 
