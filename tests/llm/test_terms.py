@@ -169,7 +169,7 @@ def test_units_and_sentences():
     assert set(units("you i d i o t now")) == {(0, "you"), (0, "i"), (0, "d"), (0, "o"), (0, "t"), (0, "idiot"), (0, "now")}
     assert units("abcdefghijklmnopqrstuvwxyz") == [(0, "abcdefghijklmnop"), (0, "ijklmnopqrstuvwx"), (0, "qrstuvwxyz")]
     assert units("") == units(" .,! ") == []
-    assert [s for s, _ in units(" ".join(f"w{i}" for i in range(100)))] == sorted(i // toxicity.SENTENCE for i in range(100))
+    assert [s for s, _ in units(" ".join(f"word{i}" for i in range(100)))] == sorted(i // toxicity.SENTENCE for i in range(100))
 
 
 @pytest.fixture(scope="module")
