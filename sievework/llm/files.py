@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow.fs as pafs
 
 
@@ -47,3 +48,11 @@ def read_whole(uri: str) -> bytes:
     fs, path = opened(uri)
     with fs.open_input_file(path) as f:
         return f.read()
+
+
+def mapped(uri: str, dtype: str) -> np.ndarray:
+    """A flat file as an array: mapped, and so shared by the tasks of a machine, where the folder is mounted; else read."""
+    fs, path = opened(uri)
+    if isinstance(fs, pafs.LocalFileSystem) and fs.get_file_info(path).size:
+        return np.memmap(path, dtype=dtype, mode="r")
+    return np.frombuffer(read_whole(uri), dtype=dtype)

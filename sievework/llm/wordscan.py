@@ -43,12 +43,19 @@ class Scan:
     end: np.ndarray
     doc: np.ndarray
     n_docs: int
+    lanes: np.ndarray | None = None
 
     def _lanes(self) -> np.ndarray:
         """The eight bytes from each place on, as an integer; past the end they are 0."""
-        padded = np.zeros(len(self.data) + 8, dtype=np.uint8)
-        padded[: len(self.data)] = self.data
-        return np.ndarray((len(self.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        if self.lanes is None:
+            padded = np.zeros(len(self.data) + 8, dtype=np.uint8)
+            padded[: len(self.data)] = self.data
+            self.lanes = np.ndarray((len(self.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        return self.lanes
+
+    def of(self, words: np.ndarray) -> Scan:
+        """The words ``words`` (indexes) of this scan, in that order."""
+        return Scan(self.data, self.offsets, self.start[words], self.end[words], self.doc[words], self.n_docs, self.lanes)
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes. Of words of one length up to eight bytes no two have the same."""

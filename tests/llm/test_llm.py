@@ -452,7 +452,9 @@ def test_automaton_by_brute_force():
         text = " ".join(random.choice(letters + "Z") for _ in range(60))
         data = np.frombuffer(text.encode(), dtype=np.uint8)
         s = wordscan.scan(data, np.array([0, len(data)]), wordscan.ALNUM)
-        got = decontaminate.ItemAutomaton(items, window).match(s, s.hashes()).get(0, decontaminate.Found([], set(), 0))
+        automaton, out = decontaminate.ItemAutomaton(items, window), {}
+        automaton.match(automaton.places(s, s.hashes()), s.doc, out)
+        got = out.get(0, decontaminate.Found([], set(), 0))
         n, hits, want = brute_hits(text, items, window)
         assert (sum(b - a for a, b in got.spans), got.items) == (hits, want)
 
@@ -464,8 +466,9 @@ def test_decontamination(spark, docs, odd, none, monkeypatch):
     assert clean.columns == docs.columns
     one = sorted(map(tuple, decontaminate.contamination(docs, bench).select("doc_id", "n_hit", "items").collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 300)
-    items, files = decontaminate.automata(bench)
-    assert items is None and len(files) > 5
+    kind, given = decontaminate.matcher_of(bench)
+    matcher = kind(*given)
+    assert kind is decontaminate.Several and len(set(np.concatenate([b for _, b in matcher.parts]).tolist())) > 5
     assert sorted(map(tuple, decontaminate.contamination(docs, bench).select("doc_id", "n_hit", "items").collect())) == one
     key = lambda d: sorted(map(repr, d.collect()))
     assert key(decontaminate.decontaminated(docs, bench)) == key(clean)
@@ -480,6 +483,46 @@ def test_decontamination(spark, docs, odd, none, monkeypatch):
     assert (got[1]["n_hit"], got[1]["items"], got[1]["cleaned"]) == (5, ["1"], ". two")
 
 
+def layers_by_hand(words, items, window):
+    """What is left of words when all hits go, again and again."""
+    runs = {tuple(x[i : i + min(window, len(x))]) for x in items if x for i in range(max(1, len(x) - window + 1))}
+    while True:
+        hit = {p for r in runs for i in range(len(words) - len(r) + 1) if tuple(words[i : i + len(r)]) == r for p in range(i, i + len(r))}
+        if not hit:
+            return words
+        words = [w for i, w in enumerate(words) if i not in hit]
+
+
+def cleaned_text(matcher, text):
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    offsets = np.array([0, len(data)])
+    s = wordscan.scan(data, offsets, wordscan.ALNUM)
+    found = matcher.finder(s, s.hashes())(np.arange(len(s.start)), s.doc)
+    return decontaminate.cleaned(matcher, s, s.hashes(), data, offsets, found).get(0, text.encode()).decode()
+
+
+def test_nested_hits_go_layer_by_layer(spark, monkeypatch):
+    random.seed(6)
+    for r in range(200):
+        items = [[random.choice("abc") for _ in range(random.randint(2, 13))] for _ in range(3)]
+        words = [random.choice("abcd") for _ in range(5)]
+        for _ in range(random.randint(0, 12)):  # put an item, or a part of it, into the middle of what is there
+            i, x = random.randint(0, len(words)), random.choice(items)
+            words[i:i] = x[random.randint(0, 1) :]
+        matcher = decontaminate.Only([(str(i), " ".join(x)) for i, x in enumerate(items)])
+        assert cleaned_text(matcher, ". ".join(words)).replace(".", " ").split() == layers_by_hand(words, items, decontaminate.WINDOW), r
+
+    item = [f"w{i}" for i in range(10)]
+    nested = item[:5] * 1200 + item[5:] * 1200
+    bench = spark.createDataFrame([(1, " ".join(item)), *((k, " ".join(f"other{k}x{i}" for i in range(30))) for k in range(2, 40))], "item_id long, text string")
+    rows = [(1, "begin. " + " ".join(nested) + " end"), (2, " ".join(item[:5] * 20_000 + item[5:] * 20_000)), (3, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (200_000, 300):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+        got = by_id(decontaminate.contamination(docs, bench, clean=True))
+        assert (got[1]["cleaned"], got[2]["cleaned"], got[3]["cleaned"]) == ("begin. end", "", None) and got[1]["n_hit"] == 10
+
+
 # -- 6, 7 and 10 tokens
 
 
