@@ -11,14 +11,15 @@ from sievework.functions.text import cost_of, token_count
 
 
 def current_prices(prices: DataFrame, today: str) -> DataFrame:
-    """The price in force of each provider and model on a day (ISO): the latest of those begun, then those without a date, then those to come.
+    """The price in force of each provider and model on a day (ISO): the latest of those begun, then those without a date, then the first line of those to come.
 
     Of equal ones the first line counts. Prices that are null, negative or not numbers are no prices.
     """
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c)) & (F.col(c) >= 0)
     d = prices.where(ok("price_in") & ok("price_out")).withColumns({"provider": F.lower(F.trim("provider")), "model": F.lower(F.trim("model"))})
-    begun = F.coalesce("valid_from", F.lit("")) <= today
-    d = d.withColumn("_key", F.struct(begun.cast("int"), F.coalesce("valid_from", F.lit("")), -F.col("line")))
+    since = F.coalesce("valid_from", F.lit(""))
+    begun = since <= today
+    d = d.withColumn("_key", F.struct(begun.cast("int"), F.when(begun, since).otherwise(""), -F.col("line")))
     best = d.groupBy("provider", "model").agg(F.max_by(F.struct("price_in", "price_out", "valid_from"), "_key").alias("p"))
     return best.select("provider", "model", "p.*")
 

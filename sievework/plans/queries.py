@@ -14,6 +14,7 @@ from sievework.operators import costs as CO
 from sievework.operators import dedup as DD
 from sievework.operators import flow as FL
 from sievework.operators import marking as MK
+from sievework.operators import pages as PG
 from sievework.operators import results as RS
 from sievework.operators import screening as SC
 from sievework.plans import adapters as A
@@ -460,15 +461,16 @@ def _(spark, d):
     return SC.link_fulltexts(full, r)
 
 
-@query("current_prices", """WITH p AS (SELECT 'P' || n_regionkey AS provider, 'm' || n_nationkey % 3 AS model, n_nationkey / 10.0::DOUBLE AS price_in, CASE WHEN n_nationkey % 7 = 0 THEN -1.0::DOUBLE ELSE n_nationkey / 5.0::DOUBLE END AS price_out,
-    CASE n_nationkey % 4 WHEN 0 THEN '2024-01-01' WHEN 1 THEN '2024-06-01' WHEN 2 THEN '2030-01-01' END AS valid_from, n_nationkey AS line FROM nation)
-  SELECT lower(provider) AS provider, model, price_in, price_out, valid_from FROM p WHERE price_out >= 0 QUALIFY row_number() OVER (PARTITION BY provider, model ORDER BY coalesce(valid_from, '') <= '2025-01-01' DESC, coalesce(valid_from, '') DESC, line) = 1""")
+@query("current_prices", """WITH p AS (SELECT 'P' || c_nationkey AS provider, 'm' || c_custkey % 7 AS model, c_custkey / 10.0::DOUBLE AS price_in, CASE WHEN c_custkey % 5 = 0 THEN -1.0::DOUBLE ELSE c_custkey / 5.0::DOUBLE END AS price_out,
+    CASE WHEN c_nationkey % 4 = 2 THEN CASE c_custkey % 3 WHEN 0 THEN '2031-01-01' WHEN 1 THEN '2030-01-01' ELSE '2030-06-01' END ELSE CASE c_custkey % 4 WHEN 0 THEN '2024-01-01' WHEN 1 THEN '2024-06-01' WHEN 2 THEN '2030-01-01' END END AS valid_from, c_custkey AS line FROM customer)
+  SELECT lower(provider) AS provider, model, price_in, price_out, valid_from FROM p WHERE price_out >= 0
+  QUALIFY row_number() OVER (PARTITION BY provider, model ORDER BY coalesce(valid_from, '') <= '2025-01-01' DESC, CASE WHEN coalesce(valid_from, '') <= '2025-01-01' THEN coalesce(valid_from, '') ELSE '' END DESC, line) = 1""")
 def _(spark, d):
-    n = A.read(spark, d, "nation")
-    k = F.col("n_nationkey")
-    p = n.select(
-        F.concat(F.lit("P"), F.col("n_regionkey").cast("string")).alias("provider"), F.concat(F.lit("m"), (k % 3).cast("string")).alias("model"), (k / F.lit(10.0)).alias("price_in"),
-        F.when(k % 7 == 0, -1.0).otherwise(k / F.lit(5.0)).alias("price_out"), F.when(k % 4 == 0, "2024-01-01").when(k % 4 == 1, "2024-06-01").when(k % 4 == 2, "2030-01-01").alias("valid_from"), k.alias("line"),
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    to_come = F.when(k % 3 == 0, "2031-01-01").when(k % 3 == 1, "2030-01-01").otherwise("2030-06-01")
+    p = A.read(spark, d, "customer").select(
+        F.concat(F.lit("P"), n.cast("string")).alias("provider"), F.concat(F.lit("m"), (k % 7).cast("string")).alias("model"), (k / F.lit(10.0)).alias("price_in"), F.when(k % 5 == 0, -1.0).otherwise(k / F.lit(5.0)).alias("price_out"),
+        F.when(n % 4 == 2, to_come).otherwise(F.when(k % 4 == 0, "2024-01-01").when(k % 4 == 1, "2024-06-01").when(k % 4 == 2, "2030-01-01")).alias("valid_from"), k.alias("line"),
     )
     return CO.current_prices(p, "2025-01-01")
 
@@ -786,3 +788,22 @@ def _(spark, d):
 @query("dedup_title_authors", _dedup_sql(_SAME.format("kt") + " AND a.ka = b.ka", "(-best)::BIGINT * 1000000000 + k.n", "CASE WHEN x.kd <> '' AND x.kd = y.kd THEN 'doi' ELSE 'title_authors' END"))
 def _(spark, d):
     return DD.mark_duplicates(A.records(spark, d), strategy="title_authors").select("study_uid", "duplicate_of", "dedup_method")
+
+
+@query("clean_pages", r"""WITH p AS (
+    SELECT 'set/doc_' || page_id // 6 || '.pdf' AS doc, page_id AS page, 'A running head' || chr(10) || replace(replace(regexp_replace(html, '<[^>]*>', chr(10), 'g'), 'tion', 'ti-' || chr(10) || 'on'), ' fi', ' ﬁ') || chr(10) || CASE WHEN page_id % 6 = 4 THEN 'References' || chr(10) ELSE '' END || 'Page ' || page_id % 6 || ' / 6' AS text FROM pages),
+  ls AS (SELECT doc, page, text, [trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) FOR x IN string_split(text, chr(10))] AS lines FROM p),
+  n AS (SELECT doc, count(*) AS n_pages FROM p GROUP BY doc),
+  v AS (SELECT doc, line FROM (SELECT doc, unnest(list_distinct(lines)) AS line FROM ls) JOIN n USING (doc) WHERE line <> '' GROUP BY doc, line, n_pages HAVING n_pages > 2 AND count(*) * 2 > n_pages),
+  h AS (SELECT doc, list(line) AS heads FROM v GROUP BY doc),
+  k AS (SELECT doc, n_pages, page, CASE WHEN n_pages > 2 THEN array_to_string([x FOR x IN lines IF NOT list_contains(coalesce(heads, []), x) AND NOT regexp_matches(x, '^\s*(?:[Pp]age\s+)?\d{1,4}(?:\s*/\s*\d{1,4})?\s*$')], chr(10)) ELSE text END AS text FROM ls JOIN n USING (doc) LEFT JOIN h USING (doc)),
+  j AS (SELECT doc, n_pages, regexp_replace(regexp_replace(replace(string_agg(text, chr(10) ORDER BY page), 'ﬁ', 'fi'), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM k GROUP BY doc, n_pages),
+  c AS (SELECT doc, n_pages, text, regexp_extract(text, '(?ims)\A(.*?)^\s*(references|bibliography|literatur|literaturverzeichnis)\s*$', 1) AS body FROM j),
+  t AS (SELECT doc, n_pages, trim(CASE WHEN length(body) > 500 THEN body ELSE text END, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM c)
+  SELECT doc, n_pages, coalesce([x FOR x IN [trim(y, ' ' || chr(9) || chr(13)) FOR y IN string_split(text, chr(10))] IF length(x) >= 8 AND NOT regexp_matches(x, '(?i)^\s*doi\s*:?\s*10\.')][1], '') AS title, text FROM t""")
+def _(spark, d):
+    k = F.col("page_id")
+    text = F.replace(F.replace(F.regexp_replace("html", "<[^>]*>", "\n"), F.lit("tion"), F.lit("ti-\non")), F.lit(" fi"), F.lit(" ﬁ"))
+    number = F.concat(F.when(k % 6 == 4, "References\n").otherwise(""), F.lit("Page "), (k % 6).cast("string"), F.lit(" / 6"))
+    pages = A.read(spark, d, "pages").select(F.concat(F.lit("set/doc_"), F.floor(k / 6).cast("string"), F.lit(".pdf")).alias("doc"), k.alias("page"), F.concat_ws("\n", F.lit("A running head"), text, number).alias("text"))
+    return PG.clean_pages(pages)

@@ -206,3 +206,26 @@ def test_large_blocks_and_repeated_titles(spark):
     d = DD.keyed(r)
     assert DD.fuzzy_edges(d).where("b >= 11").count() == 0  # the block is too large
     assert {(x["b"], x["a"]) for x in DD.fuzzy_edges(d, max_block=None).where("a = 312").collect()} == {(i, 312) for i in range(11, 312)}
+
+
+def test_titles_of_a_large_block_are_all_compared(spark):
+    """By rare letters, against all pairs of 600 titles that begin alike."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    seeds = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(8, 30))) for _ in range(120)]
+    titles = set()
+    while len(titles) < 600:
+        t = list(rng.choice(seeds))
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(t))
+            t[i : i + rng.randint(0, 1)] = rng.choice(["", "x", "a", "é"])
+        titles.add("the same beginning " + "".join(t))
+    titles = sorted(titles)
+    want = {(a, b) for i, a in enumerate(titles) for b in titles[i + 1 :] if 2 * min(len(a), len(b)) >= 0.94 * (len(a) + len(b)) and SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.94}
+    placed = spark.createDataFrame([("s", t) for t in titles], "block string, title string")
+    for large in ([("s",)], []):
+        got = {tuple(r) for r in DD.alike_titles(placed, spark.createDataFrame(large, "block string"), 0.94).collect()}
+        assert got == want and len(want) > 100
+    assert DD.alike_titles(placed.limit(0), placed.select("block").limit(0), 0.94).count() == 0
