@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sievework.functions.text import clean_text, coerce_year, normalize_doi, normalize_list, strip
 from sievework.schemas import BIBTEX_TYPES, LISTS, RECORD_COLUMNS, RIS_TYPES, TEXTS
@@ -96,8 +97,8 @@ def new_files(files: DataFrame, log: DataFrame, force: bool = False) -> DataFram
 
 def _tagged_lines(files: DataFrame, tag: str) -> DataFrame:
     """Lines of files of tagged lines that are not blank: i, tag (null for a line without one), value, blanks (blank lines so far), and the same of the last tagged line before."""
-    d = files.select("source_file", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    before = Window.partitionBy("source_file").orderBy("i")
+    d = files.select("source_file", "start", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    before = Window.partitionBy("source_file", "start").orderBy("i")
     has = F.col("line").rlike(tag)
     d = d.withColumns({"tag": F.when(has, F.regexp_extract("line", tag, 1)), "value": F.when(has, strip(F.regexp_extract("line", tag, 2))).otherwise(strip(F.col("line"))), "blanks": F.sum(F.when(strip(F.col("line")) == "", 1).otherwise(0)).over(before)})
     earlier = before.rowsBetween(Window.unboundedPreceding, -1)
@@ -105,19 +106,34 @@ def _tagged_lines(files: DataFrame, tag: str) -> DataFrame:
     return d.withColumns({"last_tag": last("tag"), "last_blanks": last("blanks")}).where((F.col("value") != "") | F.col("tag").isNotNull())
 
 
-def _tagged_records(lines: DataFrame, start: Column, inside: Column) -> DataFrame:
-    """(source_file, source_row, fields map<tag, values>, first, last): a record begins at each line that is a ``start``; lines without a tag go on with the one before where ``inside``."""
-    w = Window.partitionBy("source_file").orderBy("i")
+def _tagged_records(lines: DataFrame, begins: Column, inside: Column) -> DataFrame:
+    """(source_file, start, source_row, fields map<tag, values>, first, last): a record begins at each line that ``begins`` one; lines without a tag go on with the one before where ``inside``."""
+    w = Window.partitionBy("source_file", "start").orderBy("i")
     d = lines.where(F.col("tag").isNotNull() | inside)
-    d = d.withColumns({"source_row": F.sum(F.when(start, 1).otherwise(0)).over(w), "field": F.sum(F.when(F.col("tag").isNotNull(), 1).otherwise(0)).over(w)}).where("source_row > 0")
+    d = d.withColumns({"source_row": F.sum(F.when(begins, 1).otherwise(0)).over(w), "field": F.sum(F.when(F.col("tag").isNotNull(), 1).otherwise(0)).over(w)}).where("source_row > 0")
     joined = strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]), " "))
-    d = d.groupBy("source_file", "source_row", "field").agg(F.max("tag").alias("tag"), joined.alias("value"))
-    ends = d.groupBy("source_file", "source_row").agg(F.min_by("tag", "field").alias("first"), F.max_by("tag", "field").alias("last"))
-    by_tag = d.where("value != ''").groupBy("source_file", "source_row", "tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("field", "value"))), lambda x: x["value"]).alias("v"))
-    maps = by_tag.groupBy("source_file", "source_row").agg(F.map_from_entries(F.collect_list(F.struct("tag", "v"))).alias("fields"))
-    return ends.join(maps, ["source_file", "source_row"], "left").withColumn("fields", F.coalesce("fields", F.create_map().cast("map<string,array<string>>")))
+    d = d.groupBy("source_file", "start", "source_row", "field").agg(F.max("tag").alias("tag"), joined.alias("value"))
+    ends = d.groupBy("source_file", "start", "source_row").agg(F.min_by("tag", "field").alias("first"), F.max_by("tag", "field").alias("last"))
+    by_tag = d.where("value != ''").groupBy("source_file", "start", "source_row", "tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("field", "value"))), lambda x: x["value"]).alias("v"))
+    maps = by_tag.groupBy("source_file", "start", "source_row").agg(F.map_from_entries(F.collect_list(F.struct("tag", "v"))).alias("fields"))
+    return ends.join(maps, ["source_file", "start", "source_row"], "left").withColumn("fields", F.coalesce("fields", F.create_map().cast("map<string,array<string>>")))
 
 
+def _parts(files: DataFrame, fmt: str, start: str | None = None) -> DataFrame:
+    """The texts of a format, whole files or rows of records (see :mod:`sievework.sources.ranges`); where ``start`` is given, those of files in which it matches."""
+    d = files.where(F.col("format") == fmt).select("source_file", (F.col("start") if "start" in files.columns else F.lit(0)).alias("start"), "text")
+    if start:
+        d = d.join(d.where(F.col("text").rlike(start)).select("source_file").distinct(), "source_file", "left_semi")
+    return d
+
+
+def _numbered(d: DataFrame) -> DataFrame:
+    """``d`` with source_row as the number of the record in its file: its place in its row, and the records of the rows before."""
+    own = d.withColumn("source_row", F.row_number().over(Window.partitionBy("source_file", "start").orderBy("source_row")))
+    sizes = d.groupBy("source_file", "start").agg(F.count("*").alias("n"))
+    before = sizes.select("source_file", "start", (F.sum("n").over(Window.partitionBy("source_file").orderBy("start")) - F.col("n")).alias("before"))
+    return own.join(before, ["source_file", "start"]).withColumn("source_row", F.col("source_row") + F.col("before")).drop("start", "before")
+
 
 def _values(*tags: str) -> Column:
     """All values of some tags, in the order of the tags."""
@@ -166,11 +182,11 @@ def _types(table: dict[str, str], name: Column) -> Column:
 
 def read_ris(files: DataFrame) -> DataFrame:
     """Records of RIS texts. A record begins with TY, or with any other tag where none is open, and ends with ER; lines without a tag outside records are skipped. A file without TY has no record."""
-    ris = files.where("format = 'ris'").where(F.col("text").rlike(r"(?m)^TY\s{1,2}-"))
-    lines = _tagged_lines(ris, r"^([A-Z][A-Z0-9])\s{1,2}-\s?(.*)$")
+    lines = _tagged_lines(_parts(files, "ris", r"(?m)^TY\s{1,2}-"), r"^([A-Z][A-Z0-9])\s{1,2}-\s?(.*)$")
     none_open = F.col("last_tag").isNull() | (F.col("last_tag") == "ER")
     start = (F.col("tag") == "TY") | (F.col("tag").isNotNull() & (F.col("tag") != "ER") & none_open)
     d = _tagged_records(lines.where("tag IS NULL OR tag <> 'ER' OR NOT (last_tag IS NULL OR last_tag = 'ER')"), F.coalesce(start, F.lit(False)), ~none_open)
+    d = _numbered(d)
     ab, notes = F.array_distinct(_values("AB", "N2")), _values("N1")
     longest = F.get(F.array_sort(notes, lambda a, b: F.length(b) - F.length(a)), F.lit(0))
     from_note = (F.size(ab) == 0) & (F.coalesce(F.length(longest), F.lit(0)) > 200)
@@ -196,12 +212,11 @@ def read_ris(files: DataFrame) -> DataFrame:
 
 def read_nbib(files: DataFrame) -> DataFrame:
     """Records of MEDLINE texts. A record begins with PMID, or with a tag after a blank line, which ends one; then it counts only with a title or an abstract. A file without PMID has no record."""
-    nbib = files.where("format = 'nbib'").where(F.col("text").rlike(r"(?m)^PMID *-"))
-    lines = _tagged_lines(nbib, r"^([A-Z][A-Za-z0-9]{1,3}) {0,2}-(?: (.*))?$")
+    lines = _tagged_lines(_parts(files, "nbib", r"(?m)^PMID *-"), r"^([A-Z][A-Za-z0-9]{1,3}) {0,2}-(?: (.*))?$")
     apart = F.col("last_tag").isNull() | (F.col("blanks") > F.col("last_blanks"))
     d = _tagged_records(lines, F.coalesce((F.col("tag") == "PMID") | (F.col("tag").isNotNull() & apart), F.lit(False)), ~apart)
     d = d.where((F.col("first") == "PMID") | (F.size(_values("TI", "AB")) > 0))
-    d = d.withColumn("source_row", F.row_number().over(Window.partitionBy("source_file").orderBy("source_row")))
+    d = _numbered(d)
     ids = _values("LID", "AID")
     marked = F.transform(F.filter(ids, lambda x: x.rlike(r"(?i)\[doi\]\s*$")), lambda x: strip(F.regexp_replace(x, r"(?i)\s*\[doi\]\s*$", "")))
     doi = F.coalesce(F.get(marked, F.lit(0)), F.lit(""))
@@ -287,6 +302,17 @@ def bib_entries(text: str) -> Iterator[tuple[str, str, bool, list[tuple[str, str
             yield kind, key, end >= 0, bib_fields(body[comma + 1 :] if key or comma >= 0 and not 0 <= equals < comma else body, macros)
 
 
+@F.pandas_udf(StringType())
+def macro_entries(texts: pd.Series) -> pd.Series:
+    """The @string entries of BibTeX texts."""
+
+    def of(text: str) -> str:
+        at = [*(m.start() for m in _ENTRY.finditer(text)), len(text)]
+        return "\n".join(text[a:b] for a, b in zip(at, at[1:], strict=False) if text[a:b].lstrip().lower().startswith("@string"))
+
+    return texts.map(of)
+
+
 def people(value: str) -> list[str]:
     """Names parted by ``and`` outside braces."""
     names, depth, own = [], 0, []
@@ -306,16 +332,25 @@ def read_bibtex(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for name, text in zip(b.source_file, b.text, strict=True):
-                for k, (kind, key, whole, fields) in enumerate(bib_entries(text), 1):
+            for name, start, text, strings in zip(b.source_file, b.start, b.text, b.strings, strict=True):
+                for k, (kind, key, whole, fields) in enumerate(bib_entries(f"{strings or ''}\n{text}"), 1):
                     own: dict[str, list[str]] = {"bib_type": [kind]} | ({"bib_key": [key]} if key else {})
                     for f, v in fields:
                         if v.strip():
                             own.setdefault(f, []).extend(people(v) if f in ("author", "editor") else [v.strip()])
-                    rows.append((name, k, own, whole))
-            yield pd.DataFrame(rows, columns=["source_file", "source_row", "fields", "whole"])
-
-    d = files.where("format = 'bib'").select("source_file", "text").mapInPandas(run, "source_file string, source_row long, fields map<string,array<string>>, whole boolean")
+                    rows.append((name, start, k, own, whole))
+            yield pd.DataFrame(rows, columns=["source_file", "start", "source_row", "fields", "whole"])
+
+    parts = _parts(files, "bib")
+    if "start" in files.columns:  # macros hold in the rows behind their own too
+        named = parts.where(F.lower("text").contains("@string")).select("source_file", F.col("start").alias("at"), macro_entries("text").alias("macro"))
+        earlier = parts.select("source_file", "start").join(named, "source_file").where("at < start")
+        earlier = earlier.groupBy("source_file", "start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "macro"))), lambda x: x["macro"]), "\n").alias("strings"))
+        parts = parts.join(earlier, ["source_file", "start"], "left")
+    else:
+        parts = parts.withColumn("strings", F.lit(""))
+    d = parts.select("source_file", "start", "text", "strings").mapInPandas(run, "source_file string, start long, source_row long, fields map<string,array<string>>, whole boolean")
+    d = _numbered(d)
     unlatex = lambda c: F.regexp_replace(F.regexp_replace(c, r"\\([&%$#_])", "$1"), r"[{}]", "")
     names = lambda t: F.array_join(F.array_distinct(F.transform(_values(t), unlatex)), "; ")
     tags = {
