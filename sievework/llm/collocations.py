@@ -30,6 +30,9 @@ LISTED = 2000
 #: Bits of the table of frequent phrases: sixteen for each, and no more than this power of two (32 MB). With more phrases it says yes more often.
 MOST_BITS = 28
 
+#: Bytes of text whose runs are counted together.
+GROUP_BYTES = 2_500_000
+
 _U = np.uint64
 #: Bytes between words (0), between pieces (1) and in words (2).
 _KIND = np.full(256, 2, dtype=np.uint8)
@@ -54,7 +57,7 @@ def _held(table: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
 
 def _runs(batches: Batches, n: int, bits: int, table: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, hash, n) of the runs of ``n`` words whose parts are in the table; of single words all, and the number of words without a phrase."""
-    for rows, data, s in scans(batches, _PIECES):
+    for rows, data, s in scans(batches, _PIECES, GROUP_BYTES):
         if not len(s.start):
             continue
         words = Words.of_scan(s)
