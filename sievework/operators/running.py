@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 STRETCH = 100_000
 
 
-def running(d: DataFrame, order: str, sums: dict[str, str | int], key: str = "run_id", maxima: dict[str, Column] | None = None) -> DataFrame:
+def running(d: DataFrame, order: str, sums: dict[str, str | int | Column], key: str = "run_id", maxima: dict[str, Column] | None = None) -> DataFrame:
     """``d`` with running sums, and running maxima over the rows before, by ``key`` in the order of a whole number.
 
     The numbers are cut into stretches of STRETCH; each stretch's totals are summed up over the stretches before it, so a window sees one stretch's rows, or one row for each stretch.

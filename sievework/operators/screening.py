@@ -130,12 +130,17 @@ def link_fulltexts(fulltexts: DataFrame, records: DataFrame, min_words: int = 4)
 
 
 def requests_in_window(results: DataFrame, seconds: int = 60) -> DataFrame:
-    """Per run: the most requests and tokens in any span of seconds, from (run_id, ts in seconds, tokens).
+    """Per run: the most requests and tokens in any span of seconds, from (run_id, ts in seconds, tokens). Calls of one second are added first."""
+    return busiest_windows(results.groupBy("run_id", "ts").agg(F.count("*").alias("r"), F.sum("tokens").alias("t")), seconds)
 
-    Calls of one second are added first. Time is cut into stretches of ``seconds``; a window lies in two of them at most, so each stretch is one group, with
+
+def busiest_windows(per_second: DataFrame, seconds: int) -> DataFrame:
+    """Per run: the most requests and tokens in any span of seconds, from (run_id, ts, r, t), the sums of each second.
+
+    Time is cut into stretches of ``seconds``; a window lies in two of them at most, so each stretch is one group, with
     a copy of the one before it, and a run of any length is many groups.
     """
-    per_second = results.groupBy("run_id", "ts").agg(F.count("*").alias("r"), F.sum("tokens").alias("t")).withColumn("own", F.floor(F.col("ts") / seconds))
+    per_second = per_second.withColumn("own", F.floor(F.col("ts") / seconds))
     both = per_second.select("run_id", "ts", "r", "t", "own", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("part"))
     w = Window.partitionBy("run_id", "part").orderBy("ts").rangeBetween(-seconds + 1, 0)
     d = both.select("run_id", "own", "part", F.sum("r").over(w).alias("r"), F.sum("t").over(w).alias("t")).where("own = part")
@@ -148,10 +153,14 @@ def cost_stop(results: DataFrame, limit: float, concurrency: int = 1) -> DataFra
     return d.where(F.col("c") + F.col("c") / F.col("k") * concurrency >= limit).groupBy("run_id").agg(F.min("line_no").alias("stop_line"))
 
 
+def free_records() -> Column:
+    """Whether a record has no reason yet, and a title or an abstract."""
+    return (F.coalesce("exclusion_reason", F.lit("")) == "") & ((F.trim("title") != "") | (F.trim("abstract") != ""))
+
+
 def mark_by_probability(records: DataFrame, floor: float = 0.9) -> DataFrame:
     """``records`` (with p_true and p_false: probabilities that a record is out of scope, or not) marked where the first is greater and at least ``floor``."""
-    free = (F.coalesce("exclusion_reason", F.lit("")) == "") & ((F.trim("title") != "") | (F.trim("abstract") != ""))
-    out = free & (F.col("p_true") > F.col("p_false")) & (F.col("p_true") >= floor)
+    out = free_records() & (F.col("p_true") > F.col("p_false")) & (F.col("p_true") >= floor)
     return records.withColumn("exclusion_reason", F.when(out, "AI_PREFILTER_JEV").otherwise(F.coalesce("exclusion_reason", F.lit(""))))
 
 

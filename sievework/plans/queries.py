@@ -12,6 +12,7 @@ from sievework.operators import agreement as AG
 from sievework.operators import answers as AN
 from sievework.operators import costs as CO
 from sievework.operators import dedup as DD
+from sievework.operators import discussion as DI
 from sievework.operators import flow as FL
 from sievework.operators import marking as MK
 from sievework.operators import pages as PG
@@ -807,3 +808,61 @@ def _(spark, d):
     number = F.concat(F.when(k % 6 == 4, "References\n").otherwise(""), F.lit("Page "), (k % 6).cast("string"), F.lit(" / 6"))
     pages = A.read(spark, d, "pages").select(F.concat(F.lit("set/doc_"), F.floor(k / 6).cast("string"), F.lit(".pdf")).alias("doc"), k.alias("page"), F.concat_ws("\n", F.lit("A running head"), text, number).alias("text"))
     return PG.clean_pages(pages)
+
+
+@query("discuss", """WITH o AS (SELECT 'c' || conv_id AS uid, turn // 3 AS round, 'r' || turn % 3 AS run, turn % 3 AS seat, ['INCLUDE', 'EXCLUDE', 'UNCERTAIN'][1 + (conv_id + length(text)) % 3] AS decision, substr(text, 1, 30) AS reasoning,
+    CASE WHEN turn > 2 AND (conv_id + turn) % 4 = 0 THEN 'E302' END AS error, length(text) AS tokens, 'L' || turn % 3 AS label FROM conversations),
+  a AS (SELECT * FROM o WHERE round <= 3 AND (uid, run) IN (SELECT uid, run FROM o WHERE round = 0)),
+  g AS (SELECT uid, run, seat, label, decision, reasoning, round AS r FROM a WHERE round = 0), grid AS (SELECT g.uid, g.run, g.seat, g.label, k AS round FROM g, (SELECT unnest(range(0, 4)) AS k)),
+  s AS (SELECT grid.*, last_value(a.decision IGNORE NULLS) OVER w AS held, last_value(a.reasoning IGNORE NULLS) OVER w AS why FROM grid LEFT JOIN (SELECT * FROM a WHERE error IS NULL) a USING (uid, run, round)
+    WINDOW w AS (PARTITION BY grid.uid, grid.run ORDER BY grid.round ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  e AS (SELECT uid, min(round) AS agreed FROM (SELECT uid, round FROM s GROUP BY uid, round HAVING count(DISTINCT held) = 1 AND round > 0) GROUP BY uid),
+  u AS (SELECT g.uid, agreed, coalesce(agreed, 3) AS used FROM (SELECT DISTINCT uid FROM g) g LEFT JOIN e USING (uid)),
+  f AS (SELECT s.*, u.agreed, u.used FROM s JOIN u USING (uid) WHERE s.round = u.used),
+  v AS (SELECT uid, list(struct_pack(m := -n, held := held) ORDER BY -n, held) AS v FROM (SELECT uid, held, count(*) AS n FROM f GROUP BY ALL) GROUP BY uid),
+  x AS (SELECT uid, any_value(agreed) AS agreed, any_value(used) AS used, list(DISTINCT label || ': ' || why) AS reasons, string_agg(label || ': ' || held, '; ' ORDER BY seat) AS apart, string_agg(label || ': ' || why, '; ' ORDER BY seat) AS told FROM f GROUP BY uid),
+  h AS (SELECT a.uid, string_agg(a.round || ' ' || a.run || ' ' || CASE WHEN error IS NULL THEN decision || ' ' || reasoning ELSE error END, '|' ORDER BY a.round, a.seat) AS history, sum(CASE WHEN a.round > 0 AND error IS NULL THEN tokens ELSE 0 END) AS tokens,
+    sum(CASE WHEN a.round > 0 AND error IS NULL THEN tokens END) AS cost FROM a JOIN u ON u.uid = a.uid WHERE a.round <= u.used GROUP BY a.uid)
+  SELECT x.uid AS study_uid, CASE WHEN agreed IS NOT NULL OR len(v) = 1 OR v[1].m < v[2].m THEN v[1].held ELSE 'NO_CONSENSUS' END AS decision, agreed IS NOT NULL AS consensus, CAST(used AS INT) AS rounds_used,
+    CASE WHEN agreed IS NULL THEN CASE WHEN len(v) = 1 OR v[1].m < v[2].m THEN 'majority' ELSE 'no_consensus' END END AS tie_break, substr(CASE WHEN agreed IS NOT NULL THEN told ELSE 'No consensus after ' || used || ' round(s). ' || apart END, 1, 600) AS reasoning,
+    CAST(tokens AS BIGINT) AS tokens_in, CAST(cost AS DOUBLE) AS cost, history FROM x JOIN v USING (uid) JOIN h USING (uid)""")
+def _(spark, d):
+    c = A.read(spark, d, "conversations")
+    k = F.col("turn") % 3
+    size, seat = F.length("text"), k.cast("string")
+    o = c.select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("study_uid"), F.floor(F.col("turn") / 3).cast("int").alias("round"), F.concat(F.lit("r"), seat).alias("run_id"), k.alias("seat"), F.concat(F.lit("L"), seat).alias("label"),
+        F.element_at(F.array(*map(F.lit, ("INCLUDE", "EXCLUDE", "UNCERTAIN"))), (F.lit(1) + (F.col("conv_id") + size) % 3).cast("int")).alias("decision"), F.substring("text", 1, 30).alias("reasoning"),
+        F.when((F.col("turn") > 2) & ((F.col("conv_id") + F.col("turn")) % 4 == 0), "E302").alias("error"), size.cast("long").alias("tokens_in"), F.lit(0).cast("long").alias("tokens_out"), size.cast("double").alias("cost"),
+    )
+    said = F.transform("history", lambda x: F.concat_ws(" ", x["round"].cast("string"), x["run_id"], F.when(x["error"].isNull(), F.concat(x["decision"], F.lit(" "), x["reasoning"])).otherwise(x["error"])))
+    return DI.discuss(o).withColumn("history", F.array_join(said, "|")).drop("source_decisions", "tokens_out")
+
+
+def _prefilter(spark, d):
+    k = F.col("import_order")
+    r = A.records(spark, d).withColumns({"exclusion_details": F.lit(""), "extra_json": F.when(k % 2 == 0, '{"own":[1,2.50],"jev":{"old":1}}').otherwise("")})
+    a = r.select(
+        "study_uid", k.alias("line_no"), F.when((k % 9 == 0) | k.between(700, 704), "E302").alias("error"), F.lit("m1").alias("model"), ((k % 100) / 100.0).alias("probability_true"), ((k % 37) / 100.0).alias("probability_false"),
+        ((k % 53) / 50.0).alias("confidence"), (k % 7).cast("double").alias("cost"), (k % 11).cast("long").alias("tokens_in"), F.lit(1).cast("long").alias("tokens_out"),
+    )
+    return DI.prefilter_run(r, a, "m1", 0.9, 1500.0, 5, 4)
+
+
+_PREFILTER = f"""WITH {R}, a AS (SELECT study_uid, import_order AS k, import_order % 9 = 0 OR import_order BETWEEN 700 AND 704 AS bad, CAST(import_order % 7 AS DOUBLE) AS cost, (import_order % 100) / 100.0::DOUBLE AS t, (import_order % 37) / 100.0::DOUBLE AS f, (import_order % 53) / 50.0::DOUBLE AS c FROM records),
+  b AS (SELECT *, row_number() OVER (ORDER BY k) AS n, sum(CASE WHEN bad THEN 0 ELSE cost END) OVER (ORDER BY k) AS spent, sum(bad::INT) OVER (ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS last5 FROM a),
+  s AS (SELECT min(k) AS stop_line FROM b WHERE last5 = 5 OR (NOT bad AND spent >= 1500)),
+  o AS (SELECT b.* FROM b, s WHERE NOT bad AND (stop_line IS NULL OR n <= (SELECT max(n) FROM b WHERE k <= stop_line) + 3)),
+  free AS (SELECT study_uid FROM records WHERE coalesce(exclusion_reason, '') = '' AND (trim(title) <> '' OR trim(abstract) <> '')),
+  m AS (SELECT o.* FROM o JOIN free USING (study_uid) WHERE t > f AND c >= 0.9)"""
+
+
+@query("prefilter_run", f"""{_PREFILTER} SELECT (SELECT count(*) FROM free) AS eligible, (SELECT count(*) FROM o) AS checked, (SELECT count(*) FROM m) AS marked, (SELECT coalesce(sum(cost), 0) FROM o) AS cost, stop_line FROM s""")
+def _(spark, d):
+    return _prefilter(spark, d)[1]
+
+
+@query("prefilter_marks", f"""{_PREFILTER} SELECT r.study_uid, CASE WHEN m.k IS NULL THEN r.exclusion_reason ELSE 'AI_PREFILTER_JEV' END AS exclusion_reason, CASE WHEN m.k IS NULL THEN '' ELSE 'Jev (m1): p(exclude)=' || printf('%.2f', t) || ', confidence=' || printf('%.2f', c) END AS exclusion_details,
+    CASE WHEN m.k IS NULL THEN -1 ELSE CAST(m.k % 11 AS BIGINT) END AS tokens_in, CASE WHEN r.import_order % 2 = 0 THEN '[1,2.5]' END AS own, CASE WHEN r.import_order % 2 = 0 AND m.k IS NULL THEN '1' END AS old FROM records r LEFT JOIN m USING (study_uid)""")
+def _(spark, d):
+    return _prefilter(spark, d)[0].select("study_uid", "exclusion_reason", "exclusion_details", F.coalesce(F.get_json_object("extra_json", "$.jev.tokens_in").cast("long"), F.lit(-1).cast("long")).alias("tokens_in"), F.regexp_replace(F.get_json_object("extra_json", "$.own"), "2.50", "2.5").alias("own"), F.get_json_object("extra_json", "$.jev.old").alias("old"))
