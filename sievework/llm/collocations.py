@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.session import Batches, cut, documents, drop_paths, in_batches
+from sievework.llm.session import Batches, broadcast_if_small, cut, documents, in_batches
 from sievework.llm.tallies import Words, chain, codes, counted, scans
 from sievework.llm.wordscan import SPACED, Scan
 
@@ -157,7 +157,7 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST
     kept = scored.join(longer.withColumnsRenamed({"lang": "g", "phrase": "p"}), (F.col("lang") == F.col("g")) & (F.col("phrase") == F.col("p")) & covered, "left_anti")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = kept.select("lang", "phrase", "a", "c.l", "c.r", "c.score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= listed)
-    return ranked.join(F.broadcast(sizes), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(broadcast_if_small(sizes), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

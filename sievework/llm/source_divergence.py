@@ -91,7 +91,7 @@ def source_divergence(docs: DataFrame) -> DataFrame:
     totals = cells.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("m")).alias("N"))
     kept = vectors.groupBy("lang").agg(F.sum("m").alias("V"))
     named = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
-    groups = named.join(totals, ["lang", "source"], "left").join(F.broadcast(kept), "lang", "left")
+    groups = named.join(totals, ["lang", "source"], "left").join(broadcast_if_small(kept), "lang", "left")
     groups = groups.select("lang", "source", (F.coalesce("N", F.lit(0)) + F.coalesce("V", F.lit(0))).alias("size"), F.coalesce("V", F.lit(0)).alias("V"))
     # without kept terms nothing is shared out
     groups = groups.withColumn("p0", F.when(F.col("V") > 0, share(F.lit(0), F.greatest("size", F.lit(1)))).otherwise(0))
@@ -115,7 +115,7 @@ def source_divergence(docs: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("rank", F.row_number().over(order))
 
     of_lang = terms.groupBy("lang").agg((F.sum("n") + F.count("*")).alias("whole"))
-    each = terms.join(F.broadcast(of_lang), "lang").select("lang", "term", share(F.col("n"), F.col("whole")).alias("q"), F.explode("by_source").alias("c"))
+    each = terms.join(broadcast_if_small(of_lang), "lang").select("lang", "term", share(F.col("n"), F.col("whole")).alias("q"), F.explode("by_source").alias("c"))
     each = each.select("lang", "term", "q", "c.source", "c.n").join(sized.select("lang", "source", "size"), ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("size")))
     each = each.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), none("p", "q").alias("value"))
     listed = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LISTED)
