@@ -118,19 +118,19 @@ def prefilter_counts(before: DataFrame, after: DataFrame, p: Prefilters) -> Data
     year), and left alone for another step's reason (``skipped``). ``before`` and ``after`` are records before and after :func:`mark_prefilters`.
     """
     reason = F.coalesce("exclusion_reason", F.lit(""))
-    hit = after.where(reason.isin(*PREFILTER_REASONS))
-    free = before.where((reason == "") | reason.isin(*PREFILTER_REASONS, *VALIDITY_REASONS))
+    ours = reason.isin(*PREFILTER_REASONS)
+    free = (reason == "") | reason.isin(*PREFILTER_REASONS, *VALIDITY_REASONS)
     none = F.lit(False)
     missing = {
         "language": (F.size(language_codes(F.col("language"))) == 0) if p.languages and p.language_missing_passes else none,
         "year": F.col("year").isNull() if (p.year_from is not None or p.year_to is not None) and p.year_missing_passes else none,
     }
-    row = lambda d, kind, name, n: d.agg(n.cast("long").alias("n")).select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    out = row(hit, "removed", "", F.count("*")).unionByName(hit.groupBy(F.lit("by_reason").alias("kind"), reason.alias("name")).agg(F.count("*").alias("n")))
-    for name, c in missing.items():
-        out = out.unionByName(row(free, "passed_on_missing", name, F.count_if(c)))
-    skipped = before.where((reason != "") & ~reason.isin(*PREFILTER_REASONS, *VALIDITY_REASONS))
-    return out.unionByName(row(skipped, "skipped", "", F.count("*")))
+    # each table is read once; the second line's rollup has all reasons in one row
+    line = lambda kind, name, n: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), n.cast("long").alias("n"))
+    own = before.agg(F.array(*(line("passed_on_missing", name, F.count_if(free & c)) for name, c in missing.items()), line("skipped", "", F.count_if(~free))).alias("rows"))
+    found = after.where(ours).rollup(reason.alias("name")).agg(F.count("*").alias("n"))
+    named = found.select(F.when(F.col("name").isNull(), "removed").otherwise("by_reason").alias("kind"), F.coalesce("name", F.lit("")).alias("name"), "n")
+    return own.select(F.inline("rows")).unionByName(named)
 
 
 def eligible_with_fulltext(records: DataFrame, fulltexts: DataFrame) -> DataFrame:

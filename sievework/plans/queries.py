@@ -16,10 +16,12 @@ from sievework.operators import discussion as DI
 from sievework.operators import flow as FL
 from sievework.operators import marking as MK
 from sievework.operators import pages as PG
+from sievework.operators import report as RP
 from sievework.operators import results as RS
 from sievework.operators import screening as SC
 from sievework.plans import adapters as A
 from sievework.sinks import records_as_bibtex, records_as_nbib, records_as_ris, write_records
+from sievework.sources.files import read_bibtex, read_nbib, read_ris
 from sievework.sources.tables import read_records_table
 from sievework.storage import fresh_path
 
@@ -866,3 +868,54 @@ def _(spark, d):
     CASE WHEN m.k IS NULL THEN -1 ELSE CAST(m.k % 11 AS BIGINT) END AS tokens_in, CASE WHEN r.import_order % 2 = 0 THEN '[1,2.5]' END AS own, CASE WHEN r.import_order % 2 = 0 AND m.k IS NULL THEN '1' END AS old FROM records r LEFT JOIN m USING (study_uid)""")
 def _(spark, d):
     return _prefilter(spark, d)[0].select("study_uid", "exclusion_reason", "exclusion_details", F.coalesce(F.get_json_object("extra_json", "$.jev.tokens_in").cast("long"), F.lit(-1).cast("long")).alias("tokens_in"), F.regexp_replace(F.get_json_object("extra_json", "$.own"), "2.50", "2.5").alias("own"), F.get_json_object("extra_json", "$.jev.old").alias("old"))
+
+
+@query("project_check", f"""WITH {R}, {A.SQL_WHOLE}, w AS (SELECT source_label, exclusion_reason AS reason, has_abstract, is_duplicate, is_retracted, CASE WHEN import_order % 50 = 0 THEN 'suspect_concat' WHEN import_order % 3 = 0 THEN 'short' ELSE '' END AS quality FROM whole JOIN (SELECT study_uid, import_order FROM records) USING (study_uid)),
+  s AS (SELECT source_label, count(*) AS records, count(*) FILTER (WHERE has_abstract) AS a, count(*) FILTER (WHERE is_duplicate) AS d, count(*) FILTER (WHERE reason = '') AS v FROM w GROUP BY source_label)
+  SELECT (SELECT count(*) FROM w) AS records, (SELECT count(*) FROM w WHERE is_duplicate) AS duplicates, (SELECT count(*) FROM w WHERE reason = '') AS valid_for_model, (SELECT count(*) FROM w WHERE is_retracted AND reason <> 'RETRACTED') AS retracted_included,
+    (SELECT string_agg(reason || '=' || n, ',' ORDER BY reason) FROM (SELECT reason, count(*) AS n FROM w WHERE reason <> '' GROUP BY reason)) AS by_reason, (SELECT string_agg(quality || '=' || n, ',' ORDER BY quality) FROM (SELECT quality, count(*) AS n FROM w WHERE quality <> '' GROUP BY quality)) AS quality,
+    (SELECT string_agg(source_label || ' ' || records || ' ' || a || ' ' || d || ' ' || v || ' ' || CASE WHEN a < 0.9 * records THEN 'WARNING' ELSE 'OK' END, ',' ORDER BY source_label) FROM s) AS sources,
+    array_to_string(list_filter([CASE WHEN (SELECT bool_or(a < 0.9 * records) FROM s) THEN 'LOW_ABSTRACT_RATIO' END, CASE WHEN (SELECT count(*) FROM w WHERE quality = 'suspect_concat') > 0 THEN 'SUSPECT_ABSTRACTS' END, CASE WHEN (SELECT count(*) FROM w WHERE is_retracted AND reason <> 'RETRACTED') > 0 THEN 'RETRACTED_INCLUDED' END], lambda x: x IS NOT NULL), ',') AS issues,
+    'WARNING' AS status""")
+def _(spark, d):
+    k = F.col("import_order")
+    order = A.records(spark, d).select("study_uid", "import_order")
+    r = A.whole_records(spark, d).drop("abstract_quality").join(order, "study_uid").withColumn("abstract_quality", F.when(k % 50 == 0, "suspect_concat").when(k % 3 == 0, "short").otherwise(""))
+    pairs = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    shown = F.array_join(F.transform("sources", lambda s: F.concat_ws(" ", s["source_label"], *(s[c].cast("string") for c in ("records", "with_abstract", "duplicates", "valid_for_model")), s["status"])), ",")
+    return RP.check_project(r, 0.9).withColumns({"by_reason": pairs("by_reason"), "quality": pairs("quality"), "sources": shown, "issues": F.array_join("issues", ",")})
+
+
+@query("file_check", f"""WITH {R}, f AS (SELECT DISTINCT 'f' || import_order % 40 AS source_file, import_order % 40 AS k FROM records), g AS (SELECT source_file, CASE WHEN k < 2 THEN 'pdf' WHEN k < 4 THEN NULL ELSE 'ris' END AS format FROM f UNION ALL SELECT 'empty', 'nbib'),
+  n AS (SELECT 'f' || import_order % 40 AS source_file, count(*) AS n, count(*) FILTER (WHERE import_order % 40 <> 4 AND NOT (import_order % 40 = 5 AND import_order % 3 > 0) AND trim(coalesce(abstract, '')) <> '') AS a FROM records WHERE import_order % 40 > 3 GROUP BY 1),
+  j AS (SELECT source_file, format, coalesce(n, 0) AS n, coalesce(a, 0) AS n_abstract FROM g LEFT JOIN n USING (source_file)),
+  i AS (SELECT *, CASE WHEN format = 'pdf' THEN 'UNSUPPORTED_TYPE' WHEN format IS NULL THEN 'PARSE_FAILED' WHEN n = 0 THEN 'NO_RECORDS' WHEN n_abstract = 0 THEN 'NO_ABSTRACTS' WHEN n_abstract < 0.6 * n THEN 'LOW_ABSTRACT_RATIO' ELSE '' END AS issue FROM j)
+  SELECT source_file, coalesce(format, '') AS format, n, n_abstract, CASE issue WHEN '' THEN 'OK' WHEN 'LOW_ABSTRACT_RATIO' THEN 'WARNING' ELSE 'ERROR' END AS status, issue, CASE WHEN issue IN ('UNSUPPORTED_TYPE', 'PARSE_FAILED') THEN 'E101' WHEN issue = 'NO_RECORDS' THEN 'E102' END AS error_code FROM i""")
+def _(spark, d):
+    r = A.records(spark, d)
+    k = F.col("import_order") % 40
+    name = F.concat(F.lit("f"), k.cast("string"))
+    files = r.select(name.alias("source_file"), F.when(k < 2, "pdf").when(k >= 4, "ris").alias("format")).distinct().union(spark.range(1).select(F.lit("empty"), F.lit("nbib")))
+    text = F.when((k == 4) | (k == 5) & (F.col("import_order") % 3 > 0), "").otherwise(F.col("abstract"))
+    return RP.check_files(files, r.where(k > 3).select(name.alias("source_file"), text.alias("abstract")))
+
+
+def _as_files(blocks: DataFrame, column: str, fmt: str) -> DataFrame:
+    """Blocks of records as files of some forty each."""
+    k = F.regexp_extract("study_uid", r"(\d+)", 1).cast("long")
+    return blocks.groupBy(F.concat(F.lit("f"), F.floor(k / 40).cast("string")).alias("source_file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), F.col(column).alias("b")))), lambda x: x["b"]), "\n\n").alias("text")).withColumn("format", F.lit(fmt))
+
+
+_BACK = f"""WITH {R}, {A.SQL_WHOLE}, n AS (SELECT study_uid, CAST(regexp_extract(study_uid, '(\\d+)', 1) AS BIGINT) AS k FROM whole)
+  SELECT 'f' || k // 40 AS source_file, row_number() OVER (PARTITION BY k // 40 ORDER BY k) AS source_row, {_FLAT.format('title')} AS title, {_FLAT.format('abstract')} AS abstract, authors, year, doi, volume FROM whole JOIN n USING (study_uid)"""
+
+
+def _read_back(read, write, column, fmt):
+    def run(spark, d):
+        return read(_as_files(write(A.whole_records(spark, d)), column, fmt)).select("source_file", "source_row", "title", "abstract", "authors", "year", "doi", "volume")
+
+    return run
+
+
+for _name, _parts in {"ris_read_back": (read_ris, records_as_ris, "ris", "ris"), "nbib_read_back": (read_nbib, records_as_nbib, "nbib", "nbib"), "bibtex_read_back": (read_bibtex, records_as_bibtex, "bibtex", "bib")}.items():
+    query(_name, _BACK)(_read_back(*_parts))

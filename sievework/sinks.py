@@ -88,6 +88,63 @@ def write_records(records: DataFrame, path: str) -> None:
     records.select(*(v.alias(c) for c, v in cells.items())).write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
 
 
+def table_digest(table: DataFrame) -> str:
+    """A digest of a table's rows, whatever their order and partitions: sums of two hashes of each row, and their number."""
+    row = F.struct(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in sorted(table.columns)))
+    whole = F.to_json(row)
+    sums = table.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(F.xxhash64(F.lit(k), whole).cast("decimal(38,0)")), F.lit(0)).cast("string").alias(f"s{k}") for k in (1, 2))).first()
+    return f"{sums['n']}-{sums['s1']}-{sums['s2']}"
+
+
+def replace_records(records: DataFrame, path: str, backup_dir: str, keep: int = 5) -> bool:
+    """Write a records table in place of the one at ``path``; whether anything was written.
+
+    A table of the same rows stays as it is. Another one is written beside it and takes its place by a rename when it is whole; the old one becomes the newest of ``keep`` backups, unless
+    the newest is the same already. A table that is being written when the job dies leaves the old one where it was.
+    """
+    spark = records.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(conf)
+    digest = table_digest(records)
+    mark = lambda p: _read_mark(spark, fs, at(f"{p}/{MARK}"))
+    there = fs.exists(at(path))
+    if there and mark(path) == digest:
+        return False
+    new = f"{path.rstrip('/')}._new"
+    write_records(records, new)
+    out = fs.create(at(f"{new}/{MARK}"), True)
+    out.write(bytearray(digest.encode()))
+    out.close()
+    fs.mkdirs(at(backup_dir))
+    if there:
+        backups = sorted(s.getPath().toString() for s in fs.listStatus(at(backup_dir)) if s.getPath().getName().startswith("records."))
+        if backups and mark(backups[-1]) == mark(path) is not None:
+            fs.delete(at(path), True)
+        else:
+            number = int(backups[-1].rsplit(".", 1)[1]) + 1 if backups else 1
+            backups.append(f"{backup_dir.rstrip('/')}/records.{number:08d}")
+            fs.rename(at(path), at(backups[-1]))
+        for old in backups[:-keep] if keep > 0 else backups:
+            fs.delete(at(old), True)
+    fs.rename(at(new), at(path))
+    return True
+
+
+#: The file in a table's folder that has its digest.
+MARK = "_digest"
+
+
+def _read_mark(spark, fs, path) -> str | None:
+    if not fs.exists(path):
+        return None
+    stream = fs.open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def guarded_cells(table: DataFrame) -> DataFrame:
     """``table`` with all text cells safe to open in a spreadsheet."""
     return table.select(*(neutralise_formula(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`") for f in table.schema))
