@@ -45,10 +45,15 @@ _PIECES[_KIND == 1] = 0
 
 def _joined(data: np.ndarray, s: Scan) -> np.ndarray:
     """For each word but the last, whether the next one is in the same piece."""
-    piece = np.cumsum(_KIND[data] == 1)[s.start]
+    piece = np.cumsum(_KIND[data] == 1, dtype=np.int32)[s.start]
     return (piece[1:] == piece[:-1]) & (s.doc[1:] == s.doc[:-1])
 
 
+def _seeds(langs: pa.Array) -> np.ndarray:
+    """What the hashes of a language's runs begin from."""
+    return np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs.to_pylist()], dtype=_U)
+
+
 def _held(table: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
     """Whether each hash is in the bit table."""
     slot = hashes >> _U(64 - bits)
@@ -56,14 +61,13 @@ def _held(table: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
 
 
 def _runs(batches: Batches, n: int, bits: int, table: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, hash, n) of the runs of ``n`` words whose parts are in the table; of single words all, and the number of words without a phrase."""
+    """(lang, phrase, a) of the runs of ``n`` words whose parts are in the table; of single words all, and the number of words without a phrase."""
     for rows, data, s in scans(batches, _PIECES, GROUP_BYTES):
         if not len(s.start):
             continue
         words = Words.of_scan(s)
         lang, langs = codes(rows.column("lang"))
-        seeds = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs.to_pylist()], dtype=_U)[lang]
-        h, at = chain(seeds[s.doc], words.hashes, 1), np.arange(len(s.start))
+        h, at = chain(_seeds(langs)[lang][s.doc], words.hashes, 1), np.arange(len(s.start))
         if n > 1:
             joined = _joined(data, s)
             for k in range(2, n):  # hashes of runs of n - 1 words, where there are some
@@ -86,20 +90,34 @@ def _runs(batches: Batches, n: int, bits: int, table: np.ndarray | None) -> Iter
                 key = counted(key)[2] * many + number[at + k]
             first, times, _, _ = counted(key)
             first = at[first]
-            yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[s.doc[first]])), words.strings(first, first + n - 1), pa.array(h[first].view(np.int64)), pa.array(times, pa.int64())], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[s.doc[first]])), words.strings(first, first + n - 1), pa.array(times, pa.int64())], names=_NAMES)
         if n == 1:
             total = np.bincount(lang[s.doc], minlength=len(langs))
-            yield pa.RecordBatch.from_arrays([langs, pa.nulls(len(langs), pa.string()), pa.nulls(len(langs), pa.int64()), pa.array(total, pa.int64())], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([langs, pa.nulls(len(langs), pa.string()), pa.array(total, pa.int64())], names=_NAMES)
+
 
+_NAMES = ["lang", "phrase", "a"]
 
-_NAMES = ["lang", "phrase", "hash", "a"]
+
+def _hash_phrases(batches: Batches) -> Batches:
+    """The hashes of phrases (text), as those of runs of words."""
+    for rows, _, s in scans(batches, _PIECES, GROUP_BYTES):
+        lang, langs = codes(rows.column("lang"))
+        counts = s.counts()
+        first, hashes = np.cumsum(counts) - counts, s.hashes()
+        h = _seeds(langs)[lang]
+        for k in range(1, int(counts.max(initial=0)) + 1):
+            at = np.flatnonzero(counts >= k)
+            h[at] = chain(h[at], hashes[first[at] + k - 1], k)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["hash"])
 
 
 def bit_table(frequent: DataFrame) -> tuple[int, np.ndarray]:
-    """The bits of the phrases' hashes, made by an aggregation; 32 MB at most reach the driver and the tasks, whatever the number of phrases."""
+    """The bits of the hashes of phrases (lang, phrase), made by an aggregation; 32 MB at most reach the driver and the tasks, whatever the number of phrases."""
     bits = int(min(MOST_BITS, max(16, np.ceil(np.log2(16 * frequent.count() + 1)))))
     slot = F.shiftrightunsigned("hash", 64 - bits)
-    words = frequent.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    hashed = in_batches(frequent.select("lang", F.col("phrase").alias("text")), _hash_phrases, "hash long")
+    words = hashed.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
     found = words.toPandas()
     table = np.zeros(1 << bits - 6, dtype=_U)
     table[found["at"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).view(_U)
@@ -116,8 +134,8 @@ def frequent_runs(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAS
         def run(batches: Batches, n: int = n, bits: int = bits, shipped=shipped) -> Batches:
             return _runs(batches, n, bits, shipped.value)
 
-        rows = in_batches(texts, run, "lang string, phrase string, hash long, a long")
-        counts = rows.groupBy("lang", "phrase").agg(F.min("hash").alias("hash"), F.sum("a").alias("a"))
+        rows = in_batches(texts, run, "lang string, phrase string, a long")
+        counts = rows.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
         level = cut(counts.where((F.col("a") >= least) | F.col("phrase").isNull()), "runs")
         levels.append(level)
         if n == 1:

@@ -68,7 +68,7 @@ class Words:
         inside = np.zeros(len(s.data) + 1, dtype=np.int8)
         np.add.at(inside, s.start, 1)
         np.add.at(inside, s.end, -1)
-        source = np.cumsum(inside[:-1]).astype(bool)
+        source = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
         target = np.ones(len(clean), dtype=bool)
         target[end] = False
         clean[target] = s.data[source]
