@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from sievework.llm.session import cut, drop_paths
 from sievework.operators.components import connected_components
 
-#: Nodes of a bucket outside its head's component up to which they are compared with all others there, pair by pair, so a node meets so many in
-#: a bucket at most; the nodes of buckets with more of them are compared where they share rare elements.
-PAIRED = 1000
+#: Nodes of a bucket outside its head's component up to which they are compared with all others there, pair by pair, and pairs that a bucket
+#: makes that way at most; the nodes of buckets with more are compared where they share rare elements.
+PAIRED, PAIRS = 1000, 10_000_000
 
 
 def shared_buckets(entries: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def similarity_classes(shared: DataFrame, details_of: Callable[[DataFrame], Data
     The head of a bucket is its node that shares buckets with most others, as the text does that others are
     copies of. Every node is compared with the heads of its buckets, so a bucket of n nodes gives n pairs. Where its
     nodes then belong to several components, more is to be looked at: in a bucket with PAIRED nodes or fewer outside the
-    head's component, these are compared with the nodes of other components, each pair in the first bucket of both. In others nodes
+    head's component, and PAIRS pairs or fewer of these with all its nodes, they are compared with the nodes of other components, each pair in the first bucket of both. In others nodes
     meet where they share a rare element (see rare_elements): where many share one first with a head, then, where several components are
     left, with each other. A thousand texts that share a template but are not similar share none, so they make no pairs. No link between nodes that share a bucket is lost.
     """
@@ -104,10 +104,11 @@ def similarity_classes(shared: DataFrame, details_of: Callable[[DataFrame], Data
     place = lambda g: g.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = cut(place(shared.join(heads, "grp")).select("grp", "head", "node", "label"), "placed")
     head_label = placed.where("node = head").select("grp", F.col("label").alias("head_label"))
-    mixed = cut(placed.join(head_label, "grp").where("label != head_label").groupBy("grp", "head_label").agg(F.count("*").alias("n")), "mixed")
-    crowded = cut(placed.join(mixed.where(F.col("n") > PAIRED), "grp", "left_semi").select("node").distinct(), "crowded")
+    mixed = placed.join(head_label, "grp").groupBy("grp", "head_label").agg(F.count_if(F.col("label") != F.col("head_label")).alias("n"), F.count("*").alias("all"))
+    mixed = cut(mixed.where("n > 0").select("grp", "head_label", ((F.col("n") > PAIRED) | (F.col("n") * F.col("all") > PAIRS)).alias("many")), "mixed")
+    crowded = cut(placed.join(mixed.where("many"), "grp", "left_semi").select("node").distinct(), "crowded")
 
-    few = mixed.where(F.col("n") <= PAIRED)
+    few = mixed.where("NOT many").drop("many")
     if _some(few):
         open_ = placed.join(few, "grp").join(packed, "node").select("grp", "node", "label", "head_label", F.col("own").alias("b"))
         outside = open_.where("label != head_label").select("grp", F.col("node").alias("o"), F.col("label").alias("ol"), F.col("b").alias("a"))
@@ -123,11 +124,15 @@ def similarity_classes(shared: DataFrame, details_of: Callable[[DataFrame], Data
             found, _ = _star(rare.where("first").join(crowds, "grp", "left_semi"), packed, "size", tenths, agree)
             labels = _merged(labels, cut(found, "links"))
         by_rare = place(rare)
-        left = cut(by_rare.join(_mixed(by_rare), "grp", "left_semi"), "left")
-        small = left.where("first").select("grp", F.col("node").alias("x"), F.col("label").alias("xl"), F.col("size").alias("xs"))
-        large = left.select("grp", F.col("node").alias("y"), F.col("label").alias("yl"), F.col("size").alias("ys"))
+        left = by_rare.join(_mixed(by_rare), "grp", "left_semi")
+        # where an element's nodes are of one component but for a few, only these few are paired with others
+        most = left.groupBy("grp", "label").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("usual"))
+        left = cut(left.join(most, "grp").withColumn("odd", F.col("label") != F.col("usual")).drop("usual"), "left")
+        small = left.where("first").select("grp", F.col("node").alias("x"), F.col("label").alias("xl"), F.col("size").alias("xs"), F.col("odd").alias("xo"))
+        large = left.select("grp", F.col("node").alias("y"), F.col("label").alias("yl"), F.col("size").alias("ys"), F.col("odd").alias("yo"))
         apart = (F.col("xl") != F.col("yl")) & ((F.col("xs") < F.col("ys")) | (F.col("xs") == F.col("ys")) & (F.col("x") != F.col("y"))) & (F.col("xs") * 10 >= F.col("ys") * tenths)
-        pairs = cut(small.join(large, "grp").where(apart).select("x", "y").distinct(), "pairs")
+        met = small.where("xo").join(large, "grp").where(apart).select("x", "y").union(small.where("NOT xo").join(large.where("yo"), "grp").where(apart).select("x", "y"))
+        pairs = cut(met.distinct(), "pairs")
         if _some(pairs):
             met = pairs.join(packed.select(F.col("node").alias("x"), F.col("own").alias("a")), "x").join(packed.select(F.col("node").alias("y"), F.col("own").alias("b")), "y")
             labels = _merged(labels, cut(met.where(_linked("a", "b", tenths, agree)).select("x", "y"), "links"))

@@ -237,8 +237,9 @@ def classes_by_brute_force(bags, tenths=8):
 def test_rare_elements_lose_no_link(spark, monkeypatch):
     """Nodes of one bucket with a common core: the same components whether they meet by pairs or by rare elements."""
     rng = random.Random(8)
-    for paired in (1, 64):
+    for paired, pairs in ((1, 10_000), (64, 10_000), (1000, 50)):
         monkeypatch.setattr(near_join, "PAIRED", paired)
+        monkeypatch.setattr(near_join, "PAIRS", pairs)
         core = list(range(40))
         sets = {}
         for i in range(120):
