@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -79,3 +80,37 @@ def prefilter_estimate(records: DataFrame, criteria: str, price_in: float | None
     d = records.where(free).agg(F.count("*").alias("n"), F.coalesce(F.sum(token_count(F.concat_ws("\n", "title", "abstract"))), F.lit(0)).alias("t"))
     d = d.select("n", (F.col("t") + F.col("n") * shared).alias("tokens_in"))
     return d.withColumn("cost", F.round(F.col("tokens_in") / F.lit(1000.0) * F.lit(price_in).cast("double"), 6))
+
+
+#: Standard errors of a bound: all but one in a hundred estimates are within it.
+ERRORS = 2.576
+
+
+def token_sample(items: DataFrame, key: str, text: str, count: Callable[[Column], Column] = token_count, rate: float = 0.01, least: int = 200) -> DataFrame:
+    """(stratum, n, m, s, q): for each length class of texts their number, and the number, tokens and squared tokens of those in the sample.
+
+    A class holds texts of one length in bits of bytes. Of its texts ``rate``, and ``least`` at least, are drawn by a hash of ``key``, so a draw does not depend on partitions, and only these
+    are counted: ``count`` may be a tokenizer. Rows of several tables, or days, are put together by adding them up. Nulls: a null text is empty, a null key is drawn like others; repeated keys are
+    drawn together.
+    """
+    d = items.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.coalesce(text, F.lit("")).alias("text")).withColumn("stratum", F.length(F.bin(F.octet_length("text"))))
+    sizes = d.groupBy("stratum").agg(F.count("*").alias("n"))  # 32 classes at most
+    share = F.greatest(F.lit(float(rate)), F.lit(float(least)) / F.col("n"))
+    place = F.conv(F.substring(F.md5("key"), 1, 8), 16, 10).cast("long")
+    drawn = d.join(F.broadcast(sizes), "stratum").where(place < share * F.lit(2.0**32)).withColumn("tokens", count(F.col("text")).cast("long"))
+    sums = drawn.groupBy("stratum").agg(F.count("*").alias("m"), F.sum("tokens").alias("s"), F.sum(F.col("tokens") * F.col("tokens")).alias("q"))
+    return sizes.join(sums, "stratum", "left").na.fill(0, ["m", "s", "q"]).select("stratum", "n", "m", "s", "q")
+
+
+def token_estimate(sample: DataFrame) -> DataFrame:
+    """One row of (stratum, n, m, s, q), summed up first: n texts, m counted, total tokens, and ``bound``, by which the total is off at most in 99 of 100 draws.
+
+    A class of which fewer than two texts were drawn, and not all, has no bound, and then the whole has none (null). No rows give zeros.
+    """
+    d = sample.groupBy("stratum").agg(*(F.sum(c).alias(c) for c in ("n", "m", "s", "q")))
+    n, m = F.col("n").cast("double"), F.col("m").cast("double")
+    spread = F.greatest((F.col("q") - F.col("s") * F.col("s") / m) / (m - 1), F.lit(0.0))
+    variance = F.when(F.col("m") >= F.col("n"), 0.0).when(F.col("m") > 1, n * n * (1 - m / n) * spread / m)
+    total = F.coalesce(F.sum(F.when(F.col("m") > 0, F.col("s") * n / m)), F.lit(0.0))
+    bound = F.when(F.count_if(variance.isNull()) == 0, F.ceil(F.coalesce(F.sqrt(F.sum(variance)), F.lit(0.0)) * ERRORS))
+    return d.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.round(total).cast("long").alias("total"), bound.cast("long").alias("bound"))

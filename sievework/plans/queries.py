@@ -919,3 +919,13 @@ def _read_back(read, write, column, fmt):
 
 for _name, _parts in {"ris_read_back": (read_ris, records_as_ris, "ris", "ris"), "nbib_read_back": (read_nbib, records_as_nbib, "nbib", "nbib"), "bibtex_read_back": (read_bibtex, records_as_bibtex, "bibtex", "bib")}.items():
     query(_name, _BACK)(_read_back(*_parts))
+
+
+@query("token_sample", f"""WITH {R}, d AS (SELECT study_uid AS k, coalesce(abstract, '') AS t, length(bin(strlen(coalesce(abstract, '')))) AS stratum FROM records), z AS (SELECT stratum, count(*) AS n FROM d GROUP BY stratum),
+  w AS (SELECT d.stratum, t, length(regexp_replace(t, '[^฀-๿ᄀ-ᇿ぀-ヿ㐀-䶿一-鿿가-힯]', '', 'g')) AS wide FROM d JOIN z USING (stratum) WHERE CAST('0x' || substr(md5(k), 1, 8) AS BIGINT) < greatest(0.05::DOUBLE, 40.0::DOUBLE / n) * 4294967296.0::DOUBLE),
+  c AS (SELECT stratum, CASE WHEN t = '' THEN 0 ELSE greatest(1, CAST(ceil((wide + (length(t) - wide) / 4.0::DOUBLE) * 1.1::DOUBLE) AS BIGINT)) END AS x FROM w),
+  s AS (SELECT z.stratum, n, count(x) AS m, coalesce(sum(x), 0) AS s, coalesce(sum(x * x), 0) AS q FROM z LEFT JOIN c USING (stratum) GROUP BY z.stratum, n),
+  v AS (SELECT *, CASE WHEN m >= n THEN 0 WHEN m > 1 THEN n::DOUBLE * n * (1 - m::DOUBLE / n) * greatest((q - s::DOUBLE * s / m) / (m - 1), 0) / m END AS var FROM s)
+  SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(m) AS BIGINT) AS m, CAST(round(sum(CASE WHEN m > 0 THEN s * n::DOUBLE / m END)) AS BIGINT) AS total, CASE WHEN count(*) = count(var) THEN CAST(ceil(sqrt(sum(var)) * 2.576) AS BIGINT) END AS bound FROM v""")
+def _(spark, d):
+    return CO.token_estimate(CO.token_sample(A.records(spark, d), "study_uid", "abstract", rate=0.05, least=40))

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators.costs import current_prices
+from sievework.functions.text import token_count
+from sievework.operators.costs import current_prices, token_estimate, token_sample
 from sievework.operators.pages import clean_pages
 from sievework.operators.report import check_files, check_project
 from sievework.sinks import replace_records, table_digest
@@ -80,3 +81,23 @@ def test_a_table_is_replaced_whole_and_backed_up(spark, tmp_path):
     assert read_records_table(spark, at).count() == 5 and [p.name for p in sorted(backups.iterdir())] == ["records.00000003", "records.00000004"]
     assert read_records_table(spark, str(backups / "records.00000004")).count() == 6
     assert table_digest(records.limit(0)) == "0-0-0" and table_digest(records) != table_digest(records.union(records))
+
+
+def test_sampled_tokens_lie_within_their_bound(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    full = texts.agg(F.sum(token_count(F.col("text")))).first()[0]
+    off = []
+    for seed in range(4):
+        sample = token_sample(texts.withColumn("key", F.concat(F.lit(f"{seed}-"), F.col("doc_id").cast("string"))), "key", "text", rate=0.05, least=30)
+        est = token_estimate(sample).first()
+        assert est["n"] == 1000 and est["m"] < 500 and est["bound"] < 0.2 * full
+        off.append(abs(est["total"] - full) <= est["bound"])
+    assert all(off)
+    halves = [token_sample(texts.where(F.col("doc_id") % 2 == k), "doc_id", "text", rate=0.2) for k in (0, 1)]
+    merged = token_estimate(halves[0].union(halves[1])).first()  # rows of two tables, put together
+    assert merged["n"] == 1000 and abs(merged["total"] - full) <= max(merged["bound"], 1)
+    whole = token_estimate(token_sample(texts, "doc_id", "text", rate=1.0)).first()
+    assert (whole["total"], whole["bound"], whole["m"]) == (full, 0, 1000)
+    none = token_estimate(token_sample(texts.limit(0), "doc_id", "text")).first()
+    assert (none["n"], none["m"], none["total"]) == (0, 0, 0)
+    assert token_estimate(spark.createDataFrame([(3, 9, 1, 4, 16)], "stratum int, n long, m long, s long, q long")).first()["bound"] is None
