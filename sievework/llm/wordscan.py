@@ -45,6 +45,9 @@ class Scan:
     n_docs: int
     lanes: np.ndarray | None = None
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"lanes": None}  # made again where it is needed
+
     def _lanes(self) -> np.ndarray:
         """The eight bytes from each place on, as an integer; past the end they are 0."""
         if self.lanes is None:

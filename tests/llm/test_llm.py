@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
@@ -444,6 +445,13 @@ def brute_hits(text, items, window):
     return len(w), len(hit), found
 
 
+def test_scans_travel_without_their_lanes():
+    data = np.frombuffer(b"some words " * 1000, dtype=np.uint8)
+    s = wordscan.scan(data, np.array([0, len(data)]), wordscan.ALNUM)
+    bare, h = len(pickle.dumps(s)), s.hashes()
+    assert len(pickle.dumps(s)) == bare and (pickle.loads(pickle.dumps(s)).hashes() == h).all()
+
+
 def test_automaton_by_brute_force():
     random.seed(2)
     for r in range(300):
