@@ -42,3 +42,29 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 def append_results(results: DataFrame, path: str) -> None:
     """Append results as JSON lines, one for each record; a file that was torn stays as it is and is read up to its last whole line."""
     results.write.mode("append").option("ignoreNullFields", False).json(path)
+
+
+IMPORT_SCHEMA = "timestamp string, source_file string, sha256 string, source_label string, format string, records long, abstracts long, encoding string, notes array<string>, forced boolean"
+
+
+def read_import_log(spark: SparkSession, path: str) -> DataFrame:
+    """(log_file, line_no, ...) of the entries of an import log, as :func:`read_log` reads one; without a file there are none."""
+    jvm, at = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], f"log_file string, line_no long, {IMPORT_SCHEMA}")
+    names = [c.split()[0] for c in IMPORT_SCHEMA.split(", ")]
+    return read_log(spark, path, IMPORT_SCHEMA).toDF("log_file", "line_no", *names)
+
+
+def not_imported_before(files: DataFrame, log: DataFrame, force: bool = False) -> DataFrame:
+    """``files``, of which none has the checksum of an entry of the log: else an error (E106) that names the latest such entry. With ``force`` they are let pass.
+
+    The error comes when the files are read. A null checksum is none; of entries with one checksum the last counts.
+    """
+    if force:
+        return files
+    last = log.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.max_by(F.struct("timestamp", "source_file", "source_label"), "line_no").alias("_before"))
+    text = lambda c: F.coalesce(F.col(f"_before.{c}"), F.lit(""))
+    message = F.concat(F.lit("E106: imported before, at "), text("timestamp"), F.lit(" as "), text("source_file"), F.lit(" ("), text("source_label"), F.lit(")"))
+    checked = F.when(F.col("_before").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return files.join(last, "sha256", "left").where(checked).select(*files.columns)

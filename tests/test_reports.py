@@ -9,6 +9,8 @@ from sievework.operators.pages import clean_pages
 from sievework.operators.report import check_files, check_project
 from sievework.sinks import replace_records, table_digest
 from sievework.sources.files import read_files, read_ris
+from sievework.sources.logs import not_imported_before, read_import_log
+from sievework.sources.prices import read_prices
 from sievework.sources.ranges import read_chunks
 from sievework.sources.tables import read_records_table
 
@@ -101,3 +103,27 @@ def test_sampled_tokens_lie_within_their_bound(spark):
     none = token_estimate(token_sample(texts.limit(0), "doc_id", "text")).first()
     assert (none["n"], none["m"], none["total"]) == (0, 0, 0)
     assert token_estimate(spark.createDataFrame([(3, 9, 1, 4, 16)], "stratum int, n long, m long, s long, q long")).first()["bound"] is None
+
+
+def test_price_lists(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('﻿Provider; MODEL ;price_input_per_1k;price_output_per_1k;valid_from\nOpenX;M1;0,5;1,5;2024-01-01\nopenx ; m1;0.7;x;2024-02-01\nopenx;m1;-1;2;\n;m2;1;1;\nopenx;m2;inf;1;\nopenx;"m;3";0;0.25;\n')
+    got = [tuple(r) for r in read_prices(spark, str(tmp_path / "a.csv")).drop("line").collect()]
+    assert got == [("openx", "m1", 0.5, 1.5, "USD", "2024-01-01"), ("openx", "m;3", 0.0, 0.25, "USD", "")]
+    (tmp_path / "b.csv").write_text("provider,model,price_input_per_1k,currency,price_output_per_1k\np,m,1,eur,2\np,m,3,,4\n")
+    priced = current_prices(read_prices(spark, str(tmp_path / "b.csv")), "2025-01-01").first()
+    assert (priced["price_in"], priced["price_out"]) == (1.0, 2.0)
+    for text in ("provider;model\n", ""):
+        (tmp_path / "c.csv").write_text(text)
+        with pytest.raises(ValueError, match="E203: missing columns"):
+            read_prices(spark, str(tmp_path / "c.csv"))
+
+
+def test_a_file_is_imported_once(spark, tmp_path):
+    log = tmp_path / "imports.jsonl"
+    files = spark.createDataFrame([("a.ris", "s1"), ("b.ris", "s2"), ("c.ris", None)], "source_file string, sha256 string")
+    assert not_imported_before(files, read_import_log(spark, str(log))).count() == 3
+    log.write_text('{"timestamp":"t1","source_file":"x","sha256":"s9","source_label":"L"}\n{"timestamp":"t2","source_file":"old.ris","sha256":"s2","source_label":"L"}\n{"timestamp":"t3","source_file":"again.ris","sha256":"s2","source_label":"M"}\n{"torn')
+    entries = read_import_log(spark, str(log))
+    with pytest.raises(Exception, match=r"E106: imported before, at t3 as again.ris \(M\)"):
+        not_imported_before(files, entries).collect()
+    assert not_imported_before(files, entries, force=True).count() == 3 and not_imported_before(files.where("sha256 = 's1'"), entries).count() == 1
