@@ -1,8 +1,8 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks, trained on sentences of labelled documents.
 
 The kernel of two units (words without punctuation) is the gap-weighted subsequence kernel: over all strings of three bytes, the product of their weights
-in both units, where a string weighs DECAY to the power of the least bytes that it spans as a subsequence. A unit with bytes
-put in between keeps its subsequences, at less weight. Words of a letter or two in a row, as in ``a b c d``, are one unit too. The kernel of two sentences sums
+in both units, where a string weighs DECAY to the power of the least bytes that it spans as a subsequence. The beginning of a word
+counts as a byte, so a stem is told from the same letters inside a word. A unit with bytes put in between keeps its subsequences, at less weight. Words of a letter or two in a row, as in ``a b c d``, are one unit too. The kernel of two sentences sums
 a power of it over their distinct units, so the machine's decision for a sentence is a sum over its units, and a document's is that of its highest sentence.
 
 A document's label says nothing about which sentence earns it. Landmarks are strings of which toxic sample documents have many more than others, taken
@@ -31,10 +31,14 @@ SAMPLE, SAMPLE_BYTES = 1200, 20_000
 DECAY, POWER = 0.75, 3
 #: Bytes of a unit; a longer word is several, each half a unit on. Words of a sentence; a longer one is cut.
 UNIT, SENTENCE = 16, 40
+#: What stands for a word's beginning, and the bytes of a unit with it.
+HEAD, WIDE = 1, UNIT + 1
 #: Landmarks: strings of toxic documents and words of others; bytes of such strings.
 TOXIC_MARKS, OTHER_MARKS, MARK_SIZES = 48, 48, (8, 7, 6, 5, 4)
-#: Sentences on which the machine is trained, of either kind, at most, and the pull of its weights to 0.
-TRAINED, PULL = 10_000, 0.02
+#: A longer string is taken in place of one inside it that tells more, but not by more than this share.
+NEARLY = 0.9
+#: Sentences on which the machine is trained, of either kind, at most, the pull of its weights to 0, and the weight of all positive ones against that of all others.
+TRAINED, PULL, BALANCE = 10_000, 0.02, 0.3
 #: Units of each string that are trained alone.
 ALONE = 40
 #: Bytes of text scored together, and units whose values a worker remembers.
@@ -42,26 +46,30 @@ GROUP_BYTES, REMEMBERED = 3_000_000, 1_000_000
 
 _U = np.uint64
 _DROPPED = np.zeros(256, dtype=bool)
-_DROPPED[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+_DROPPED[[HEAD, *(c for c in range(0x21, 0x7F) if not chr(c).isalnum())]] = True
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
 @dataclass
 class Units:
-    """Units of some texts: bytes, where each begins and ends, its hash, its text and its sentence (ascending; a sentence is of one text)."""
+    """Units of some texts: bytes, where each begins and ends, whether a word begins there, its hash, its text and its sentence (ascending; a sentence is of one text)."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    head: np.ndarray
     hashes: np.ndarray
     doc: np.ndarray
     sentence: np.ndarray
     n_docs: int
 
     def matrix(self, at: np.ndarray) -> np.ndarray:
-        """The bytes of units, padded with 0 to UNIT."""
-        places = self.start[at][:, None] + np.arange(UNIT)
-        return np.where(places < self.end[at][:, None], self.data[np.minimum(places, max(len(self.data) - 1, 0))], 0).astype(np.uint8)
+        """The bytes of units, behind HEAD where a word begins, padded with 0 to WIDE."""
+        head = self.head[at][:, None]
+        places = self.start[at][:, None] + np.arange(WIDE) - head
+        out = np.where(places < self.end[at][:, None], self.data[np.clip(places, 0, max(len(self.data) - 1, 0))], 0).astype(np.uint8)
+        out[self.head[at], 0] = HEAD
+        return out
 
 
 def units_of(data: np.ndarray, offsets: np.ndarray) -> Units:
@@ -112,17 +120,18 @@ def units_of(data: np.ndarray, offsets: np.ndarray) -> Units:
     start, last = np.repeat(start, pieces) + k * step, np.repeat(end, pieces)
     end = np.minimum(start + UNIT, last)
     order = np.argsort(np.repeat(number, pieces), kind="stable")
-    start, end = start[order], end[order]
+    start, end, begun = start[order], end[order], (k == 0)[order]
     doc, number = np.repeat(doc, pieces)[order], np.repeat(number, pieces)[order]
     hashes = Scan(buffer, offsets, start, end, doc, s.n_docs).hashes()
     with np.errstate(over="ignore"):
+        hashes = np.where(begun, hashes, mix(hashes ^ _U(0xA0761D6478BD642F)))
         once = np.unique(hashes ^ mix(number.astype(_U) + _U(1)), return_index=True)[1]
     once.sort()
-    return Units(buffer, start[once], end[once], hashes[once], doc[once], number[once], s.n_docs)
+    return Units(buffer, start[once], end[once], begun[once], hashes[once], doc[once], number[once], s.n_docs)
 
 
 #: Places of three bytes in a unit, the widest first, and their weights.
-_TRIPLES = np.array(sorted(combinations(range(UNIT), 3), key=lambda x: x[0] - x[2]))
+_TRIPLES = np.array(sorted(combinations(range(WIDE), 3), key=lambda x: x[0] - x[2]))
 _WEIGHTS = (DECAY ** (_TRIPLES[:, 2] - _TRIPLES[:, 0] + 1.0)).astype(np.float32)
 
 
@@ -216,7 +225,7 @@ def _strings(u: Units, doc_toxic: np.ndarray) -> list[bytes]:
     for size in MARK_SIZES:
         grams = np.lib.stride_tricks.sliding_window_view(rows, size, axis=1).reshape(-1, size)
         whole = grams[:, -1] != 0
-        grams, of = np.ascontiguousarray(grams[whole]), np.repeat(doc, UNIT - size + 1)[whole]
+        grams, of = np.ascontiguousarray(grams[whole]), np.repeat(doc, WIDE - size + 1)[whole]
         key = np.zeros((len(grams), 8), dtype=np.uint8)
         key[:, :size] = grams
         key = key.view(np.int64).ravel()
@@ -241,15 +250,16 @@ def _strings(u: Units, doc_toxic: np.ndarray) -> list[bytes]:
     owners = np.concatenate(owners)
     penalty = np.bincount(owners[~doc_toxic[owners[:, 1]], 0], minlength=len(names)) * (n_toxic / n_other) * 4
     links = owners[doc_toxic[owners[:, 1]]]
-    # a document counts half as much with each string of it that is taken; strings with three bytes of a taken one in a row are not looked at
+    # a document counts half as much with each string of it that is taken; strings with four bytes of a taken one in a row are not looked at
     worth, marks, free = np.ones(u.n_docs), [], np.ones(len(names), dtype=bool)
-    parts = [{x[i : i + 3] for i in range(len(x) - 2)} for x in names]
+    parts = [{x[i : i + 4] for i in range(len(x) - 3)} for x in names]
     while len(marks) < TOXIC_MARKS and free.any():
         gain = np.where(free, np.bincount(links[:, 0], weights=worth[links[:, 1]], minlength=len(names)) - penalty, -np.inf)
-        # of strings as good the longest
-        best = max(np.flatnonzero(gain == gain.max()).tolist(), key=lambda i: (len(names[i]), names[i]))
-        if gain[best] < 1:
+        if gain.max() < 1:
             break
+        # of strings as good the longest, then the longest with it in that is nearly as good
+        best = max(np.flatnonzero(gain == gain.max()).tolist(), key=lambda i: (len(names[i]), names[i]))
+        best = max((i for i in np.flatnonzero(gain >= NEARLY * gain[best]).tolist() if names[best] in names[i]), key=lambda i: (len(names[i]), gain[i], names[i]))
         marks.append(names[best])
         worth[links[links[:, 0] == best, 1]] /= 2
         free &= np.array([not (x & parts[best]) for x in parts])
@@ -257,7 +267,7 @@ def _strings(u: Units, doc_toxic: np.ndarray) -> list[bytes]:
 
 
 def _padded(strings: list[bytes]) -> np.ndarray:
-    return np.array([np.frombuffer(x[:UNIT].ljust(UNIT, b"\0"), dtype=np.uint8) for x in strings], dtype=np.uint8).reshape(-1, UNIT)
+    return np.array([np.frombuffer(x[:WIDE].ljust(WIDE, b"\0"), dtype=np.uint8) for x in strings], dtype=np.uint8).reshape(-1, WIDE)
 
 
 def _stretched(units: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -265,8 +275,9 @@ def _stretched(units: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     out = units.copy()
     for row in out:
         n = int((row != 0).sum())
-        if 3 <= n < UNIT:
-            at = int(rng.integers(1, n))
+        first = 1 + int(row[0] == HEAD)
+        if first + 2 <= n < WIDE:
+            at = int(rng.integers(first, n))
             row[at + 1 :] = row[at:-1]
             row[at] = rng.integers(0x61, 0x7B)
     return out
@@ -340,6 +351,13 @@ def fit_machine(sample: pd.DataFrame, weights: tuple[float, float] = (1.0, 1.0),
         units = np.repeat(begins[at] - first, size) + np.arange(int(size.sum()))
         return np.add.reduceat(kernels[which[units]], first, axis=0) @ root
 
+    def decisions(kernels: np.ndarray, alpha: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of each sentence, and the highest of each document."""
+        each = np.bincount(u.sentence, weights=(kernels @ alpha)[which], minlength=n_sentences) + bias
+        highest = np.full(len(sample), -np.inf)
+        np.maximum.at(highest, sentence_doc, each)
+        return each, np.where(np.isfinite(highest), highest, bias - 1)
+
     negative = np.flatnonzero(~toxic[sentence_doc])
     negative = rng.permutation(negative)[:TRAINED]
     for turn in range(3):
@@ -351,18 +369,18 @@ def fit_machine(sample: pd.DataFrame, weights: tuple[float, float] = (1.0, 1.0),
         alone = np.concatenate([kernels[near_units], *(kernel.with_marks(_stretched(matrix[near_units], rng)) for _ in range(3))]) @ root
         x = np.concatenate([features(yes, kernels), features(yes, stretched), alone, features(negative, kernels), kernels[hard] @ root])
         y = np.repeat([1.0, -1.0], [2 * len(yes) + len(alone), len(negative) + len(hard)])
-        w = newton(x, y, np.where(y > 0, (y < 0).sum() / (y > 0).sum(), 1.0), PULL)
+        w = newton(x, y, np.where(y > 0, BALANCE * (y < 0).sum() / (y > 0).sum(), 1.0), PULL)
         alpha, bias = root @ w[:-1], float(w[-1])
-        decision = np.bincount(u.sentence, weights=(kernels @ alpha)[which], minlength=n_sentences) + bias
-        highest = np.full(len(sample), -np.inf)
-        np.maximum.at(highest, sentence_doc, decision)
+        decision, highest = decisions(kernels, alpha, bias)
         # the sentence of an uncovered toxic document that comes nearest, and sentences of other documents that were taken for toxic
         open_ = toxic & ~np.isin(np.arange(len(sample)), sentence_doc[positive]) & (highest > 0)
         positive |= open_[sentence_doc] & (decision == highest[sentence_doc])
         wrong = np.flatnonzero(~toxic[sentence_doc] & (decision > -0.5))
         negative = np.union1d(negative, rng.permutation(wrong)[: TRAINED // 3])
-    highest[~np.isfinite(highest)] = bias - 1
-    platt = newton(highest[:, None], np.where(toxic, 1.0, -1.0), np.where(toxic, weights[1], weights[0]), 1e-3, logistic=True)
+    # half of the weight of a toxic document is that of the same with a letter put into each of its strings
+    other = decisions(stretched, alpha, bias)[1][toxic]
+    share = np.append(np.where(toxic, weights[1] / 2, weights[0]), np.full(len(other), weights[1] / 2))
+    platt = newton(np.append(highest, other)[:, None], np.append(np.where(toxic, 1.0, -1.0), np.ones(len(other))), share, 1e-3, logistic=True)
     return Machine(kernel, alpha, bias, max(float(platt[0]), 0.0), float(platt[1]))
 
 

@@ -203,6 +203,25 @@ def test_held_out_documents_and_hidden_insults_are_told(spark, labelled):
     assert [r["predicted"] for r in toxicity.toxicity(docs.union(more), labels).where("doc_id >= 10000").orderBy("doc_id").collect()] == [1] * 5
 
 
+def test_a_letter_put_into_an_insult_is_told_and_its_letters_in_other_words_are_not(spark, labelled):
+    docs, labels = labelled
+    altered = [w[:i] + "x" + w[i:] for w in ("idiot", "moron", "pathetic") for i in range(1, len(w))]
+    plain = ["timorous nd", "romance in on", "apathy the", "diode ly", "patience ering", "es ing the"]
+    more = spark.createDataFrame([(10_000 + i, t, None, None) for i, t in enumerate([f"the {w} in on" for w in altered] + plain)], SCHEMA)
+    # documents of label 0 have words like the insults, as any corpus does
+    known = [(20_000 + i, plain[i % len(plain)], None, None) for i in range(120)]
+    docs, labels = docs.union(spark.createDataFrame(known, SCHEMA)), labels.union(spark.createDataFrame([(r[0], 0, 1) for r in known], "doc_id long, toxic int, quality int"))
+    got = [r["predicted"] for r in toxicity.toxicity(docs.union(more), labels).where("doc_id BETWEEN 10000 AND 19999").orderBy("doc_id").collect()]
+    assert np.mean(got[: len(altered)]) >= 0.9 and got[len(altered) :] == [0] * len(plain)
+
+
+def test_a_unit_begins_a_word_or_goes_on_with_it():
+    data = b"abcdefghijklmnopqrst ijklmnopqrst"
+    u = toxicity.units_of(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))
+    rows = [bytes(x).rstrip(b"\0") for x in u.matrix(np.arange(len(u.start)))]
+    assert rows == [b"\1abcdefghijklmnop", b"ijklmnopqrst", b"\1ijklmnopqrst"] and len(set(u.hashes.tolist())) == 3
+
+
 def test_a_score_depends_on_the_text_alone(spark, labelled, monkeypatch):
     docs, labels = labelled
     whole = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
