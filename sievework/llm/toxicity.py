@@ -229,15 +229,23 @@ def _strings(u: Units, doc_toxic: np.ndarray) -> list[bytes]:
         key = np.zeros((len(grams), 8), dtype=np.uint8)
         key[:, :size] = grams
         key = key.view(np.int64).ravel()
-        gram, number = np.unique(key, return_inverse=True)
-        pair = np.unique(number.astype(np.int64) * u.n_docs + of)
+        n_grams = len(np.unique(key))
+        # only strings that toxic documents have three times can be taken
+        gram, times = np.unique(key[doc_toxic[of]], return_counts=True)
+        gram = gram[times >= 3]
+        if not len(gram):
+            continue
+        number = np.minimum(np.searchsorted(gram, key), len(gram) - 1)
+        known = gram[number] == key
+        pair = np.unique(number[known] * u.n_docs + of[known])
+        del grams, key, known
         number, of = pair // u.n_docs, pair % u.n_docs
         toxic = np.bincount(number[doc_toxic[of]], minlength=len(gram))
         other = np.bincount(number[~doc_toxic[of]], minlength=len(gram))
         # in more toxic documents than chance gives to any of so many strings
         share, usual = np.clip(toxic / np.maximum(toxic + other, 1), 1e-9, 1 - 1e-9), n_toxic / (n_toxic + n_other)
         apart = (toxic + other) * (share * np.log(share / usual) + (1 - share) * np.log((1 - share) / (1 - usual)))
-        good = np.flatnonzero((toxic >= 3) & (share > usual) & (apart > np.log(len(gram)) + 2))
+        good = np.flatnonzero((toxic >= 3) & (share > usual) & (apart > np.log(n_grams) + 2))
         good = good[np.argsort(-toxic[good], kind="stable")[:4000]]
         chosen = np.isin(number, good)
         by = np.searchsorted(np.sort(good), number[chosen])
@@ -360,7 +368,8 @@ def fit_machine(sample: pd.DataFrame, weights: tuple[float, float] = (1.0, 1.0),
 
     negative = np.flatnonzero(~toxic[sentence_doc])
     negative = rng.permutation(negative)[:TRAINED]
-    for turn in range(3):
+    for _ in range(3):
+        x = stretched = None  # those of the turn before go first
         yes = rng.permutation(np.flatnonzero(positive))[:TRAINED]
         if not len(yes):
             yes = np.flatnonzero(toxic[sentence_doc])[:TRAINED]
