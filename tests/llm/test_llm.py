@@ -6,6 +6,7 @@ import math
 import pickle
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -564,6 +565,26 @@ def test_bpe_documents(library, odd, none):
     assert byte_bpe.round_trip_digests(none).count() == 0
 
 
+def test_bpe_side_by_side(library, rows):
+    coder = byte_bpe.ByteBPE(byte_bpe.read_ranks(byte_bpe.default_vocabulary()[0]), byte_bpe.default_vocabulary()[1])
+    random.seed(6)
+    syllables = ["tion", "eau", "the", "sch", "é", "an", "x", "中", "ß", "re", "'s", "9"]
+    words = list({"".join(random.choices(syllables, k=random.randint(1, 14))) for _ in range(20_000)} | {"a" * n for n in range(1, 140)})
+    pieces = [(" " * random.randint(0, 1) + w).encode() for w in words]
+    start = time.process_time()
+    one_by_one = [coder.encode_pretoken(p) for p in pieces]
+    between = time.process_time()
+    assert [np.frombuffer(x, dtype=np.int32).tolist() for x in coder.encode_pretokens(pieces)] == one_by_one
+    assert 2 * (time.process_time() - between) < between - start
+
+    space = [" ", " ", "  ", "\n", " \n", "\n ", "\x1c", "\xa0 ", " . ", "! "]
+    texts = [*rows.values(), "", *("".join(random.choice(words) + random.choice(space) for _ in range(random.randint(0, 9))) for _ in range(2000)), *(a + b + c for a in space for b in ("x", "", "'s") for c in space)]
+    for _ in range(2):  # some of it is remembered then
+        for i in range(0, len(texts), 300):
+            for text, ids in zip(texts[i : i + 300], coder.encode_all(texts[i : i + 300]), strict=True):
+                assert np.frombuffer(ids, dtype=np.int32).tolist() == library.encode_ordinary(text)
+
+
 def test_token_tables(spark, docs, odd, none):
     encoder = token_tables.WordEncoder(token_tables.default_tokenizer())
     for d in (docs, odd):
