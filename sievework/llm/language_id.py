@@ -28,8 +28,8 @@ SHORTEST, LONGEST = 4, 14
 #: A text is rejected if it is farther from its centroid than this quantile of its language's sample texts, cut to the least
 #: length of its class, and than MARGIN of the way from there to distance 1. A class with fewer than ENOUGH sample texts has the reach of the shorter one.
 QUANTILE, MARGIN, ENOUGH = 0.995, 0.25, 50
-#: Texts whose n-grams are counted at once.
-TEXTS = 64
+#: Texts whose n-grams are counted at once: each takes a count for every bucket meanwhile.
+TEXTS = 16
 
 _U = np.uint64
 _LETTER = regex.compile(r"\p{L}")

@@ -1,9 +1,12 @@
 """The corpus pipeline: its stages' columns, what they keep, and the whole against the stages' own rules."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievework.llm import byte_bpe, decontaminate, near_dedup
+from sievework.llm import byte_bpe, decontaminate, language_id, near_dedup
 from sievework.llm.session import cut, documents, table
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +53,30 @@ def test_stages_on_odd_and_empty_tables(spark):
         # each stage by itself takes what the first one would have dropped
         for _, stage in corpus_pipeline.STAGES[1:]:
             assert stage(spark, table, SF).count() >= min(1, table.count())
+
+
+def test_workers_keep_little_between_stages(monkeypatch):
+    """A worker goes from stage to stage, so what a stage keeps or needs for a moment adds up with that of the others."""
+    coder = byte_bpe.loaded(*byte_bpe.default_vocabulary())
+    vowels = "aeiou"
+    tracemalloc.start()
+    try:
+        held = tracemalloc.get_traced_memory()[0]
+        for i in range(0, 200_000, 5000):
+            coder.encode_all([" ".join("word" + "".join(vowels[k // 5**j % 5] for j in range(8)) for k in range(i, i + 5000))])
+        assert tracemalloc.get_traced_memory()[0] - held < 25_000_000
+        coder.forget()
+        assert tracemalloc.get_traced_memory()[0] - held < 1_000_000
+        texts = np.frombuffer(b"some short text " * 640, dtype=np.uint8)
+        offsets = np.arange(0, 16 * 641, 16)
+        tracemalloc.reset_peak()
+        held = tracemalloc.get_traced_memory()[0]
+        counts = language_id.term_counts(texts, offsets)
+        assert tracemalloc.get_traced_memory()[1] - held < 10_000_000
+    finally:
+        tracemalloc.stop()
+    dense = np.random.default_rng(1).random((5, language_id.BUCKETS), dtype=np.float32)
+    products = counts.times(dense)
+    monkeypatch.setattr(language_id, "TEXTS", 64)
+    again = language_id.term_counts(texts, offsets)
+    assert (again.bucket == counts.bucket).all() and (again.value == counts.value).all() and (again.times(dense) == products).all()
