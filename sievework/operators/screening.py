@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.text import doi_key, normalize_title, strip, title_key, token_count
+from sievework.functions.text import TOKEN_FACTOR, WIDE, doi_key, normalize_title, strip, title_key
 from sievework.operators.running import running
 
 #: Tokens kept free for the rest of a prompt and the answer, the least left for a text, and the notice behind a text that was cut.
@@ -75,18 +77,39 @@ def budget_of(context_tokens: int) -> int:
     return max(context_tokens - RESERVED, LEAST_BUDGET)
 
 
-def longest_fit(text: Column, budget: int) -> Column:
-    """Characters of the longest prefix of a text that has ``budget`` tokens at most, one at least; found by halving, as wide characters count more."""
-    step = lambda end, k: F.when((end + k <= F.length(text)) & (token_count(F.substring(text, F.lit(1), (end + k).cast("int"))) <= budget), end + k).otherwise(end)
-    powers = F.array(*(F.lit(1 << k).cast("long") for k in range(29, -1, -1)))
-    return F.greatest(F.aggregate(powers, F.lit(0).cast("long"), step), F.lit(1))
+def _plain_fit(budget: int) -> int:
+    """Characters of a text without wide ones that has ``budget`` tokens at most."""
+    most = max(0, int(budget * 4 / TOKEN_FACTOR) + 2)
+    while most and math.ceil(most / 4.0 * TOKEN_FACTOR) > budget:
+        most -= 1
+    return most
+
+
+def fitting(text: Column, budget: int) -> Column:
+    """Characters of the longest prefix of a text that has ``budget`` tokens at most; all of them only if it fits as a whole.
+
+    Tokens are a quarter for each character and four quarters for a wide one, so nothing behind the first characters that would fit if none were wide is
+    looked at; where some of these are wide, the end is found by halving.
+    """
+    most = _plain_fit(budget)
+    head = F.substring(text, F.lit(1), F.lit(most))
+    powers = F.array(*(F.lit(1 << k) for k in range(most.bit_length() - 1, -1, -1))) if most else F.array(F.lit(0))
+
+    def halved(h: Column) -> Column:
+        narrow = lambda end: F.length(F.regexp_replace(F.substring(h, F.lit(1), end), f"[{WIDE}]+", ""))
+        step = lambda end, k: F.when((end + k <= F.length(h)) & (4 * (end + k) - 3 * narrow(end + k) <= most), end + k).otherwise(end)
+        return F.aggregate(powers, F.lit(0), step)
+
+    # as a variable of a lambda the head is made once for all steps
+    return F.when((F.octet_length(head) > F.length(head)) & head.rlike(f"[{WIDE}]"), F.get(F.transform(F.array(head), halved), F.lit(0))).otherwise(F.length(head))
 
 
 def fit_to_context(text: Column, context_tokens: int, notice: str = NOTICE) -> Column:
     """The text if it fits, else its longest prefix that does, without white space at its end, and a notice."""
     budget = budget_of(context_tokens)
-    cut = F.regexp_replace(F.substring(text, F.lit(1), longest_fit(text, budget).cast("int")), r"(?U)\s+$", "")
-    return F.when(token_count(text) <= budget, text).otherwise(F.concat(cut, F.lit(notice)))
+    cut = lambda n: F.regexp_replace(F.substring(text, F.lit(1), F.greatest(n, F.lit(1))), r"(?U)(?<!\s)\s+$", "")
+    whole_or_cut = lambda n: F.when(F.length(text) <= n, text).otherwise(F.concat(cut(n), F.lit(notice)))
+    return F.get(F.transform(F.array(fitting(text, budget)), whole_or_cut), F.lit(0))
 
 
 def _sections(text: Column) -> Column:

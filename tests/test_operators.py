@@ -1,5 +1,7 @@
 """Hand-made cases of the record operators."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +152,16 @@ def test_fit_of_wide_and_narrow_text(spark):
             assert got == text[:end].rstrip() + SC.NOTICE
 
 
+def test_fit_looks_no_further_than_the_context(spark):
+    """2000 texts of 20,000 characters took minutes when each was counted as a whole, and once for each halving of 2^30."""
+    d = spark.range(2000, numPartitions=4).select("id", F.repeat(F.concat(F.lit("ab 中"), F.col("id").cast("string")), F.lit(4000)).alias("t"))
+    began = time.time()
+    got = d.select(F.length(SC.fit_to_context(F.col("t"), 2400)).alias("n")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("n").alias("all")).first()
+    assert got["all"] == 2000 and 800 < got["low"] <= got["high"] < 1818 and time.time() - began < 30
+    assert [SC._plain_fit(b) for b in (0, 1, 500)] == [0, 3, 1818]
+    assert one(spark, None, lambda c: SC.fit_to_context(c, 2400)) is None and one(spark, "é" * 1818, lambda c: SC.fit_to_context(c, 2400)) == "é" * 1818
+
+
 def test_criteria_and_prompts(spark):
     assert SC.criteria_text("peco", {"Outcome": "b", "Population": "a"}, {"Exposure": " c "}) == "Include Population: a\nInclude Outcome: b\nExclude Exposure: c"
     with pytest.raises(ValueError, match="E203"):
