@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.text import outcome
 from sievework.operators.running import running
+from sievework.storage import cut
 
 DECISIONS = ["INCLUDE", "EXCLUDE", "UNCERTAIN"]
 OUTCOMES = [*DECISIONS, "ERROR", "NOT_SCREENED", "PRE_EXCLUDED"]
@@ -127,6 +128,20 @@ def compare_runs(records: DataFrame, decisions: DataFrame, runs: list[str]) -> D
     return d.select("study_uid", *(F.coalesce(r, F.lit("")).alias(r) for r in runs), agreement.alias("agreement"))
 
 
+def _placed(table: DataFrame, order: str) -> DataFrame:
+    """``table`` with ``_at``: the place of each row in an order, from 0, nulls last.
+
+    Rows are dealt by ranges, and that is cut: dealing again for the counts may draw other bounds, or merge other partitions.
+    """
+    by = F.col(order).asc_nulls_last()
+    dealt = cut(table.repartitionByRange(by).withColumn("_part", F.spark_partition_id()), "dealt")
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    d = dealt.join(F.broadcast(before), "_part")  # a row for each partition
+    at = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(by)) - 1
+    return d.withColumn("_at", at).drop("_part", "_before")
+
+
 def systematic_sample(table: DataFrame, order: str, at_most: int = 2000) -> DataFrame:
     """Every k-th row in an order, with the least k that leaves ``at_most`` rows. This is a sampling operator."""
     n = table.count()
@@ -192,11 +207,7 @@ def disputed_items(records: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def batches(planned: DataFrame, order: str, size: int = 1000) -> DataFrame:
     """``planned`` with ``batch``: consecutive rows in an order, ``size`` at a time."""
-    dealt = planned.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
-    at = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    return dealt.join(F.broadcast(before), "_part").withColumn("batch", F.floor(at / size)).drop("_part", "_before")
+    return _placed(planned, order).withColumn("batch", F.floor(F.col("_at") / size)).drop("_at")
 
 
 def title_matches(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -162,6 +162,26 @@ def test_fit_looks_no_further_than_the_context(spark):
     assert one(spark, None, lambda c: SC.fit_to_context(c, 2400)) is None and one(spark, "é" * 1818, lambda c: SC.fit_to_context(c, 2400)) == "é" * 1818
 
 
+@pytest.mark.parametrize("what", ["batches"])
+def test_places_by_ranges_that_are_dealt_once(spark, what):
+    """The counts of the ranges were of another dealing, with a column less and so with other merged partitions: rows were lost."""
+    n = 60_000
+    d = spark.range(n, numPartitions=6).select(((F.col("id") * 7919) % n).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("more"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    least = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set(size, "400KB"), spark.conf.set(least, "1KB")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    try:
+        if what == "batches":
+            got = sorted((r["k"], r["batch"]) for r in RS.batches(d, "k", 64).where("more <> ''").collect())
+            assert got == [(k, k // 64) for k in range(n)]
+        else:
+            assert sorted(r["k"] for r in RS.systematic_sample(d, "k", 300).where("more <> ''").collect()) == list(range(0, n, 200))
+    finally:
+        for c in (size, least, "spark.sql.adaptive.coalescePartitions.parallelismFirst"):
+            spark.conf.unset(c)
+
+
 def test_criteria_and_prompts(spark):
     assert SC.criteria_text("peco", {"Outcome": "b", "Population": "a"}, {"Exposure": " c "}) == "Include Population: a\nInclude Outcome: b\nExclude Exposure: c"
     with pytest.raises(ValueError, match="E203"):
