@@ -148,13 +148,7 @@ def systematic_sample(table: DataFrame, order: str, at_most: int = 2000) -> Data
     stride = max(1, -(-n // at_most))
     if stride == 1:
         return table
-    # positions by range partitions: a count of each, then a row number inside it
-    dealt = table.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
-    d = dealt.join(F.broadcast(before), "_part")  # a row for each partition
-    at = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    return d.withColumn("_at", at).where(F.col("_at") % stride == 0).drop("_part", "_before", "_at")
+    return _placed(table, order).where(F.col("_at") % stride == 0).drop("_at")
 
 
 def failures_in_a_row(results: DataFrame, threshold: int = 20) -> DataFrame:

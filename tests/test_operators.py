@@ -162,7 +162,7 @@ def test_fit_looks_no_further_than_the_context(spark):
     assert one(spark, None, lambda c: SC.fit_to_context(c, 2400)) is None and one(spark, "é" * 1818, lambda c: SC.fit_to_context(c, 2400)) == "é" * 1818
 
 
-@pytest.mark.parametrize("what", ["batches"])
+@pytest.mark.parametrize("what", ["batches", "sample"])
 def test_places_by_ranges_that_are_dealt_once(spark, what):
     """The counts of the ranges were of another dealing, with a column less and so with other merged partitions: rows were lost."""
     n = 60_000
