@@ -204,10 +204,33 @@ def batches(planned: DataFrame, order: str, size: int = 1000) -> DataFrame:
     return _placed(planned, order).withColumn("batch", F.floor(F.col("_at") / size)).drop("_at")
 
 
+#: Rows of a side with one title beyond which they are dealt into boxes, and tasks that the boxes are dealt to at most.
+MATCH_ROWS, MATCH_TASKS = 2000, 4096
+
+
 def title_matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of two tables (title, value) whose titles are equal but for case and outer spaces."""
-    key = lambda d, v: d.select(F.lower(F.trim("title")).alias("key"), F.col("value").alias(v))
-    return key(left, "left_value").join(key(right, "right_value"), "key")
+    """Rows of two tables (title, value) whose titles are equal but for case and outer spaces.
+
+    A title of m and n rows has m n pairs. Where a side has more than MATCH_ROWS of them, its rows are dealt into boxes, and each box meets each box of the other side in a
+    group of its own, so the pairs of one title are many tasks, whose number adaptive execution leaves as it is.
+    """
+    key = lambda d, s: cut(d.select(F.lower(F.trim("title")).alias("key"), F.col("value").alias(f"{s}_value")).where("key IS NOT NULL"), "titles")
+    sides = {"left": key(left, "left"), "right": key(right, "right")}
+    boxes = lambda s: sides[s].groupBy("key").agg(F.ceil(F.count("*") / MATCH_ROWS).cast("int").alias(f"{s}_boxes"))
+    many = boxes("left").join(boxes("right"), "key").where("left_boxes > 1 OR right_boxes > 1").withColumn("id", F.monotonically_increasing_id())
+    many = cut(many, "boxes")
+    groups = many.agg(F.sum(F.col("left_boxes").cast("long") * F.col("right_boxes"))).first()[0]
+    if not groups:
+        return sides["left"].join(sides["right"], "key")
+
+    def dealt(own: str, other: str, *more: str) -> DataFrame:
+        d = sides[own].join(many, "key").withColumn(f"{own}_box", F.pmod(F.xxhash64(f"{own}_value"), f"{own}_boxes").cast("int"))
+        d = d.select("id", *more, f"{own}_value", f"{own}_box", F.explode(F.sequence(F.lit(0), F.col(f"{other}_boxes") - 1)).alias(f"{other}_box"))
+        return d.repartition(min(groups, MATCH_TASKS), "id", "left_box", "right_box")
+
+    few = lambda s: sides[s].join(many.select("key"), "key", "left_anti")
+    met = dealt("left", "right", "key").join(dealt("right", "left"), ["id", "left_box", "right_box"]).select("key", "left_value", "right_value")
+    return few("left").join(few("right"), "key").unionByName(met)
 
 
 def new_snapshots(events: DataFrame) -> DataFrame:

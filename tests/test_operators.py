@@ -1,6 +1,7 @@
 """Hand-made cases of the record operators."""
 
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,6 +183,19 @@ def test_places_by_ranges_that_are_dealt_once(spark, what):
             spark.conf.unset(c)
 
 
+def test_pairs_of_a_common_title_are_many_tasks(spark, monkeypatch):
+    """All pairs of one title were made by one task."""
+    monkeypatch.setattr(RS, "MATCH_ROWS", 100, raising=False)
+    side = lambda rest: spark.range(1500).where(f"id % 2 = {rest}").select(F.when(F.col("id") < 1400, " Contents").when(F.col("id") < 1410, None).otherwise(F.concat(F.lit("t"), (F.col("id") / 4).cast("int").cast("string"))).alias("title"), F.col("id").alias("value"))
+    d = RS.title_matches(side(0), side(1)).select("left_value", "right_value", F.spark_partition_id().alias("task"))
+    rows = d.collect()
+    title = lambda v: "c" if v < 1400 else None if v < 1410 else v // 4
+    want = sorted((a, b) for a in range(0, 1500, 2) for b in range(1, 1500, 2) if title(a) == title(b) is not None)
+    assert sorted((r["left_value"], r["right_value"]) for r in rows) == want
+    sizes = Counter(r["task"] for r in rows if r["left_value"] < 1400)
+    assert max(sizes.values()) < 0.2 * 700 * 700
+
+
 def test_criteria_and_prompts(spark):
     assert SC.criteria_text("peco", {"Outcome": "b", "Population": "a"}, {"Exposure": " c "}) == "Include Population: a\nInclude Outcome: b\nExclude Exposure: c"
     with pytest.raises(ValueError, match="E203"):
