@@ -15,6 +15,7 @@ from sievework.operators import marking as MK
 from sievework.operators import results as RS
 from sievework.operators import running
 from sievework.operators import screening as SC
+from sievework.operators.components import connected_components
 
 FIELDS = "import_order long, study_uid string, source_label string, title string, abstract string, doi string, pmid string, year int, language string, publication_types string, authors string, keywords string, keywords_mesh string, is_retracted boolean, fulltext_of string, exclusion_reason string, exclusion_details string"
 
@@ -183,6 +184,16 @@ def test_places_by_ranges_that_are_dealt_once(spark, what):
             spark.conf.unset(c)
 
 
+def test_fuzzy_links_of_classes(spark):
+    """Copies of two titles made a link for every pair of them; nulls and what clashes count as before."""
+    titles = ["a randomised trial of walking in old people", "a randomized trial of walking in old people"]
+    rows = [{"title": titles[i % 2], "year": (None, 2000, 2009)[i % 3], "authors": ("", "Doe, A", "Poe, B")[i % 9 // 3]} for i in range(180)]
+    d = DD.keyed(records(spark, rows))
+    every, few, least = DD.fuzzy_edges(d).collect(), DD.fuzzy_edges(d, components=True).collect(), DD.fuzzy_edges(d, components=True, titles_linked=True).collect()
+    part = lambda edges: sorted((r["node"], r["label"]) for r in connected_components(spark.createDataFrame([tuple(e) for e in edges], "a long, b long")).collect())
+    assert len(every) > 5000 and len(few) < 18 * 18 + 180 and len(least) == 1 and part(every) == part(few)
+
+
 def test_pairs_of_a_common_title_are_many_tasks(spark, monkeypatch):
     """All pairs of one title were made by one task."""
     monkeypatch.setattr(RS, "MATCH_ROWS", 100, raising=False)
